@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q01_quality", "q06_toxicity", "q07_decontamination")
+MODULES = ("q01_quality", "q05_simhash", "q06_toxicity", "q07_decontamination")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
