@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,8 +179,6 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", score_col:
         batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.large_string())], ["text"])
         for part in text.steps(batch, "text"):
             out.append(_sigmoid(model.logits(features(*text.joined(part.column("text")))).astype(np.float64)))
-        import pandas as pd
-
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return documents.withColumn(score_col, probability(F.col(text_col)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q01_quality", "q05_simhash", "q06_toxicity", "q07_decontamination", "q09_chat", "q10_html")
+MODULES = ("q01_quality", "q04_telephony", "q05_simhash", "q06_toxicity", "q07_decontamination", "q09_chat", "q10_html")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
