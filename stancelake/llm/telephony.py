@@ -138,7 +138,7 @@ def decode(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text.steps(batch, "media", 4 << 20):
+            for part in text.steps(batch, "media"):
                 yield _decoded(part)
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
