@@ -113,9 +113,11 @@ def _scan(machine: ahocorasick.Automaton, batch: pa.RecordBatch, last: bool) ->
         yield pa.RecordBatch.from_arrays([new.get(name, part.column(name)) for name in names], names)
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, most_bytes: int = MOST_BYTES) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, most_bytes: int = MOST_BYTES, carry: bool = False) -> DataFrame:
     """One row per row of `documents`: id, n_words, spans, items. No shuffle.
 
+    `carry` adds a struct column `row` with all columns of `documents`, whatever their names.
+
     spans: begin and end (bytes of the original UTF-8, end exclusive), number of the first word and number of
     words of each maximal run of hit words, in order. items: ids, as strings in string order, of the
     benchmark rows with an occurring window. Null or empty texts have no words; benchmark rows without words
@@ -124,7 +126,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = size // most_bytes + 1
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast(array() as {SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast(array() as {SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *([F.struct("*").alias("row")] if carry else []))
     for k in range(parts):
         rows = _scanned(rows, items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k), width, last=k == parts - 1)
     return rows.withColumnRenamed("id", id_col)

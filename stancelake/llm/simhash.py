@@ -71,7 +71,7 @@ def majority(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _lane(hashes: np.ndarray, k: int) -> np.ndarray:
-    return hashes if k == 0 else text.mixed(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+    return hashes if k == 0 else text.mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bits: int = 64, bands: int = 0) -> DataFrame:
@@ -237,3 +237,104 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(names, "root").select("fingerprint", "component")
     return rows.select("id", "fingerprint").join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component")
+
+
+def _sets(rows: DataFrame, size: int, bits: int) -> DataFrame:
+    """(fingerprint, shingles: sorted distinct hashes as bytes) of each row of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("text"):
+                hashes = shingle_hashes((raw.as_py() or "").encode(), size)
+                lanes = np.concatenate([majority(_lane(hashes, k), np.array([0, len(hashes)])) for k in range(bits // 64)])
+                columns = [pa.array([lanes.astype(">u8").tobytes()], pa.binary()), pa.array([np.unique(hashes).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["fingerprint", "shingles"])
+
+    return rows.select("text").mapInArrow(run, "fingerprint binary, shingles binary")
+
+
+def _verified(rows: DataFrame, bits: int, radius: int, similarity: float, most: int, most_bytes: int) -> DataFrame:
+    """(a, b) spanning links among the fingerprints of each root whose shingle sets are that similar.
+
+    rows: root, fingerprint, shingles. A root of over `most` fingerprints or `most_bytes` of shingles is cut into
+    pieces that meet two by two, as shards are.
+    """
+    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("size"))
+    pieces = F.ceil(F.greatest(F.col("n") / most, F.col("size") / most_bytes)).cast("int")
+    rows = rows.join(sizes, "root").withColumn("pieces", F.greatest(F.lit(1), pieces))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fingerprint", F.lit(11)), F.col("pieces")).cast("int"))
+    rows = rows.select("root", "fingerprint", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    rows = rows.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fingerprint", "shingles")
+    dealt = rows.repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j", "mine", "fingerprint")
+
+    def linked(members: list[tuple[int, bool, np.ndarray]], same: bool) -> list[tuple[int, int]]:
+        parent = list(range(len(members)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        tree, held = BKTree(), []
+        for i, (value, left, shingles) in enumerate(members):
+            if same or not left:
+                near = sorted(tree.within(value, radius), key=lambda k: (value ^ tree.values[k]).bit_count())
+                for j in (held[k] for k in near):
+                    if root(i) != root(j):
+                        both = len(np.intersect1d(shingles, members[j][2], assume_unique=True))
+                        if both >= similarity * (len(shingles) + len(members[j][2]) - both):
+                            parent[root(j)] = root(i)
+            if same or left:
+                tree.add(value)
+                held.append(i)
+        return [(members[root(i)][0], x[0]) for i, x in enumerate(members) if root(i) != i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, members = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row["root"], row["i"], row["j"])
+                if key != open_key:
+                    if members:
+                        yield _pairs(linked(members, open_key[1] == open_key[2]), bits // 8)
+                    open_key, members = key, []
+                members.append((int.from_bytes(row["fingerprint"], "big"), row["mine"] == row["i"], np.frombuffer(row["shingles"], np.uint64)))
+        if members:
+            yield _pairs(linked(members, open_key[1] == open_key[2]), bits // 8)
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5, bits: int = 512, bands: int = 8, most: int = MOST, most_bytes: int = 32 << 20) -> DataFrame:
+    """(id, fingerprint, component) of every row: the smallest id that links of near copies reach.
+
+    Texts link if the Jaccard similarity of their sets of `size`-word shingles is at least `similarity`. Wide
+    fingerprints, anchored shards and a radius three standard deviations beyond the expected distance find the
+    candidates; then the shingle sets of candidates, and of no other row, are compared exactly.
+    Equal fingerprints are one text here. Null and empty texts are one class; rows with a null id name none.
+    """
+    radius = radius_for(similarity, bits, 3)
+    rows = graph.cut(fingerprints(documents, id_col, text_col, size, bits, bands))
+    distinct = graph.cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least"), F.min("anchors").alias("anchors")))
+    roots = graph.cut(graph.components(links(distinct, bits, radius, anchored=True, most=most)))
+    few = distinct.join(roots, distinct["fingerprint"] == roots["node"]).select("root", "fingerprint", "least")
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(few.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    sets = few.select("root", "fingerprint").join(_sets(texts, size, bits).dropDuplicates(["fingerprint"]), "fingerprint")
+    checked = graph.components(_verified(sets, bits, radius, similarity, most, most_bytes))
+    rooted = distinct.join(checked, distinct["fingerprint"] == checked["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(names, "root").select("fingerprint", "component")
+    return rows.select("id", "fingerprint").join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component")
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of `documents` without near copies: of each class the row with the smallest id stays.
+
+    `how` goes to similar_classes. Rows without id stay; equal rows of one id stay once.
+    """
+    found = similar_classes(documents, id_col, text_col, **how)
+    keepers = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
+    named = documents.where(F.col(id_col).isNotNull()).join(keepers, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return named.select(*documents.columns).unionByName(documents.where(F.col(id_col).isNull()))
