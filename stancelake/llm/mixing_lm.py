@@ -22,7 +22,6 @@ Pairs are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from stancelake.llm import graph, text
 
 #: Bytes of text for each block and bucket; evidence added to both counts; step size; entries in a step.
-BLOCK_BYTES, BUCKET_BYTES, PRIOR, RATE, STEP = 8 << 20, 32 << 20, 0.35, 1.0, 2048
+BLOCK_BYTES, BUCKET_BYTES, PRIOR, RATE, STEP = 8 << 20, 32 << 20, 0.35, 1.0, 512
 
 #: Numbers of last bytes that are contexts; the word so far, without and with the class, are two more. Slots of each.
 ORDERS, SLOTS = (2, 4, 6), (1 << 18, 1 << 21, 1 << 22, 1 << 23, 1 << 23)
@@ -94,6 +93,19 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
 # -- the lexicon as columns of bytes -------------------------------------------------------------------------
 
 
+_ZSTD = pa.Codec("zstd")
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed, behind their number."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def restored(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(packed[8:], int.from_bytes(packed[:8], "little")), kind)
+
+
 @dataclass
 class Entries:
     """Distinct pairs: bytes of the words one after the other (an end has none), lengths, classes, training counts."""
@@ -114,11 +126,11 @@ class Entries:
         return Entries(gather(self.blob, starts[index], self.lengths[index].astype(np.int64)), self.lengths[index], self.classes[index], self.counts[index])
 
     def pack(self) -> list[bytes]:
-        return [self.blob.tobytes(), self.lengths.astype(np.uint32).tobytes(), self.classes.tobytes(), self.counts.astype(np.uint64).tobytes()]
+        return [squeezed(self.blob), squeezed(self.lengths.astype(np.uint32)), squeezed(self.classes), squeezed(self.counts.astype(np.uint64))]
 
     @staticmethod
     def unpack(row: dict) -> Entries:
-        return Entries(np.frombuffer(row["blob"], np.uint8), np.frombuffer(row["lengths"], np.uint32), np.frombuffer(row["classes"], np.uint8), np.frombuffer(row["counts"], np.uint64))
+        return Entries(*(restored(row[c], t) for c, t in (("blob", np.uint8), ("lengths", np.uint32), ("classes", np.uint8), ("counts", np.uint64))))
 
     @staticmethod
     def joined(parts: list[Entries]) -> Entries:
@@ -194,7 +206,7 @@ def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(words), 1 << 16):
             index = np.arange(at, min(len(words), at + (1 << 16)))
             total = int(entries.counts.sum()) if at == 0 else 0
-            row = [bucket, *entries.take(index).pack(), word_counts[index].tobytes(), total, known if at == 0 else 0]
+            row = [bucket, *entries.take(index).pack(), squeezed(word_counts[index]), total, known if at == 0 else 0]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64()])], ["bucket", "blob", "lengths", "classes", "counts", "word_counts", "total", "known"])
 
     bucket, parts = None, []
@@ -288,7 +300,7 @@ def decisions(entries: Entries, tree: Tree) -> tuple[list[np.ndarray], np.ndarra
     ends = np.cumsum(lengths, dtype=np.int64)
     code = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths - tree.first[data], lengths)
     nodes = _NODE_HASH[tree.nodes[code]]
-    slots = [(np.repeat((c >> np.uint64(24)).astype(np.uint32), lengths) ^ nodes) & np.uint32(size - 1) for c, size in zip(contexts, SLOTS)]
+    slots = [((np.repeat((c >> np.uint64(24)).astype(np.uint32), lengths) ^ nodes) & np.uint32(size - 1)).astype(np.intp) for c, size in zip(contexts, SLOTS)]
     return slots, tree.bits[code], np.repeat(entry, lengths)
 
 
@@ -297,21 +309,47 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
-_COUNT = (2 ** (np.arange(256) / 8) - 1).astype(np.float32)
+def _by_code(of_counts) -> np.ndarray:
+    """A value for each 16-bit code of two quantised counts: zeros + 256 * ones."""
+    count = 2 ** (np.arange(256) / 8) - 1
+    return of_counts(count[None, :], count[:, None]).reshape(-1)
+
+
+def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((np.maximum(0, ones) + PRIOR) / (np.maximum(0, zeros) + PRIOR)).astype(np.float32)
+
+
+#: By code: log-odds; those without one own occurrence of a zero, then of a one; and how often the slot was seen.
+ODDS = _by_code(_odds)
+ODDS_LEFT_OUT = np.concatenate([_by_code(lambda zeros, ones: _odds(zeros - 1, ones)), _by_code(lambda zeros, ones: _odds(zeros, ones - 1))])
+SEEN_CLASS = _by_code(lambda zeros, ones: np.searchsorted(SEEN, np.round(zeros + ones), "right").astype(np.int8))
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    """(slots, 2) quantised counts as the codes of the tables above."""
+    return np.ascontiguousarray(counts).view("<u2").reshape(-1).astype(np.uint16)
 
 
 def _inputs(tables: list[np.ndarray], slots: list[np.ndarray], bits: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds (CONTEXTS, decisions) and gates; with `left_out` each decision's own occurrence is not counted."""
-    odds, seen = [], []
-    for table, slot in zip(tables, slots):
-        both = _COUNT[table[slot]]
-        zeros, ones = both[:, 0], both[:, 1]
-        if left_out:
-            zeros, ones = np.maximum(0, zeros - (bits == 0)), np.maximum(0, ones - (bits == 1))
-        odds.append(np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))))
-        seen.append(zeros + ones)
-    longest = np.where(seen[-1] > 0, 2, np.where(seen[-4] > 0, 1, 0))
-    return np.stack(odds), np.searchsorted(SEEN, np.round(seen[-2]), "right") * 3 + longest
+    odds = np.empty((CONTEXTS, len(bits)), np.float32)
+    codes = [table[slot] for table, slot in zip(tables, slots)]
+    own = bits.astype(np.uint32) << np.uint32(16)
+    for k, code in enumerate(codes):
+        odds[k] = ODDS_LEFT_OUT[code + own] if left_out else ODDS[code]
+    seen = SEEN_CLASS[codes[-2]]
+    if left_out:  # a slot that only the decision itself was counted in is not known
+        seen *= (seen > 1) | (odds[-2] != 0)
+    longest = np.maximum((odds[-1] != 0) * np.int8(2), odds[1] != 0)
+    return odds, (seen * np.int8(3) + longest).astype(np.intp)
+
+
+def _mixed(inputs: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    of_context = weights.T.astype(np.float32)
+    z = inputs[0] * of_context[0][gate]
+    for k in range(1, CONTEXTS):
+        z += inputs[k] * of_context[k][gate]
+    return z
 
 
 START = np.full((GATES, CONTEXTS), 0.25, np.float32)
@@ -330,10 +368,10 @@ def refine(tables: list[np.ndarray], tree: Tree, entries: Entries, weights: np.n
         slots, bits, entry = decisions(mine, tree)
         inputs, gate = _inputs(tables, slots, bits, True)
         share = np.minimum(mine.counts, 32).astype(np.float32)[entry]
-        z = np.einsum("kd,dk->d", inputs, weights[gate])
-        push = share * (bits - 1 / (1 + np.exp(-z)))
+        z = _mixed(inputs, gate, weights)
+        push = share * (bits - 1 / (1 + np.exp(-np.maximum(z, np.float32(-80)))))
         here = np.bincount(gate, weights=share, minlength=GATES)
-        power = np.stack([np.bincount(gate, weights=share * x * x, minlength=GATES) for x in inputs], axis=1).sum(axis=1)
+        power = np.bincount(gate, weights=share * (inputs * inputs).sum(axis=0), minlength=GATES)
         step = rate / np.sqrt(1 + mass / (mass[mass > 0].mean() if mass.any() else 1))
         for k in range(CONTEXTS):
             weights[:, k] += step * np.bincount(gate, weights=push * inputs[k], minlength=GATES) / np.maximum(1, power / CONTEXTS)
@@ -343,12 +381,12 @@ def refine(tables: list[np.ndarray], tree: Tree, entries: Entries, weights: np.n
 def log10_probabilities(tables: list[np.ndarray], tree: Tree, entries: Entries, weights: np.ndarray) -> np.ndarray:
     """log10 of the probability of each entry's bytes behind the byte of its class."""
     out = np.zeros(len(entries.lengths))
-    for at in range(0, len(out), 4 * STEP):
-        index = np.arange(at, min(len(out), at + 4 * STEP))
+    for at in range(0, len(out), STEP):
+        index = np.arange(at, min(len(out), at + STEP))
         slots, bits, entry = decisions(entries.take(index), tree)
         inputs, gate = _inputs(tables, slots, bits, False)
-        z = np.einsum("kd,dk->d", inputs, weights[gate]) * (bits.astype(np.float32) * 2 - 1)
-        cost = np.logaddexp(0, -z.astype(np.float64))
+        z = _mixed(inputs, gate, weights) * (bits.astype(np.float32) * 2 - 1)
+        cost = np.log1p(np.exp(-np.maximum(z, np.float32(-80))))
         out[index] = -np.bincount(entry, weights=cost, minlength=len(index)) / np.log(10)
     return out
 
@@ -359,12 +397,12 @@ def log10_probabilities(tables: list[np.ndarray], tree: Tree, entries: Entries,
 def add_up(tables: list[np.ndarray], tree: Tree, entries: Entries) -> None:
     """Adds the decisions of all training occurrences to the counts (slots, 2) of each context."""
     known = np.flatnonzero(entries.counts)
-    for at in range(0, len(known), 4 * STEP):
-        mine = entries.take(known[at : at + 4 * STEP])
+    for at in range(0, len(known), STEP):
+        mine = entries.take(known[at : at + STEP])
         slots, bits, entry = decisions(mine, tree)
         times = mine.counts[entry].astype(np.uint32)
         for k, table in enumerate(tables):
-            np.add.at(table.reshape(-1), slots[k].astype(np.int64) * 2 + bits, times)
+            np.add.at(table.reshape(-1), slots[k] * 2 + bits, times)
 
 
 def _tables(lexicon: DataFrame, tree: Tree, parts: int) -> list[np.ndarray]:
@@ -386,7 +424,7 @@ def _tables(lexicon: DataFrame, tree: Tree, parts: int) -> list[np.ndarray]:
         salt = 0
         for row in _rows(batches):
             key, salt = (row["k"], row["chunk"]), row["salt"]
-            values = np.frombuffer(zlib.decompress(row["sums"]), np.uint64)
+            values = restored(row["sums"], np.uint64)
             sums[key] = sums[key] + values if key in sums else values
         for (k, chunk), values in sums.items():
             yield _chunk_row(k, chunk, salt, values)
@@ -394,7 +432,7 @@ def _tables(lexicon: DataFrame, tree: Tree, parts: int) -> list[np.ndarray]:
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in add(batches):
             row = batch.to_pylist()[0]
-            yield _chunk_row(row["k"], row["chunk"], row["salt"], quantised(np.frombuffer(zlib.decompress(row["sums"]), np.uint64)))
+            yield _chunk_row(row["k"], row["chunk"], row["salt"], quantised(restored(row["sums"], np.uint64)))
 
     schema = "k int, chunk int, salt int, sums binary"
     found = lexicon.select("bucket", "blob", "lengths", "classes", "counts").mapInArrow(count, schema)
@@ -402,12 +440,12 @@ def _tables(lexicon: DataFrame, tree: Tree, parts: int) -> list[np.ndarray]:
     found = found.repartition("k", "chunk").mapInArrow(small, schema)
     out = [np.zeros(2 * size, np.uint8) for size in SLOTS]
     for row in found.collect():  # no more than the tables' fixed size
-        out[row["k"]][row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(zlib.decompress(row["sums"]), np.uint8)
-    return [x.reshape(-1, 2) for x in out]
+        out[row["k"]][row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = restored(row["sums"], np.uint8)
+    return [coded(x.reshape(-1, 2)) for x in out]
 
 
 def _chunk_row(k: int, chunk: int, salt: int, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((k, chunk, salt, zlib.compress(values.tobytes(), 1)), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["k", "chunk", "salt", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((k, chunk, salt, squeezed(values)), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["k", "chunk", "salt", "sums"])
 
 
 def _weights(lexicon: DataFrame, tables, tree: Tree) -> np.ndarray:
@@ -465,7 +503,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             entries = Entries.unpack(row)
             _, pairs = entries.hashes()
             logs = log10_probabilities(tables.value, tree, entries, weights)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["bucket"], pairs.tobytes(), row["word_counts"], logs.tobytes()), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "pairs", "word_counts", "logs"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["bucket"], squeezed(pairs), row["word_counts"], squeezed(logs)), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "pairs", "word_counts", "logs"])
 
     known = lexicon.mapInArrow(scored, "bucket int, pairs binary, word_counts binary, logs binary")
     none = F.lit(None)
@@ -487,7 +525,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if row["bucket"] != bucket:
             bucket, own, table = row["bucket"], [], None
         if row["block"] < 0:
-            own.append([np.frombuffer(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float64))])
+            own.append([restored(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float64))])
             continue
         if table is None:
             table = [np.concatenate(x) for x in zip(*own)]
@@ -495,7 +533,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, own = [x[order] for x in table], []
         _, pairs = Entries.unpack(row).hashes()
         at = np.searchsorted(table[0], pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["block"], pairs.tobytes(), table[1][at].tobytes(), table[2][at].tobytes()), (pa.int32(), *[pa.binary()] * 3))], ["block", "pairs", "word_counts", "logs"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["block"], squeezed(pairs), squeezed(table[1][at]), squeezed(table[2][at])), (pa.int32(), *[pa.binary()] * 3))], ["block", "pairs", "word_counts", "logs"])
 
 
 def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.RecordBatch]:
@@ -513,7 +551,7 @@ def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.Reco
             run = batch.slice(a, b - a)
             if kinds[a] == 0:
                 for row in run.select(["pairs", "word_counts", "logs"]).to_pylist():
-                    own.append([np.frombuffer(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float64))])
+                    own.append([restored(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float64))])
                 continue
             if table is None:
                 table = [np.concatenate(x) for x in zip(*own)]

@@ -69,6 +69,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+_KEPT: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, n of each at least; those of a usual step are kept."""
+    if len(_KEPT[0]) >= n:
+        return _KEPT
+    size = max(n, 2 * STEP_BYTES)
+    both = []
+    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        both.append(np.multiply.accumulate(x))
+    if size <= 8 * STEP_BYTES:
+        _KEPT[:] = both
+    return both
+
+
 class SpanHash:
     """Polynomial hashes of any spans of a byte array, from prefix sums modulo 2^64.
 
@@ -76,15 +94,10 @@ class SpanHash:
     """
 
     def __init__(self, data: np.ndarray):
-        inverse = pow(_ODD, -1, 1 << 64)
         n = len(data)
-        up = np.full(n + 1, _ODD, np.uint64)
-        up[0] = 1
-        down = np.full(n + 1, inverse, np.uint64)
-        down[0] = 1
-        up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        up, self.down = _powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
