@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from stancelake.llm import graph, text
 
 #: Bytes of text for each block and bucket; evidence added to both counts; step size; entries in a step.
-BLOCK_BYTES, BUCKET_BYTES, PRIOR, RATE, STEP = 8 << 20, 32 << 20, 0.35, 1.0, 512
+BLOCK_BYTES, BUCKET_BYTES, PRIOR, RATE, STEP = 8 << 20, 64 << 20, 0.35, 1.0, 512
 
 #: Numbers of last bytes that are contexts; the word so far, without and with the class, are two more. Slots of each.
 ORDERS, SLOTS = (2, 4, 6), (1 << 18, 1 << 21, 1 << 22, 1 << 23, 1 << 23)
@@ -97,13 +97,14 @@ _ZSTD = pa.Codec("zstd")
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """The bytes of an array, compressed, behind their number."""
-    raw = values.tobytes()
-    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+    """The bytes of an array, those of one significance together, compressed, behind their number."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return values.nbytes.to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
 
 
 def restored(packed: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(_ZSTD.decompress(packed[8:], int.from_bytes(packed[:8], "little")), kind)
+    raw = np.frombuffer(_ZSTD.decompress(packed[8:], int.from_bytes(packed[:8], "little")), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 @dataclass
@@ -503,7 +504,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             entries = Entries.unpack(row)
             _, pairs = entries.hashes()
             logs = log10_probabilities(tables.value, tree, entries, weights)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["bucket"], squeezed(pairs), row["word_counts"], squeezed(logs)), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "pairs", "word_counts", "logs"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["bucket"], squeezed(pairs), row["word_counts"], squeezed(logs.astype(np.float32))), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "pairs", "word_counts", "logs"])
 
     known = lexicon.mapInArrow(scored, "bucket int, pairs binary, word_counts binary, logs binary")
     none = F.lit(None)
@@ -525,7 +526,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if row["bucket"] != bucket:
             bucket, own, table = row["bucket"], [], None
         if row["block"] < 0:
-            own.append([restored(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float64))])
+            own.append([restored(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float32))])
             continue
         if table is None:
             table = [np.concatenate(x) for x in zip(*own)]
@@ -551,7 +552,7 @@ def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.Reco
             run = batch.slice(a, b - a)
             if kinds[a] == 0:
                 for row in run.select(["pairs", "word_counts", "logs"]).to_pylist():
-                    own.append([restored(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float64))])
+                    own.append([restored(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float32))])
                 continue
             if table is None:
                 table = [np.concatenate(x) for x in zip(*own)]
