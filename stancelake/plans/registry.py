@@ -27,7 +27,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for name in ("boards",):
+    for name in ("boards", "series"):
         importlib.import_module(f"stancelake.plans.{name}")
 
 
