@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stancelake.llm import sampling, text
 
 #: Hashed trigram buckets; the documented bounds of the two training samples, in rows.
-BUCKETS, MOST_POSITIVE, MOST_UNLABELLED = 1024, 5_000, 8_000
+BUCKETS, MOST_POSITIVE, MOST_UNLABELLED = 1024, 4_000, 6_000
 
 DENSE = ("upper", "digit", "stop", "mark", "symbol", "pipe", "space", "beyond_ascii", "same_1", "same_2", "same_3", "same_4", "word_length", "log_words", "empty")
 
@@ -132,9 +132,12 @@ def fit(p: np.ndarray, u: np.ndarray, epochs: int = 30, rate: float = 0.01, deca
     if not len(p):
         return Model(np.zeros(dims, np.float32), np.ones(dims, np.float32), np.zeros(dims, np.float32), 0.0, 0.5)
     u = u if len(u) else p
+    # the samples are this function's own from here on; they are scaled where they lie
     mean, scale = u.mean(axis=0), u.std(axis=0) + 0.01
     scale[: -len(DENSE)] *= 4  # single trigrams weigh less than the shares of whole kinds
-    p, u = (p - mean) / scale, (u - mean) / scale
+    for x in (p, u) if u is not p else (p,):
+        x -= mean
+        x /= scale
     if min(len(p), len(u)) >= 40:
         w, b = _descend(p[::2], u[::2], 0.5, epochs, rate, decay, seed)
         prior = estimate_prior(p[1::2] @ w + b, u[1::2] @ w + b)
@@ -155,7 +158,10 @@ def _matrix(rows: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
     got = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, "id string, x binary").toArrow()
     got = got.sort_by([("id", "ascending"), ("x", "ascending")])
-    return np.array([np.frombuffer(x, np.float16) for x in got.column("x").to_pylist()], np.float32).reshape(-1, BUCKETS + len(DENSE))
+    out = np.empty((got.num_rows, BUCKETS + len(DENSE)), np.float32)
+    for i, x in enumerate(got.column("x")):
+        out[i] = np.frombuffer(x.as_buffer(), np.float16)
+    return out
 
 
 def train(documents: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 7) -> Model:
