@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stancelake.operators import boards, committee, series
 from stancelake.plans.registry import register
-from stancelake.plans.roles import OBSERVATIONS_SQL, observations, six, six_sql
+from stancelake.plans.roles import OBSERVATIONS_SQL, observations, rounded, rounded_sql
 from stancelake.session import table
 
 _STANDING = f"""{OBSERVATIONS_SQL},
@@ -18,14 +18,14 @@ st AS (SELECT sp.bank, CAST(sp.month AS INTEGER) AS month, sum(score::DECIMAL(18
 sd AS (SELECT st.*, st.stance - a.stance AS delta_1m, st.stance - c.stance AS delta_3m FROM st LEFT JOIN st a ON a.bank = st.bank AND a.month = st.month - 1 LEFT JOIN st c ON c.bank = st.bank AND c.month = st.month - 3),
 latest AS (SELECT bank, member, arg_max(score, (ts, id)) AS score, max(ts) AS ts FROM o GROUP BY ALL),
 bd AS (SELECT bank, avg(score) AS mean, count(*) AS members, count(*) FILTER (score > 0) AS hawks, count(*) FILTER (score < 0) AS doves, max(ts) AS last_spoke FROM latest GROUP BY bank),
-mon AS (SELECT bd.bank, n.month, round(n.stance, 6) + 0.0 AS stance, round(n.delta_1m, 6) + 0.0 AS delta_1m, round(n.delta_3m, 6) + 0.0 AS delta_3m, bd.members, hawks, doves,
+mon AS (SELECT bd.bank, n.month, round(n.stance, 9) + 0.0 AS stance, round(n.delta_1m, 9) + 0.0 AS delta_1m, round(n.delta_3m, 9) + 0.0 AS delta_3m, bd.members, hawks, doves,
           least(hawks, doves) > 0 AND least(hawks, doves) * 2 >= greatest(hawks, doves) AS divided, last_spoke
         FROM bd JOIN (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY bank ORDER BY month DESC) = 1) n USING (bank))"""
 
 
 def _monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = boards.policy_monitor(observations(spark, sf_dir))
-    return found.select("bank", "month", *six("stance", "delta_1m", "delta_3m"), "members", "hawks", "doves", "divided", "last_spoke")
+    return found.select("bank", "month", *rounded("stance", "delta_1m", "delta_3m"), "members", "hawks", "doves", "divided", "last_spoke")
 
 
 @register("policy_monitor", f"WITH {_STANDING} SELECT bank, month, stance, delta_1m, delta_3m, members, hawks, doves, divided, epoch(last_spoke)::BIGINT AS last_spoke, row_number() OVER (ORDER BY stance DESC, members DESC, bank) AS position FROM mon")
@@ -45,9 +45,9 @@ for _key in ("delta_1m", "delta_3m", "committee", "bank"):
     _by(_key)
 
 
-@register("standing_series_by_bank", f"WITH {_STANDING} SELECT bank, month, {six_sql('stance')}, members, {six_sql('delta_1m', 'delta_3m')} FROM sd")
+@register("standing_series_by_bank", f"WITH {_STANDING} SELECT bank, month, {rounded_sql('stance')}, members, {rounded_sql('delta_1m', 'delta_3m')} FROM sd")
 def standing_series_by_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boards.standings(observations(spark, sf_dir)).select("bank", "month", *six("stance"), "members", *six("delta_1m", "delta_3m"))
+    return boards.standings(observations(spark, sf_dir)).select("bank", "month", *rounded("stance"), "members", *rounded("delta_1m", "delta_3m"))
 
 
 @register("movers_top6", f"""WITH {_STANDING}, mv AS (SELECT *, round(stance - delta_1m, 2) + 0.0 AS prev FROM mon WHERE abs(delta_1m) > 0.02 ORDER BY abs(delta_1m) DESC, bank LIMIT 6)
@@ -65,10 +65,10 @@ def kpi_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.kpi_extremes(_monitor(spark, sf_dir))
 
 
-@register("bank_boards", f"WITH {_STANDING} SELECT bank, {six_sql('mean')}, members, hawks, doves, least(hawks, doves) > 0 AND least(hawks, doves) * 2 >= greatest(hawks, doves) AS divided FROM bd")
+@register("bank_boards", f"WITH {_STANDING} SELECT bank, {rounded_sql('mean')}, members, hawks, doves, least(hawks, doves) > 0 AND least(hawks, doves) * 2 >= greatest(hawks, doves) AS divided FROM bd")
 def bank_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = boards.bank_boards(boards.latest_per_member(observations(spark, sf_dir)))
-    return found.select("bank", *six("mean"), "members", "hawks", "doves", "divided")
+    return found.select("bank", *rounded("mean"), "members", "hawks", "doves", "divided")
 
 
 @register("board_ranking", f"WITH {_STANDING} SELECT bank, member, score, CAST(row_number() OVER (PARTITION BY bank ORDER BY score DESC, member) AS INTEGER) AS rank FROM latest")
@@ -84,11 +84,11 @@ def corpus_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("desk_read", f"""WITH {_STANDING}, m AS (SELECT month, sum(score) AS total, count(*) AS n FROM o GROUP BY month ORDER BY month DESC LIMIT 4),
 r AS (SELECT max(month) AS month, sum(total) FILTER (month = (SELECT max(month) FROM m)) / sum(n) FILTER (month = (SELECT max(month) FROM m)) AS now,
   sum(total) FILTER (month < (SELECT max(month) FROM m)) / sum(n) FILTER (month < (SELECT max(month) FROM m)) AS prior FROM m)
-SELECT month, {six_sql('now', 'prior')}, 'The central-bank chorus is ' || CASE WHEN now > 0.08 THEN 'leaning hawkish' WHEN now < -0.08 THEN 'leaning dovish' ELSE 'broadly neutral' END
+SELECT month, {rounded_sql('now', 'prior')}, 'The central-bank chorus is ' || CASE WHEN now > 0.08 THEN 'leaning hawkish' WHEN now < -0.08 THEN 'leaning dovish' ELSE 'broadly neutral' END
   || CASE WHEN prior IS NULL THEN '' WHEN now - prior > 0.05 THEN ' and drifting hawkish' WHEN now - prior < -0.05 THEN ' and drifting dovish' ELSE ' and holding steady' END || '.' AS headline,
   (SELECT bank FROM bd ORDER BY mean DESC, bank LIMIT 1) AS hawk_bank, (SELECT bank FROM bd ORDER BY mean, bank LIMIT 1) AS dove_bank FROM r""")
 def desk_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boards.desk_read(observations(spark, sf_dir)).select("month", *six("now", "prior"), "headline", "hawk_bank", "dove_bank")
+    return boards.desk_read(observations(spark, sf_dir)).select("month", *rounded("now", "prior"), "headline", "hawk_bank", "dove_bank")
 
 
 @register("recent_changes", f"""WITH {OBSERVATIONS_SQL}, c AS (SELECT *, 'https://example.org/' || (id % 997) AS url, round(score - lag(score) OVER (PARTITION BY member ORDER BY ts, id), 2) + 0.0 AS change FROM o)
@@ -98,11 +98,11 @@ def recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.recent_changes(rows).select("id", "member", "url", "score", (F.col("change") + F.lit(0.0)).alias("change"))
 
 
-@register("flagged_splits", f"""WITH {OBSERVATIONS_SQL} SELECT id, bank, score, lexicon_score, round(abs(score - lexicon_score), 6) AS gap,
+@register("flagged_splits", f"""WITH {OBSERVATIONS_SQL} SELECT id, bank, score, lexicon_score, round(abs(score - lexicon_score), 9) AS gap,
   score <> 0 AND lexicon_score <> 0 AND (score * lexicon_score < 0 OR abs(score - lexicon_score) >= 0.5) AS disagree FROM o WHERE needs_review ORDER BY abs(score - lexicon_score) DESC, id LIMIT 8""")
 def flagged_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = boards.flagged_splits(observations(spark, sf_dir))
-    return found.select("id", "bank", "score", "lexicon_score", *six("gap"), boards.disagrees(F.col("score"), F.col("lexicon_score")).alias("disagree"))
+    return found.select("id", "bank", "score", "lexicon_score", *rounded("gap"), boards.disagrees(F.col("score"), F.col("lexicon_score")).alias("disagree"))
 
 
 def _asked(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
@@ -117,17 +117,17 @@ p AS (SELECT ask, bank, member, max(score) FILTER (nth = 1) AS score, max(score)
 d AS (SELECT *, score - previous AS delta FROM p)"""
 
 
-@register("committee_movement", _movement("id = 5000 OR id = 9000") + f" SELECT ask, bank, member, score, previous, {six_sql('delta')}, readings, CAST(row_number() OVER (PARTITION BY ask ORDER BY delta IS NULL, abs(delta) DESC, CAST(member AS VARCHAR)) AS INTEGER) AS place FROM d")
+@register("committee_movement", _movement("id = 5000 OR id = 9000") + f" SELECT ask, bank, member, score, previous, {rounded_sql('delta')}, readings, CAST(row_number() OVER (PARTITION BY ask ORDER BY delta IS NULL, abs(delta) DESC, CAST(member AS VARCHAR)) AS INTEGER) AS place FROM d")
 def committee_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir)
     asked = rows.where("id = 5000 OR id = 9000").select(F.col("id").alias("ask"), "bank", F.col("ts").alias("as_of"))
-    return committee.movement(rows, asked).select("ask", "bank", "member", "score", "previous", *six("delta"), "readings", "place")
+    return committee.movement(rows, asked).select("ask", "bank", "member", "score", "previous", *rounded("delta"), "readings", "place")
 
 
-@register("committee_movement_bulk", _movement("id % 1500 = 0") + f" SELECT ask, bank, round(avg(score), 6) + 0.0 AS standing, round(avg(delta), 6) + 0.0 AS overall_move, count(*) AS members, count(delta) AS with_change, count(*) FILTER (abs(delta) > 0.02) AS movers FROM d GROUP BY ask, bank")
+@register("committee_movement_bulk", _movement("id % 1500 = 0") + f" SELECT ask, bank, round(avg(score), 9) + 0.0 AS standing, round(avg(delta), 9) + 0.0 AS overall_move, count(*) AS members, count(delta) AS with_change, count(*) FILTER (abs(delta) > 0.02) AS movers FROM d GROUP BY ask, bank")
 def committee_movement_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = committee.summary(committee.movement(observations(spark, sf_dir), _asked(spark, sf_dir, 1500)))
-    return found.select("ask", "bank", *six("standing", "overall_move"), "members", "with_change", "movers")
+    return found.select("ask", "bank", *rounded("standing", "overall_move"), "members", "with_change", "movers")
 
 
 @register("search_speakers", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name), '00012') OR contains(lower(c_mktsegment), '00012')")

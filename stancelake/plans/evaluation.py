@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stancelake.operators import evaluation, features
 from stancelake.plans.registry import register
-from stancelake.plans.roles import six, six_sql
+from stancelake.plans.roles import rounded, rounded_sql
 from stancelake.session import table
 
 _NAME = "CASE {0} WHEN 0 THEN 'hawkish' WHEN 1 THEN 'dovish' ELSE 'neutral' END"
@@ -35,14 +35,14 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _METRICS = "count(*) FILTER (gold = class AND {0} = class) AS hit, count(*) FILTER ({0} = class) AS said, count(*) FILTER (gold = class) AS support"
 
 
-@register("class_metrics", f"WITH {ROWS_SQL}, {_SPINE}, m AS (SELECT class, {_METRICS.format('first')} FROM c, e GROUP BY class) SELECT class, round(coalesce(hit / nullif(said, 0), 0), 6) AS precision, round(coalesce(hit / nullif(support, 0), 0), 6) AS recall, round(coalesce(2 * hit / nullif(said + support, 0), 0), 6) AS f1, support FROM m")
+@register("class_metrics", f"WITH {ROWS_SQL}, {_SPINE}, m AS (SELECT class, {_METRICS.format('first')} FROM c, e GROUP BY class) SELECT class, round(coalesce(hit / nullif(said, 0), 0), 9) AS precision, round(coalesce(hit / nullif(support, 0), 0), 9) AS recall, round(coalesce(2 * hit / nullif(said + support, 0), 0), 9) AS f1, support FROM m")
 def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.class_metrics(rows(spark, sf_dir), predicted="first").select("class", *six("precision", "recall", "f1"), "support")
+    return evaluation.class_metrics(rows(spark, sf_dir), predicted="first").select("class", *rounded("precision", "recall", "f1"), "support")
 
 
-@register("accuracy_macro_f1", f"WITH {ROWS_SQL}, {_SPINE}, m AS (SELECT class, {_METRICS.format('first')} FROM c, e GROUP BY class) SELECT (SELECT round(avg((gold = first)::INT), 6) FROM e) AS accuracy, (SELECT count(*) FROM e) AS n, round(sum(coalesce(2 * hit / nullif(said + support, 0), 0)) / 3, 6) AS macro_f1 FROM m")
+@register("accuracy_macro_f1", f"WITH {ROWS_SQL}, {_SPINE}, m AS (SELECT class, {_METRICS.format('first')} FROM c, e GROUP BY class) SELECT (SELECT round(avg((gold = first)::INT), 9) FROM e) AS accuracy, (SELECT count(*) FROM e) AS n, round(sum(coalesce(2 * hit / nullif(said + support, 0), 0)) / 3, 9) AS macro_f1 FROM m")
 def accuracy_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.scores(rows(spark, sf_dir), predicted="first").select(*six("accuracy"), "n", *six("macro_f1"))
+    return evaluation.scores(rows(spark, sf_dir), predicted="first").select(*rounded("accuracy"), "n", *rounded("macro_f1"))
 
 
 @register("majority_baseline", f"WITH {ROWS_SQL} SELECT gold AS label, count(*) AS n, (SELECT count(*) FROM e) AS total FROM e GROUP BY gold ORDER BY n DESC, gold DESC LIMIT 1")
@@ -51,9 +51,9 @@ def majority_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("mcnemar_counts", f"""WITH {ROWS_SQL}, k AS (SELECT count(*) FILTER (first = gold AND second <> gold) AS only_first, count(*) FILTER (second = gold AND first <> gold) AS only_second, count(*) AS n FROM e)
-SELECT only_first, only_second, n, round(pow(greatest(0.0, abs(only_first - only_second) - 1), 2) / (only_first + only_second), 6) AS chi2, round((only_first - only_second) / n, 6) AS gap FROM k""")
+SELECT only_first, only_second, n, round(pow(greatest(0.0, abs(only_first - only_second) - 1), 2) / (only_first + only_second), 9) AS chi2, round((only_first - only_second) / n, 9) AS gap FROM k""")
 def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.mcnemar(rows(spark, sf_dir)).select("only_first", "only_second", "n", *six("chi2", "gap"))
+    return evaluation.mcnemar(rows(spark, sf_dir)).select("only_first", "only_second", "n", *rounded("chi2", "gap"))
 
 
 @register("accuracy_gap_ci")
@@ -64,30 +64,30 @@ def accuracy_gap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BINS = f"{ROWS_SQL}, b AS (SELECT CAST(least(floor(confidence * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(confidence) AS confidence, avg((gold = first)::INT) AS accuracy FROM e GROUP BY 1)"
 
 
-@register("calibration_bins", f"WITH {_BINS} SELECT bin, n, {six_sql('confidence', 'accuracy')}, round(confidence - accuracy, 6) + 0.0 AS gap FROM b")
+@register("calibration_bins", f"WITH {_BINS} SELECT bin, n, {rounded_sql('confidence', 'accuracy')}, round(confidence - accuracy, 9) + 0.0 AS gap FROM b")
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evaluation.calibration(rows(spark, sf_dir).withColumn("right", F.col("gold") == F.col("first")))
-    return found.select("bin", "n", *six("confidence", "accuracy", "gap"))
+    return found.select("bin", "n", *rounded("confidence", "accuracy", "gap"))
 
 
-@register("calibration_summary", f"WITH {_BINS} SELECT round(sum(n * abs(confidence - accuracy)) / sum(n), 6) AS ece, round(max(abs(confidence - accuracy)), 6) AS mce, round(sum(n * (confidence - accuracy)) / sum(n), 6) + 0.0 AS signed_gap FROM b")
+@register("calibration_summary", f"WITH {_BINS} SELECT round(sum(n * abs(confidence - accuracy)) / sum(n), 9) AS ece, round(max(abs(confidence - accuracy)), 9) AS mce, round(sum(n * (confidence - accuracy)) / sum(n), 9) + 0.0 AS signed_gap FROM b")
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evaluation.calibration(rows(spark, sf_dir).withColumn("right", F.col("gold") == F.col("first")))
-    return evaluation.calibration_summary(found).select(*six("ece", "mce", "signed_gap"))
+    return evaluation.calibration_summary(found).select(*rounded("ece", "mce", "signed_gap"))
 
 
 @register("tau_search", f"""WITH {ROWS_SQL}, {_SPINE}, t AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in evaluation.TAUS)}]) AS tau),
 p AS (SELECT tau, gold, CASE WHEN score > tau THEN 'hawkish' WHEN score < -tau THEN 'dovish' ELSE 'neutral' END AS p FROM e, t),
 m AS (SELECT tau, class, {_METRICS.format('p')} FROM p, c GROUP BY ALL), f AS (SELECT tau, sum(coalesce(2 * hit / nullif(said + support, 0), 0)) / 3 AS macro_f1 FROM m GROUP BY tau),
 a AS (SELECT tau, avg((gold = p)::INT) AS accuracy FROM p GROUP BY tau)
-SELECT tau, {six_sql('macro_f1', 'accuracy')}, tau = (SELECT tau FROM f ORDER BY round(macro_f1, 12) DESC, tau LIMIT 1) AS best FROM f JOIN a USING (tau)""")
+SELECT tau, {rounded_sql('macro_f1', 'accuracy')}, tau = (SELECT tau FROM f ORDER BY round(macro_f1, 12) DESC, tau LIMIT 1) AS best FROM f JOIN a USING (tau)""")
 def tau_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.tau_search(rows(spark, sf_dir)).select("tau", *six("macro_f1", "accuracy"), "best")
+    return evaluation.tau_search(rows(spark, sf_dir)).select("tau", *rounded("macro_f1", "accuracy"), "best")
 
 
-@register("lexicon_means_by_class", f"WITH {ROWS_SQL} SELECT gold, round(avg(score), 6) + 0.0 AS mean, count(*) AS n FROM e GROUP BY gold")
+@register("lexicon_means_by_class", f"WITH {ROWS_SQL} SELECT gold, round(avg(score), 9) + 0.0 AS mean, count(*) AS n FROM e GROUP BY gold")
 def lexicon_means_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir).groupBy("gold").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n")).select("gold", *six("mean"), "n")
+    return rows(spark, sf_dir).groupBy("gold").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n")).select("gold", *rounded("mean"), "n")
 
 
 @register("classifier_train_eval")

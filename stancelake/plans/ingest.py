@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stancelake.operators import ingest
 from stancelake.plans.registry import register
-from stancelake.plans.roles import six
+from stancelake.plans.roles import rounded
 from stancelake.session import table
 from stancelake.sources import pages
 from stancelake.streaming import standing
@@ -81,7 +81,7 @@ def institution_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", pages.institution(pages.affiliation(F.col("description")), _NEEDLES).alias("bank"), pages.role(F.col("description")).alias("role"))
 
 
-_STREAM_SQL = "SELECT user_id AS member, round(arg_max(value, (ts, event_id)), 6) AS score, count(*) AS readings FROM events GROUP BY user_id"
+_STREAM_SQL = "SELECT user_id AS member, round(arg_max(value, (ts, event_id)), 9) AS score, count(*) AS readings FROM events GROUP BY user_id"
 
 
 @register("stream_standing", _STREAM_SQL)
@@ -92,4 +92,4 @@ def stream_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"standing_{uuid.uuid4().hex}"
     found = standing.standing(rows.select(F.col("user_id").alias("member"), "ts", F.col("event_id").alias("id"), F.col("value").alias("score")))
     found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("member", *six("score"), "readings")
+    return spark.table(name).select("member", *rounded("score"), "readings")

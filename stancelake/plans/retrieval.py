@@ -11,7 +11,7 @@ from stancelake.plans.registry import register
 from stancelake.session import table
 
 _VECTORS = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 0), d AS (SELECT vec_id, label, 1 - list_cosine_similarity(e, qe) AS distance FROM v, q)"
-_SHOWN = "round(distance, 6) + 0.0 AS distance"
+_SHOWN = "round(distance, 9) + 0.0 AS distance"
 
 
 def _query(vectors: DataFrame) -> list[float]:
@@ -21,7 +21,7 @@ def _query(vectors: DataFrame) -> list[float]:
 @register("nearest_chunks", f"WITH {_VECTORS} SELECT vec_id, {_SHOWN} FROM d ORDER BY round(d.distance, 12), vec_id LIMIT 10")
 def nearest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.nearest(vectors, _query(vectors), 10).select("vec_id", (F.abs(F.round("distance", 6)) + 0.0).alias("distance"))
+    return retrieval.nearest(vectors, _query(vectors), 10).select("vec_id", (F.abs(F.round("distance", 9)) + 0.0).alias("distance"))
 
 
 @register("nearest_chunks_for_speaker", f"WITH {_VECTORS} SELECT vec_id, label, {_SHOWN} FROM (SELECT * FROM d WHERE label = 3 ORDER BY round(d.distance, 12), vec_id LIMIT 5) t WHERE t.distance <= 0.95")
@@ -29,22 +29,22 @@ def nearest_chunks_for_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance cut comes after the top k, so there may be fewer."""
     vectors = table(spark, sf_dir, "embeddings")
     found = retrieval.nearest(vectors, _query(vectors), 5, 0.95, F.col("label") == 3)
-    return found.select("vec_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
+    return found.select("vec_id", "label", (F.round("distance", 9) + 0.0).alias("distance"))
 
 
 @register("nearest_per_query", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT q.vec_id AS query, v.vec_id AS id, 1 - list_cosine_similarity(v.e, q.e) AS distance FROM v, v q WHERE q.vec_id % 100 = 0)
-SELECT query, id, abs(round(distance, 6)) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 12), id) AS rank FROM d) WHERE rank <= 5""")
+SELECT query, id, abs(round(distance, 9)) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 12), id) AS rank FROM d) WHERE rank <= 5""")
 def nearest_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = retrieval.nearest_each(vectors, vectors.where("vec_id % 100 = 0"), 5)
-    return found.select(F.col("query").cast("long").alias("query"), F.col("id").cast("long").alias("id"), (F.abs(F.round("distance", 6)) + 0.0).alias("distance"), "rank")
+    return found.select(F.col("query").cast("long").alias("query"), F.col("id").cast("long").alias("id"), (F.abs(F.round("distance", 9)) + 0.0).alias("distance"), "rank")
 
 
 @register("hash_embedding_norms")
 def hash_embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = text.ngrams(text.tokens(F.col("text")), 2)
     vectors = table(spark, sf_dir, "documents").select("doc_id", retrieval.hash_embedding(grams).alias("v"))
-    return vectors.select("doc_id", F.round(F.sqrt(retrieval.dot(F.col("v"), F.col("v"))), 6).alias("norm"))
+    return vectors.select("doc_id", F.round(F.sqrt(retrieval.dot(F.col("v"), F.col("v"))), 9).alias("norm"))
 
 
 @register("extractive_answer")

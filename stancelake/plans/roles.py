@@ -45,10 +45,10 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.unpivot("month", ["administered", "market"], "series", "value").select("series", "month", "value")
 
 
-def six(*names: str) -> list:
-    """Columns rounded to six places; adding zero makes minus zero plain."""
-    return [(F.round(name, 6) + F.lit(0.0)).alias(name) for name in names]
+def rounded(*names: str) -> list:
+    """Columns rounded to nine places, so that sums in another order agree; adding zero makes minus zero plain."""
+    return [(F.round(name, 9) + F.lit(0.0)).alias(name) for name in names]
 
 
-def six_sql(*names: str) -> str:
-    return ", ".join(f"round({name}, 6) + 0.0 AS {name}" for name in names)
+def rounded_sql(*names: str) -> str:
+    return ", ".join(f"round({name}, 9) + 0.0 AS {name}" for name in names)

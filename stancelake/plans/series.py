@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stancelake.operators import series
 from stancelake.plans.registry import register
-from stancelake.plans.roles import OBSERVATIONS_SQL, RATES_SQL, observations, rates, six, six_sql
+from stancelake.plans.roles import OBSERVATIONS_SQL, RATES_SQL, observations, rates, rounded, rounded_sql
 
 _INDEX_SQL = "idx AS (SELECT 'headline' AS name, month, avg(score) AS x FROM o GROUP BY month HAVING count(*) >= 3 UNION ALL SELECT 'lexicon', month, avg(lexicon_score) FROM o GROUP BY month HAVING count(*) >= 3)"
 _PAIRS_SQL = f"""{OBSERVATIONS_SQL}, {RATES_SQL}, {_INDEX_SQL},
@@ -26,36 +26,36 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.lead_pairs(index(spark, sf_dir), rates(spark, sf_dir))
 
 
-@register("monthly_index", f"WITH {OBSERVATIONS_SQL} SELECT month, format('{{:04d}}-{{:02d}}', month // 12, month % 12 + 1) AS label, round(avg(score), 6) + 0.0 AS mean, count(*) AS n FROM o GROUP BY month HAVING count(*) >= 3")
+@register("monthly_index", f"WITH {OBSERVATIONS_SQL} SELECT month, format('{{:04d}}-{{:02d}}', month // 12, month % 12 + 1) AS label, round(avg(score), 9) + 0.0 AS mean, count(*) AS n FROM o GROUP BY month HAVING count(*) >= 3")
 def monthly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = series.monthly_mean(observations(spark, sf_dir))
-    return found.select("month", series.month_label(F.col("month")).alias("label"), *six("mean"), "n")
+    return found.select("month", series.month_label(F.col("month")).alias("label"), *rounded("mean"), "n")
 
 
 @register("corpus_month_band", f"""WITH {OBSERVATIONS_SQL}, b AS (SELECT month, avg(score) AS mean, stddev_pop(score) AS s, count(*) AS n FROM o GROUP BY month)
-SELECT month, round(mean, 6) + 0.0 AS mean, round(greatest(-1.0, least(1.0, mean - s)), 6) + 0.0 AS low, round(greatest(-1.0, least(1.0, mean + s)), 6) + 0.0 AS high, n FROM b""")
+SELECT month, round(mean, 9) + 0.0 AS mean, round(greatest(-1.0, least(1.0, mean - s)), 9) + 0.0 AS low, round(greatest(-1.0, least(1.0, mean + s)), 9) + 0.0 AS high, n FROM b""")
 def corpus_month_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.corpus_band(observations(spark, sf_dir)).select("month", *six("mean", "low", "high"), "n")
+    return series.corpus_band(observations(spark, sf_dir)).select("month", *rounded("mean", "low", "high"), "n")
 
 
-@register("rate_monthly", f"WITH {RATES_SQL} SELECT series, month, {six_sql('value')} FROM rates")
+@register("rate_monthly", f"WITH {RATES_SQL} SELECT series, month, {rounded_sql('value')} FROM rates")
 def rate_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(spark, sf_dir).select("series", "month", *six("value"))
+    return rates(spark, sf_dir).select("series", "month", *rounded("value"))
 
 
-@register("rate_annual", f"WITH {RATES_SQL} SELECT series, CAST(month // 12 AS INTEGER) AS year, round(avg(value), 6) + 0.0 AS value FROM rates GROUP BY ALL")
+@register("rate_annual", f"WITH {RATES_SQL} SELECT series, CAST(month // 12 AS INTEGER) AS year, round(avg(value), 9) + 0.0 AS value FROM rates GROUP BY ALL")
 def rate_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(spark, sf_dir).groupBy("series", F.floor(F.col("month") / 12).cast("int").alias("year")).agg(F.avg("value").alias("value")).select("series", "year", *six("value"))
+    return rates(spark, sf_dir).groupBy("series", F.floor(F.col("month") / 12).cast("int").alias("year")).agg(F.avg("value").alias("value")).select("series", "year", *rounded("value"))
 
 
-@register("lead_pairs", f"WITH {_PAIRS_SQL} SELECT name, series, CAST(horizon AS INTEGER) AS horizon, month, {six_sql('x', 'y')} FROM pr")
+@register("lead_pairs", f"WITH {_PAIRS_SQL} SELECT name, series, CAST(horizon AS INTEGER) AS horizon, month, {rounded_sql('x', 'y')} FROM pr")
 def lead_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("name", "series", "horizon", "month", *six("x", "y"))
+    return pairs(spark, sf_dir).select("name", "series", "horizon", "month", *rounded("x", "y"))
 
 
-@register("lead_correlations", f"WITH {_PAIRS_SQL} SELECT name, series, CAST(horizon AS INTEGER) AS horizon, round(CASE WHEN count(*) < 3 THEN 0.0 ELSE coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0.0) END, 6) + 0.0 AS r, count(*) AS n FROM pr GROUP BY ALL")
+@register("lead_correlations", f"WITH {_PAIRS_SQL} SELECT name, series, CAST(horizon AS INTEGER) AS horizon, round(CASE WHEN count(*) < 3 THEN 0.0 ELSE coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0.0) END, 9) + 0.0 AS r, count(*) AS n FROM pr GROUP BY ALL")
 def lead_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.correlations(pairs(spark, sf_dir)).select("name", "series", "horizon", *six("r"), "n")
+    return series.correlations(pairs(spark, sf_dir)).select("name", "series", "horizon", *rounded("r"), "n")
 
 
 @register("lead_bootstrap_ci")
@@ -67,7 +67,7 @@ def lead_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT month, avg(score) AS v FROM o GROUP BY month HAVING count(*) >= 3), m AS (SELECT month, value AS v FROM rates WHERE series = 'market'),
 c AS (SELECT (SELECT v - (SELECT v FROM i WHERE month = (SELECT max(month) FROM i) - 3) FROM i ORDER BY month DESC LIMIT 1) AS t,
              (SELECT v - (SELECT v FROM m WHERE month = (SELECT max(month) FROM m) - 3) FROM m ORDER BY month DESC LIMIT 1) * 100 AS b)
-SELECT round(t, 6) + 0.0 AS tone_change, round(b, 6) + 0.0 AS rate_change_bp,
+SELECT round(t, 9) + 0.0 AS tone_change, round(b, 9) + 0.0 AS rate_change_bp,
   CASE WHEN t IS NULL THEN 'not enough history' WHEN t > 0.05 THEN 'more hawkish' WHEN t < -0.05 THEN 'more dovish' ELSE 'little changed' END AS tone_direction,
   CASE WHEN b IS NULL THEN 'not enough history' WHEN b > 5 THEN 'pricing higher' WHEN b < -5 THEN 'pricing lower' ELSE 'little changed' END AS rate_direction,
   CASE WHEN t IS NOT NULL AND b IS NOT NULL THEN CASE WHEN abs(t) <= 0.05 THEN 0 ELSE sign(t) END = CASE WHEN abs(b) <= 5 THEN 0 ELSE sign(b) END END AS aligned FROM c""")
@@ -78,7 +78,7 @@ def divergence_3m(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = series.latest_change(tone.unionByName(market), 3)
     both = changes.agg(F.max(F.when(F.col("series") == "tone", F.col("change"))).alias("tone_change"), (F.max(F.when(F.col("series") == "market", F.col("change"))) * 100).alias("rate_change_bp"))
     said = series.divergence(F.col("tone_change"), F.col("rate_change_bp"))
-    return both.select(*six("tone_change", "rate_change_bp"), *[c.alias(name) for name, c in said.items()])
+    return both.select(*rounded("tone_change", "rate_change_bp"), *[c.alias(name) for name, c in said.items()])
 
 
 _YEARS_SQL = f"""{OBSERVATIONS_SQL}, {RATES_SQL}, ty AS (SELECT CAST(month // 12 AS INTEGER) AS year, avg(score) AS mean FROM o GROUP BY 1 HAVING count(*) >= 8),
@@ -93,16 +93,16 @@ def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.annual_changes(tone, market)
 
 
-@register("annual_changes", f"WITH {_YEARS_SQL} SELECT year, {six_sql('tone', 'level', 'change', 'lead')} FROM ch")
+@register("annual_changes", f"WITH {_YEARS_SQL} SELECT year, {rounded_sql('tone', 'level', 'change', 'lead')} FROM ch")
 def annual_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _years(spark, sf_dir).select("year", *six("tone", "level", "change", "lead"))
+    return _years(spark, sf_dir).select("year", *rounded("tone", "level", "change", "lead"))
 
 
 @register("annual_ols", f"""WITH {_YEARS_SQL}, f AS (SELECT count(*) AS n, regr_slope(change, tone) AS slope, regr_intercept(change, tone) AS intercept, regr_r2(change, tone) AS r2,
   regr_sxx(change, tone) AS sxx, regr_syy(change, tone) AS syy, regr_sxy(change, tone) AS sxy FROM ch)
-SELECT {six_sql('slope', 'intercept', 'r2')}, round(slope / sqrt(greatest(0.0, syy - slope * sxy) / (n - 2) / sxx), 6) + 0.0 AS t, n FROM f""")
+SELECT {rounded_sql('slope', 'intercept', 'r2')}, round(slope / sqrt(greatest(0.0, syy - slope * sxy) / (n - 2) / sxx), 9) + 0.0 AS t, n FROM f""")
 def annual_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.least_squares(_years(spark, sf_dir), "tone", "change").select(*six("slope", "intercept", "r2", "t"), "n")
+    return series.least_squares(_years(spark, sf_dir), "tone", "change").select(*rounded("slope", "intercept", "r2", "t"), "n")
 
 
 @register("annual_bootstrap_ci")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stancelake.functions import text
 from stancelake.operators import boards, features, stance
 from stancelake.plans.registry import register
-from stancelake.plans.roles import OBSERVATIONS_SQL, observations, six, six_sql
+from stancelake.plans.roles import OBSERVATIONS_SQL, observations, rounded, rounded_sql
 from stancelake.session import table
 
 #: Terms that the invented prose of the benchmark has; the domain's own terms do not occur in it.
@@ -71,17 +71,17 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stance_aggregate", f"""WITH {_LABELLED_SQL}, c AS (SELECT doc_id, count(*) FILTER (label = 'hawkish') AS hawkish, count(*) FILTER (label = 'dovish') AS dovish, count(*) AS relevant,
   count(*) FILTER (label = 'hawkish' AND horizon = 'forward') AS h, count(*) FILTER (label = 'dovish' AND horizon = 'forward') AS d, count(*) FILTER (horizon = 'forward') AS r FROM l GROUP BY doc_id)
-SELECT doc_id, hawkish, dovish, relevant - hawkish - dovish AS neutral, relevant, round((hawkish - dovish) / relevant, 6) + 0.0 AS net, round(coalesce((h - d) / nullif(r, 0), 0.0), 6) + 0.0 AS forward_net,
+SELECT doc_id, hawkish, dovish, relevant - hawkish - dovish AS neutral, relevant, round((hawkish - dovish) / relevant, 9) + 0.0 AS net, round(coalesce((h - d) / nullif(r, 0), 0.0), 9) + 0.0 AS forward_net,
   CASE WHEN hawkish >= 0.25 * relevant AND dovish >= 0.25 * relevant THEN 'mixed' WHEN abs((hawkish - dovish) / relevant) < 0.05 THEN 'neutral' WHEN hawkish > dovish THEN 'hawkish' ELSE 'dovish' END AS tone,
-  round((hawkish + dovish) / relevant, 6) AS directional_share, hawkish + dovish > 0 AS fired FROM c""")
+  round((hawkish + dovish) / relevant, 9) AS directional_share, hawkish + dovish > 0 AS fired FROM c""")
 def stance_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stance.aggregate(labelled(spark, sf_dir))
-    return found.select("doc_id", "hawkish", "dovish", "neutral", "relevant", *six("net", "forward_net"), "tone", *six("directional_share"), "fired")
+    return found.select("doc_id", "hawkish", "dovish", "neutral", "relevant", *rounded("net", "forward_net"), "tone", *rounded("directional_share"), "fired")
 
 
-@register("aspect_breakdown", f"WITH {_LABELLED_SQL} SELECT doc_id, aspect, round((count(*) FILTER (label = 'hawkish') - count(*) FILTER (label = 'dovish')) / count(*), 6) + 0.0 AS net, count(*) AS relevant FROM l GROUP BY ALL")
+@register("aspect_breakdown", f"WITH {_LABELLED_SQL} SELECT doc_id, aspect, round((count(*) FILTER (label = 'hawkish') - count(*) FILTER (label = 'dovish')) / count(*), 9) + 0.0 AS net, count(*) AS relevant FROM l GROUP BY ALL")
 def aspect_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stance.by_aspect(labelled(spark, sf_dir)).select("doc_id", "aspect", *six("net"), "relevant")
+    return stance.by_aspect(labelled(spark, sf_dir)).select("doc_id", "aspect", *rounded("net"), "relevant")
 
 
 def _side(x: str) -> str:
@@ -92,13 +92,13 @@ def _side(x: str) -> str:
 k AS (SELECT *, {_side('score')} AS w, {_side('s')} AS ds, {_side('c')} AS dc, {_side('x')} AS dx FROM e),
 u AS (SELECT id, (CASE WHEN w = 0 THEN (ds <> 0)::INT ELSE (ds = -w)::INT END + CASE WHEN applies THEN CASE WHEN w = 0 THEN (dc <> 0)::INT ELSE (dc = -w)::INT END ELSE 0 END
   + CASE WHEN fired THEN CASE WHEN w = 0 THEN (dx <> 0)::INT ELSE (dx = -w)::INT END ELSE 0 END) / (1 + applies::INT + fired::INT) AS u FROM k)
-SELECT id, round(u, 6) AS uncertainty, u >= 0.5 AS needs_review FROM u""")
+SELECT id, round(u, 9) AS uncertainty, u >= 0.5 AS needs_review FROM u""")
 def ensemble_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir)
     classifier = F.floor((F.col("id") % 401 - F.lit(200.0)) * 50) / 10000
     lexicon = F.floor((F.col("id") % 301 - F.lit(150.0)) * 60) / 10000
     uncertainty, review = stance.combine(F.col("score"), F.col("lexicon_score"), classifier, lexicon, F.col("id") % 3 != 0, F.col("bank") == "AMERICA")
-    return rows.select("id", F.round(uncertainty, 6).alias("uncertainty"), review.alias("needs_review"))
+    return rows.select("id", F.round(uncertainty, 9).alias("uncertainty"), review.alias("needs_review"))
 
 
 @register("lexicon_scores")
@@ -113,12 +113,12 @@ _count_sql = lambda terms: " + ".join(f"len(regexp_extract_all(lower(text), '\\b
 
 
 @register("lexicon_scores_plain", rf"""WITH c AS (SELECT doc_id, {_count_sql(_PLAIN_H)} AS h, {_count_sql(_PLAIN_D)} AS d FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x00-\x7F]*'))
-SELECT doc_id, round(coalesce((h - d) / nullif(h + d, 0), 0.0), 6) + 0.0 AS score, CAST(h AS INTEGER) AS hawkish_hits, CAST(d AS INTEGER) AS dovish_hits FROM c""")
+SELECT doc_id, round(coalesce((h - d) / nullif(h + d, 0), 0.0), 9) + 0.0 AS score, CAST(h AS INTEGER) AS hawkish_hits, CAST(d AS INTEGER) AS dovish_hits FROM c""")
 def lexicon_scores_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms without overlaps or negators in texts of plain letters, which SQL can count."""
     score = text.lexicon(_PLAIN_H, _PLAIN_D, negators=frozenset())
     rows = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select("doc_id", score(F.col("text")).alias("found")).select("doc_id", (F.round("found.score", 6) + F.lit(0.0)).alias("score"), "found.hawkish_hits", "found.dovish_hits")
+    return rows.select("doc_id", score(F.col("text")).alias("found")).select("doc_id", (F.round("found.score", 9) + F.lit(0.0)).alias("score"), "found.hawkish_hits", "found.dovish_hits")
 
 
 @register("chunk_documents")
@@ -138,18 +138,18 @@ def ngram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VOCABULARY_SQL = f"{_GRAMS_SQL}, v AS (SELECT gram, df, row_number() OVER (ORDER BY gram) - 1 AS column FROM (SELECT * FROM df ORDER BY df DESC, gram LIMIT 5000)), dn AS (SELECT count(*) AS n FROM documents), x AS (SELECT doc_id, gram, (1 + ln(tf.n)) * (ln((1 + dn.n) / (1 + df)) + 1) AS raw FROM tf JOIN v USING (gram), dn), xx AS (SELECT doc_id, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM x)"
 
 
-@register("tfidf_top_terms", f"WITH {_VOCABULARY_SQL} SELECT doc_id, gram, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, gram) AS rank FROM xx) WHERE rank <= 5")
+@register("tfidf_top_terms", f"WITH {_VOCABULARY_SQL} SELECT doc_id, gram, round(weight, 9) AS weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, gram) AS rank FROM xx) WHERE rank <= 5")
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return features.top_terms(features.tfidf(documents), 5).select("doc_id", "gram", *six("weight"), "rank")
+    return features.top_terms(features.tfidf(documents), 5).select("doc_id", "gram", *rounded("weight"), "rank")
 
 
 @register("classifier_scores", f"""WITH {_VOCABULARY_SQL}, z AS (SELECT doc_id, sum(weight * (ascii(gram) % 7 - 3)) / 4 AS zh, sum(weight * (length(gram) % 5 - 2)) / 4 AS zd FROM xx GROUP BY doc_id),
 a AS (SELECT doc_id, coalesce(zh, 0) + 0.1 AS h, coalesce(zd, 0) AS d, 0.2 AS n FROM documents LEFT JOIN z USING (doc_id)), e AS (SELECT doc_id, exp(h) AS h, exp(d) AS d, exp(n) AS n FROM a)
-SELECT doc_id, round((h - d) / (h + d + n), 6) + 0.0 AS score, round(greatest(h, d, n) / (h + d + n), 6) AS confidence, CASE WHEN h >= d AND h >= n THEN 'hawkish' WHEN d >= n THEN 'dovish' ELSE 'neutral' END AS label FROM e""")
+SELECT doc_id, round((h - d) / (h + d + n), 9) + 0.0 AS score, round(greatest(h, d, n) / (h + d + n), 9) AS confidence, CASE WHEN h >= d AND h >= n THEN 'hawkish' WHEN d >= n THEN 'dovish' ELSE 'neutral' END AS label FROM e""")
 def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     weights = features.tfidf(documents)
     coefficients = {"hawkish": (F.ascii("gram") % 7 - 3) / F.lit(4.0), "dovish": (F.char_length("gram") % 5 - 2) / F.lit(4.0), "neutral": F.lit(0.0)}
     found = features.softmax_scores(documents, weights, coefficients, {"hawkish": 0.1, "dovish": 0.0, "neutral": 0.2})
-    return found.select("doc_id", *six("score", "confidence"), "label")
+    return found.select("doc_id", *rounded("score", "confidence"), "label")
