@@ -1,0 +1,245 @@
+"""Edge cases of the training-data operators: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stancelake.llm import chat, decontaminate, graph, html, licences, mixing_lm, mixture, quality, simhash, telephony, text, toxicity
+
+LONG = "word " * 30_000
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(1, None, "en", "s"), (2, "", None, "s"), (3, "one two three four five six seven", "en", None), (3, "one two three four five six seven", "en", None), (4, LONG, "fr", "t"), (None, "no id here", "en", "s"), (5, " \n\t", "en", "s")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("id", F.lit("clash")).withColumn("words", F.lit(7)).withColumn("block", F.lit(1)).withColumn("n_words", F.lit(9)).withColumn("score", F.lit("x"))
+
+
+def test_word_spans_and_hashes():
+    data = np.frombuffer(b"ab cdab", np.uint8)
+    starts, ends, rows = text.word_spans(data, np.array([0, 0, 5, 7]), text.NOT_SPACE)
+    assert list(zip(starts, ends, rows)) == [(0, 2, 1), (3, 5, 1), (5, 7, 2)]
+    h = text.SpanHash(data).of(starts, ends)
+    assert h[0] == h[2] != h[1]
+
+
+def test_quality_scores_all_rows(spark, docs):
+    model = quality.train(docs, docs.select(F.col("doc_id").alias("id")).where("id = 3"))
+    got = quality.score(docs, model, score_col="q")
+    assert got.columns == [*docs.columns, "q"] and got.where("q >= 0 AND q <= 1").count() == 7
+    assert quality.score(docs.limit(0), model, score_col="q").count() == 0
+    assert quality.fit(np.zeros((0, 4), np.float32), np.zeros((3, 4), np.float32)).prior == 0.5
+
+
+def test_prior_is_near_the_share():
+    rng = np.random.default_rng(1)
+    p, n = rng.normal(2, 1, (4000, 1)), rng.normal(-2, 1, (1000, 1))
+    assert abs(quality.estimate_prior(p[:2000, 0], np.concatenate([p[2000:, 0], n[:, 0]])) - 2 / 3) < 0.06
+
+
+def test_toxicity_on_few_rows(spark, docs):
+    model = toxicity.train(docs, spark.createDataFrame([(3, 1), (4, 0)], "id long, label int"))
+    assert toxicity.score(docs, model, score_col="t").where("t >= 0 AND t <= 1").count() == 7
+    assert toxicity.score(docs.limit(0), model, score_col="t").count() == 0
+
+
+def test_pool_in_parts_is_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    tables, ids, of = rng.normal(size=(toxicity.TABLE, 48)).astype(np.float32), rng.integers(0, toxicity.TABLE, (500, 3)), np.sort(rng.integers(0, 9, 500))
+    whole = toxicity.pool(tables, np.zeros(24, np.float32), ids, of, 9, True)
+    monkeypatch.setattr(toxicity, "PART", 50)
+    parts = toxicity.pool(tables, np.zeros(24, np.float32), ids, of, 9, True)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
+def test_mixture_budgets(spark):
+    leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 100), ("a", "y", "3", 100), ("b", "x", "4", 30)], "domain string, lang string, source string, tokens long")
+    got = {r["source"]: r["budget"] for r in mixture.budgets(leaves, F.lit(200), {"a": 1, "b": 1}, 1).collect()}
+    # b is short of 70, which a gets; within a/x source 1 is short, and its sibling 2 gets what it lacks
+    assert got == {"1": 10, "2": 75, "3": 85, "4": 30} and sum(got.values()) == 200
+
+
+def test_mixture_edges(spark, docs):
+    got = mixture.mix(docs, F.lit(None), {}, (1, 2), 2)
+    rows = got.collect()
+    assert len(rows) == 7 and sum(r["taken_tokens"] for r in rows) == sum(r["n_tokens"] for r in rows) // 2
+    assert mixture.mix(docs.limit(0), F.lit("d"), {}).count() == 0
+
+
+def test_codecs_round_trip():
+    raw = bytes(range(256)) * 3
+    for codec in telephony.CODECS:
+        kind, rate, _, samples, _ = telephony.unwrap(telephony.wrap(raw, codec))
+        assert kind == codec and rate == 8000 and samples == len(raw) * (2 if codec == "adpcm" else 1)
+    assert telephony.MULAW[[0, 128]].tolist() == [-32124, 32124] and telephony.ALAW[[0x55, 0xD5]].tolist() == [-8, 8]
+    assert telephony.double_rate(np.array([100, 100, 100], np.int16)).tolist() == [100] * 6
+    assert telephony.unwrap(b"RIFFxxxxWAVE") is None and telephony.unwrap(None) is None
+
+
+def test_adpcm_side_by_side_is_one_by_one():
+    rng = np.random.default_rng(4)
+    blocks, heads, index = rng.integers(0, 256, (5, 40), np.uint8), rng.integers(-999, 999, 5), rng.integers(0, 89, 5)
+    together = telephony.adpcm_blocks(blocks, heads, index)
+    for b in range(5):
+        value, at, out = int(heads[b]), int(index[b]), []
+        for byte in blocks[b].tolist():
+            for n in (byte & 15, byte >> 4):
+                s = int(telephony.STEPS[at])
+                d = (s >> 3) + (s >> 2) * (n & 1) + (s >> 1) * (n >> 1 & 1) + s * (n >> 2 & 1)
+                value = max(-32768, min(32767, value - d if n & 8 else value + d))
+                at = max(0, min(88, at + int(telephony.CHANGES[n & 7])))
+                out.append(value)
+        assert together[b].tolist() == out
+
+
+def test_decode_of_nulls_and_junk(spark):
+    rows = spark.createDataFrame([(1, None), (2, b"junk"), (3, telephony.wrap(b"abc", "mulaw"))], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in telephony.decode(rows).collect()}
+    assert got[1]["codec"] is None and got[2]["pcm"] is None and got[3]["payload"] == b"abc" and len(got[3]["pcm"]) == 12
+
+
+def test_bk_tree_finds_all():
+    rng = random.Random(5)
+    values = [rng.getrandbits(16) for _ in range(400)]
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for v in values[:40]:
+        assert sorted(tree.within(v, 3)) == [i for i, w in enumerate(values) if (v ^ w).bit_count() <= 3]
+
+
+@pytest.mark.parametrize("blocks,most", [(4, 2048), (4, 8), (6, 2048)])
+def test_links_lose_nothing(spark, blocks, most):
+    rng = random.Random(6)
+    values = {rng.getrandbits(64) for _ in range(60)}
+    for v in list(values):
+        for _ in range(3):
+            for _ in range(rng.randrange(1, 4)):
+                v ^= 1 << rng.randrange(64)
+            values.add(v)
+    frame = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")),) for v in values], "fingerprint binary")
+    roots = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in graph.components(simhash.links(frame, 64, 3, blocks, most=most)).collect()}
+    parent = {v: v for v in values}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a in values:
+        for b in values:
+            if (a ^ b).bit_count() <= 3 and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert {v: find(v) for v in values if any(find(v) == find(w) for w in values if w != v)} == roots
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+    assert graph.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_simhash_edges(spark, docs):
+    got = simhash.classes(docs).collect()
+    assert len(got) == 7
+    empty = [r for r in got if int.from_bytes(r["fingerprint"], "big") == 0]
+    assert {r["component"] for r in empty} == {1} and len(empty) == 3
+    assert simhash.classes(docs.limit(0)).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None"]
+
+
+@pytest.mark.parametrize("most", [2048, 2])
+def test_similar_classes_are_exact(spark, most):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        words = [str(rng.randrange(10**6)) for _ in range(rng.randrange(60, 200))]
+        rows.append((3 * i, " ".join(words)))
+        for k in (1, 2):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 7)):
+                copy[rng.randrange(len(copy))] = "x"
+            rows.append((3 * i + k, " ".join(copy)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(3 * (i // 3), i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
+    assert got == root
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 60])
+def test_decontamination_spans(spark, docs, most_bytes):
+    items = spark.createDataFrame([(1, "Two, three FOUR"), (2, "five"), (3, None), (4, ""), (5, "three four five")], "item_id long, text string")
+    got = {r["id"] if "id" in r else r["doc_id"]: r for r in decontaminate.scan(docs, items, width=3, most_bytes=most_bytes, carry=True).collect()}
+    assert got[3]["items"] == ["1", "2", "5"] and [(s["begin"], s["end"], s["words"]) for s in got[3]["spans"]] == [(4, 23, 4)]
+    assert got[1]["n_words"] == got[2]["n_words"] == 0 and got[4]["n_words"] == 30_000 and got[3]["row"]["n_words"] == 9
+    assert decontaminate.scan(docs, items.limit(0)).where("size(spans) > 0").count() == 0
+
+
+def test_licence_rules(spark):
+    bsd = [licences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
+    cases = {
+        1: ("Hi.\nReleased under the MIT License.\nBye", ["MIT"]), 2: (". ".join(bsd[:3]) + ".", ["BSD-2-Clause"]), 3: (". ".join(bsd) + ".", ["BSD-3-Clause"]),
+        4: (". ".join([bsd[1], bsd[0], bsd[2]]), []), 5: (None, []), 6: ("", []), 7: ("prose. Licensed under CC BY-NC 4.0. Licensed under the\nApache License, Version 2.0.", ["Apache-2.0", "CC-BY-NC-4.0"]),
+        8: ("the license is not a known sentence", []),
+    }
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame([(k, v) for k, (v, _) in cases.items()], "doc_id int, text string")).collect()}
+    assert {k: r["licences"] for k, r in got.items()} == {k: v for k, (_, v) in cases.items()}
+    assert all(any(a in s for a in licences.ANCHORS) for s in licences.SENTENCES.values()) and {i for _, _, r in licences.RULES for i in r} <= set(licences.SENTENCES)
+
+
+def test_chat_layouts(spark):
+    rows = [
+        (1, '{"prompt": "p", "completion": "c"}', [("user", "p"), ("assistant", "c")]), (2, '{"instruction": "i", "input": "x", "output": "o"}', [("user", "i\n\nx"), ("assistant", "o")]),
+        (3, '{"messages": [{"role": "system", "content": "s"}, {"role": "human", "content": "u"}]}', [("system", "s"), ("user", "u")]), (4, '{"conversations": [{"from": "gpt", "value": null}]}', [("assistant", "")]),
+        (5, '{"else": 1}', None), (6, "not json", None), (7, None, None), (8, '{"output": "o", "instruction": "i"}', [("user", "i"), ("assistant", "o")]),
+    ]
+    got = chat.turns_of_json(spark.createDataFrame([r[:2] for r in rows], "k int, raw string"), "raw").collect()
+    assert {r["k"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in got} == {k: v for k, _, v in rows}
+
+
+def test_chat_template_reads_back(spark):
+    said = ["", "</s>[INST] ok [/INST]", "~1 ~ ~0 <s>", "[ROLE]x[TEXT]", "a\nb", "<</SYS>>"]
+    turns = [(role, s) for s in said for role in ("user", "assistant", "system", "tool", "", "[TEXT]~")]
+    frame = spark.createDataFrame([(turns,), ([],), (None,)], f"turns {chat.TURNS}")
+    got = frame.select("turns", chat.read_back(chat.render(F.col("turns"))).alias("back")).collect()
+    assert [(t["role"], t["text"]) for t in got[0]["back"]] == turns and got[1]["back"] == [] and got[2]["back"] is None
+    assert all(t["loss"] == (t["role"] == "assistant") for t in got[0]["back"])
+
+
+def test_html_cases():
+    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
+    assert html.main_text("a &lt; b") == "a < b"
+    page = "<body><div class='cookie-notice'>We use cookies a lot here</div><div id=main><h2>T</h2><p>One  two.<p>Three <a href=x>four</a> five six seven.</div><div class=comments><p>I say a lot of things at length here</p></div><form>f<input></form></body>"
+    assert html.main_text(page) == "T\nOne two.\nThree four five six seven."
+    assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep" and html.main_text("<" * 1000) == "<" * 1000
+
+
+def test_language_model_edges(spark, docs):
+    got = mixing_lm.score(docs, F.col("doc_id") != 4).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 7 and by[1]["n_tokens"] == by[2]["n_tokens"] == by[5]["n_tokens"] == 1 and by[4]["n_tokens"] == 30_001 and by[4]["n_known"] == 1
+    assert mixing_lm.score(docs.limit(0), F.lit(True)).count() == 0
+    assert all(r["score"] < 0 for r in mixing_lm.score(docs, F.lit(None).cast("boolean")).collect())
+
+
+def test_language_model_does_not_depend_on_blocks(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    a, b = ({r["doc_id"]: r for r in mixing_lm.score(rows, F.col("doc_id") % 5 != 0, block_bytes=size).collect()} for size in (1 << 30, 1 << 14))
+    assert a.keys() == b.keys()
+    for k, r in a.items():
+        assert r["n_known"] == b[k]["n_known"] and r["base_score"] == pytest.approx(b[k]["base_score"]) and r["score"] == pytest.approx(b[k]["score"], rel=1e-5)
+
+
+def test_probabilities_of_a_byte_add_to_one():
+    tree = mixing_lm.huffman(np.arange(256))
+    assert sum(2.0 ** -(tree.first[b + 1] - tree.first[b]) for b in range(256)) == pytest.approx(1)

@@ -1,0 +1,139 @@
+"""The queries with SQL give its rows; the others hold against brute force on the smallest tables."""
+
+import collections
+import hashlib
+import html as entities
+import math
+import os
+import re
+import zlib
+
+import duckdb
+import pytest
+import xxhash
+
+from stancelake.llm import registry
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def run(spark, sf, name):
+    return registry.queries()[name](spark, sf).collect()
+
+
+def texts(spark, sf):
+    return {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracle(spark, sf, name):
+    frame = registry.queries()[name](spark, sf)
+    names = sorted(frame.columns)
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        path = f"{sf}/{t}.parquet"
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    result = con.sql(registry.oracle_sql()[name])
+    order = [result.columns.index(n) for n in names]
+    assert sorted(map(str, map(tuple, frame.select(names).collect()))) == sorted(str(tuple(row[i] for i in order)) for row in result.fetchall())
+
+
+@pytest.mark.parametrize("name,parts,held", [("op1_quality", 3, 1), ("op6_toxicity", 5, 0)])
+def test_classifiers_on_held_out_rows(spark, sf, name, parts, held):
+    rows = run(spark, sf.replace("0.001", "0.01"), name)
+    gold = {r["doc_id"]: r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet").collect()}
+    right = total = 0
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % parts == held)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+        if r["held_out"] and r["doc_id"] in gold:
+            total += 1
+            right += gold[r["doc_id"]]["quality" if "quality" in name else "toxic"] == r["predicted"]
+    assert right / total > 0.85
+
+
+def test_language_model_base(spark, sf):
+    rows = run(spark, sf, "op2_lm")
+    tokens = {i: [*WORD.findall(t.lower()), b"\n"] for i, t in texts(spark, sf).items()}
+    counts = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    assert len(rows) == len(tokens)
+    for r in rows:
+        ws = tokens[r["doc_id"]]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+
+
+def test_telephony_round_trip(spark, sf):
+    raw = texts(spark, sf)
+    for r in run(spark, sf, "op4_telephony"):
+        b = raw[r["doc_id"]]
+        p = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+
+
+def test_simhash_classes(spark, sf):
+    def fingerprint(t):
+        w = WORD.findall(t.lower())
+        runs = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        hashes = [xxhash.xxh64_intdigest(x, 42) for x in runs]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = {i: fingerprint(t) for i, t in texts(spark, sf).items()}
+    root = {f: f for f in prints.values()}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    known = sorted(root)
+    for i, a in enumerate(known):
+        for b in known[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                root[find(b)] = find(a)
+    least = {}
+    for i, f in prints.items():
+        least[find(f)] = min(i, least.get(find(f), i))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in run(spark, sf, "op5_simhash")}
+    assert got == {i: (f"{f:016x}", least[find(f)]) for i, f in prints.items()}
+
+
+def test_decontamination(spark, sf):
+    windows = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = ALNUM.findall((r["text"] or "").encode().lower())
+        size = min(10, len(w))
+        for j in range(len(w) - size + 1 if w else 0):
+            windows[tuple(w[j : j + size])].add(str(r["item_id"]))
+    sizes = {len(k) for k in windows}
+    got = {r["doc_id"]: r for r in run(spark, sf, "op7_decontamination")}
+    for i, t in texts(spark, sf).items():
+        w, hit, items = ALNUM.findall(t.lower()), set(), set()
+        for size in sizes:
+            for j in range(len(w) - size + 1):
+                if found := windows.get(tuple(w[j : j + size])):
+                    hit.update(range(j, j + size))
+                    items |= found
+        r = got[i]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
+
+
+def test_html_articles(spark, sf):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in run(spark, sf, "op10_html"):
+        article = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1].replace("<br>", " ")
+        blocks = (" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
+        want = "\n".join(b for b in blocks if b)
+        assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = corpus_pipeline.run(spark, sf)
+    assert 0 < found.count() < docs.count() and found.select("doc_id").distinct().count() == found.count()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "toxicity", "SimHash near-dedup", "benchmark decontamination", "mixing to target weights"]
