@@ -2,15 +2,14 @@
 
 A text is a run of tokens: its lower-cased words, each written with a space behind it, and a line feed as end.
 A byte is a few binary decisions on its path in a Huffman tree over the corpus' bytes. Contexts of a
-decision are the last two, four and six bytes, which reach to the last byte of the word before, and the whole
-word so far without and with that byte; hashed with the node of the tree, each names a slot that counts the zeros and ones the corpus
-had there. The log-odds of the slots are combined by the weights of a gate, chosen by how often the
-longest known contexts were seen, and their logistic is the probability of the decision.
+decision are the last two, four and six bytes, which reach to the class of the word before, and the whole
+word so far without and with that class; hashed with the node of the tree, each names a slot that counts the
+zeros and ones the corpus had there. The log-odds of the slots are combined by the weights of a gate, chosen
+by how often the longest known contexts were seen, and their logistic is the probability of the decision.
 
 Weights are refined adaptively by online gradient steps over the whole training corpus, with each
 occurrence's own counts taken out, so that they are those of unseen text. A token's probability depends on
-itself and one byte of the word before. So each distinct pair is counted, learnt from and scored once, with
-its multiplicity, and texts get sums of what their pairs have: nothing is sampled, and nothing but the fixed
+itself and that class. So each distinct pair is counted, learnt from and scored once, with its multiplicity, and texts get sums of what their pairs have: nothing is sampled, and nothing but the fixed
 tables of slots and weights reaches the driver.
 
 How it is dealt out: rows go to blocks by hash, a block's distinct pairs go to buckets by the hash of the word,
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from stancelake.llm import graph, text
 
 #: Bytes of text for each block and bucket; evidence added to both counts; step size; entries in a step.
-BLOCK_BYTES, BUCKET_BYTES, PRIOR, RATE, STEP = 8 << 20, 64 << 20, 0.35, 1.0, 512
+BLOCK_BYTES, BUCKET_BYTES, PRIOR, RATE, STEP = 8 << 20, 48 << 20, 0.35, 1.0, 512
 
 #: Numbers of last bytes that are contexts; the word so far, without and with the class, are two more. Slots of each.
 ORDERS, SLOTS = (2, 4, 6), (1 << 18, 1 << 21, 1 << 22, 1 << 23, 1 << 23)
@@ -65,6 +64,11 @@ class Tokens:
     pairs: np.ndarray
 
 
+#: The class of a word by its last byte: a-z are one, digits another, and each other byte is its own.
+CLASS_OF = np.arange(256, dtype=np.uint8)
+CLASS_OF[97:123] = ord("a")
+CLASS_OF[48:58] = ord("0")
+
 _END_HASH = np.uint64(0x1F0D3C5A7E6B9824)
 
 
@@ -73,7 +77,7 @@ def pair_of(words: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
-    """Words of each row in order, then its end; the class is the last byte of the word before, 0 for none."""
+    """Words of each row in order, then its end; the class is that of the word before, 0 for none."""
     low, n = text.lower_ascii(data), len(offsets) - 1
     starts, ends, rows = text.word_spans(low, offsets, text.NOT_SPACE)
     words = text.SpanHash(low).of(starts, ends)
@@ -84,7 +88,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     out.starts[place], out.ends[place], out.rows[place], out.words[place] = starts, ends, rows, words
     out.rows[finish], out.words[finish] = np.arange(n), _END_HASH
     last = np.zeros(total, np.uint8)
-    last[place] = low[ends - 1] if len(starts) else 0
+    last[place] = CLASS_OF[low[ends - 1]] if len(starts) else 0
     out.classes[1:] = last[:-1] * (out.rows[1:] == out.rows[:-1])
     out.pairs = pair_of(out.words, out.classes)
     return out
@@ -118,7 +122,12 @@ class Entries:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(self.lengths.astype(np.int64))
-        words = text.SpanHash(self.blob).of(ends - self.lengths, ends)
+        starts, words, at = ends - self.lengths, np.zeros(len(ends), np.uint64), 0
+        while at < len(ends):  # about STEP_BYTES of words at a time
+            base = starts[at]
+            stop = max(at + 1, int(np.searchsorted(ends, base + text.STEP_BYTES, "right")))
+            words[at:stop] = text.SpanHash(self.blob[base : ends[stop - 1]]).of(starts[at:stop] - base, ends[at:stop] - base)
+            at = stop
         words[self.lengths == 0] = _END_HASH
         return words, pair_of(words, self.classes)
 
