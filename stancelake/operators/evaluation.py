@@ -33,10 +33,8 @@ def class_metrics(rows: DataFrame, classes: tuple[str, ...] = CLASSES, gold: str
 
 def scores(rows: DataFrame, classes: tuple[str, ...] = CLASSES, gold: str = "gold", predicted: str = "predicted", keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, accuracy, macro_f1 and n; the divisor of the macro mean is always the number of classes."""
-    spine = F.explode(F.array(*[F.lit(c) for c in classes]))
     per_class = class_metrics(rows, classes, gold, predicted, keys).groupBy(*keys).agg((F.sum("f1") / len(classes)).alias("macro_f1"))
     overall = rows.groupBy(*keys).agg(F.avg((F.col(gold) == F.col(predicted)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
-    del spine
     return overall.join(per_class, list(keys)) if keys else overall.crossJoin(per_class)
 
 

@@ -42,17 +42,19 @@ def nearest(chunks: DataFrame, query: list[float], k: int = 5, most: float | Non
 def nearest_each(chunks: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
     """query, id, distance, rank of the k nearest rows of each of a stated set of queries (id, vector) against all rows.
 
-    Queries are broadcast in blocks of `block`; each task multiplies its batch with a block and keeps k of each query,
-    so what is shuffled is k rows a query and task.
+    Queries are sent out in blocks of about `block`, each of which is all that the driver holds at a time; a task
+    multiplies its batch with a block and keeps k of each query, so what is shuffled is k rows a query and task.
     """
-    wanted = queries.select(F.col(id_col).cast("string").alias("q"), F.col(vector).alias("v")).orderBy("q").toPandas()
+    wanted = queries.select(F.col(id_col).cast("string").alias("q"), F.col(vector).alias("v"))
+    blocks = -(-max(1, wanted.count()) // block)
+    rows = chunks.select(F.col(id_col).cast("string").alias("id"), F.col(vector).alias("v"))
     found = None
-    for at in range(0, max(1, len(wanted)), block):
-        part = wanted.iloc[at : at + block]
+    for at in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == at).toPandas()
         names = part["q"].to_numpy(object)
         q = np.stack(part["v"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        mine = chunks.select(F.col(id_col).cast("string").alias("id"), F.col(vector).alias("v")).mapInPandas(_block_search(names, q, k), "query string, id string, distance double")
+        mine = rows.mapInPandas(_block_search(names, q, k), "query string, id string, distance double")
         found = mine if found is None else found.unionByName(mine)
     order = Window.partitionBy("query").orderBy(F.round("distance", 12), F.col("id").cast("long"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -80,8 +80,8 @@ def lead_pairs(index: DataFrame, rates: DataFrame, horizons: tuple[int, ...] = (
     index: (name, month, x); rates: (series, month, value). Horizon 0 is the change from the month before to the
     month; horizon h is the change from the month to h months on. Months without both rates give no pair.
     """
-    spans = index.sparkSession.createDataFrame([(h, 0 if h else 1, h) for h in horizons], "horizon int, back int, ahead int")
-    wanted = index.crossJoin(F.broadcast(spans)).select("name", "month", "x", "horizon", (F.col("month") - F.col("back")).alias("start"), (F.col("month") + F.col("ahead")).alias("stop"))
+    spans = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(0 if h else 1).alias("back"), F.lit(h).alias("ahead")) for h in horizons]))
+    wanted = index.select("name", "month", "x", spans.alias("s")).select("name", "month", "x", "s.horizon", (F.col("month") - F.col("s.back")).alias("start"), (F.col("month") + F.col("s.ahead")).alias("stop"))
     first = rates.select("series", F.col("month").alias("start"), F.col("value").alias("before"))
     last = rates.select("series", F.col("month").alias("stop"), F.col("value").alias("after"))
     joined = wanted.join(first, "start").join(last, ["series", "stop"])
