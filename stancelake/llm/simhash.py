@@ -35,6 +35,9 @@ MOST = 2048
 
 SEED = 42
 
+#: Bits of the hash of a shingle set that follow its fingerprint where sets are told apart.
+SET_BITS = 128
+
 
 def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
     """XXH64 of every run of `size` words joined by spaces; of all words if there are fewer; empty for none."""
@@ -74,21 +77,28 @@ def _lane(hashes: np.ndarray, k: int) -> np.ndarray:
     return hashes if k == 0 else text.mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bits: int = 64, bands: int = 0) -> DataFrame:
+def _set_hash(shingles: np.ndarray) -> bytes:
+    """Of sorted distinct hashes."""
+    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+
+
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bits: int = 64, bands: int = 0, of_sets: bool = False) -> DataFrame:
     """(id, fingerprint binary of bits / 8 bytes, most significant first, anchors array<bigint>) of every row.
 
-    Null and empty texts have the fingerprint zero and no anchors. Whole texts; no shuffle.
+    Null and empty texts have the fingerprint zero and no anchors. Whole texts; no shuffle. `of_sets` counts each
+    shingle of a text once and adds the hash of its set, SET_BITS / 8 bytes, behind the fingerprint.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.steps(batch, "text"):
                 each = [shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in part.column("text").cast(pa.large_binary())]
+                each = [np.unique(x) for x in each] if of_sets else each
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
                 hashes = np.concatenate([np.zeros(0, np.uint64), *each])
                 lanes = np.stack([majority(_lane(hashes, k), offsets) for k in range(bits // 64)], axis=1)
-                prints = lanes.astype(">u8").tobytes()
-                wide = bits // 8
+                raw, wide = lanes.astype(">u8").tobytes(), bits // 8
+                prints = [raw[i * wide : (i + 1) * wide] + (_set_hash(x) if of_sets else b"") for i, x in enumerate(each)]
                 anchors = [[] for _ in each]
                 full = np.flatnonzero(np.diff(offsets))
                 if bands and len(full):
@@ -96,20 +106,22 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                     keys = [text.mixed(least[2 * k] ^ text.mixed(least[2 * k + 1] + np.uint64(k))).view(np.int64) for k in range(bands)]
                     for i, row in zip(full, np.stack(keys, axis=1).tolist()):
                         anchors[i] = row
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([prints[i : i + wide] for i in range(0, len(prints), wide)], pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["id", "fingerprint", "anchors"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["id", "fingerprint", "anchors"])
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint binary, anchors array<bigint>")
 
 
 class BKTree:
-    """Children of a node are keyed by their Hamming distance to it."""
+    """Children of a node are keyed by their Hamming distance to it, of all bits but the last `tail`."""
 
-    def __init__(self) -> None:
+    def __init__(self, tail: int = 0) -> None:
+        self.tail = tail
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
     def add(self, value: int) -> None:
+        value >>= self.tail
         self.values.append(value)
         self.children.append({})
         at, new = 0, len(self.values) - 1
@@ -119,6 +131,7 @@ class BKTree:
     def within(self, value: int, radius: int) -> list[int]:
         """Numbers of all values at `radius` or less; follows only edges from distance - radius to distance + radius."""
         found, open_ = [], [0] if self.values else []
+        value >>= self.tail
         while open_:
             at = open_.pop()
             distance = (value ^ self.values[at]).bit_count()
@@ -130,10 +143,11 @@ class BKTree:
         return found
 
 
-def spanning_links(tree_values: list[int], searches: list[int] | None, radius: int) -> list[tuple[int, int]]:
+def spanning_links(tree_values: list[int], searches: list[int] | None, radius: int, tail: int = 0) -> list[tuple[int, int]]:
     """Links (smaller, larger) that connect what lies within the radius of each other.
 
-    searches None: among the values of the tree; otherwise between them and the searches.
+    searches None: among the values of the tree; otherwise between them and the searches. The last `tail` bits
+    tell values apart but are no part of the distance.
     """
     values = tree_values + (searches or [])
     parent = list(range(len(values)))
@@ -144,7 +158,7 @@ def spanning_links(tree_values: list[int], searches: list[int] | None, radius: i
             i = parent[i]
         return i
 
-    tree = BKTree()
+    tree = BKTree(tail)
     if searches is None:
         for i, value in enumerate(tree_values):
             for j in tree.within(value, radius):
@@ -173,8 +187,11 @@ def _by_blocks(distinct: DataFrame, bits: int, radius: int, blocks: int | None)
     return distinct.select("fingerprint", as_bits.alias("bits")).select("fingerprint", F.explode(F.array(*keys)).alias("key"))
 
 
-def links(distinct: DataFrame, bits: int, radius: int, blocks: int | None = None, anchored: bool = False, most: int = MOST) -> DataFrame:
-    """(a, b) spanning links of distinct fingerprints (fingerprint, anchors if `anchored`) within the radius."""
+def links(distinct: DataFrame, bits: int, radius: int, blocks: int | None = None, anchored: bool = False, most: int = MOST, tail: int = 0) -> DataFrame:
+    """(a, b) spanning links of distinct fingerprints (fingerprint, anchors if `anchored`) within the radius.
+
+    `tail` bits behind the fingerprint's own tell its rows apart.
+    """
     if anchored:
         rows = distinct.select("fingerprint", F.explode("anchors").alias("key"))
     else:
@@ -193,9 +210,9 @@ def links(distinct: DataFrame, bits: int, radius: int, blocks: int | None = None
             if open_key is not None:
                 same = open_key[1] == open_key[2]
                 if len(left) > 1 if same else left and right:
-                    out.extend(spanning_links(left, None if same else right, radius))
+                    out.extend(spanning_links(left, None if same else right, radius, tail))
 
-        wide = bits // 8
+        wide = (bits + tail) // 8
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")))
             for key, mine, value in zip(keys, batch.column("mine").to_pylist(), batch.column("fingerprint").to_pylist()):
@@ -223,6 +240,32 @@ def radius_for(similarity: float, bits: int, margin: float = 0.5) -> int:
     return round(bits * p + margin * math.sqrt(bits * p * (1 - p)))
 
 
+def radius_of_sets(similarity: float, bits: int, margin: float = 4, largest: int = 64) -> int:
+    """Expected differing bits plus `margin` standard deviations, of the sets of that similarity or more that differ most.
+
+    Sets of up to `largest` shingles have the exact distribution of their majorities, with its ties; larger
+    ones come near to that of radius_for.
+    """
+
+    def at_least(n: int, least: int) -> float:
+        return sum(math.comb(n, k) for k in range(max(0, least), n + 1)) / 2**n
+
+    def differing(common: int, left: int, right: int) -> float:
+        """Probability that the majorities of `common` + `left` and of `common` + `right` fair bits differ."""
+        total = 0.0
+        for k in range(common + 1):
+            a, b = (at_least(n, (common + n) // 2 + 1 - k) for n in (left, right))
+            total += math.comb(common, k) / 2**common * (a + b - 2 * a * b)
+        return total
+
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for m in range(1, largest + 1):
+        for n in range(m, math.floor(m / similarity + 1e-9) + 1):
+            common = math.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)
+            p = max(p, differing(common, m - common, n - common))
+    return round(bits * p + margin * math.sqrt(bits * p * (1 - p)))
+
+
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bits: int = 64, radius: int = 3, blocks: int | None = None, bands: int = 0, most: int = MOST) -> DataFrame:
     """(id, fingerprint, component) of every row: the smallest id that links of at most `radius` bits reach.
 
@@ -240,14 +283,14 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _sets(rows: DataFrame, size: int, bits: int) -> DataFrame:
-    """(fingerprint, shingles: sorted distinct hashes as bytes) of each row of (id, text)."""
+    """(fingerprint and set hash, shingles: sorted distinct hashes as bytes) of each row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("text"):
-                hashes = shingle_hashes((raw.as_py() or "").encode(), size)
+                hashes = np.unique(shingle_hashes((raw.as_py() or "").encode(), size))
                 lanes = np.concatenate([majority(_lane(hashes, k), np.array([0, len(hashes)])) for k in range(bits // 64)])
-                columns = [pa.array([lanes.astype(">u8").tobytes()], pa.binary()), pa.array([np.unique(hashes).tobytes()], pa.binary())]
+                columns = [pa.array([lanes.astype(">u8").tobytes() + _set_hash(hashes)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["fingerprint", "shingles"])
 
     return rows.select("text").mapInArrow(run, "fingerprint binary, shingles binary")
@@ -276,10 +319,10 @@ def _verified(rows: DataFrame, bits: int, radius: int, similarity: float, most:
                 i = parent[i]
             return i
 
-        tree, held = BKTree(), []
+        tree, held = BKTree(SET_BITS), []
         for i, (value, left, shingles) in enumerate(members):
             if same or not left:
-                near = sorted(tree.within(value, radius), key=lambda k: (value ^ tree.values[k]).bit_count())
+                near = sorted(tree.within(value, radius), key=lambda k: (value >> SET_BITS ^ tree.values[k]).bit_count())
                 for j in (held[k] for k in near):
                     if root(i) != root(j):
                         both = len(np.intersect1d(shingles, members[j][2], assume_unique=True))
@@ -291,17 +334,17 @@ def _verified(rows: DataFrame, bits: int, radius: int, similarity: float, most:
         return [(members[root(i)][0], x[0]) for i, x in enumerate(members) if root(i) != i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, members = None, []
+        open_key, members, wide = None, [], (bits + SET_BITS) // 8
         for batch in batches:
             for row in batch.to_pylist():
                 key = (row["root"], row["i"], row["j"])
                 if key != open_key:
                     if members:
-                        yield _pairs(linked(members, open_key[1] == open_key[2]), bits // 8)
+                        yield _pairs(linked(members, open_key[1] == open_key[2]), wide)
                     open_key, members = key, []
                 members.append((int.from_bytes(row["fingerprint"], "big"), row["mine"] == row["i"], np.frombuffer(row["shingles"], np.uint64)))
         if members:
-            yield _pairs(linked(members, open_key[1] == open_key[2]), bits // 8)
+            yield _pairs(linked(members, open_key[1] == open_key[2]), wide)
 
     return dealt.mapInArrow(run, "a binary, b binary")
 
@@ -310,14 +353,14 @@ def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """(id, fingerprint, component) of every row: the smallest id that links of near copies reach.
 
     Texts link if the Jaccard similarity of their sets of `size`-word shingles is at least `similarity`. Wide
-    fingerprints, anchored shards and a radius three standard deviations beyond the expected distance find the
-    candidates; then the shingle sets of candidates, and of no other row, are compared exactly.
-    Equal fingerprints are one text here. Null and empty texts are one class; rows with a null id name none.
+    fingerprints of those sets, anchored shards and a radius four standard deviations beyond the expected distance
+    find the candidates; then the shingle sets of candidates, and of no other row, are compared exactly.
+    Equal sets are one text here, equal fingerprints of other sets are not. Null and empty texts are one class; rows with a null id name none.
     """
-    radius = radius_for(similarity, bits, 3)
-    rows = graph.cut(fingerprints(documents, id_col, text_col, size, bits, bands))
+    radius = radius_of_sets(similarity, bits)
+    rows = graph.cut(fingerprints(documents, id_col, text_col, size, bits, bands, of_sets=True))
     distinct = graph.cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least"), F.min("anchors").alias("anchors")))
-    roots = graph.cut(graph.components(links(distinct, bits, radius, anchored=True, most=most)))
+    roots = graph.cut(graph.components(links(distinct, bits, radius, anchored=True, most=most, tail=SET_BITS)))
     few = distinct.join(roots, distinct["fingerprint"] == roots["node"]).select("root", "fingerprint", "least")
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(few.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
@@ -326,7 +369,7 @@ def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rooted = distinct.join(checked, distinct["fingerprint"] == checked["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(names, "root").select("fingerprint", "component")
-    return rows.select("id", "fingerprint").join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component")
+    return rows.select("id", "fingerprint").join(named, "fingerprint").select(F.col("id").alias(id_col), F.substring("fingerprint", 1, bits // 8).alias("fingerprint"), "component")
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

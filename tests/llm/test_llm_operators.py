@@ -176,6 +176,18 @@ def test_similar_classes_are_exact(spark, most):
     assert got == root
 
 
+def test_near_copies_are_by_sets_not_by_repeats(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    line, body = some(9), some(300)
+    far = [(1, " ".join([line] * 200 + [some(150)])), (2, " ".join([line] * 200 + [some(150)]))]
+    near = [(3, " ".join([line] * 2 + [body])), (4, " ".join([line] * 200 + [body]))]
+    # pairs of four and five shingles, four of them common
+    short = [(10 + 2 * i + k, text[: None if k else text.rindex(" ")]) for i in range(200) for text in [some(9)] for k in (0, 1)]
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_classes(spark.createDataFrame(far + near + short, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3} | {i: i - i % 2 for i, _ in short}
+
+
 @pytest.mark.parametrize("most_bytes", [1 << 20, 60])
 def test_decontamination_spans(spark, docs, most_bytes):
     items = spark.createDataFrame([(1, "Two, three FOUR"), (2, "five"), (3, None), (4, ""), (5, "three four five")], "item_id long, text string")
