@@ -54,6 +54,27 @@ def test_pool_in_parts_is_the_same(monkeypatch):
     assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
 
 
+def test_pool_in_parts_of_one_text_is_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    tables, ids, of = rng.normal(size=(toxicity.TABLE, 48)).astype(np.float32), rng.integers(0, toxicity.TABLE, (500, 3)), np.full(500, 2)
+    whole = toxicity.pool(tables, np.zeros(24, np.float32), ids, of, 4, True)
+    monkeypatch.setattr(toxicity, "PART", 50)
+    parts = toxicity.pool(tables, np.zeros(24, np.float32), ids, of, 4, True)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
+def test_toxicity_learns_whole_texts(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda ids, langs, y: sorted(len(x) for x in ids))
+    labelled = spark.createDataFrame([(3, 1), (4, 0)], "id long, label int")
+    assert toxicity.train(docs, labelled) == [7, 7, 30_000]
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 10)
+    monkeypatch.setattr(toxicity, "LEAST_EACH", 1)
+    many = spark.createDataFrame([(i, i % 2) for i in range(400)], "id long, label int")
+    texts = spark.createDataFrame([(i, "one two three") for i in range(400)], "doc_id long, text string")
+    few = toxicity.train(texts, many)
+    assert len(few) < 400 and set(few) <= {3}
+
+
 def test_mixture_budgets(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 100), ("a", "y", "3", 100), ("b", "x", "4", 30)], "domain string, lang string, source string, tokens long")
     got = {r["source"]: r["budget"] for r in mixture.budgets(leaves, F.lit(200), {"a": 1, "b": 1}, 1).collect()}
