@@ -59,12 +59,12 @@ def windows(raw: str, width: int = WIDTH) -> list[str]:
     return [f" {' '.join(words[i : i + width])} " for i in range(len(words) - width + 1)]
 
 
-def automaton(items: list[tuple[str, str]], width: int = WIDTH) -> ahocorasick.Automaton:
-    """Pattern -> (number of its words, the items that have it)."""
+def automaton(items: list[tuple[str | None, str]], width: int = WIDTH) -> ahocorasick.Automaton:
+    """Pattern -> (number of its words, the items that have it; those without id are none)."""
     found: dict[str, set[str]] = {}
     for item, raw in items:
         for pattern in windows(raw, width):
-            found.setdefault(pattern, set()).add(item)
+            found.setdefault(pattern, set()).update(() if item is None else (item,))
     out = ahocorasick.Automaton()
     for pattern, having in found.items():
         out.add_word(pattern, (pattern.count(" ") - 1, tuple(sorted(having))))
@@ -121,14 +121,14 @@ def scan(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     spans: begin and end (bytes of the original UTF-8, end exclusive), number of the first word and number of
     words of each maximal run of hit words, in order. items: ids, as strings in string order, of the
     benchmark rows with an occurring window. Null or empty texts have no words; benchmark rows without words
-    match nothing; repeated rows are alike.
+    match nothing; those without id mark words like all others, but are not in items. Repeated rows are alike.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = size // most_bytes + 1
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast(array() as {SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *([F.struct("*").alias("row")] if carry else []))
     for k in range(parts):
-        rows = _scanned(rows, items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k), width, last=k == parts - 1)
+        rows = _scanned(rows, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k), width, last=k == parts - 1)
     return rows.withColumnRenamed("id", id_col)
 
 

@@ -218,6 +218,14 @@ def test_decontamination_spans(spark, docs, most_bytes):
     assert decontaminate.scan(docs, items.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_benchmark_rows_without_id_mark_words(spark):
+    items = spark.createDataFrame([(None, "two three four"), (7, "six seven"), (None, None)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "one two three four five six seven"), (2, "one two three four")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.scan(rows, items, width=3).collect()}
+    assert [[(s["first"], s["words"]) for s in got[k]["spans"]] for k in (1, 2)] == [[(1, 3), (5, 2)], [(1, 3)]]
+    assert got[1]["items"] == ["7"] and got[2]["items"] == []
+
+
 def test_licence_rules(spark):
     bsd = [licences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
     cases = {
