@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density (Sun, Song and Liao 2011).
 
 A page is parsed to a tree. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts and
-reader comments are cut out by element and by words of class, id and role. For every other node the
+reader comments are cut out by element and by words of class, id and role. A word of class or id says nothing of a
+node that holds the page's article or most of its text, as "has-sidebar" does: see _cut_by_words. For every other node the
 characters per tag are computed and adjusted by the share of link characters and link tags; the sums of
 the children's densities are compared over the tree. The node with the largest sum marks the article; the
 least density on its path to the body is the threshold that any further part of the page must reach to
@@ -30,6 +31,8 @@ FURNITURE = frozenset(
     "subscribe subscription signup popup modal overlay widget widgets toolbar pagination pager login search searchform skip alert disclaimer paywall".split()
 )
 HEADER = frozenset("header masthead topbar".split())
+#: Words of FURNITURE that stand on no wrapper of a whole page, if they are all of a class or id.
+NOTICES = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup popup modal overlay alert disclaimer paywall".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
@@ -42,29 +45,33 @@ class _Tree:
 
     def __init__(self) -> None:
         self.name, self.parent, self.cut, self.end = ["#root"], [-1], [False], [0]
+        self.words: dict[int, bool] = {}  # nodes that a word of class or id marks; whether it is a notice
         self.texts: list[tuple[int, int, str]] = []
 
 
-def _cut_out(name: str, attributes: str, within_article: bool) -> bool:
+def _cut_out(name: str, attributes: str, within_article: bool) -> tuple[bool, bool, bool]:
+    """Whether a node is cut whatever it holds, whether a word of class or id marks it, and whether that is a notice."""
     if name in CUT or name == "header" and not within_article:
-        return True
+        return True, False, False
+    marked = notice = False
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return False, False, False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False, False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return True, False, False
         elif key == "role":
             if value.lower() in ROLES:
-                return True
+                return True, False, False
         else:
             words = {w.lower() for w in _WORD.findall(value)}
             if words & FURNITURE or words & HEADER and not within_article:
-                return True
-    return False
+                marked = True
+                notice |= any((of := {w.lower() for w in _WORD.findall(x)}) & NOTICES and of <= FURNITURE for x in value.split())
+    return False, marked, notice
 
 
 def _parse(page: str) -> _Tree:
@@ -116,7 +123,10 @@ def _parse(page: str) -> _Tree:
                     node = len(name_of)
                     name_of.append(name)
                     parent.append(stack[-1])
-                    cut.append(cut[stack[-1]] or _cut_out(name, attributes, articles > 0))
+                    gone, marked, notice = _cut_out(name, attributes, articles > 0)
+                    cut.append(cut[stack[-1]] or gone)
+                    if marked:
+                        tree.words[node] = notice
                     end.append(0)
                     articles += name in ("article", "main")
                     stack.append(node)
@@ -130,9 +140,56 @@ def _parse(page: str) -> _Tree:
     if at < len(page):
         texts.append((stack[-1], block, page[at:]))
     pop_to(0)
+    if tree.words:
+        _cut_by_words(tree)
     return tree
 
 
+def _cut_by_words(tree: _Tree) -> None:
+    """Cuts the nodes that words of class or id mark, but for those that hold what the page is for.
+
+    These are the largest article of the page; a node around it, if no article stands outside all marked nodes and
+    under four times its text does; and a node of most of the page's text, if no article and less than a quarter of
+    its text stand outside, unless its words are of a notice. Text of links does not count. Marked nodes inside
+    a spared one are looked at in the same way.
+    """
+    n, cut, parent, marked = len(tree.name), tree.cut, tree.parent, tree.words
+    linked, within, chars, article = [False] * n, [False] * n, [0] * n, [0] * n
+    for i in range(1, n):
+        up = parent[i]
+        linked[i] = linked[up] or tree.name[i] == "a"
+        landmark = tree.name[i] in ("article", "main")
+        within[i] = within[up] or landmark
+        article[i] = int(landmark and not within[up] and not cut[i])
+    for node, _, raw in tree.texts:
+        if not cut[node] and not linked[node]:
+            chars[node] += len(" ".join(raw.split()))
+    own = list(chars)
+    for i in range(n - 1, 0, -1):
+        chars[parent[i]] += chars[i]
+    largest = max((i for i in range(n) if article[i]), key=lambda i: (chars[i], -i), default=0)
+    if not chars[largest]:
+        largest = 0
+    # text and articles of a node outside all marked nodes in it
+    free, articles = own, article
+    for i in range(n - 1, 0, -1):
+        if i not in marked or i == largest:
+            free[parent[i]] += free[i]
+            articles[parent[i]] += articles[i]
+    rest, rest_articles, total = free[0], articles[0], chars[0]
+    for i in range(1, n):
+        if cut[i] or cut[parent[i]]:
+            cut[i] = True
+        elif i in marked and i != largest:
+            around = largest and i < largest < tree.end[i] and not rest_articles and rest < 4 * chars[i]
+            most = 2 * chars[i] > total and not rest_articles and 4 * rest < chars[i] and not marked[i]
+            if around or most:
+                rest += free[i]
+                rest_articles += articles[i]
+            else:
+                cut[i] = True
+
+
 def _densities(tree: _Tree) -> tuple[list[float], list[float], int]:
     """Composite density and sum of the children's densities of every node, and the number of the body."""
     n = len(tree.name)

@@ -265,6 +265,17 @@ def test_html_cases():
     assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep" and html.main_text("<" * 1000) == "<" * 1000
 
 
+@pytest.mark.parametrize("inner", ["<article class='post comments-open'>{}</article>", "<div>{}</div>", "<div class=search-result>{}</div>"])
+@pytest.mark.parametrize("wrapper", ["class='has-sidebar'", "id=pageWithSidebar", "class='related discussion'", ""])
+def test_html_wrappers_with_words_of_furniture(wrapper, inner):
+    article = "<h2>T</h2>" + "<p>Many words of a long article, which go on for a while here.</p>" * 9
+    side = "<div class=sidebar><p>A side note of some length.</p></div><div class='ad'>Buy a thing now.</div>"
+    said = "<div class=comments>" + "<p>I have a lot to say about it.</p>" * (40 if "article" in inner else 3) + "</div>"
+    page = f"<body><nav>menu</nav><div {wrapper}>{inner.format(article)}{side}{said}</div></body>"
+    assert html.main_text(page) == "\n".join(["T"] + ["Many words of a long article, which go on for a while here."] * 9)
+    assert html.main_text("<body><nav>x</nav><div class='ad'>Buy a thing now.</div></body>") == ""
+
+
 def test_language_model_edges(spark, docs):
     got = mixing_lm.score(docs, F.col("doc_id") != 4).collect()
     by = {r["doc_id"]: r for r in got}
