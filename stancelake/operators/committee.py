@@ -27,3 +27,27 @@ def movement(rows: DataFrame, asked: DataFrame) -> DataFrame:
 def summary(moved: DataFrame, band: float = 0.02) -> DataFrame:
     """ask, bank, standing, overall_move, members, with_change, movers of each asked point."""
     return moved.groupBy("ask", "bank").agg(F.avg("score").alias("standing"), F.avg("delta").alias("overall_move"), F.count(F.lit(1)).alias("members"), F.count("delta").alias("with_change"), F.count_if(F.abs("delta") > band).alias("movers"))
+
+
+def every_summary(rows: DataFrame, band: float = 0.02) -> DataFrame:
+    """The columns of summary for every reading as an asked point, whose id is ask; points of one instant are alike.
+
+    A reading changes only what its own member adds to the bank's figures, so these are running sums of changes. The
+    changes of a bank's instant are summed first; the windows over a bank have a row for each instant. Sums are decimal.
+    """
+    by_member = Window.partitionBy("bank", "member").orderBy("ts", "id")
+    known = rows.select("bank", "member", "ts", "id", "score").withColumn("previous", F.lag("score").over(by_member)).withColumn("nth", F.row_number().over(by_member))
+    known = known.withColumn("delta", F.col("score") - F.col("previous")).withColumn("old", F.lag("delta").over(by_member))
+    exact = lambda c: F.coalesce(F.col(c).cast("decimal(18,10)"), F.lit(0).cast("decimal(18,10)"))
+    there = lambda c: F.col(c).isNotNull().cast("long")
+    moved = lambda c: F.coalesce((F.abs(c) > band).cast("long"), F.lit(0))
+    changes = {
+        "total": exact("score") - exact("previous"), "scored": there("score") - there("previous"), "change": exact("delta") - exact("old"),
+        "members": (F.col("nth") == 1).cast("long"), "with_change": there("delta") - there("old"), "movers": moved("delta") - moved("old"),
+    }
+    instants = known.groupBy("bank", "ts").agg(*[F.sum(c).alias(name) for name, c in changes.items()])
+    so_far = Window.partitionBy("bank").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    standing = instants.select("bank", "ts", *[F.sum(name).over(so_far).alias(name) for name in changes])
+    mean = lambda total, n: F.when(F.col(n) > 0, F.col(total).cast("double") / F.col(n))
+    asked = rows.select(F.col("id").alias("ask"), "bank", "ts").join(standing, ["bank", "ts"])
+    return asked.select("ask", "bank", mean("total", "scored").alias("standing"), mean("change", "with_change").alias("overall_move"), "members", "with_change", "movers")

@@ -130,6 +130,13 @@ def committee_movement_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ask", "bank", *rounded("standing", "overall_move"), "members", "with_change", "movers")
 
 
+@register("committee_movement_every")
+def committee_movement_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """committee_movement_bulk asked at every observation. Its SQL would join each with all before it."""
+    found = committee.every_summary(observations(spark, sf_dir))
+    return found.select("ask", "bank", *rounded("standing", "overall_move"), "members", "with_change", "movers")
+
+
 @register("search_speakers", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name), '00012') OR contains(lower(c_mktsegment), '00012')")
 def search_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.search(table(spark, sf_dir, "customer"), " 00012 ", "c_name", "c_mktsegment").select("c_custkey", "c_name", "c_mktsegment")

@@ -228,3 +228,16 @@ def test_stream_ingest_restart(spark, tmp_path):
     rows.write.mode("append").parquet(source)
     standing.stream_ingest(stream(), table, checkpoint).awaitTermination()
     assert spark.read.parquet(table).count() == 2
+
+
+def test_movement_at_every_reading_is_that_of_each(spark, sf):
+    from stancelake.plans.roles import observations
+
+    made = [(1, "a", "x", "2024-01-01", 0.1), (2, "a", "x", "2024-01-01", 0.5), (3, "a", "y", "2024-01-01", None), (4, "a", "y", "2024-01-02", 0.3), (5, "b", "z", "2024-01-02", -1.0), (6, "a", "x", "2024-01-03", None), (7, "a", "x", "2024-01-04", 0.51)]
+    edge = spark.createDataFrame(made, "id long, bank string, member string, day string, score double").withColumn("ts", F.to_timestamp("day"))
+    whole = observations(spark, sf).select("id", "bank", F.col("member").cast("string").alias("member"), "ts", "score")
+    for rows in (edge, whole):
+        asked = rows.select(F.col("id").alias("ask"), "bank", F.col("ts").alias("as_of"))
+        plain = lambda found: sorted((r["ask"], r["bank"], *[None if r[c] is None else round(r[c], 9) + 0.0 for c in ("standing", "overall_move")], r["members"], r["with_change"], r["movers"]) for r in found.collect())
+        got = plain(committee.every_summary(rows))
+        assert len(got) == rows.count() and got == plain(committee.summary(committee.movement(rows, asked)))
