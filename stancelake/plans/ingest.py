@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,10 @@ def stream_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standing of every user after a stream over the events has ended."""
     path = f"{sf_dir}/events.parquet"
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events*.parquet")
-    name = f"standing_{uuid.uuid4().hex}"
     found = standing.standing(rows.select(F.col("user_id").alias("member"), "ts", F.col("event_id").alias("id"), F.col("value").alias("score")))
-    found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("member", *rounded("score"), "readings")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"{shared or tempfile.mkdtemp(prefix='checkpoints-')}/standing-{uuid.uuid4().hex}"
+    standing.stream_table(found, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("member", *rounded("score"), "readings")

@@ -18,6 +18,16 @@ def stream_ingest(rows: DataFrame, path: str, checkpoint: str, text: str = "text
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def stream_table(found: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """Starts a query that replaces a Parquet table by the whole result with each micro-batch; the driver gets no rows."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = found.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def standing(rows: DataFrame, member: str = "member", ts: str = "ts", id_col: str = "id", score: str = "score") -> DataFrame:
     """member, score, ts, readings: each member's last reading by event time, for update or complete mode.
 

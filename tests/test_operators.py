@@ -241,3 +241,10 @@ def test_movement_at_every_reading_is_that_of_each(spark, sf):
         plain = lambda found: sorted((r["ask"], r["bank"], *[None if r[c] is None else round(r[c], 9) + 0.0 for c in ("standing", "overall_move")], r["members"], r["with_change"], r["movers"]) for r in found.collect())
         got = plain(committee.every_summary(rows))
         assert len(got) == rows.count() and got == plain(committee.summary(committee.movement(rows, asked)))
+
+
+def test_standing_of_a_stream_is_a_table(spark, sf):
+    from stancelake.plans import registry
+
+    found = registry.queries()["stream_standing"](spark, sf)
+    assert found.inputFiles() and found.count() > 0
