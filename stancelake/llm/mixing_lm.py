@@ -1,43 +1,56 @@
 """Language model by online logistic mixing of hashed-context bit predictors (after Mahoney's PAQ).
 
 A text is a run of tokens: its lower-cased words, each written with a space behind it, and a line feed as end.
-A byte is a few binary decisions on its path in a Huffman tree over the corpus' bytes. Contexts of a
-decision are the last two, four and six bytes, which reach to the class of the word before, and the whole
-word so far without and with that class; hashed with the node of the tree, each names a slot that counts the
-zeros and ones the corpus had there. The log-odds of the slots are combined by the weights of a gate, chosen
-by how often the longest known contexts were seen, and their logistic is the probability of the decision.
-
-Weights are refined adaptively by online gradient steps over the whole training corpus, with each
-occurrence's own counts taken out, so that they are those of unseen text. A token's probability depends on
-itself and that class. So each distinct pair is counted, learnt from and scored once, with its multiplicity, and texts get sums of what their pairs have: nothing is sampled, and nothing but the fixed
-tables of slots and weights reaches the driver.
-
-How it is dealt out: rows go to blocks by hash, a block's distinct pairs go to buckets by the hash of the word,
-where counts of all blocks meet; scored pairs go back to the blocks that asked and meet their rows. Blocks and
-buckets are bounded in bytes and grow in number with the input, and the lexicon is never in one place.
-Pairs are told apart by 64-bit hashes.
+It is coded in two layers of binary decisions.
+
+Passages. Words whose hash says so end a segment, eight words long in the mean, as does the end of a text. The
+context of a segment is the whole segment before it. If the corpus has that context, one decision says whether
+the segment is one that stood behind it there; if it is, a share of the context's count says which. Its
+probability is refined over all training passages by how often the context was seen. An occurrence is never
+predicted from itself: a training text's own counts are taken out.
+
+Letters. All other segments are spelt. A byte is a few decisions on its path in a Huffman tree over the corpus'
+bytes. Contexts of a decision are the last two, four and six bytes, which reach to the class of the word before,
+and the whole word so far without and with that class; hashed with the node of the tree, each names a slot that
+counts the zeros and ones the corpus had there. The log-odds of the slots are combined by the weights of a gate,
+chosen by how often the longest known contexts were seen, and their logistic is the probability of the decision.
+Weights are refined adaptively by online gradient steps over the whole training corpus, with each occurrence's
+own counts taken out. Spelling depends on the token and that class, so each distinct pair is counted, learnt from
+and scored once, with its multiplicity, and texts get sums of what their pairs have.
+
+How it is dealt out: the rows of a task are read in blocks, bounded in tokens. A block's distinct pairs go to
+buckets by the hash of the word, its hashes of segments and their contexts to other buckets by hash, and the
+answers go back to the block, in its own order. Buckets are sized by what is distinct, which is counted before.
+So nothing is sampled, the lexicon is never in one place, no key has more than one row of each block, and what is
+gathered grows with the corpus. Only the tables of slots, sized by the lexicon up to MOST_SLOTS, are broadcast.
+Pairs and contexts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancelake.llm import graph, text
 
-#: Bytes of text for each block and bucket; evidence added to both counts; step size; entries in a step.
-BLOCK_BYTES, BUCKET_BYTES, PRIOR, RATE, STEP = 8 << 20, 48 << 20, 0.35, 1.0, 512
+#: Tokens of a block; bytes of distinct words and number of distinct hashes in a bucket; evidence added to both counts; step size; entries in a step.
+BLOCK_TOKENS, BUCKET_BYTES, BUCKET_KEYS, PRIOR, RATE, STEP = 4 << 20, 4 << 20, 4 << 20, 0.35, 1.0, 512
 
-#: Numbers of last bytes that are contexts; the word so far, without and with the class, are two more. Slots of each.
-ORDERS, SLOTS = (2, 4, 6), (1 << 18, 1 << 21, 1 << 22, 1 << 23, 1 << 23)
+#: Numbers of last bytes that are contexts; the word so far, without and with the class, are two more.
+ORDERS = (2, 4, 6)
 
-CONTEXTS = len(SLOTS)
+#: Slots of each context for a byte of distinct words, and the bounds of a table.
+SLOTS_PER_BYTE, LEAST_SLOTS, MOST_SLOTS = (1 / 8, 1 / 2, 1, 2, 2), 1 << 14, 1 << 23
+
+CONTEXTS = len(SLOTS_PER_BYTE)
 
 #: Edges of how often the word so far was seen, and gates: those classes by the longest known context.
 SEEN = np.array([1, 2, 4, 8, 32, 256])
@@ -45,6 +58,12 @@ GATES = (len(SEEN) + 1) * 3
 
 END, SPACE, START_CLASS = 10, 32, 0
 
+#: One word in so many ends a segment; classes of how often its context was seen, by doubling.
+SEGMENT_WORDS, SEGMENT_CLASSES = 8, 64
+
+#: One distinct pair in so many is counted to size the buckets.
+SAMPLED = 64
+
 _CHUNK = 1 << 14
 
 
@@ -73,7 +92,17 @@ _END_HASH = np.uint64(0x1F0D3C5A7E6B9824)
 
 
 def pair_of(words: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return text.mixed(words * np.uint64(0xD6E8FEB86659FD93) + text.mixed(classes.astype(np.uint64) + np.uint64(1 << 40)))
+    """A hash with the upper half of the word's own on top, so that pairs in order are in the order of buckets."""
+    low = text.mixed(words * np.uint64(0xD6E8FEB86659FD93) + text.mixed(classes.astype(np.uint64) + np.uint64(1 << 40)))
+    return words >> _HALF << _HALF | low >> _HALF
+
+
+_HALF = np.uint64(32)
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes, all of about the same size."""
+    return ((hashes >> _HALF) * np.uint64(buckets) >> _HALF).astype(np.int64)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -138,6 +167,8 @@ class Entries:
     def pack(self) -> list[bytes]:
         return [squeezed(self.blob), squeezed(self.lengths.astype(np.uint32)), squeezed(self.classes), squeezed(self.counts.astype(np.uint64))]
 
+    TYPES = (np.uint8, np.uint32, np.uint8, np.uint64)
+
     @staticmethod
     def unpack(row: dict) -> Entries:
         return Entries(*(restored(row[c], t) for c, t in (("blob", np.uint8), ("lengths", np.uint32), ("classes", np.uint8), ("counts", np.uint64))))
@@ -173,33 +204,193 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def _messages(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each block, cut by bucket."""
-    found: dict[int, list[Entries]] = {}
-    waiting: dict[int, int] = {}
+@dataclass
+class Segments:
+    """The segments of some rows: tokens in each, row, hash of itself, hash of its context (0 for none), of both."""
+
+    sizes: np.ndarray
+    rows: np.ndarray
+    contexts: np.ndarray
+    both: np.ndarray
+
+
+def segments(t: Tokens) -> Segments:
+    closes = (text.mixed(t.words + np.uint64(3)) % np.uint64(SEGMENT_WORDS) == 0) | (t.words == _END_HASH)
+    ends = np.flatnonzero(closes) + 1
+    if not len(ends):
+        none = np.zeros(0, np.uint64)
+        return Segments(none.astype(np.int64), none.astype(np.int64), none, none)
+    starts = np.concatenate([[0], ends[:-1]])
+    place = (np.arange(len(t.words)) - np.repeat(starts, ends - starts)).astype(np.uint64)
+    own = text.mixed(np.add.reduceat(text.mixed(t.words + place * np.uint64(0x9E3779B97F4A7C15)), starts) + (ends - starts).astype(np.uint64))
+    rows = t.rows[starts]
+    contexts = np.zeros(len(own), np.uint64)
+    contexts[1:] = np.where(rows[1:] == rows[:-1], text.mixed(own[:-1] + np.uint64(11)) | np.uint64(1), np.uint64(0))
+    return Segments(ends - starts, rows, contexts, text.mixed(contexts * np.uint64(0xD6E8FEB86659FD93) ^ own) & ~np.uint64(1))
+
+
+#: What a block is written as: its distinct pairs; its hashes of segments; its rows; hashes of some of its pairs with their bytes.
+PAIRS, KEYS, ROWS, SOME = range(4)
+
+
+class _Block:
+    """Rows of one task until they are a block."""
+
+    def __init__(self) -> None:
+        self.n, self.ids, self.learn, self.entries, self.tokens, self.segments = 0, [], [], [], [], []
+
+    def add(self, part: pa.RecordBatch) -> None:
+        t = tokens(*text.joined(part.column("text")))
+        learn = part.column("learn").to_numpy(zero_copy_only=False)
+        pairs, first, inverse = np.unique(t.pairs, return_index=True, return_inverse=True)
+        counts = np.bincount(inverse, weights=learn[t.rows], minlength=len(first)).astype(np.uint64)
+        lengths = t.ends[first] - t.starts[first]
+        self.entries.append(Entries(gather(t.data, t.starts[first], lengths), lengths.astype(np.uint32), t.classes[first], counts))
+        sizes = np.bincount(t.rows, minlength=part.num_rows)
+        self.tokens.append((pairs, inverse.astype(np.int32), sizes, np.bincount(t.rows, weights=t.ends - t.starts + 1, minlength=part.num_rows)))
+        s = segments(t)
+        self.segments.append((s.sizes, np.bincount(s.rows, minlength=part.num_rows), s.contexts, s.both, learn[s.rows]))
+        self.ids.append(part.column("id"))
+        self.learn.append(learn)
+        self.n += len(t.words)
+
+    def rows(self, block: int) -> Iterator[tuple]:
+        entries = distinct(self.entries)
+        _, pairs = entries.hashes()
+        yield block, PAIRS, len(pairs), None, entries.pack()
+        some = np.flatnonzero(pairs % np.uint64(SAMPLED) == 0)
+        yield block, SOME, len(some), None, [pairs[some].tobytes(), entries.lengths[some].astype(np.int64).tobytes()]
+        sizes, of_row, contexts, both, learn = (np.concatenate(x) for x in zip(*self.segments))
+        known = contexts != 0
+        keys, inverse = np.unique(np.concatenate([contexts[known], both[known]]), return_inverse=True)
+        counts = np.bincount(inverse, weights=np.tile(learn[known], 2), minlength=len(keys)).astype(np.uint64)
+        yield block, KEYS, len(keys), None, [squeezed(np.diff(keys, prepend=np.uint64(0))), squeezed(counts)]
+        index = np.concatenate([np.searchsorted(pairs, mine).astype(np.uint32)[inverse] for mine, inverse, _, _ in self.tokens])
+        n_tokens, n_bytes = (np.concatenate([x[k] for x in self.tokens]).astype(np.uint64) for k in (2, 3))
+        parts = [squeezed(x) for x in (np.concatenate(self.learn).astype(np.uint8), n_tokens, n_bytes, index, sizes.astype(np.uint32), of_row.astype(np.uint32), known.astype(np.uint8), inverse.astype(np.uint32))]
+        yield block, ROWS, sum(len(x) for x in self.ids), pa.chunked_array(self.ids).combine_chunks(), parts
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task's rows. A block's number is unique among those of one run of the job."""
+    block, number = _Block(), TaskContext.get().partitionId() << 32
+
+    def written() -> Iterator[pa.RecordBatch]:
+        for at, kind, n, ids, parts in block.rows(number):
+            of = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if ids is not None else pa.nulls(1, pa.list_(id_type))
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([kind], pa.int32()), pa.array([n], pa.int64()), of, pa.array([parts], pa.list_(pa.binary()))], ["block", "kind", "n", "ids", "parts"])
+
     for batch in batches:
+        id_type = batch.schema.field("id").type
         for part in text.steps(batch, "text"):
-            t = tokens(*text.joined(part.column("text")))
-            block = part.column("block").to_numpy(zero_copy_only=False)[t.rows]
-            learn = part.column("learn").to_numpy(zero_copy_only=False)[t.rows]
-            for b in np.unique(block):
-                mine = np.flatnonzero(block == b)
-                _, first, inverse = np.unique(t.pairs[mine], return_index=True, return_inverse=True)
-                counts = np.bincount(inverse, weights=learn[mine], minlength=len(first)).astype(np.uint64)
-                at = mine[first]
-                lengths = t.ends[at] - t.starts[at]
-                found.setdefault(int(b), []).append(Entries(gather(t.data, t.starts[at], lengths), lengths.astype(np.uint32), t.classes[at], counts))
-                waiting[int(b)] = waiting.get(int(b), 0) + 1
-                if waiting[int(b)] >= 16:
-                    found[int(b)], waiting[int(b)] = [distinct(found[int(b)])], 0
-    for b, parts in found.items():
-        entries = distinct(parts)
-        words, _ = entries.hashes()
-        bucket = (words >> np.uint64(20)) % np.uint64(buckets)
-        out = []
-        for k in np.unique(bucket):
-            out.append([b, int(k), *entries.take(np.flatnonzero(bucket == k)).pack()])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int32(), *[pa.binary()] * 4])], ["block", "bucket", "blob", "lengths", "classes", "counts"])
+            block.add(part)
+            if block.n >= most:
+                yield from written()
+                block, number = _Block(), number + 1
+    if block.n:
+        yield from written()
+
+
+def _messages(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of each block, cut by bucket."""
+    for row in _rows(batches):
+        entries = Entries(*(restored(x, t) for x, t in zip(row["parts"], Entries.TYPES)))
+        _, pairs = entries.hashes()
+        of = bucket_of(pairs, buckets)
+        out = [[row["block"], int(k), *entries.take(np.flatnonzero(of == k)).pack()] for k in np.unique(of)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int32(), *[pa.binary()] * 4])], ["block", "bucket", "blob", "lengths", "classes", "counts"])
+
+
+def _key_messages(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The hashes of segments of each block, cut by bucket."""
+    for row in _rows(batches):
+        keys, counts = np.cumsum(restored(row["parts"][0], np.uint64)), restored(row["parts"][1], np.uint64)
+        edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            mine = slice(edges[k], edges[k + 1])
+            yield _one(["block", "bucket", "keys", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], [row["block"], int(k), squeezed(np.diff(keys[mine], prepend=np.uint64(0))), squeezed(counts[mine])])
+
+
+def _one(names: list[str], types: list[pa.DataType], row: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+
+
+def _key_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The training counts of each bucket's hashes, in order; the blocks of a bucket follow one another."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        out = np.zeros(len(keys), np.uint64)
+        np.add.at(out, inverse, np.concatenate([c for _, c in parts]))
+        return keys, out
+
+    def emit() -> pa.RecordBatch:
+        keys, counts = merged(parts)
+        return _one(["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], [bucket, squeezed(np.diff(keys, prepend=np.uint64(0))), squeezed(counts)])
+
+    bucket, parts = None, []
+    for row in _rows(batches):
+        if row["bucket"] != bucket and parts:
+            yield emit()
+            parts = []
+        bucket = row["bucket"]
+        parts.append((np.cumsum(restored(row["keys"], np.uint64)), restored(row["counts"], np.uint64)))
+        if len(parts) >= 64:
+            parts = [merged(parts)]
+    if parts:
+        yield emit()
+
+
+def _key_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block's hashes their training counts; the bucket's own row comes first, as block -1."""
+    keys = counts = None
+    for row in _rows(batches):
+        mine = np.cumsum(restored(row["keys"], np.uint64))
+        if row["block"] < 0:
+            keys, counts = mine, restored(row["counts"], np.uint64)
+            continue
+        yield _one(["block", "bucket", "counts"], [pa.int64(), pa.int32(), pa.binary()], [row["block"], row["bucket"], squeezed(counts[np.searchsorted(keys, mine)])])
+
+
+def _seen_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each segment of a block and its context were seen in other places; the answers of a block come before its rows."""
+    block, answers = None, []
+    for row in _rows(batches):
+        if row["block"] != block:
+            block, answers = row["block"], []
+        if row["counts"] is not None:
+            answers.append(restored(row["counts"], np.uint64))
+            continue
+        learn, of_row, known, inverse = (restored(row["parts"][i], ROW_TYPES[i]) for i in (0, 5, 6, 7))
+        own = np.repeat(learn, of_row).astype(np.int64)[known > 0]
+        counts = np.concatenate([np.zeros(0, np.uint64), *answers]).astype(np.int64)[inverse.astype(np.int64)]
+        n = len(own)
+        yield _one(["block", "context", "both"], [pa.int64(), pa.binary(), pa.binary()], [block, squeezed(counts[:n] - own), squeezed(counts[n:] - own)])
+
+
+ROW_TYPES = (np.uint8, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32)
+
+
+def segment_class(context: np.ndarray) -> np.ndarray:
+    return np.frexp(context.astype(np.float64))[1].astype(np.int64)
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By class of known contexts, how many segments were and were not behind them elsewhere."""
+    out = np.zeros((2, SEGMENT_CLASSES), np.int64)
+    for row in _rows(batches):
+        context, both = restored(row["context"], np.int64), restored(row["both"], np.int64)
+        for hit in (0, 1):
+            out[hit] += np.bincount(segment_class(context[(context > 0) & ((both > 0) == hit)]), minlength=SEGMENT_CLASSES)
+    yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENT_CLASSES), pa.int32()), pa.array(out[0]), pa.array(out[1])], ["class", "misses", "hits"])
+
+
+def segment_logs(context: np.ndarray, both: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the probability of the segments' decisions, and which are known behind their contexts. odds: by class, of a hit."""
+    hit = both > 0
+    rate = odds[segment_class(context)]
+    logs = np.where(context > 0, np.where(hit, np.log10(rate), np.log10(1 - rate)), 0.0)
+    return logs + np.where(hit, np.log10(np.maximum(1, both)) - np.log10(np.maximum(1, context)), 0.0), hit
 
 
 def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +471,7 @@ def byte_counts(entries: Entries) -> np.ndarray:
 _NODE_HASH = text.mixed(np.arange(256, dtype=np.uint64) + np.uint64(77)).astype(np.uint32)
 
 
-def decisions(entries: Entries, tree: Tree) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def decisions(entries: Entries, tree: Tree, sizes_of_tables: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(slots of each context, outcomes, entry of each decision) of the entries written as bytes."""
     n = len(entries.lengths)
     sizes = entries.lengths.astype(np.int64) + 1
@@ -310,18 +501,18 @@ def decisions(entries: Entries, tree: Tree) -> tuple[list[np.ndarray], np.ndarra
     ends = np.cumsum(lengths, dtype=np.int64)
     code = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths - tree.first[data], lengths)
     nodes = _NODE_HASH[tree.nodes[code]]
-    slots = [((np.repeat((c >> np.uint64(24)).astype(np.uint32), lengths) ^ nodes) & np.uint32(size - 1)).astype(np.intp) for c, size in zip(contexts, SLOTS)]
+    slots = [((np.repeat((c >> np.uint64(24)).astype(np.uint32), lengths) ^ nodes) & np.uint32(size - 1)).astype(np.intp) for c, size in zip(contexts, sizes_of_tables)]
     return slots, tree.bits[code], np.repeat(entry, lengths)
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
-    """A byte for each count: eight steps for each doubling of 1 + count, so that tables stay small."""
-    return np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint8)
+    """A byte for each count: five steps for each doubling of 1 + count, up to 2^51, so that tables stay small."""
+    return np.minimum(255, np.round(5 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
 def _by_code(of_counts) -> np.ndarray:
     """A value for each 16-bit code of two quantised counts: zeros + 256 * ones."""
-    count = 2 ** (np.arange(256) / 8) - 1
+    count = 2 ** (np.arange(256) / 5) - 1
     return of_counts(count[None, :], count[:, None]).reshape(-1)
 
 
@@ -368,16 +559,16 @@ START = np.full((GATES, CONTEXTS), 0.25, np.float32)
 def refine(tables: list[np.ndarray], tree: Tree, entries: Entries, weights: np.ndarray, mass: np.ndarray, rate: float = RATE) -> None:
     """Online steps over the entries that training texts have, STEP at a time; adds to the gates' mass.
 
-    A step goes along the mean gradient of the gate's decisions, each weighted by its multiplicity up to 32: a
-    pair seen more often says nothing new of how to mix. Shorter steps follow where a gate has seen more.
+    A step goes along the mean gradient of the gate's decisions, each weighted by its multiplicity. Shorter steps
+    follow where a gate has seen more.
     """
     known = np.flatnonzero(entries.counts)
     # in the order of their hashes, so that no step has one part of the alphabet only
     for at in range(0, len(known), STEP):
         mine = entries.take(known[at : at + STEP])
-        slots, bits, entry = decisions(mine, tree)
+        slots, bits, entry = decisions(mine, tree, [len(x) for x in tables])
         inputs, gate = _inputs(tables, slots, bits, True)
-        share = np.minimum(mine.counts, 32).astype(np.float32)[entry]
+        share = mine.counts.astype(np.float64)[entry]
         z = _mixed(inputs, gate, weights)
         push = share * (bits - 1 / (1 + np.exp(-np.maximum(z, np.float32(-80)))))
         here = np.bincount(gate, weights=share, minlength=GATES)
@@ -393,7 +584,7 @@ def log10_probabilities(tables: list[np.ndarray], tree: Tree, entries: Entries,
     out = np.zeros(len(entries.lengths))
     for at in range(0, len(out), STEP):
         index = np.arange(at, min(len(out), at + STEP))
-        slots, bits, entry = decisions(entries.take(index), tree)
+        slots, bits, entry = decisions(entries.take(index), tree, [len(x) for x in tables])
         inputs, gate = _inputs(tables, slots, bits, False)
         z = _mixed(inputs, gate, weights) * (bits.astype(np.float32) * 2 - 1)
         cost = np.log1p(np.exp(-np.maximum(z, np.float32(-80))))
@@ -409,22 +600,28 @@ def add_up(tables: list[np.ndarray], tree: Tree, entries: Entries) -> None:
     known = np.flatnonzero(entries.counts)
     for at in range(0, len(known), STEP):
         mine = entries.take(known[at : at + STEP])
-        slots, bits, entry = decisions(mine, tree)
-        times = mine.counts[entry].astype(np.uint32)
+        slots, bits, entry = decisions(mine, tree, [len(x) for x in tables])
+        times = mine.counts[entry].astype(tables[0].dtype)
         for k, table in enumerate(tables):
             np.add.at(table.reshape(-1), slots[k] * 2 + bits, times)
 
 
-def _tables(lexicon: DataFrame, tree: Tree, parts: int) -> list[np.ndarray]:
+def table_sizes(distinct_bytes: int) -> list[int]:
+    """Slots of each context: powers of two that follow the bytes of distinct words."""
+    return [min(MOST_SLOTS, max(LEAST_SLOTS, 1 << math.ceil(math.log2(1 + share * distinct_bytes)))) for share in SLOTS_PER_BYTE]
+
+
+def _tables(lexicon: DataFrame, tree: Tree, parts: int, sizes: list[int], train_bytes: int) -> list[np.ndarray]:
     """Quantised counts of all training decisions: partial tables of the tasks, added up in two rounds of shuffles."""
+    kind = np.uint32 if train_bytes < 2**32 else np.uint64  # a slot counts each byte of the corpus once at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, salt = [np.zeros((size, 2), np.uint32) for size in SLOTS], 0
+        tables, salt = [np.zeros((size, 2), kind) for size in sizes], 0
         for row in _rows(batches):
             salt = row["bucket"]
             add_up(tables, tree, Entries.unpack(row))
         for k, table in enumerate(tables):
-            for chunk in range(2 * SLOTS[k] // _CHUNK):
+            for chunk in range(2 * sizes[k] // _CHUNK):
                 values = table.reshape(-1)[chunk * _CHUNK : (chunk + 1) * _CHUNK]
                 if values.any():
                     yield _chunk_row(k, chunk, salt, values.astype(np.uint64))
@@ -448,7 +645,7 @@ def _tables(lexicon: DataFrame, tree: Tree, parts: int) -> list[np.ndarray]:
     found = lexicon.select("bucket", "blob", "lengths", "classes", "counts").mapInArrow(count, schema)
     found = found.withColumn("salt", F.pmod("salt", F.lit(max(1, round(parts**0.5))))).repartition("k", "chunk", "salt").mapInArrow(add, schema)
     found = found.repartition("k", "chunk").mapInArrow(small, schema)
-    out = [np.zeros(2 * size, np.uint8) for size in SLOTS]
+    out = [np.zeros(2 * size, np.uint8) for size in sizes]
     for row in found.collect():  # no more than the tables' fixed size
         out[row["k"]][row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = restored(row["sums"], np.uint8)
     return [coded(x.reshape(-1, 2)) for x in out]
@@ -475,22 +672,30 @@ def _weights(lexicon: DataFrame, tables, tree: Tree) -> np.ndarray:
     return out
 
 
-def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_bytes: int = BUCKET_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row per row of `documents`: id, n_tokens, n_known, train_tokens, base_score, score, n_coded_bytes.
 
     `learn` says which rows train (null: no). base_score is the log10 probability by add-one token counts of the
-    training rows, score by the mixed model. Null and empty texts have their end only. Without training rows
-    every slot is empty and all decisions are even. -score / log10(2) / n_coded_bytes is the bits per byte.
+    training rows, score by the mixed model, in which a training row's passages are not predicted from themselves.
+    Null and empty texts have their end only. Without training rows every slot is empty and all decisions are even.
+    Repeated rows are scored each. -score / log10(2) / n_coded_bytes is the bits per byte.
     """
     spark = documents.sparkSession
+    kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    blocks, buckets = size // block_bytes + 1, size // bucket_bytes + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    read = graph.cut(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), f"block bigint, kind int, n bigint, ids array<{kind}>, parts array<binary>"))
+    of = lambda k: read.where(F.col("kind") == k)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in row["parts"]], ["pair", "size"])
 
-    schema = f"block int, bucket int, {ENTRIES}"
-    asked = rows.select("block", "learn", "text").repartition(blocks, "block").mapInArrow(lambda batches: _messages(batches, buckets), schema)
-    asked = graph.cut(asked)
+    lengths = of(SOME).select("parts").mapInArrow(some, "pair bigint, size bigint").groupBy("pair").agg(F.min("size").alias("size"))
+    distinct_bytes = SAMPLED * (lengths.agg(F.coalesce(F.sum(F.col("size") + 1), F.lit(0))).first()[0])
+    n_keys = of(KEYS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets, key_buckets = distinct_bytes // bucket_bytes + 1, n_keys // bucket_keys + 1
+
+    asked = of(PAIRS).select("block", "parts").mapInArrow(lambda batches: _messages(batches, buckets), f"block bigint, bucket int, {ENTRIES}")
     lexicon = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_lexicon, f"bucket int, {ENTRIES}, word_counts binary, total bigint, known bigint")
     lexicon = graph.cut(lexicon)
     n, v = (x or 0 for x in lexicon.agg(F.sum("total"), F.sum("known")).first())
@@ -505,7 +710,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     for row in lexicon.select("bucket", "blob", "lengths", "classes", "counts").mapInArrow(histogram, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         seen[row["byte"]] = row["n"]
     tree = huffman(seen)
-    tables = spark.sparkContext.broadcast(_tables(lexicon, tree, buckets))
+    tables = spark.sparkContext.broadcast(_tables(lexicon, tree, buckets, table_sizes(distinct_bytes), int(seen.sum())))
     weights = _weights(lexicon, tables, tree)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,23 +718,42 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             entries = Entries.unpack(row)
             _, pairs = entries.hashes()
             logs = log10_probabilities(tables.value, tree, entries, weights)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["bucket"], squeezed(pairs), row["word_counts"], squeezed(logs.astype(np.float32))), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "pairs", "word_counts", "logs"])
+            yield _one(["bucket", "pairs", "word_counts", "logs"], [pa.int32(), *[pa.binary()] * 3], [row["bucket"], squeezed(pairs), row["word_counts"], squeezed(logs.astype(np.float32))])
 
     known = lexicon.mapInArrow(scored, "bucket int, pairs binary, word_counts binary, logs binary")
     none = F.lit(None)
-    both = known.select("bucket", F.lit(-1).alias("block"), "pairs", "word_counts", "logs", *(none.cast("binary").alias(c) for c in ("blob", "lengths", "classes", "counts")))
+    both = known.select("bucket", F.lit(-1).cast("bigint").alias("block"), "pairs", "word_counts", "logs", *(none.cast("binary").alias(c) for c in ("blob", "lengths", "classes", "counts")))
     both = both.unionByName(asked.select("bucket", "block", *(none.cast("binary").alias(c) for c in ("pairs", "word_counts", "logs")), "blob", "lengths", "classes", "counts"))
-    answers = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answers, "block int, pairs binary, word_counts binary, logs binary")
-    kind = documents.schema[id_col].dataType.simpleString()
-    texts = rows.select("block", F.lit(1).alias("kind"), "id", "text", *(none.cast("binary").alias(c) for c in ("pairs", "word_counts", "logs")))
-    answers = answers.select("block", F.lit(0).alias("kind"), none.cast(kind).alias("id"), none.cast("string").alias("text"), "pairs", "word_counts", "logs")
-    meet = answers.unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind")
-    out = meet.mapInArrow(lambda batches: _sums(batches, int(n), int(v)), f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_coded_bytes bigint")
+    answers = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answers, "block bigint, bucket int, word_counts binary, logs binary")
+
+    met = _met_segments(of(KEYS), of(ROWS), key_buckets)
+    odds = np.full(SEGMENT_CLASSES, 0.5)
+    for row in met.mapInArrow(_hits, "class int, misses bigint, hits bigint").groupBy("class").agg(F.sum("misses").alias("misses"), F.sum("hits").alias("hits")).collect():
+        odds[row["class"]] = (row["hits"] + 0.5) / (row["hits"] + row["misses"] + 1)
+
+    empty = lambda *names: [none.cast("binary").alias(c) for c in names]
+    meet = answers.select("block", F.lit(0).alias("kind"), "bucket", "word_counts", "logs", *empty("context", "both"), none.cast(f"array<{kind}>").alias("ids"), none.cast("array<binary>").alias("parts"))
+    meet = meet.unionByName(met.select("block", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), *empty("word_counts", "logs"), "context", "both", none.cast(f"array<{kind}>").alias("ids"), none.cast("array<binary>").alias("parts")))
+    meet = meet.unionByName(of(ROWS).select("block", F.lit(2).alias("kind"), F.lit(0).alias("bucket"), *empty("word_counts", "logs", "context", "both"), "ids", "parts"))
+    meet = meet.repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    out = meet.mapInArrow(lambda batches: _sums(batches, int(n), int(v), odds), f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_coded_bytes bigint")
     return out.withColumnRenamed("id", id_col)
 
 
+def _met_segments(keys: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
+    """(block, context, both): how often each segment with a context, and that context, were seen in other places."""
+    sent = keys.select("block", "parts").mapInArrow(lambda batches: _key_messages(batches, buckets), "block bigint, bucket int, keys binary, counts binary")
+    totals = graph.cut(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_key_totals, "bucket int, keys binary, counts binary"))
+    both = totals.select(F.lit(-1).cast("bigint").alias("block"), "bucket", "keys", "counts").unionByName(sent.select("block", "bucket", "keys", F.lit(None).cast("binary").alias("counts")))
+    counts = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_key_answers, "block bigint, bucket int, counts binary")
+    # of the rows only what says where their segments are
+    short = F.transform("parts", lambda x, i: F.when(i.isin(0, 5, 6, 7), x))
+    meet = counts.withColumn("parts", F.lit(None).cast("array<binary>")).unionByName(rows.select("block", F.lit(2**31 - 1).alias("bucket"), F.lit(None).cast("binary").alias("counts"), short.alias("parts")))
+    return graph.cut(meet.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_seen_segments, "block bigint, context binary, both binary"))
+
+
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block's message to a bucket, what the bucket knows of its pairs; the bucket's own rows come first."""
+    """For each block's message to a bucket, what the bucket knows of its pairs, in the block's order; the bucket's own rows come first."""
     bucket, own, table = None, [], None
     for row in _rows(batches):
         if row["bucket"] != bucket:
@@ -543,39 +767,39 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, own = [x[order] for x in table], []
         _, pairs = Entries.unpack(row).hashes()
         at = np.searchsorted(table[0], pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["block"], squeezed(pairs), squeezed(table[1][at]), squeezed(table[2][at])), (pa.int32(), *[pa.binary()] * 3))], ["block", "pairs", "word_counts", "logs"])
+        yield _one(["block", "bucket", "word_counts", "logs"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], [row["block"], bucket, squeezed(table[1][at]), squeezed(table[2][at])])
 
 
-def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int, odds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sums over the tokens of each text of what its block's answers say; a block's answers come before its texts."""
-    block, own, table = None, [], None
+    block, answers, seen = None, [], None
     for batch in batches:
-        of = batch.column("block").to_numpy(zero_copy_only=False)
-        kinds = batch.column("kind").to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero((of[1:] != of[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(of)]):
-            if a == b:
-                continue
-            if of[a] != block:
-                block, own, table = of[a], [], None
-            run = batch.slice(a, b - a)
-            if kinds[a] == 0:
-                for row in run.select(["pairs", "word_counts", "logs"]).to_pylist():
-                    own.append([restored(row[c], t) for c, t in (("pairs", np.uint64), ("word_counts", np.uint64), ("logs", np.float32))])
-                continue
-            if table is None:
-                table = [np.concatenate(x) for x in zip(*own)]
-                order = np.argsort(table[0])
-                table, own = [x[order] for x in table], []
-                table.append(np.log10(table[1].astype(np.float64) + 1))
-            for part in text.steps(run, "text"):
-                data, offsets = text.joined(part.column("text"))
-                t = tokens(data, offsets)
-                at = np.searchsorted(table[0], t.pairs)
-                rows = part.num_rows
-                n_tokens = np.bincount(t.rows, minlength=rows)
-                n_known = np.bincount(t.rows[table[1][at] > 0], minlength=rows)
-                base = np.bincount(t.rows, weights=table[3][at], minlength=rows) - n_tokens * np.log10(n + v + 1)
-                logs = np.bincount(t.rows, weights=table[2][at], minlength=rows)
-                coded = np.bincount(t.rows, weights=t.ends - t.starts + 1, minlength=rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(rows, n), pa.int64()), pa.array(base), pa.array(logs), pa.array(coded)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_coded_bytes"])
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            if row["block"].as_py() != block:
+                block, answers, seen = row["block"].as_py(), [], None
+            if row["kind"].as_py() == 0:
+                answers.append([restored(row[c].as_py(), t) for c, t in (("word_counts", np.uint64), ("logs", np.float32))])
+            elif row["kind"].as_py() == 1:
+                seen = [restored(row[c].as_py(), np.int64) for c in ("context", "both")]
+            else:
+                yield _summed(row["ids"].values, row["parts"].as_py(), [np.concatenate(x) for x in zip(*answers)], seen, n, v, odds)
+
+
+def _summed(ids: pa.Array, parts: list[bytes], answers: list[np.ndarray], seen: list[np.ndarray], n: int, v: int, odds: np.ndarray) -> pa.RecordBatch:
+    _, n_tokens, n_bytes, index, sizes, of_row, known, _ = (restored(x, t) for x, t in zip(parts, ROW_TYPES))
+    word_counts, logs = answers
+    rows = len(n_tokens)
+    of = np.repeat(np.arange(rows), n_tokens.astype(np.int64))
+    n_known = np.bincount(of, weights=(word_counts > 0)[index], minlength=rows).astype(np.int64)
+    base = np.bincount(of, weights=np.log10(word_counts.astype(np.float64) + 1)[index], minlength=rows) - n_tokens * np.log10(n + v + 1)
+    starts = np.cumsum(sizes.astype(np.int64)) - sizes
+    spelt = np.add.reduceat(logs.astype(np.float64)[index], starts)
+    decided, hit = segment_logs(*seen, odds)
+    of_segment = np.zeros(len(sizes))
+    of_segment[known > 0] = decided
+    known = known > 0
+    known[known] = hit
+    total = np.bincount(np.repeat(np.arange(rows), of_row.astype(np.int64)), weights=of_segment + np.where(known, 0.0, spelt), minlength=rows)
+    columns = [ids, pa.array(n_tokens.astype(np.int64)), pa.array(n_known), pa.array(np.full(rows, n), pa.int64()), pa.array(base), pa.array(total), pa.array(n_bytes.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_coded_bytes"])

@@ -286,7 +286,7 @@ def test_language_model_edges(spark, docs):
 
 def test_language_model_does_not_depend_on_blocks(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
-    a, b = ({r["doc_id"]: r for r in mixing_lm.score(rows, F.col("doc_id") % 5 != 0, block_bytes=size).collect()} for size in (1 << 30, 1 << 14))
+    a, b = ({r["doc_id"]: r for r in mixing_lm.score(rows, F.col("doc_id") % 5 != 0, block_tokens=size, bucket_keys=size).collect()} for size in (1 << 30, 1 << 9))
     assert a.keys() == b.keys()
     for k, r in a.items():
         assert r["n_known"] == b[k]["n_known"] and r["base_score"] == pytest.approx(b[k]["base_score"]) and r["score"] == pytest.approx(b[k]["score"], rel=1e-5)
@@ -295,3 +295,26 @@ def test_language_model_does_not_depend_on_blocks(spark, sf):
 def test_probabilities_of_a_byte_add_to_one():
     tree = mixing_lm.huffman(np.arange(256))
     assert sum(2.0 ** -(tree.first[b + 1] - tree.first[b]) for b in range(256)) == pytest.approx(1)
+
+
+def test_passages_are_predicted_from_other_places(spark):
+    rng = random.Random(12)
+    some = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    twice, held = some(), some()
+    rows = spark.createDataFrame([(1, twice), (2, twice), (3, held), (103, held), *((i, some()) for i in range(4, 40))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in mixing_lm.score(rows, F.col("doc_id") < 100).collect()}
+    assert max(got[k] for k in range(3, 40)) < 3 * min(got[1], got[2], got[103]) and got[1] == got[2]
+
+
+def test_segments_of_rows():
+    data = b"a b c d e f g h i j k l m n o p a b"
+    t = mixing_lm.tokens(np.frombuffer(data + data, np.uint8), np.array([0, len(data), 2 * len(data), 2 * len(data)]))
+    s = mixing_lm.segments(t)
+    assert s.sizes.sum() == len(t.words) == 2 * 19 + 1 and (s.contexts[np.flatnonzero(np.diff(s.rows, prepend=-1))] == 0).all()
+    one, two = s.both[s.rows == 0], s.both[s.rows == 1]
+    assert (one == two).all() and len(s.both) == 2 * len(one) + 1 and (s.contexts[s.rows == 0][1:] != 0).all()
+
+
+def test_tables_grow_with_the_lexicon():
+    assert mixing_lm.table_sizes(0) == [1 << 14] * 5 and mixing_lm.table_sizes(1 << 40) == [mixing_lm.MOST_SLOTS] * 5
+    assert mixing_lm.table_sizes(1 << 20) < mixing_lm.table_sizes(1 << 22)
