@@ -48,7 +48,7 @@ BLOCK_TOKENS, BUCKET_BYTES, BUCKET_KEYS, PRIOR, RATE, STEP = 4 << 20, 4 << 20, 4
 ORDERS = (2, 4, 6)
 
 #: Slots of each context for a byte of distinct words, and the bounds of a table.
-SLOTS_PER_BYTE, LEAST_SLOTS, MOST_SLOTS = (1 / 8, 1 / 2, 1, 2, 2), 1 << 14, 1 << 23
+SLOTS_PER_BYTE, LEAST_SLOTS, MOST_SLOTS = (1 / 256, 1 / 32, 1 / 16, 1 / 4, 1 / 4), 1 << 14, 1 << 23
 
 CONTEXTS = len(SLOTS_PER_BYTE)
 
@@ -315,41 +315,27 @@ def _one(names: list[str], types: list[pa.DataType], row: list) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
 
-def _key_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The training counts of each bucket's hashes, in order; the blocks of a bucket follow one another."""
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        out = np.zeros(len(keys), np.uint64)
-        np.add.at(out, inverse, np.concatenate([c for _, c in parts]))
-        return keys, out
+def _key_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block's hashes in a bucket their counts in all blocks. A bucket's messages follow one another; all of them are about BUCKET_KEYS hashes."""
 
-    def emit() -> pa.RecordBatch:
-        keys, counts = merged(parts)
-        return _one(["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], [bucket, squeezed(np.diff(keys, prepend=np.uint64(0))), squeezed(counts)])
+    def emit() -> Iterator[pa.RecordBatch]:
+        keys, inverse = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True)
+        totals = np.zeros(len(keys), np.uint64)
+        np.add.at(totals, inverse, np.concatenate([c for _, _, c in parts]))
+        at = 0
+        for block, mine, _ in parts:
+            yield _one(["block", "bucket", "counts"], [pa.int64(), pa.int32(), pa.binary()], [block, bucket, squeezed(totals[inverse[at : at + len(mine)]])])
+            at += len(mine)
 
     bucket, parts = None, []
     for row in _rows(batches):
         if row["bucket"] != bucket and parts:
-            yield emit()
+            yield from emit()
             parts = []
         bucket = row["bucket"]
-        parts.append((np.cumsum(restored(row["keys"], np.uint64)), restored(row["counts"], np.uint64)))
-        if len(parts) >= 64:
-            parts = [merged(parts)]
+        parts.append((row["block"], np.cumsum(restored(row["keys"], np.uint64)), restored(row["counts"], np.uint64)))
     if parts:
-        yield emit()
-
-
-def _key_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block's hashes their training counts; the bucket's own row comes first, as block -1."""
-    keys = counts = None
-    for row in _rows(batches):
-        mine = np.cumsum(restored(row["keys"], np.uint64))
-        if row["block"] < 0:
-            keys, counts = mine, restored(row["counts"], np.uint64)
-            continue
-        yield _one(["block", "bucket", "counts"], [pa.int64(), pa.int32(), pa.binary()], [row["block"], row["bucket"], squeezed(counts[np.searchsorted(keys, mine)])])
+        yield from emit()
 
 
 def _seen_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -743,9 +729,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
 def _met_segments(keys: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
     """(block, context, both): how often each segment with a context, and that context, were seen in other places."""
     sent = keys.select("block", "parts").mapInArrow(lambda batches: _key_messages(batches, buckets), "block bigint, bucket int, keys binary, counts binary")
-    totals = graph.cut(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_key_totals, "bucket int, keys binary, counts binary"))
-    both = totals.select(F.lit(-1).cast("bigint").alias("block"), "bucket", "keys", "counts").unionByName(sent.select("block", "bucket", "keys", F.lit(None).cast("binary").alias("counts")))
-    counts = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_key_answers, "block bigint, bucket int, counts binary")
+    counts = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_key_answers, "block bigint, bucket int, counts binary")
     # of the rows only what says where their segments are
     short = F.transform("parts", lambda x, i: F.when(i.isin(0, 5, 6, 7), x))
     meet = counts.withColumn("parts", F.lit(None).cast("array<binary>")).unionByName(rows.select("block", F.lit(2**31 - 1).alias("bucket"), F.lit(None).cast("binary").alias("counts"), short.alias("parts")))
