@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from stancelake.llm import graph, text
 
 #: Tokens of a block; bytes of distinct words and number of distinct hashes in a bucket; evidence added to both counts; step size; entries in a step.
-BLOCK_TOKENS, BUCKET_BYTES, BUCKET_KEYS, PRIOR, RATE, STEP = 4 << 20, 4 << 20, 4 << 20, 0.35, 1.0, 512
+BLOCK_TOKENS, BUCKET_BYTES, BUCKET_KEYS, PRIOR, RATE, STEP = 2 << 20, 4 << 20, 2 << 20, 0.35, 1.0, 512
 
 #: Numbers of last bytes that are contexts; the word so far, without and with the class, are two more.
 ORDERS = (2, 4, 6)
@@ -61,6 +61,9 @@ END, SPACE, START_CLASS = 10, 32, 0
 #: One word in so many ends a segment; classes of how often its context was seen, by doubling.
 SEGMENT_WORDS, SEGMENT_CLASSES = 8, 64
 
+#: Tokens that are summed at once, of whole rows.
+SUMMED_TOKENS = 1 << 18
+
 #: One distinct pair in so many is counted to size the buckets.
 SAMPLED = 64
 
@@ -767,23 +770,31 @@ def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int, odds: np.ndarray) -
             elif row["kind"].as_py() == 1:
                 seen = [restored(row[c].as_py(), np.int64) for c in ("context", "both")]
             else:
-                yield _summed(row["ids"].values, row["parts"].as_py(), [np.concatenate(x) for x in zip(*answers)], seen, n, v, odds)
+                yield from _summed(row["ids"].values, row["parts"].as_py(), [np.concatenate(x) for x in zip(*answers)], seen, n, v, odds)
+                answers, seen = [], None
 
 
-def _summed(ids: pa.Array, parts: list[bytes], answers: list[np.ndarray], seen: list[np.ndarray], n: int, v: int, odds: np.ndarray) -> pa.RecordBatch:
+def _summed(ids: pa.Array, parts: list[bytes], answers: list[np.ndarray], seen: list[np.ndarray], n: int, v: int, odds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, some SUMMED_TOKENS at a time."""
     _, n_tokens, n_bytes, index, sizes, of_row, known, _ = (restored(x, t) for x, t in zip(parts, ROW_TYPES))
     word_counts, logs = answers
-    rows = len(n_tokens)
-    of = np.repeat(np.arange(rows), n_tokens.astype(np.int64))
-    n_known = np.bincount(of, weights=(word_counts > 0)[index], minlength=rows).astype(np.int64)
-    base = np.bincount(of, weights=np.log10(word_counts.astype(np.float64) + 1)[index], minlength=rows) - n_tokens * np.log10(n + v + 1)
-    starts = np.cumsum(sizes.astype(np.int64)) - sizes
-    spelt = np.add.reduceat(logs.astype(np.float64)[index], starts)
+    base_logs, is_known = np.log10(word_counts.astype(np.float64) + 1), word_counts > 0
     decided, hit = segment_logs(*seen, odds)
-    of_segment = np.zeros(len(sizes))
-    of_segment[known > 0] = decided
-    known = known > 0
-    known[known] = hit
-    total = np.bincount(np.repeat(np.arange(rows), of_row.astype(np.int64)), weights=of_segment + np.where(known, 0.0, spelt), minlength=rows)
-    columns = [ids, pa.array(n_tokens.astype(np.int64)), pa.array(n_known), pa.array(np.full(rows, n), pa.int64()), pa.array(base), pa.array(total), pa.array(n_bytes.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_coded_bytes"])
+    ends, segment_ends, seen_ends = (np.concatenate([[0], np.cumsum(x.astype(np.int64))]) for x in (n_tokens, of_row, known))
+    at = 0
+    while at < len(n_tokens):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SUMMED_TOKENS, "right")) - 1)
+        rows, mine = to - at, index[ends[at] : ends[to]]
+        size = n_tokens[at:to].astype(np.int64)
+        first = ends[at:to] - ends[at]  # every row has its end at least
+        base = np.add.reduceat(base_logs[mine], first) - size * np.log10(n + v + 1)
+        n_known = np.add.reduceat(is_known[mine].astype(np.int64), first)
+        a, b = segment_ends[at], segment_ends[to]
+        spelt = np.add.reduceat(logs[mine].astype(np.float64), np.cumsum(sizes[a:b].astype(np.int64)) - sizes[a:b])
+        with_context = known[a:b] > 0
+        of_segment, by_passage = np.zeros(b - a), np.zeros(b - a, bool)
+        of_segment[with_context], by_passage[with_context] = decided[seen_ends[a] : seen_ends[b]], hit[seen_ends[a] : seen_ends[b]]
+        total = np.add.reduceat(of_segment + np.where(by_passage, 0.0, spelt), segment_ends[at:to] - a)
+        columns = [ids.slice(at, rows), pa.array(size), pa.array(n_known), pa.array(np.full(rows, n), pa.int64()), pa.array(base), pa.array(total), pa.array(n_bytes[at:to].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_coded_bytes"])
+        at = to
