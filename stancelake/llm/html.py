@@ -6,7 +6,7 @@ node that holds the page's article or most of its text, as "has-sidebar" does: s
 characters per tag are computed and adjusted by the share of link characters and link tags; the sums of
 the children's densities are compared over the tree. The node with the largest sum marks the article; the
 least density on its path to the body is the threshold that any further part of the page must reach to
-belong to it. An <article> or <main> around the node is taken whole.
+belong to it. Whether a node is an <article> or a <div> makes no difference to what is selected.
 """
 
 from __future__ import annotations
@@ -19,11 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stancelake.llm import text
+
 # Elements by role, and words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 CUT = frozenset("script style noscript template head nav footer aside form button select textarea input iframe svg canvas object dialog menu title option datalist audio video math".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
+LISTS = frozenset("ul ol dl table div section".split())
 CLOSES_P = BLOCKS - {"body", "html", "tr", "tbody", "tfoot", "thead", "caption"}
 FURNITURE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr notice notices notification sidebar side rail menu "
@@ -79,25 +82,31 @@ def _parse(page: str) -> _Tree:
     stack, block, at, articles = [0], 0, 0, 0
     name_of, parent, cut, end, texts = tree.name, tree.parent, tree.cut, tree.end, tree.texts
 
+    open_at: dict[str, list[int]] = {}  # depths of the open elements of each name, and under "" those of all blocks
+
     def pop_to(depth: int) -> None:
         nonlocal block, articles
         while len(stack) > depth:
             node = stack.pop()
             end[node] = len(name_of)
+            if node:
+                open_at[name_of[node]].pop()
             if name_of[node] in BLOCKS:
+                open_at[""].pop()
                 block += 1
             articles -= name_of[node] in ("article", "main")
 
-    def opened(names: frozenset[str] | set[str], stops: frozenset[str] | set[str]) -> int:
+    def innermost(names: tuple[str, ...]) -> int:
+        return max((open_at[name][-1] for name in names if open_at.get(name)), default=0)
+
+    def opened(names: tuple[str, ...], stops: tuple[str, ...]) -> int:
         """Depth of the innermost open element of these names, above any of the stops; 0 for none."""
-        for depth in range(len(stack) - 1, 0, -1):
-            if name_of[stack[depth]] in names:
-                return depth
-            if name_of[stack[depth]] in stops:
-                return 0
-        return 0
-
-    token = _TOKEN.search(page, 0)
+        depth = innermost(names)
+        return depth if depth > innermost(tuple(x for x in stops if x not in names)) else 0
+
+    last = page.rfind(">")
+    more = lambda: _TOKEN.search(page, at) if at <= last or page.find("<!", at) >= 0 else None
+    token = more()
     while token:
         if token.start() > at:
             texts.append((stack[-1], block, page[at : token.start()]))
@@ -107,13 +116,13 @@ def _parse(page: str) -> _Tree:
             name = name.lower()
             if slash:
                 inline = name not in BLOCKS
-                depth = opened({name}, BLOCKS if inline else {"table"} if name not in ("table", "body", "html", "article", "main", "section", "div") else set())
+                depth = opened((name,), ("",) if inline else ("table",) if name not in ("table", "body", "html", "article", "main", "section", "div") else ())
                 if depth:
                     pop_to(depth)
             else:
-                if name in CLOSES_P and (depth := opened({"p"}, {"table", "div", "section", "article", "li", "blockquote", "td", "th", "main", "aside"})):
+                if name in CLOSES_P and (depth := opened(("p",), ("table", "div", "section", "article", "li", "blockquote", "td", "th", "main", "aside"))):
                     pop_to(depth)
-                if name == "li" and (depth := opened({"li"}, {"ul", "ol", "menu"})) or name in ("dt", "dd") and (depth := opened({"dt", "dd"}, {"dl"})) or name == "tr" and (depth := opened({"tr"}, {"table"})) or name in ("td", "th") and (depth := opened({"td", "th"}, {"tr", "table"})) or name == "option" and (depth := opened({"option"}, {"select"})):
+                if name == "li" and (depth := opened(("li",), ("ul", "ol", "menu"))) or name in ("dt", "dd") and (depth := opened(("dt", "dd"), ("dl",))) or name == "tr" and (depth := opened(("tr",), ("table",))) or name in ("td", "th") and (depth := opened(("td", "th"), ("tr", "table"))) or name == "option" and (depth := opened(("option",), ("select",))):
                     pop_to(depth)
                 if name in ("br", "td", "th"):
                     texts.append((stack[-1], block, " "))
@@ -129,6 +138,9 @@ def _parse(page: str) -> _Tree:
                         tree.words[node] = notice
                     end.append(0)
                     articles += name in ("article", "main")
+                    open_at.setdefault(name, []).append(len(stack))
+                    if name in BLOCKS:
+                        open_at.setdefault("", []).append(len(stack))
                     stack.append(node)
                     if attributes.endswith("/") and name not in BLOCKS:
                         pop_to(len(stack) - 1)
@@ -136,7 +148,7 @@ def _parse(page: str) -> _Tree:
                         close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                         at = close.end() if close else len(page)
                         pop_to(len(stack) - 1)
-        token = _TOKEN.search(page, at)
+        token = more()
     if at < len(page):
         texts.append((stack[-1], block, page[at:]))
     pop_to(0)
@@ -190,8 +202,8 @@ def _cut_by_words(tree: _Tree) -> None:
                 cut[i] = True
 
 
-def _densities(tree: _Tree) -> tuple[list[float], list[float], int]:
-    """Composite density and sum of the children's densities of every node, and the number of the body."""
+def _densities(tree: _Tree) -> tuple[list[float], list[float], int, set[int]]:
+    """Composite density and sum of the children's densities of every node, the number of the body, and lists of links only."""
     n = len(tree.name)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
@@ -220,18 +232,20 @@ def _densities(tree: _Tree) -> tuple[list[float], list[float], int]:
             density[i] = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / math.log(base)) if c > 1 else 0.01
         if i:
             sums[tree.parent[i]] += density[i]
-    return density, sums, body
+    menus = {i for i in range(n) if tree.name[i] in LISTS and link_tags[i] >= 3 and link_chars[i] == chars[i]}
+    return density, sums, body, menus
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the article joined by newlines, white space inside a block as one space; empty for none.
 
     Null and empty pages, and pages of furniture only, give the empty string. A page without tags is one block.
+    Within the selected parts, lists that have no text but that of three links or more are menus and left out.
     """
     if not page:
         return ""
     tree = _parse(page)
-    density, sums, body = _densities(tree)
+    density, sums, body, menus = _densities(tree)
     n = len(tree.name)
     inside = [i for i in range(body, max(tree.end[body], body + 1)) if not tree.cut[i]]
     best = max(inside, key=lambda i: (sums[i] or density[i], -i), default=0)
@@ -240,22 +254,20 @@ def main_text(page: str | None) -> str:
         path.append(at)
         at = tree.parent[at]
     threshold = min((density[i] for i in path), default=0.0)
-    landmark = next((i for i in reversed(path) if tree.name[i] in ("article", "main")), None)
     chosen = [False] * n
-    if landmark is not None:
-        roots = [landmark]
-    else:
-        # parts beside the path that are as dense as the thinnest node of the path; their own furniture is cut already
-        roots = [best] + [i for i in inside if i not in path and tree.parent[i] in path[1:] and density[i] >= threshold > 0]
-        if best == body or tree.name[best] == "#root":
-            roots = [best]
+    # parts beside the path that are as dense as the thinnest node of the path; their own furniture is cut already
+    roots = [best]
+    if best != body and tree.name[best] != "#root":
+        on_path = set(path)
+        roots += [i for i in inside if i not in on_path and tree.parent[i] in on_path and tree.parent[i] != best and density[i] >= threshold > 0]
     for root in roots:
         for i in range(root, max(tree.end[root], root + 1)):
             chosen[i] = True
-    if landmark is None and len(path) > 1:  # text that stands directly in the path's nodes, not in a part that was left out
-        for i in path[1:]:
-            if tree.name[i] not in ("#root", "html"):
-                chosen[i] = chosen[i] or density[best] <= density[i]
+    for i in menus.difference(path):
+        chosen[i : max(tree.end[i], i + 1)] = [False] * (max(tree.end[i], i + 1) - i)
+    for i in path[1:]:  # text that stands directly in the path's nodes, not in a part that was left out
+        if tree.name[i] not in ("#root", "html"):
+            chosen[i] = chosen[i] or density[best] <= density[i]
     blocks: dict[int, list[str]] = {}
     for node, block, raw in tree.texts:
         if chosen[node] and not tree.cut[node]:
@@ -265,11 +277,14 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """All columns of `pages` and the main text of each; no shuffle."""
+    """All columns of `pages` and the main text of each; no shuffle.
 
+    Null pages count as empty and give the empty string; repeated rows are alike, an empty table stays empty. Where
+    `pages` has a column `out` already it stays, and the new one gets underscores behind its name.
+    """
 
     @F.pandas_udf("string")
     def texts(column: pd.Series) -> pd.Series:
         return pd.Series([main_text(page) for page in column], dtype=object)
 
-    return pages.withColumn(out, texts(F.col(html_col)))
+    return pages.select("*", texts(F.col(html_col)).alias(text.free_name(pages.columns, out)))

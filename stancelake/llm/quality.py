@@ -15,13 +15,13 @@ kinds and of repeated words. They are computed with numpy inside map tasks, so s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancelake.llm import sampling, text
@@ -167,24 +167,34 @@ def _matrix(rows: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 def train(documents: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 7) -> Model:
     """Fits a model to texts whose ids are in `positives` (a column id) and to texts of any kind.
 
-    Both samples are drawn by a hash of the id and hold about `most_*` rows, so that what reaches the
-    driver, and the broadcast of sampled ids, is bounded at every input size.
+    Both samples are drawn by a hash and hold at most `most_*` rows, one for each id among the positives, so that
+    what reaches the driver, and the broadcast of sampled ids, is bounded at every input size.
     """
-    chosen = sampling.about(positives.select("id"), "id", most_positive, seed)
-    trusted = documents.join(F.broadcast(chosen), documents[id_col] == chosen["id"], "left_semi")
-    unlabelled = sampling.about(documents, id_col, most_unlabelled, seed + 1)
-    return fit(_matrix(trusted, id_col, text_col), _matrix(unlabelled, id_col, text_col))
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = sampling.about(positives.select("id").where("id IS NOT NULL").distinct(), ["id"], most_positive, seed)
+    trusted = sampling.one_each(rows.join(F.broadcast(chosen), "id", "left_semi"), "id", "text")
+    unlabelled = sampling.about(rows, ["id", "text"], most_unlabelled, seed + 1)
+    return fit(_matrix(trusted, "id", "text"), _matrix(unlabelled, "id", "text"))
 
 
-def score(documents: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of `documents` and a double in (0, 1); null texts count as empty. No shuffle."""
+def probability(model: Model) -> Callable[[Column], Column]:
+    """Text column -> double in (0, 1); null texts count as empty."""
 
     @F.pandas_udf("double")
-    def probability(texts):
+    def of(texts):
         out = []
         batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.large_string())], ["text"])
         for part in text.steps(batch, "text"):
             out.append(_sigmoid(model.logits(features(*text.joined(part.column("text")))).astype(np.float64)))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return documents.withColumn(score_col, probability(F.col(text_col)))
+    return of
+
+
+def score(documents: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of `documents` and a double in (0, 1); null texts count as empty. No shuffle.
+
+    Where `documents` has a column `score_col` already it stays, and the new one gets underscores behind its name.
+    Repeated rows are scored alike, an empty table stays empty.
+    """
+    return documents.select("*", probability(model)(F.col(text_col)).alias(text.free_name(documents.columns, score_col)))

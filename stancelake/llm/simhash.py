@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancelake.llm import graph, text
@@ -349,13 +350,14 @@ def _verified(rows: DataFrame, bits: int, radius: int, similarity: float, most:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5, bits: int = 512, bands: int = 8, most: int = MOST, most_bytes: int = 32 << 20) -> DataFrame:
+def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bits: int = 512, bands: int = 8, most: int = MOST, most_bytes: int = 32 << 20, tail: bool = False) -> DataFrame:
     """(id, fingerprint, component) of every row: the smallest id that links of near copies reach.
 
     Texts link if the Jaccard similarity of their sets of `size`-word shingles is at least `similarity`. Wide
     fingerprints of those sets, anchored shards and a radius four standard deviations beyond the expected distance
     find the candidates; then the shingle sets of candidates, and of no other row, are compared exactly.
-    Equal sets are one text here, equal fingerprints of other sets are not. Null and empty texts are one class; rows with a null id name none.
+    Equal sets are one text here, equal fingerprints of other sets are not. Null and empty texts are one class; rows
+    with a null id name none. `tail` leaves the hash of the set behind the fingerprint.
     """
     radius = radius_of_sets(similarity, bits)
     rows = graph.cut(fingerprints(documents, id_col, text_col, size, bits, bands, of_sets=True))
@@ -369,15 +371,36 @@ def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rooted = distinct.join(checked, distinct["fingerprint"] == checked["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(names, "root").select("fingerprint", "component")
-    return rows.select("id", "fingerprint").join(named, "fingerprint").select(F.col("id").alias(id_col), F.substring("fingerprint", 1, bits // 8).alias("fingerprint"), "component")
+    return rows.select("id", "fingerprint").join(named, "fingerprint").select(F.col("id").alias(id_col), F.substring("fingerprint", 1, (bits + SET_BITS * tail) // 8).alias("fingerprint"), "component")
 
 
-def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def set_key(size: int) -> Callable[[Column], Column]:
+    """Text column -> hash of its set of `size`-word shingles; that of the empty set for null."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_set_hash(np.unique(shingle_hashes((t or "").encode(), size))) for t in texts], dtype=object)
+
+    return of
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, **how) -> DataFrame:
     """The rows of `documents` without near copies: of each class the row with the smallest id stays.
 
-    `how` goes to similar_classes. Rows without id stay; equal rows of one id stay once.
+    `how` goes to similar_classes. Rows without id stay. Where several rows have that id, the one with the least
+    hash of its shingle set stays, and of equal sets that with the least text, of equal texts any one. Only rows of
+    such ids are told apart by their texts; all others by their ids alone.
     """
-    found = similar_classes(documents, id_col, text_col, **how)
-    keepers = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    named = documents.where(F.col(id_col).isNotNull()).join(keepers, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return named.select(*documents.columns).unionByName(documents.where(F.col(id_col).isNull()))
+    found = similar_classes(documents, id_col, text_col, size, tail=True, **how).where(F.col(id_col).isNotNull())
+    key = F.substring("fingerprint", -(SET_BITS // 8), SET_BITS // 8)
+    found = found.select(F.col(id_col).alias("id"), key.alias("key"), "component")
+    keepers = found.where("id = component").groupBy("id", "component").agg(F.min("key").alias("key"))
+    repeated = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keepers = graph.cut(keepers.join(repeated, "id", "left").select("id", "key", F.col("n").isNotNull().alias("several")))
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.join(keepers.where("NOT several"), "id", "left_semi").select("row").unionByName(rows.where("id IS NULL").select("row"))
+    if not keepers.where("several").isEmpty():
+        mine = rows.join(keepers.where("several").select("id", F.col("key").alias("wanted")), "id").select("row", "id", "text", "wanted", set_key(size)(F.col("text")).alias("key"))
+        mine = mine.where("key = wanted").groupBy("id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+        out = out.unionByName(mine.select("row"))
+    return out.select("row.*")

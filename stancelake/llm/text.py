@@ -115,3 +115,11 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "biu" else np.float64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def free_name(taken: list[str], wanted: str) -> str:
+    """`wanted`, with as many underscores behind it as it takes to clash with none of the names, whatever their case."""
+    low = {name.lower() for name in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stancelake.llm import chat, decontaminate, graph, html, licences, mixing_lm, mixture, quality, simhash, telephony, text, toxicity
+from stancelake.llm import chat, decontaminate, graph, html, licences, mixing_lm, mixture, quality, sampling, simhash, telephony, text, toxicity
 
 LONG = "word " * 30_000
 
@@ -27,9 +27,9 @@ def test_word_spans_and_hashes():
 
 def test_quality_scores_all_rows(spark, docs):
     model = quality.train(docs, docs.select(F.col("doc_id").alias("id")).where("id = 3"))
-    got = quality.score(docs, model, score_col="q")
-    assert got.columns == [*docs.columns, "q"] and got.where("q >= 0 AND q <= 1").count() == 7
-    assert quality.score(docs.limit(0), model, score_col="q").count() == 0
+    got = quality.score(docs, model)
+    assert got.columns == [*docs.columns, "score_"] and got.where("score = 'x' AND score_ >= 0 AND score_ <= 1").count() == 7
+    assert quality.score(docs.limit(0), model).count() == 0
     assert quality.fit(np.zeros((0, 4), np.float32), np.zeros((3, 4), np.float32)).prior == 0.5
 
 
@@ -41,8 +41,8 @@ def test_prior_is_near_the_share():
 
 def test_toxicity_on_few_rows(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([(3, 1), (4, 0)], "id long, label int"))
-    assert toxicity.score(docs, model, score_col="t").where("t >= 0 AND t <= 1").count() == 7
-    assert toxicity.score(docs.limit(0), model, score_col="t").count() == 0
+    assert toxicity.score(docs, model).where("score = 'x' AND score_ >= 0 AND score_ <= 1").count() == 7
+    assert toxicity.score(docs.limit(0), model).count() == 0
 
 
 def test_pool_in_parts_is_the_same(monkeypatch):
@@ -66,7 +66,7 @@ def test_pool_in_parts_of_one_text_is_the_same(monkeypatch):
 def test_toxicity_learns_whole_texts(spark, docs, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda ids, langs, y: sorted(len(x) for x in ids))
     labelled = spark.createDataFrame([(3, 1), (4, 0)], "id long, label int")
-    assert toxicity.train(docs, labelled) == [7, 7, 30_000]
+    assert toxicity.train(docs, labelled) == [7, 30_000]
     monkeypatch.setattr(toxicity, "MOST_BYTES", 10)
     monkeypatch.setattr(toxicity, "LEAST_EACH", 1)
     many = spark.createDataFrame([(i, i % 2) for i in range(400)], "id long, label int")
@@ -318,3 +318,113 @@ def test_segments_of_rows():
 def test_tables_grow_with_the_lexicon():
     assert mixing_lm.table_sizes(0) == [1 << 14] * 5 and mixing_lm.table_sizes(1 << 40) == [mixing_lm.MOST_SLOTS] * 5
     assert mixing_lm.table_sizes(1 << 20) < mixing_lm.table_sizes(1 << 22)
+
+
+def test_samples_are_bounded_at_every_size(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"), F.lit("t").alias("text"))
+    got = [r["id"] for r in sampling.about(rows, ["id", "text"], 500, 3).collect()]
+    assert 200 < len(got) <= 500 and got.count(None) <= 1 and len(set(got)) == len(got)
+    assert sampling.about(rows, ["id"], 500, 3, known=10**10).count() <= 500
+    many = spark.range(10**5).toDF("id")
+    assert sampling.about(many, ["id"], 50, 3, known=10**5).count() == 50
+    known = sampling.about(rows.limit(5), ["id"], 500, 3)
+    assert known.count() == 5
+
+
+def test_samples_take_one_text_for_each_id(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, None)], "id int, text string")
+    got = sampling.one_each(rows, "id", "text").collect()
+    assert sorted(r["id"] for r in got) == [1, 2] and {r["text"] for r in got} <= {"a", "b", None}
+
+
+def test_of_rows_with_one_id_one_stays(spark):
+    rng = random.Random(13)
+    one, two, three = (" ".join(str(rng.randrange(10**6)) for _ in range(50)) for _ in range(3))
+    rows = [(1, one, 7), (1, one, 7), (1, two, 7), (2, one + " end", 7), (3, three, 7), (4, "A b", 7), (4, "a  b", 7), (None, one, 7), (None, one, 7)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component int"))
+    got = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+    assert kept.columns == ["doc_id", "text", "component"]
+    assert got == sorted([("1", one), ("1", two), ("3", three), ("4", "A b"), ("None", one), ("None", one)])
+
+
+def _random_page(rng, depth=0):
+    """(html, tree): tree is [name, children or text]."""
+    kids = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.random()
+        if kind < 0.4 or depth > 4:
+            kids.append("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 60))))
+        else:
+            kids.append([rng.choice(["div", "b", "a", "section", "i"]), _random_page(rng, depth + 1)])
+    return kids
+
+
+def test_densities_are_those_of_brute_force():
+    import math
+
+    def shown(kids):
+        return "".join(k if isinstance(k, str) else f"<{k[0]}>{shown(k[1])}</{k[0]}>" for k in kids)
+
+    def facts(node, in_link=False):
+        linked = in_link or node[0] == "a"
+        total = [0, 0, 0, 0]
+        for k in node[1]:
+            if isinstance(k, str):
+                size = len(" ".join(k.split()))
+                total[0] += size
+                total[2] += size * linked
+            else:
+                c, t, lc, lt = facts(k, linked)
+                total = [total[0] + c, total[1] + t + 1, total[2] + lc, total[3] + lt + (k[0] == "a")]
+        node.append(tuple(total))
+        return node[2]
+
+    def density(node, body):
+        c, t, lc, lt = node[2]
+        if not c:
+            return 0.0
+        if c == 1:
+            return 0.01
+        t, lc, lt = max(1, t), max(1, lc), max(1, lt)
+        base = math.log(c / max(1, c - lc) * lc + body[2] / max(1, body[0]) * c + math.e)
+        return c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / math.log(base))
+
+    rng = random.Random(14)
+    for _ in range(60):
+        body = ["body", _random_page(rng)]
+        page = f"<body>{shown(body[1])}</body>"
+        facts(body)
+        in_order, open_ = [], [body]
+        while open_:
+            node = open_.pop(0)
+            in_order.append(node)
+            open_ = [k for k in node[1] if not isinstance(k, str)] + open_
+        got, sums, at, _ = html._densities(html._parse(page))
+        want = [density(x, body[2]) for x in in_order]
+        assert got[at:] == pytest.approx(want) and sums[at:] == pytest.approx([sum(density(k, body[2]) for k in x[1] if not isinstance(k, str)) for x in in_order])
+        best = max(range(len(in_order)), key=lambda i: (sums[at + i] or got[at + i], -i))
+        inside = "".join(x if isinstance(x, str) else shown([x]) for x in in_order[best][1])
+        words = "".join(html.main_text(page).split())
+        assert "<" in inside or "".join(inside.split()) in words
+
+
+def test_html_is_parsed_in_linear_time():
+    import time
+
+    for page in ("<b>x</i>" * 40_000, "<a'" * 40_000, "<p>" * 40_000, "<!--" * 40_000, "<li>" * 40_000, "</p>" * 40_000, "<div><b>" * 40_000):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_html_tag_names_do_not_select():
+    article = "<h1>T</h1>" + "<p>Many words of a long article, which go on for a while here.</p>" * 9
+    pages = [f"<body><nav><a href=x>m</a></nav><div class='ad'>Buy.</div><{t}>{article}</{t}><footer>f</footer></body>" for t in ("article", "div", "main", "section")]
+    assert len({html.main_text(p) for p in pages}) == 1 and html.main_text(pages[0]).startswith("T\nMany")
+    links = "<ul>" + "".join(f"<li><a href={i}>link {i}</a></li>" for i in range(9)) + "</ul>"
+    assert html.main_text(f"<body><main>{links}{article}</main></body>") == html.main_text(pages[0])
+
+
+def test_html_column_names_that_clash(spark):
+    got = html.extract(spark.createDataFrame([("<p>a</p>", "mine"), (None, None)], "html string, text string")).collect()
+    assert [(r["text"], r["text_"]) for r in got] == [("mine", "a"), (None, "")]
