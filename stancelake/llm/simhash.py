@@ -350,15 +350,21 @@ def _verified(rows: DataFrame, bits: int, radius: int, similarity: float, most:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bits: int = 512, bands: int = 8, most: int = MOST, most_bytes: int = 32 << 20, tail: bool = False) -> DataFrame:
+def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bits: int = 512, bands: int = 8, most: int = MOST, most_bytes: int = 32 << 20) -> DataFrame:
     """(id, fingerprint, component) of every row: the smallest id that links of near copies reach.
 
     Texts link if the Jaccard similarity of their sets of `size`-word shingles is at least `similarity`. Wide
     fingerprints of those sets, anchored shards and a radius four standard deviations beyond the expected distance
     find the candidates; then the shingle sets of candidates, and of no other row, are compared exactly.
     Equal sets are one text here, equal fingerprints of other sets are not. Null and empty texts are one class; rows
-    with a null id name none. `tail` leaves the hash of the set behind the fingerprint.
+    with a null id name none.
     """
+    rows = _similar(documents, id_col, text_col, size, similarity, bits, bands, most, most_bytes)
+    return rows.select(F.col("id").alias(id_col), F.substring("fingerprint", 1, bits // 8).alias("fingerprint"), "component")
+
+
+def _similar(documents: DataFrame, id_col: str, text_col: str, size: int = 5, similarity: float = 0.8, bits: int = 512, bands: int = 8, most: int = MOST, most_bytes: int = 32 << 20) -> DataFrame:
+    """(id, fingerprint and hash of the set, root: a fingerprint that names the class, component) of every row."""
     radius = radius_of_sets(similarity, bits)
     rows = graph.cut(fingerprints(documents, id_col, text_col, size, bits, bands, of_sets=True))
     distinct = graph.cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least"), F.min("anchors").alias("anchors")))
@@ -370,8 +376,8 @@ def similar_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     checked = graph.components(_verified(sets, bits, radius, similarity, most, most_bytes))
     rooted = distinct.join(checked, distinct["fingerprint"] == checked["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(names, "root").select("fingerprint", "component")
-    return rows.select("id", "fingerprint").join(named, "fingerprint").select(F.col("id").alias(id_col), F.substring("fingerprint", 1, (bits + SET_BITS * tail) // 8).alias("fingerprint"), "component")
+    named = rooted.join(names, "root").select("fingerprint", "root", "component")
+    return rows.select("id", "fingerprint").join(named, "fingerprint").select("id", "fingerprint", "root", "component")
 
 
 def set_key(size: int) -> Callable[[Column], Column]:
@@ -391,16 +397,15 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hash of its shingle set stays, and of equal sets that with the least text, of equal texts any one. Only rows of
     such ids are told apart by their texts; all others by their ids alone.
     """
-    found = similar_classes(documents, id_col, text_col, size, tail=True, **how).where(F.col(id_col).isNotNull())
-    key = F.substring("fingerprint", -(SET_BITS // 8), SET_BITS // 8)
-    found = found.select(F.col(id_col).alias("id"), key.alias("key"), "component")
-    keepers = found.where("id = component").groupBy("id", "component").agg(F.min("key").alias("key"))
+    found = _similar(documents, id_col, text_col, size, **how).where("id IS NOT NULL")
+    found = found.select("id", F.substring("fingerprint", -(SET_BITS // 8), SET_BITS // 8).alias("key"), "root", "component")
+    keepers = found.where("id = component").groupBy("root", "id").agg(F.min("key").alias("key"))
     repeated = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keepers = graph.cut(keepers.join(repeated, "id", "left").select("id", "key", F.col("n").isNotNull().alias("several")))
     rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.join(keepers.where("NOT several"), "id", "left_semi").select("row").unionByName(rows.where("id IS NULL").select("row"))
     if not keepers.where("several").isEmpty():
-        mine = rows.join(keepers.where("several").select("id", F.col("key").alias("wanted")), "id").select("row", "id", "text", "wanted", set_key(size)(F.col("text")).alias("key"))
-        mine = mine.where("key = wanted").groupBy("id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
-        out = out.unionByName(mine.select("row"))
+        mine = rows.join(keepers.where("several").select("id").distinct(), "id", "left_semi").select("row", "id", "text", set_key(size)(F.col("text")).alias("key"))
+        mine = mine.join(keepers.where("several").select("id", "key"), ["id", "key"], "left_semi")
+        out = out.unionByName(mine.groupBy("id", "key").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row"))
     return out.select("row.*")

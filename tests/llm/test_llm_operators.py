@@ -353,7 +353,8 @@ def _random_page(rng, depth=0):
     for _ in range(rng.randrange(1, 5)):
         kind = rng.random()
         if kind < 0.4 or depth > 4:
-            kids.append("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 60))))
+            said = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 60)))
+            kids[-1:] = [kids[-1] + said] if kids and isinstance(kids[-1], str) else [*kids[-1:], said]
         else:
             kids.append([rng.choice(["div", "b", "a", "section", "i"]), _random_page(rng, depth + 1)])
     return kids
