@@ -209,13 +209,41 @@ def test_near_copies_are_by_sets_not_by_repeats(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 3} | {i: i - i % 2 for i, _ in short}
 
 
-@pytest.mark.parametrize("most_bytes", [1 << 20, 60])
-def test_decontamination_spans(spark, docs, most_bytes):
+@pytest.mark.parametrize("most_nodes", [1 << 20, 10])
+def test_decontamination_spans(spark, docs, most_nodes):
     items = spark.createDataFrame([(1, "Two, three FOUR"), (2, "five"), (3, None), (4, ""), (5, "three four five")], "item_id long, text string")
-    got = {r["id"] if "id" in r else r["doc_id"]: r for r in decontaminate.scan(docs, items, width=3, most_bytes=most_bytes, carry=True).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.scan(docs, items, width=3, most_nodes=most_nodes, carry=True).collect()}
     assert got[3]["items"] == ["1", "2", "5"] and [(s["begin"], s["end"], s["words"]) for s in got[3]["spans"]] == [(4, 23, 4)]
     assert got[1]["n_words"] == got[2]["n_words"] == 0 and got[4]["n_words"] == 30_000 and got[3]["row"]["n_words"] == 9
     assert decontaminate.scan(docs, items.limit(0)).where("size(spans) > 0").count() == 0
+    assert decontaminate.scan(docs.limit(0), items, width=3, most_nodes=most_nodes).count() == 0
+
+
+@pytest.mark.parametrize("most_nodes,together", [(1 << 20, 4096), (200, 7)])
+def test_decontamination_in_parts_is_brute_force(spark, monkeypatch, most_nodes, together):
+    monkeypatch.setattr(decontaminate, "TOGETHER", together)
+    rng = random.Random(15)
+    some = lambda n: [rng.choice("ab c\u00e9 D e1".split()) for _ in range(n)]
+    items = [(i, some(rng.choice([2, 4, 5, 40]))) for i in range(12)]
+    texts = [(i, some(rng.randrange(0, 80))) for i in range(40)]
+    low = lambda words: tuple(w.lower() for w in words)
+    windows = {}
+    for i, words in items:
+        size = min(4, len(words))
+        for at in range(len(words) - size + 1):
+            windows.setdefault(low(words[at : at + size]), set()).add(str(i))
+    frames = [spark.createDataFrame([(i, "-".join(w)) for i, w in rows], f"{name} int, text string") for rows, name in ((texts, "doc_id"), (items, "item_id"))]
+    got = {r["doc_id"]: r for r in decontaminate.scan(*frames, width=4, most_nodes=most_nodes).collect()}
+    for i, words in texts:
+        hit, having = set(), set()
+        for size in (2, 4):
+            for at in range(len(words) - size + 1):
+                if found := windows.get(low(words[at : at + size])):
+                    hit |= set(range(at, at + size))
+                    having |= found
+        assert {k for s in got[i]["spans"] for k in range(s["first"], s["first"] + s["words"])} == hit and got[i]["items"] == sorted(having)
+        assert all(s["words"] == len(words[s["first"] : s["first"] + s["words"]]) and "-".join(words).encode()[s["begin"] : s["end"]].decode() == "-".join(words[s["first"] : s["first"] + s["words"]]) for s in got[i]["spans"])
+        assert got[i]["n_words"] == len(words)
 
 
 def test_benchmark_rows_without_id_mark_words(spark):
