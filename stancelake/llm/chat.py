@@ -34,14 +34,18 @@ class Field:
 
 @dataclass(frozen=True)
 class Messages:
-    """One turn for each element of an array of structs."""
+    """One turn for each element of an array of structs; `roles` renames those of the layout's own convention."""
 
     path: str
     role: str
     text: str
+    roles: tuple[tuple[str, str], ...] = ()
 
 
-#: Layouts by their nested field paths. Roles of other conventions are renamed by ROLES.
+#: The convention of layouts with "from" and "value".
+SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"), ("prompter", "user"))
+
+#: Layouts by their nested field paths.
 LAYOUTS: dict[tuple[str, ...], tuple[Field | Messages, ...]] = {
     ("completion", "prompt"): (Field("user", ("prompt",)), Field("assistant", ("completion",))),
     ("prompt", "response"): (Field("user", ("prompt",)), Field("assistant", ("response",))),
@@ -51,12 +55,10 @@ LAYOUTS: dict[tuple[str, ...], tuple[Field | Messages, ...]] = {
     ("input", "instruction", "output", "system"): (Field("system", ("system",), optional=True), Field("user", ("instruction", "input")), Field("assistant", ("output",))),
     ("messages[].content", "messages[].role"): (Messages("messages", "role", "content"),),
     ("messages[].role", "messages[].text"): (Messages("messages", "role", "text"),),
-    ("conversations[].from", "conversations[].value"): (Messages("conversations", "from", "value"),),
+    ("conversations[].from", "conversations[].value"): (Messages("conversations", "from", "value", SPEAKERS),),
     ("messages[].content", "messages[].role", "system"): (Field("system", ("system",), optional=True), Messages("messages", "role", "content")),
 }
 
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
-
 
 def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     """sha256 of the sorted paths, one to a line."""
@@ -72,10 +74,10 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def _role(role: Column) -> Column:
+def _role(role: Column, renamed: tuple[tuple[str, str], ...]) -> Column:
     known = F.coalesce(role, F.lit(""))
-    for other, name in ROLES.items():
-        known = F.when(known == other, F.lit(name)).otherwise(known)
+    for other, name in renamed:
+        known = F.when(F.coalesce(role, F.lit("")) == other, F.lit(name)).otherwise(known)
     return known
 
 
@@ -85,7 +87,7 @@ def _turn(role: Column, value: Column) -> Column:
 
 def _map_struct(steps: tuple[Field | Messages, ...], record: Column) -> Column:
     def each(step: Messages) -> Column:
-        turns = F.transform(record[step.path], lambda m: _turn(_role(m[step.role].cast("string")), m[step.text].cast("string")))
+        turns = F.transform(record[step.path], lambda m: _turn(_role(m[step.role].cast("string"), step.roles), m[step.text].cast("string")))
         return F.coalesce(turns, F.array().cast(TURNS))
 
     parts = []
@@ -200,12 +202,20 @@ def read_back(formatted: Column) -> Column:
 
 
 def gathered(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One record for each conversation from a table of turns: (conv, record struct<messages>).
+    """One JSON record for each conversation from a table of turns: (conv, record), in the plainest layout that holds it.
 
-    Turns are in the order of turn, role, text, nulls first; null roles and texts are empty strings. A
-    conversation is one value by nature; its rows meet in one task, which holds that conversation and no more.
+    A question and its answer are prompt and completion; turns behind one that sets the scene are messages with a
+    system text; all others are messages. Turns are in the order of turn, role, text, nulls first; null roles and
+    texts are empty strings. Null ids are one conversation. A conversation is one value by nature; its rows meet in
+    one task, which holds that conversation and no more. An empty table gives no records.
     """
     entry = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     grouped = rows.select(F.col(conv_col).alias("conv"), entry.alias("entry")).groupBy("conv").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
-    messages = F.transform("entries", lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")))
-    return grouped.select("conv", F.struct(messages.alias("messages")).alias("record"))
+    shown = lambda entries: F.transform(entries, lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")))
+    first, second = (F.try_element_at("entries", F.lit(k)) for k in (1, 2))
+    pair = (F.size("entries") == 2) & (first["role"] == "user") & (second["role"] == "assistant")
+    scene = (first["role"] == "system") & (first["content"] != "")
+    behind = F.slice("entries", 2, F.greatest(F.size("entries"), F.lit(1)))
+    record = F.when(pair, F.to_json(F.struct(first["content"].alias("prompt"), second["content"].alias("completion"))))
+    record = record.when(scene & (F.size("entries") > 1), F.to_json(F.struct(first["content"].alias("system"), shown(behind).alias("messages"))))
+    return grouped.select("conv", record.otherwise(F.to_json(F.struct(shown("entries").alias("messages")))).alias("record"))

@@ -69,11 +69,42 @@ SENTENCES = {
     "spdx-gpl-2": "spdx license identifier gpl 2 0 only",
     "spdx-gpl-3": "spdx license identifier gpl 3 0 only",
     "spdx-mpl": "spdx license identifier mpl 2 0",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-0bsd": "spdx license identifier 0bsd",
+    "spdx-unlicense": "spdx license identifier unlicense",
+    "spdx-cc0": "spdx license identifier cc0 1 0",
+    "spdx-lgpl-2-1": "spdx license identifier lgpl 2 1 only",
+    "spdx-lgpl-3": "spdx license identifier lgpl 3 0 only",
+    "spdx-agpl-3": "spdx license identifier agpl 3 0 only",
+    "spdx-gpl-2-later": "spdx license identifier gpl 2 0 or later",
+    "spdx-gpl-3-later": "spdx license identifier gpl 3 0 or later",
+    "spdx-epl-2": "spdx license identifier epl 2 0",
+    "spdx-bsl": "spdx license identifier bsl 1 0",
+    "spdx-zlib": "spdx license identifier zlib",
+    "mit-liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "boost-licensed": "distributed under the boost software license version 1 0",
+    "epl-1-licensed": "licensed under the eclipse public license version 1 0",
+    "epl-2-licensed": "licensed under the eclipse public license version 2 0",
+    "epl-2-made": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "artistic-2-licensed": "licensed under the artistic license 2 0",
+    "lgpl-library": "this library is free software",
+    "lgpl-2-1-or-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-or-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-3-or-later": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "cc-by-sa-3-licensed": "licensed under cc by sa 3 0",
+    "cc-by-3-licensed": "licensed under cc by 3 0",
+    "cc0-waived": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "all-rights": "all rights reserved",
 }
 
 # Fixed values: (family, licence, sentences in order); the first match within a family counts.
 RULES = (
+    ("mit", "MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liable")),
     ("mit", "MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("mit", "MIT", ("mit-grant", "mit-notice")),
     ("mit", "MIT", ("mit-released",)),
@@ -83,6 +114,13 @@ RULES = (
     ("mit", "MIT", ("spdx-mit",)),
     ("isc", "ISC", ("isc-grant",)),
     ("isc", "ISC", ("isc-licensed",)),
+    ("isc", "ISC", ("spdx-isc",)),
+    ("0bsd", "0BSD", ("0bsd-grant",)),
+    ("0bsd", "0BSD", ("spdx-0bsd",)),
+    ("zlib", "Zlib", ("zlib-warranty", "zlib-origin", "zlib-altered")),
+    ("zlib", "Zlib", ("spdx-zlib",)),
+    ("boost", "BSL-1.0", ("boost-licensed",)),
+    ("boost", "BSL-1.0", ("spdx-bsl",)),
     ("bsd", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("bsd", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("bsd", "BSD-3-Clause", ("bsd-3-licensed",)),
@@ -101,15 +139,34 @@ RULES = (
     ("gpl", "GPL-3.0-only", ("spdx-gpl-3",)),
     ("gpl", "GPL-2.0-only", ("gpl-2-licensed",)),
     ("gpl", "GPL-2.0-only", ("spdx-gpl-2",)),
+    ("gpl", "GPL-3.0-or-later", ("spdx-gpl-3-later",)),
+    ("gpl", "GPL-2.0-or-later", ("spdx-gpl-2-later",)),
+    ("agpl", "AGPL-3.0-or-later", ("gpl-free", "agpl-3-or-later")),
     ("agpl", "AGPL-3.0-only", ("agpl-3-licensed",)),
+    ("agpl", "AGPL-3.0-only", ("spdx-agpl-3",)),
+    ("lgpl", "LGPL-3.0-or-later", ("lgpl-library", "lgpl-3-or-later")),
+    ("lgpl", "LGPL-2.1-or-later", ("lgpl-library", "lgpl-2-1-or-later")),
+    ("lgpl", "LGPL-3.0-only", ("spdx-lgpl-3",)),
+    ("lgpl", "LGPL-2.1-only", ("spdx-lgpl-2-1",)),
     ("lgpl", "LGPL-3.0-only", ("lgpl-3-licensed",)),
     ("lgpl", "LGPL-2.1-only", ("lgpl-2-1-licensed",)),
     ("mpl", "MPL-2.0", ("mpl-form", "mpl-copy")),
     ("mpl", "MPL-2.0", ("mpl-form",)),
     ("mpl", "MPL-2.0", ("mpl-licensed",)),
     ("mpl", "MPL-2.0", ("spdx-mpl",)),
+    ("epl", "EPL-2.0", ("epl-2-made",)),
+    ("epl", "EPL-2.0", ("epl-2-licensed",)),
+    ("epl", "EPL-2.0", ("spdx-epl-2",)),
+    ("epl", "EPL-1.0", ("epl-1-licensed",)),
+    ("artistic", "Artistic-2.0", ("artistic-2-licensed",)),
+    ("unlicense", "Unlicense", ("unlicense-domain", "unlicense-anyone")),
     ("unlicense", "Unlicense", ("unlicense-domain",)),
+    ("unlicense", "Unlicense", ("spdx-unlicense",)),
     ("cc0", "CC0-1.0", ("cc0-licensed",)),
+    ("cc0", "CC0-1.0", ("cc0-waived",)),
+    ("cc0", "CC0-1.0", ("spdx-cc0",)),
+    ("cc-by-3", "CC-BY-3.0", ("cc-by-3-licensed",)),
+    ("cc-by-sa-3", "CC-BY-SA-3.0", ("cc-by-sa-3-licensed",)),
     ("cc-by", "CC-BY-4.0", ("cc-by-4-licensed",)),
     ("cc-by", "CC-BY-4.0", ("cc-by-4-work",)),
     ("cc-by-sa", "CC-BY-SA-4.0", ("cc-by-sa-4-licensed",)),
@@ -145,7 +202,8 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """One row per row of `documents`: id, sentences, licences (both array<string>). No shuffle, no Python.
 
     sentences: identifiers in text order, from the reading that ends sentences at lines too where it finds
-    more, else from the other. licences: by order of RULES, each once. Null and empty texts have neither.
+    more, else from the other. licences: by order of RULES, each once. Null and empty texts have neither; repeated
+    rows are alike, an empty table gives no rows.
     """
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     relevant = F.lit(False)

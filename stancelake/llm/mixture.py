@@ -51,12 +51,13 @@ def shared_out(rows: DataFrame, family: list[str], budget: str, cap: str, weight
     before = F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     here_on = F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.select("*", ratio).select("*", before.alias("before"), here_on.alias("here_on"))
-    rows = rows.withColumn("full", F.col(cap) * F.col("here_on") <= F.col(weight) * (F.col(budget) - F.col("before")))
+    wide = lambda x: x.cast("decimal(19,0)")  # noqa: E731  products of tokens and weights are beyond 64 bits
+    rows = rows.withColumn("full", wide(F.col(cap)) * wide(F.col("here_on")) <= wide(F.col(weight)) * wide(F.col(budget) - F.col("before")))
     whole = Window.partitionBy(*family)
     left = F.col(budget) - F.coalesce(F.sum(F.when(F.col("full"), F.col(cap))).over(whole), F.lit(0))
     shares = F.coalesce(F.sum(F.when(~F.col("full"), F.col(weight))).over(whole), F.lit(1))
     rows = rows.select("*", left.alias("left"), shares.alias("shares"))
-    rows = rows.withColumn("share", F.when(F.col("full"), F.col(cap)).otherwise(F.expr(f"({weight} * left) div shares")))
+    rows = rows.withColumn("share", F.when(F.col("full"), F.col(cap)).otherwise(F.expr(f"(cast({weight} as decimal(19,0)) * cast(left as decimal(19,0))) div shares")))
     spare = F.col("left") - F.coalesce(F.sum(F.when(~F.col("full"), F.col("share"))).over(whole), F.lit(0))
     rank = F.row_number().over(Window.partitionBy(*family, "full").orderBy(name))
     rows = rows.select("*", spare.alias("spare"), rank.alias("rank"))

@@ -36,7 +36,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_PROBE).alias("text"))
     records = chat.gathered(rows.unionByName(probe))
-    formatted = chat.turns_of_struct(records, "record").select("conv", chat.render(F.col("turns")).alias("formatted"))
+    formatted = chat.turns_of_json(records, "record").select("conv", chat.render(F.col("turns")).alias("formatted"))
     read = formatted.select("conv", F.char_length("formatted").cast("bigint").alias("formatted_chars"), chat.read_back(F.col("formatted")).alias("turns"))
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -55,13 +55,14 @@ _DIFFERENCES = np.concatenate([_DIFFERENCES, -_DIFFERENCES], axis=1)
 
 
 def adpcm_blocks(nibbles: np.ndarray, predictor: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """int16 (blocks, 2 * bytes) from the nibble bytes (blocks, bytes), low nibble first, all blocks side by side."""
+    """int16 (blocks, 1 + 2 * bytes): the header's sample, then those of the nibble bytes (blocks, bytes), low nibble first, all blocks side by side."""
     codes = np.empty((2 * nibbles.shape[1], len(nibbles)), np.uint8)
     codes[0::2], codes[1::2] = nibbles.T & 15, nibbles.T >> 4
     value, at = predictor.astype(np.int32), np.clip(index.astype(np.int32), 0, 88)
-    out = np.empty(codes.shape, np.int16)
+    out = np.empty((len(codes) + 1, len(nibbles)), np.int16)
+    out[0] = predictor
     flat, change = _DIFFERENCES.ravel(), np.concatenate([CHANGES, CHANGES])
-    for k, code in enumerate(codes):
+    for k, code in enumerate(codes, 1):
         value = np.clip(value + flat[at * 16 + code], -32768, 32767)
         at = np.clip(at + change[code], 0, 88)
         out[k] = value
@@ -71,14 +72,14 @@ def adpcm_blocks(nibbles: np.ndarray, predictor: np.ndarray, index: np.ndarray)
 def wrap(payload: bytes, codec: str, rate: int = RATE) -> bytes:
     """A RIFF/WAVE file that holds the payload's bytes as samples, or as nibbles of ADPCM blocks.
 
-    An ADPCM payload is cut into blocks of ADPCM_BYTES; the last is filled with zero nibbles, and the fact
-    chunk's sample count says how many belong to the payload.
+    An ADPCM payload is cut into blocks of ADPCM_BYTES behind a header that starts at sample zero; the last is filled
+    with zero nibbles, and the fact chunk's sample count, headers' samples included, says how many belong to the payload.
     """
     tag = CODECS[codec]
     if codec == "adpcm":
         blocks = [payload[i : i + ADPCM_BYTES] for i in range(0, len(payload), ADPCM_BYTES)]
         data = b"".join(b"\0\0\0\0" + b.ljust(ADPCM_BYTES, b"\0") for b in blocks)
-        align, samples = ADPCM_BYTES + 4, 2 * len(payload)
+        align, samples = ADPCM_BYTES + 4, 2 * len(payload) + len(blocks)
         form = struct.pack("<HHIIHHHH", tag, 1, rate, rate * align // (2 * ADPCM_BYTES + 1), align, 4, 2, 2 * ADPCM_BYTES + 1)
     else:
         data, samples = payload, len(payload)
@@ -88,13 +89,15 @@ def wrap(payload: bytes, codec: str, rate: int = RATE) -> bytes:
 
 
 def unwrap(media: bytes | None) -> tuple[str, int, int, int, memoryview] | None:
-    """(codec, rate, block bytes, samples or -1, data) of a WAVE file; None if it is no such file or of another codec."""
+    """(codec, rate, block bytes, samples or -1, data) of a WAVE file; None if it is no such file, of another codec or cut short."""
     if not media or len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         return None
     at, form, samples, data = 12, None, -1, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         body = memoryview(media)[at + 8 : at + 8 + size]
+        if len(body) < size:
+            return None
         if name == b"fmt " and len(body) >= 16:
             form = struct.unpack_from("<HHIIHH", body)
         elif name == b"fact" and len(body) >= 4:
@@ -133,7 +136,7 @@ def decode(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
     """The columns `keep`, and codec, rate, payload (the stored codes), pcm (int16, little-endian, twice the rate), peak, crossings, mean_size.
 
     Null, truncated or foreign media give nulls. peak and mean_size are of the resampled samples, crossings
-    counts their sign changes.
+    counts their sign changes. Repeated rows are alike; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +149,12 @@ def decode(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
     return chosen.mapInArrow(run, f"{kept}, codec string, rate int, payload binary, pcm binary, peak int, crossings bigint, mean_size int")
 
 
+def store(decoded: DataFrame, path: str) -> DataFrame:
+    """Writes what decode() gave as Parquet, by codec, and returns the stored table. PCM has four bytes for a byte of mu-law or A-law, eight of ADPCM."""
+    decoded.write.partitionBy("codec").parquet(path)
+    return decoded.sparkSession.read.schema(decoded.schema).parquet(path)
+
+
 def _decoded(part: pa.RecordBatch) -> pa.RecordBatch:
     found = [unwrap(m.as_py()) for m in part.column("media")]
     payloads: list = [None] * len(found)
@@ -157,8 +166,11 @@ def _decoded(part: pa.RecordBatch) -> pa.RecordBatch:
         codec, _, align, samples, data = item
         codes = np.frombuffer(data, np.uint8)
         if codec == "adpcm":
-            whole = codes[: len(codes) // align * align].reshape(-1, align)
-            blocks.setdefault(align, []).append((i, whole, samples))
+            # a last block may be short: it is filled up here, and its samples end where its bytes do
+            rest = len(codes) % align
+            there = len(codes) // align * (2 * align - 7) + (2 * rest - 7 if rest > 3 else 0)
+            whole = np.concatenate([codes, np.zeros(-len(codes) % align, np.uint8)]).reshape(-1, align)
+            blocks.setdefault(align, []).append((i, whole, there if samples < 0 else min(samples, there)))
         else:
             payloads[i], pcm[i] = codes.tobytes(), (MULAW if codec == "mulaw" else ALAW)[codes]
     for align, mine in blocks.items():
@@ -169,9 +181,10 @@ def _decoded(part: pa.RecordBatch) -> pa.RecordBatch:
         for i, whole, samples in mine:
             rows = slice(at, at + len(whole))
             at += len(whole)
-            nibbles = 2 * (align - 4) * len(whole) if samples < 0 else min(samples, 2 * (align - 4) * len(whole))
-            payloads[i] = whole[:, 4:].tobytes()[: nibbles // 2]
-            pcm[i] = decoded[rows].reshape(-1)[:nibbles]
+            per = 2 * align - 7
+            n_nibbles = samples - (samples + per - 1) // per  # each block begins with the sample of its header
+            payloads[i] = whole[:, 4:].tobytes()[: n_nibbles // 2]
+            pcm[i] = decoded[rows].reshape(-1)[:samples]
     peaks, crossings, sizes, out = [], [], [], []
     for x in pcm:
         if x is None:

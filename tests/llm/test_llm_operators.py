@@ -93,7 +93,7 @@ def test_codecs_round_trip():
     raw = bytes(range(256)) * 3
     for codec in telephony.CODECS:
         kind, rate, _, samples, _ = telephony.unwrap(telephony.wrap(raw, codec))
-        assert kind == codec and rate == 8000 and samples == len(raw) * (2 if codec == "adpcm" else 1)
+        assert kind == codec and rate == 8000 and samples == (2 * len(raw) + 3 if codec == "adpcm" else len(raw))
     assert telephony.MULAW[[0, 128]].tolist() == [-32124, 32124] and telephony.ALAW[[0x55, 0xD5]].tolist() == [-8, 8]
     assert telephony.double_rate(np.array([100, 100, 100], np.int16)).tolist() == [100] * 6
     assert telephony.unwrap(b"RIFFxxxxWAVE") is None and telephony.unwrap(None) is None
@@ -104,7 +104,7 @@ def test_adpcm_side_by_side_is_one_by_one():
     blocks, heads, index = rng.integers(0, 256, (5, 40), np.uint8), rng.integers(-999, 999, 5), rng.integers(0, 89, 5)
     together = telephony.adpcm_blocks(blocks, heads, index)
     for b in range(5):
-        value, at, out = int(heads[b]), int(index[b]), []
+        value, at, out = int(heads[b]), int(index[b]), [int(heads[b])]
         for byte in blocks[b].tolist():
             for n in (byte & 15, byte >> 4):
                 s = int(telephony.STEPS[at])
@@ -121,6 +121,46 @@ def test_decode_of_nulls_and_junk(spark):
     assert got[1]["codec"] is None and got[2]["pcm"] is None and got[3]["payload"] == b"abc" and len(got[3]["pcm"]) == 12
 
 
+def test_foreign_adpcm_is_decoded_whole(spark):
+    import struct
+
+    # two blocks of 12 bytes, headers with samples of their own, the second cut to 7 bytes; no fact chunk
+    data = struct.pack("<hBB", 500, 3, 0) + bytes(range(8)) + struct.pack("<hBB", -70, 0, 0) + b"\x11\x22\x33"
+    form = struct.pack("<HHIIHHHH", 17, 1, 8000, 4055, 12, 4, 2, 17)
+    chunks = b"fmt " + struct.pack("<I", 20) + form + b"data" + struct.pack("<I", len(data)) + data
+    media = b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+    rows = spark.createDataFrame([(1, media), (2, media[:-1]), (3, telephony.wrap(b"x" * 700, "adpcm")), (4, telephony.wrap(b"x" * 700, "mulaw")[:-300])], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in telephony.decode(rows).collect()}
+    pcm = np.frombuffer(got[1]["pcm"], "<i2")[::2]
+    assert len(pcm) == 17 + 7 and pcm[0] == 500 and pcm[17] == -70 and got[1]["payload"] == bytes(range(8)) + b"\x11\x22\x33"
+    assert got[2]["codec"] is None and got[2]["pcm"] is None and got[4]["payload"] is None
+    assert got[3]["payload"] == b"x" * 700 and len(got[3]["pcm"]) == 4 * (1400 + 3)
+
+
+def test_pcm_is_stored(spark, tmp_path):
+    rows = spark.createDataFrame([(1, telephony.wrap(b"abc", "mulaw")), (2, None), (3, telephony.wrap(b"", "adpcm"))], "doc_id long, media binary")
+    stored = telephony.store(telephony.decode(rows), str(tmp_path / "pcm"))
+    got = {r["doc_id"]: r for r in stored.collect()}
+    assert len(got) == 3 and len(got[1]["pcm"]) == 12 and got[1]["codec"] == "mulaw" and got[2]["pcm"] is None and got[3]["pcm"] == b""
+    assert telephony.decode(rows.limit(0)).count() == 0
+
+
+def test_roles_stay_as_they_are(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "system", "s"), (3, 1, "user", "u"), (4, 0, "system", ""), (4, 1, "user", "u"), (5, 0, None, None), (5, None, "bot", "z"), (None, 1, "user", "n"), (6, 0, "system", "alone"), (7, 0, "user", "long " * 200_000)]
+    records = chat.gathered(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
+    got = {r["conv"]: [tuple(t) for t in r["turns"]] for r in chat.turns_of_json(records, "record").collect()}
+    assert got[1] == [("human", "a"), ("gpt", "b")] and got[2] == [("user", "q"), ("assistant", "a")] and got[3] == [("system", "s"), ("user", "u")]
+    assert got[4] == [("system", ""), ("user", "u")] and got[5] == [("bot", "z"), ("", "")] and got[None] == [("user", "n")] and got[6] == [("system", "alone")] and len(got[7][0][1]) == 1_000_000
+    assert chat.gathered(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).count() == 0
+    assert len({tuple(sorted(__import__("json").loads(r["record"]))) for r in records.collect()}) == 3
+
+
+def test_budgets_do_not_overflow(spark):
+    leaves = spark.createDataFrame([("a", "x", "1", 10**14), ("a", "x", "2", 10**14), ("b", "x", "3", 10**14)], "domain string, lang string, source string, tokens long")
+    got = {r["source"]: r["budget"] for r in mixture.budgets(leaves, F.lit(3 * 10**14), {"a": 10_000, "b": 10_000, "a/x": 10_000, "a/x/1": 10_000, "a/x/2": 10_000}, 2).collect()}
+    assert sum(got.values()) == 3 * 10**14 and got["3"] == 15 * 10**13
+
+
 def test_bk_tree_finds_all():
     rng = random.Random(5)
     values = [rng.getrandbits(16) for _ in range(400)]
@@ -269,7 +309,7 @@ def test_licence_rules(spark):
 def test_chat_layouts(spark):
     rows = [
         (1, '{"prompt": "p", "completion": "c"}', [("user", "p"), ("assistant", "c")]), (2, '{"instruction": "i", "input": "x", "output": "o"}', [("user", "i\n\nx"), ("assistant", "o")]),
-        (3, '{"messages": [{"role": "system", "content": "s"}, {"role": "human", "content": "u"}]}', [("system", "s"), ("user", "u")]), (4, '{"conversations": [{"from": "gpt", "value": null}]}', [("assistant", "")]),
+        (3, '{"messages": [{"role": "system", "content": "s"}, {"role": "human", "content": "u"}]}', [("system", "s"), ("human", "u")]), (4, '{"conversations": [{"from": "gpt", "value": null}]}', [("assistant", "")]),
         (5, '{"else": 1}', None), (6, "not json", None), (7, None, None), (8, '{"output": "o", "instruction": "i"}', [("user", "i"), ("assistant", "o")]),
     ]
     got = chat.turns_of_json(spark.createDataFrame([r[:2] for r in rows], "k int, raw string"), "raw").collect()

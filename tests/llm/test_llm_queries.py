@@ -53,6 +53,12 @@ def test_classifiers_on_held_out_rows(spark, sf, name, parts, held):
     assert right / total > 0.85
 
 
+def test_language_model_is_better_than_counts_on_held_out_texts(spark):
+    rows = [r for r in run(spark, "/root/testdata/sf0.1", "op2_lm") if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) / tokens > sum(r["base_score"] for r in rows) / tokens
+
+
 def test_language_model_base(spark, sf):
     rows = run(spark, sf, "op2_lm")
     tokens = {i: [*WORD.findall(t.lower()), b"\n"] for i, t in texts(spark, sf).items()}
@@ -74,6 +80,62 @@ def test_telephony_round_trip(spark, sf):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
 
 
+def _media(payload, codec):
+    """The file, its samples and the doubled samples, byte by byte."""
+    step = "7 8 9 10 11 12 13 14 16 17 19 21 23 25 28 31 34 37 41 45 50 55 60 66 73 80 88 97 107 118 130 143 157 173 190 209 230 253 279 307 337 371 408 449 494 544 598 658 724 796 876 963 1060 1166 1282 1411 1552 1707 1878 2066 2272 2499 2749 3024 3327 3660 4026 4428 4871 5358 5894 6484 7132 7845 8630 9493 10442 11487 12635 13899 15289 16818 18500 20350 22385 24623 27086 29794 32767".split()
+    pcm, data = [], bytearray()
+    if codec == "mulaw":
+        for c in payload:
+            c = 255 - c
+            size = ((2 * (c % 16) + 33) << (c // 16 % 8)) * 4 - 132
+            pcm.append(-size if c & 128 else size)
+        data += payload
+    elif codec == "alaw":
+        for c in payload:
+            c ^= 0x55
+            low, e = c % 16 * 16 + 8, c // 16 % 8
+            size = low if e == 0 else (low + 256) * 2 ** (e - 1)
+            pcm.append(size if c & 128 else -size)
+        data += payload
+    else:
+        for at in range(0, len(payload), 288):
+            block = payload[at : at + 288]
+            data += b"\0\0\0\0" + block + b"\0" * (288 - len(block))
+            value = index = 0
+            pcm.append(0)
+            for nibble in [n for c in block for n in (c % 16, c // 16)]:
+                s = int(step[index])
+                move = s // 8 + (s // 4 if nibble & 1 else 0) + (s // 2 if nibble & 2 else 0) + (s if nibble & 4 else 0)
+                value = max(-32768, min(32767, value - move if nibble & 8 else value + move))
+                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[nibble % 8]))
+                pcm.append(value)
+    tag, align, bits = {"mulaw": (7, 1, 8), "alaw": (6, 1, 8), "adpcm": (17, 292, 4)}[codec]
+    extra = (2).to_bytes(2, "little") + (577).to_bytes(2, "little") if codec == "adpcm" else b"\0\0"
+    second = 8000 * 292 // 577 if codec == "adpcm" else 8000
+    form = b"".join(x.to_bytes(n, "little") for x, n in ((tag, 2), (1, 2), (8000, 4), (second, 4), (align, 2), (bits, 2))) + extra
+    body = b"".join(name + len(x).to_bytes(4, "little") + bytes(x) + b"\0" * (len(x) % 2) for name, x in ((b"fmt ", form), (b"fact", len(pcm).to_bytes(4, "little")), (b"data", data)))
+    at = lambda i: pcm[max(0, min(len(pcm) - 1, i))]
+    twice = [y for i, x in enumerate(pcm) for y in (x, max(-32768, min(32767, (150 * (x + at(i + 1)) - 25 * (at(i - 1) + at(i + 2)) + 3 * (at(i - 2) + at(i + 3)) + 128) // 256)))]
+    return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WAVE" + body, twice
+
+
+def test_telephony_files_and_features(spark, sf):
+    raw = texts(spark, sf)
+    some = {r["doc_id"]: r for r in run(spark, sf, "op4_telephony") if len(raw[r["doc_id"]]) < 3000}
+    seen = set()
+    for i, r in list(some.items())[:80]:
+        b = raw[i]
+        p = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
+        codec = ("mulaw", "alaw", "adpcm")[zlib.crc32(b) % 3]
+        media, pcm = _media(p, codec)
+        seen.add(codec)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:]))
+        stored = b"".join(x.to_bytes(2, "little", signed=True) for x in pcm)
+        assert r["feature"] == f"{codec}:16000:{max(map(abs, pcm))}:{crossings}:{sum(map(abs, pcm)) // len(pcm)}:{zlib.crc32(stored):08x}" and r["pcm_bytes"] == len(stored)
+    assert len(seen) == 3
+
+
 def test_simhash_classes(spark, sf):
     def fingerprint(t):
         w = WORD.findall(t.lower())
