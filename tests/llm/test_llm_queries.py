@@ -5,12 +5,14 @@ import hashlib
 import html as entities
 import math
 import os
+import random
 import re
 import zlib
 
 import duckdb
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from stancelake.llm import registry
 
@@ -199,3 +201,49 @@ def test_pipeline(spark, sf):
     found = corpus_pipeline.run(spark, sf)
     assert 0 < found.count() < docs.count() and found.select("doc_id").distinct().count() == found.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "toxicity", "SimHash near-dedup", "benchmark decontamination", "mixing to target weights"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    prose = " ".join(rng.choice("alpha beta gamma delta omega kappa".split()) + str(i % 7) for i in range(400))
+    rows = [(1, None, None, None), (2, "", "en", "s"), (3, prose, "en", "s"), (3, prose, "en", "s"), (4, prose + " more", None, "s"), (5, "word " * 300_000, "fr", None), (None, prose, "en", "s"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("score", "id", "row", "component", "n_words", "spans", "items", "place", "key", "kind"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        got = stage(spark, docs, sf)
+        if k < 4:
+            assert got.columns == docs.columns and got.where("score <> 'mine' OR id <> 'mine' OR row <> 'mine' OR items <> 'mine'").count() == 0
+        kept = sorted(str(r["doc_id"]) for r in got.collect())
+        if k == 2:
+            assert kept == ["1", "3", "5", "None", "None"]
+        if k == 3:
+            assert len(kept) == 8
+
+
+def test_pipeline_is_its_stages_one_by_one(spark, sf):
+    """Near copies and benchmark passages against brute force on what the stages before them kept."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        kept = {r["doc_id"] for r in docs.collect()}
+        assert kept <= set(before) and len(kept) == docs.count()
+        if k == 2:
+            sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := WORD.findall(t.lower())) else frozenset() for i, t in before.items()}
+            root = {i: i for i in sets}
+            for i in sorted(sets):
+                for j in sorted(sets):
+                    if j < i and root[i] != root[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0):
+                        a, b = sorted((root[i], root[j]))
+                        root = {x: a if r == b else r for x, r in root.items()}
+            assert kept == set(root.values())
+        if k == 3:
+            patterns = {" " + b" ".join(w[j : j + min(10, len(w))]).decode() + " " for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (w := ALNUM.findall((r["text"] or "").encode().lower())) for j in range(len(w) - min(10, len(w)) + 1)}
+            hit = {i for i, t in before.items() if any(p in " " + b" ".join(ALNUM.findall(t.lower())).decode() + " " for p in patterns)}
+            assert kept == set(before) - hit
