@@ -1,8 +1,10 @@
 """From raw documents to a training manifest: classify, clean, deduplicate, decontaminate, mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the docs of the next. All stages but the last return the columns of documents; the last returns what to
-take of each document.
+the docs of the next. All stages but the last return the columns of documents, whatever others there are; the
+last returns what to take of each document. Null texts count as empty in every stage, and so are one class of
+near copies; repeated rows are judged alike, and of those the third stage keeps one, but all rows without id. An
+empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -17,14 +19,12 @@ from stancelake.llm import decontaminate, graph, q01_quality, q03_mixture, q06_t
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier scores 0.5 or more."""
-    scored = quality.score(docs, q01_quality.model(spark, sf_dir), score_col="__quality")
-    return scored.where("__quality >= 0.5").select(*docs.columns)
+    return docs.where(quality.probability(q01_quality.model(spark, sf_dir))(F.col("text")) >= 0.5)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the convolutional classifier scores under 0.5."""
-    scored = toxicity.score(docs, q06_toxicity.model(spark, sf_dir), score_col="__toxicity")
-    return scored.where("__toxicity < 0.5").select(*docs.columns)
+    return docs.where(toxicity.probability(q06_toxicity.model(spark, sf_dir), spark)(F.col("text")) < 0.5)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,4 +63,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """What a stage has read is not read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
