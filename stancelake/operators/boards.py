@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stancelake import errors
 from stancelake.operators import series
 
+#: Bands of score that a bank is ranked by.
+RANK_BANDS = 512
+
 SORT_KEYS = ("stance", "delta_1m", "delta_3m", "committee", "bank")
 
 
@@ -30,8 +34,17 @@ def bank_boards(latest: DataFrame) -> DataFrame:
 
 
 def ranked_members(latest: DataFrame, top: int | None = None) -> DataFrame:
-    """Adds rank: each bank's members by score, highest first; `top` keeps that many of each bank."""
-    ranked = latest.withColumn("rank", F.row_number().over(Window.partitionBy("bank").orderBy(F.desc("score"), "member")))
+    """Adds rank: each bank's members by score, highest first; `top` keeps that many of each bank.
+
+    A bank is cut into bands of score that are ranked by themselves, behind the members in the bands above, so that
+    no task orders a whole bank. Scores lie in [-1, 1]; null scores come last.
+    """
+    band = F.coalesce(F.floor((1 - F.col("score")) * (RANK_BANDS / 2)).cast("int"), F.lit(RANK_BANDS + 1))
+    rows = latest.withColumn("band", band)
+    above = Window.partitionBy("bank").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = rows.groupBy("bank", "band").agg(F.count(F.lit(1)).alias("here")).select("bank", "band", F.coalesce(F.sum("here").over(above), F.lit(0)).alias("above"))
+    within = F.row_number().over(Window.partitionBy("bank", "band").orderBy(F.desc("score"), "member"))
+    ranked = rows.join(bands, ["bank", "band"]).withColumn("rank", (F.col("above") + within).cast("int")).drop("band", "above")
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
@@ -42,8 +55,12 @@ def standings(rows: DataFrame) -> DataFrame:
 
 
 def policy_monitor(rows: DataFrame) -> DataFrame:
-    """One row per bank: month and stance of its last month, changes over one and three months, camps, last_spoke."""
-    months = standings(rows)
+    """One row per bank: month and stance of its last month, changes over one and three months, camps, last_spoke.
+
+    Stance and changes are shown, sorted and held against bands at two places; changes are those of the whole numbers.
+    """
+    two = lambda c: F.round(F.round(c, 9), 2).alias(c)
+    months = standings(rows).select("bank", "month", two("stance"), two("delta_1m"), two("delta_3m"))
     last = months.groupBy("bank").agg(F.max_by(F.struct("month", "stance", "delta_1m", "delta_3m"), "month").alias("now")).select("bank", "now.*")
     latest = latest_per_member(rows)
     board = bank_boards(latest).select("bank", "members", "hawks", "doves", "divided")
@@ -54,7 +71,7 @@ def policy_monitor(rows: DataFrame) -> DataFrame:
 def sorted_monitor(monitor: DataFrame, key: str = "stance") -> DataFrame:
     """Adds position by the key: largest first, nulls last; ties by number of members, then bank."""
     if key not in SORT_KEYS:
-        raise ValueError(f"unknown sort key {key!r}; one of {', '.join(SORT_KEYS)}")
+        raise errors.InvalidInput(f"unknown sort key {key!r}; one of {', '.join(SORT_KEYS)}")
     ties = [F.desc("members"), F.asc("bank")]
     by = {"committee": [F.desc(F.col("hawks") - F.col("doves")), F.desc("stance")], "bank": [F.asc("bank")]}.get(key, [F.desc_nulls_last(key)])
     return monitor.withColumn("position", F.row_number().over(Window.orderBy(*by, *ties)))
@@ -106,15 +123,18 @@ def desk_read(rows: DataFrame, level_band: float = 0.08, drift_band: float = 0.0
 
 def recent_changes(rows: DataFrame, url: str = "url", top: int = 10) -> DataFrame:
     """The newest readings, one for each URL: with the change from the same member's reading before, rounded to 2."""
+    newest = rows.groupBy(url).agg(F.max(F.struct("ts", "id")).alias("at")).orderBy(F.desc("at")).limit(top).select("at.ts", "at.id")
+    chosen = rows.join(F.broadcast(newest), ["ts", "id"], "left_semi")
+    # only the members of the few that are shown are looked back at
+    others = rows.join(F.broadcast(chosen.select("member").distinct()), "member", "left_semi")
     by_member = Window.partitionBy("member").orderBy("ts", "id")
-    changed = rows.withColumn("change", F.round(F.col("score") - F.lag("score").over(by_member), 2))
-    newest = changed.withColumn("nth", F.row_number().over(Window.partitionBy(url).orderBy(F.desc("ts"), F.desc("id")))).where("nth = 1")
-    return newest.drop("nth").orderBy(F.desc("ts"), F.desc("id")).limit(top)
+    changed = others.withColumn("change", F.round(F.col("score") - F.lag("score").over(by_member), 2))
+    return changed.join(F.broadcast(newest), ["ts", "id"], "left_semi").select(*rows.columns, "change").orderBy(F.desc("ts"), F.desc("id"))
 
 
-def disagrees(score: Column, other: Column, threshold: float = 0.5) -> Column:
-    """Opposite signs, or a gap of at least the threshold; never where one abstains at zero."""
-    return (score != 0) & (other != 0) & ((score * other < 0) | (F.abs(score - other) >= threshold))
+def disagrees(score: Column, other: Column, fired: Column, threshold: float = 0.5) -> Column:
+    """Opposite signs, or a gap of at least the threshold, where the other scorer fired; one that abstained cannot disagree."""
+    return fired & ((score * other < 0) | (F.abs(score - other) >= threshold))
 
 
 def flagged_splits(rows: DataFrame, other: str = "lexicon_score", top: int = 8) -> DataFrame:
@@ -123,8 +143,8 @@ def flagged_splits(rows: DataFrame, other: str = "lexicon_score", top: int = 8)
 
 
 def corpus_overview(rows: DataFrame) -> DataFrame:
-    """One row of totals: speakers, observations, flagged, banks, first and last time."""
-    return rows.agg(F.count_distinct("member").alias("speakers"), F.count(F.lit(1)).alias("observations"), F.count_if("needs_review").alias("flagged"), F.count_distinct("bank").alias("banks"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """One row of totals: speakers, speeches (by url), observations, flagged, banks, first and last time."""
+    return rows.agg(F.count_distinct("member").alias("speakers"), F.count_distinct("url").alias("speeches"), F.count(F.lit(1)).alias("observations"), F.count_if("needs_review").alias("flagged"), F.count_distinct("bank").alias("banks"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
 def solo_speakers(names: DataFrame, name: str = "name") -> DataFrame:
@@ -141,6 +161,39 @@ def search(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
     return rows.where(hit)
 
 
+def by_name(rows: DataFrame, name: str = "name", id_col: str = "id") -> DataFrame:
+    """Speakers in the order of their names, of equal names by id."""
+    return rows.orderBy(name, id_col)
+
+
+def in_time(rows: DataFrame, newest_first: bool = False, ts: str = "ts", id_col: str = "id") -> DataFrame:
+    """Observations oldest first, or speeches newest first; of one instant by id."""
+    return rows.orderBy(F.desc(ts) if newest_first else F.asc(ts), id_col)
+
+
+def known_bank(bank: str, banks: tuple[str, ...]) -> str:
+    """The bank as it is; an unknown one is an error and never a default."""
+    if bank not in banks:
+        raise errors.InvalidInput(f"unknown bank {bank!r}; one of {', '.join(banks)}")
+    return bank
+
+
+def desk_label(name: Column) -> Column:
+    """A name of an enumeration as prose: underscores become spaces, words begin in capitals."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def desk_code(bank: Column, codes: dict[str, str]) -> Column:
+    """The short code of a bank; null for one that has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), bank)
+
+
+def stance_bar(score: Column) -> dict[str, Column]:
+    """What a bar of a score shows: its side, its width in percent of the whole axis, and the score in percent."""
+    side = F.when(score > 0, "hawk").when(score < 0, "dove").otherwise("flat")
+    return {"side": side, "width": F.round(F.least(F.abs(score), F.lit(1.0)) * 50, 1), "percent": F.round(score * 100).cast("int")}
+
+
 def age_label(then: Column, now: Column) -> Column:
     """today, 5d ago, 3w ago, 4mo ago or 2y ago; times to come are today, null is null."""
     days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 86400).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -58,11 +59,14 @@ def tau_search(rows: DataFrame, score: str = "score", gold: str = "gold", taus:
 
 
 def mcnemar(rows: DataFrame, gold: str = "gold", first: str = "first", second: str = "second") -> DataFrame:
-    """only_first, only_second (right by one scorer alone), chi2 with continuity correction, and gap of the accuracies."""
+    """only_first, only_second (right by one scorer alone), chi2 with continuity correction, and gap of the accuracies.
+
+    The correction is not bounded: equal counts give 1 over their sum. Without such rows chi2 is 0.
+    """
     a, b = F.col(first) == F.col(gold), F.col(second) == F.col(gold)
     counts = rows.agg(F.count_if(a & ~b).alias("only_first"), F.count_if(b & ~a).alias("only_second"), F.count(F.lit(1)).alias("n"))
     apart = F.abs(F.col("only_first") - F.col("only_second"))
-    chi2 = F.coalesce(F.try_divide(F.pow(F.greatest(F.lit(0.0), apart - 1), 2), F.col("only_first") + F.col("only_second")), F.lit(0.0))
+    chi2 = F.coalesce(F.try_divide(F.pow(apart - 1, 2), F.col("only_first") + F.col("only_second")), F.lit(0.0))
     return counts.select("only_first", "only_second", "n", chi2.alias("chi2"), F.coalesce(F.try_divide(F.col("only_first") - F.col("only_second"), F.col("n")), F.lit(0.0)).alias("gap"))
 
 
@@ -71,6 +75,35 @@ def chi2_p(chi2: float) -> float:
     return math.erfc(math.sqrt(max(0.0, chi2) / 2))
 
 
+def with_p(found: DataFrame) -> DataFrame:
+    """Adds p to the one row of mcnemar."""
+    tail = F.pandas_udf(lambda x: x.map(chi2_p), "double")
+    return found.withColumn("p", tail("chi2"))
+
+
+def brier(rows: DataFrame, confidence: str = "confidence", right: str = "right") -> DataFrame:
+    """brier: the mean squared distance of the confidence from what came true."""
+    return rows.agg(F.avg(F.pow(F.col(confidence) - F.col(right).cast("double"), 2)).alias("brier"))
+
+
+def sampled(rows: DataFrame, k: int, order: str, seed: int = 0) -> DataFrame:
+    """k rows drawn by a seed from those in the order of `order`, or all: the positions are drawn, sorted, and joined.
+
+    The draw is that of Python's Mersenne Twister over the row count, so it can be drawn again anywhere; k numbers
+    are what the driver holds. Positions are counted by ranges of the order, no task orders all rows.
+    """
+    n = rows.count()
+    places = sorted(random.Random(seed).sample(range(n), min(k, n)))
+    spans = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33))
+    sizes = {r["part"]: r["count"] for r in spans.groupBy("part").count().collect()}
+    before = {part: sum(size for other, size in sizes.items() if other < part) for part in sizes}
+    if not before:
+        return rows
+    starts = F.create_map(*[F.lit(x) for part, at in before.items() for x in (part, at)])
+    wanted = rows.sparkSession.createDataFrame([(p,) for p in places], "place long")
+    return spans.withColumn("place", F.element_at(starts, F.col("part")) + F.col("at")).join(F.broadcast(wanted), "place", "left_semi").select(*rows.columns)
+
+
 def gap_interval(rows: DataFrame, gold: str = "gold", first: str = "first", second: str = "second", draws: int = 2_000, seed: int = 0) -> DataFrame:
     """gap, low, high: bootstrap of the accuracy gap.
 

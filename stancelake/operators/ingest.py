@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stancelake.functions.text import sha256
 
 
 def first_of_text(rows: DataFrame, text: str = "text", order: str = "doc_id", out: str = "source_sha256") -> DataFrame:
-    """The first row of each text by `order`, with its hash; null texts are one text, the empty one.
+    """The first row of each text by `order`, nulls last, with its hash; null texts are one text, the empty one.
 
-    Only hashes and order keys meet in a shuffle; the rows themselves are picked by a semi join.
+    Hashes and order keys are combined before they meet in a shuffle; the rows are picked by a null-safe semi join,
+    and of several rows with one text and key any one stays.
     """
     hashed = rows.withColumn(out, sha256(F.coalesce(F.col(text), F.lit(""))))
-    first = hashed.groupBy(out).agg(F.min(order).alias(order))
-    return hashed.join(first, [out, order], "left_semi")
+    first = hashed.groupBy(F.col(out).alias("h")).agg(F.min(order).alias("k"))
+    return hashed.join(first, (F.col(out) == F.col("h")) & F.col(order).eqNullSafe(F.col("k")), "left_semi").dropDuplicates([out])
 
 
 def unseen(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,10 +50,9 @@ def ingest(rows: DataFrame, path: str, spark: SparkSession | None = None, text:
     if stored is not None:
         before = stored.select("source_sha256")
         fresh = unseen(fresh, before, ["source_sha256"])
-    n = fresh.count()
-    if n:
-        append(fresh, path)
-    return n
+    seen = Observation(f"appended-{uuid.uuid4().hex}")
+    append(fresh.observe(seen, F.count(F.lit(1)).alias("n")), path)  # counted as they are written, not in a second run
+    return seen.get["n"]
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

@@ -84,7 +84,7 @@ def citations(found: DataFrame, *fields: str) -> DataFrame:
 def hash_embedding(words: Column, dim: int = 768) -> Column:
     """array<double>: signed counts of hashed grams at length one.
 
-    A gram's blake2b of eight bytes, big-endian, gives its place modulo `dim`, and its 33rd bit the sign.
+    A gram's blake2b of eight bytes, big-endian, gives its place modulo `dim`, and bit 33, counted from 0, the sign.
     """
 
     @F.pandas_udf("array<double>")
@@ -96,7 +96,7 @@ def hash_embedding(words: Column, dim: int = 768) -> Column:
             for gram in grams if grams is not None else ():
                 if gram not in places:
                     h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-                    places[gram] = (h % dim, 1.0 if h >> 32 & 1 else -1.0)
+                    places[gram] = (h % dim, 1.0 if h >> 33 & 1 else -1.0)
                 at, sign = places[gram]
                 out[at] += sign
             length = np.linalg.norm(out)

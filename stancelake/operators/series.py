@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stancelake import errors
+
 
 def month_index(ts: Column) -> Column:
     return (F.year(ts) * 12 + F.month(ts) - 1).cast("int")
@@ -110,11 +112,32 @@ def _correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(spread > 0, (x * y).mean(axis=1) / np.where(spread > 0, spread, 1), 0.0)
 
 
+def _of_moments(sums: np.ndarray, n: int) -> np.ndarray:
+    """Correlation by the sums of x, y, x * x, y * y and x * y; 0 where a side is constant."""
+    mx, my, xx, yy, xy = sums / n
+    spread = np.sqrt(np.maximum(0, xx - mx * mx) * np.maximum(0, yy - my * my))
+    return np.where(spread > 1e-15, (xy - mx * my) / np.where(spread > 1e-15, spread, 1), 0.0)
+
+
+def _block_moments(x: np.ndarray, y: np.ndarray, size: int, draws: int, seed: int) -> np.ndarray:
+    """The five sums of each draw of n pairs in circular blocks, from running sums over the series written twice.
+
+    No draw is laid out pair by pair: a block's sums are a difference, and a last block that is too long is shorter.
+    """
+    n = len(x)
+    twice = np.tile(np.stack([x, y, x * x, y * y, x * y]), 2)
+    running = np.concatenate([np.zeros((5, 1)), np.cumsum(twice, axis=1)], axis=1)
+    whole, rest = divmod(n, size)
+    starts = np.random.default_rng(seed).integers(0, n, (draws, whole + (rest > 0)))  # what the seed draws is fixed
+    sums = (running[:, starts[:, :whole] + size] - running[:, starts[:, :whole]]).sum(axis=2)
+    return sums + (running[:, starts[:, whole] + rest] - running[:, starts[:, whole]]) if rest else sums
+
+
 def block_bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 0, alpha: float = 0.05, family: int | None = None) -> DataFrame:
     """name, series, horizon, r, low, high, n: a circular moving-block interval of the correlation of every cell.
 
     The tails are alpha / 2 over the family's size, the number of cells unless given. Cells are small groups
-    and independent; each is resampled in its own task. Under two pairs the interval is that of r itself.
+    and independent; each is resampled in its own task. Under three pairs the interval is r itself, 0.
     """
     keys = ["name", "series", "horizon"]
     sized = pairs if family else pairs.crossJoin(F.broadcast(pairs.select(*keys).distinct().agg(F.count(F.lit(1)).cast("int").alias("family"))))
@@ -122,14 +145,12 @@ def block_bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 0, alpha:
 
     def resample(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("month")
-        x, y, n, horizon = cell["x"].to_numpy(), cell["y"].to_numpy(), len(cell), int(cell["horizon"].iloc[0])
-        r = float(_correlation(x[None], y[None])[0]) if n >= 3 else 0.0
-        low = high = r
-        if n >= 2:
-            size = block_length(n, horizon)
-            starts = np.random.default_rng(seed).integers(0, n, (draws, -(-n // size)))
-            at = ((starts[:, :, None] + np.arange(size)) % n).reshape(draws, -1)[:, :n]
-            drawn = np.sort(_correlation(x[at], y[at]))
+        n, horizon = len(cell), int(cell["horizon"].iloc[0])
+        r = low = high = 0.0
+        if n >= 3:
+            x, y = cell["x"].to_numpy() - cell["x"].mean(), cell["y"].to_numpy() - cell["y"].mean()
+            r = float(_of_moments(np.stack([x, y, x * x, y * y, x * y]).sum(axis=1), n))
+            drawn = np.sort(_of_moments(_block_moments(x, y, block_length(n, horizon), draws, seed), n))
             tail = alpha / 2 / int(cell["family"].iloc[0])
             low, high = drawn[int(tail * draws)], drawn[min(int((1 - tail) * draws), draws - 1)]
         return pd.DataFrame([[*(cell[k].iloc[0] for k in keys), r, float(low), float(high), n]], columns=[*keys, "r", "low", "high", "n"])
@@ -137,8 +158,12 @@ def block_bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 0, alpha:
     return sized.groupBy(*keys).applyInPandas(resample, "name string, series string, horizon int, r double, low double, high double, n long")
 
 
-def paired_bootstrap(rows: DataFrame, key: str, x: str = "x", y: str = "y", draws: int = 2_000, seed: int = 0, statistic: str = "r") -> DataFrame:
-    """key, value, low, high: an i.i.d. interval of the correlation (r) or the slope of y on x in each group."""
+def paired_bootstrap(rows: DataFrame, key: str, x: str = "x", y: str = "y", order: str = "year", draws: int = 2_000, seed: int = 0, statistic: str = "r") -> DataFrame:
+    """key, value, low, high: an i.i.d. interval of the correlation (r) or the slope of y on x in each group.
+
+    Pairs are drawn from the order of `order`, so that a seed means the same draws everywhere; some at a time, so
+    that memory follows a group's pairs and not its pairs times draws.
+    """
 
     def value(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if statistic == "r":
@@ -148,13 +173,16 @@ def paired_bootstrap(rows: DataFrame, key: str, x: str = "x", y: str = "y", draw
         return np.where(power > 0, (a0 * b).sum(axis=1) / np.where(power > 0, power, 1), 0.0)
 
     def resample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([x, y])
+        group = group.sort_values([order, x, y])
         a, b, n = group[x].to_numpy(float), group[y].to_numpy(float), len(group)
-        at = np.random.default_rng(seed).integers(0, n, (draws, n))
-        drawn = np.sort(value(a[at], b[at]))
+        random, some, parts = np.random.default_rng(seed), max(1, 1_000_000 // n), []
+        for at in range(0, draws, some):
+            drawn = random.integers(0, n, (min(some, draws - at), n))
+            parts.append(value(a[drawn], b[drawn]))
+        drawn = np.sort(np.concatenate(parts))
         return pd.DataFrame([[group[key].iloc[0], float(value(a[None], b[None])[0]), drawn[int(0.025 * draws)], drawn[int(0.975 * draws) - 1]]], columns=[key, "value", "low", "high"])
 
-    return rows.select(key, x, y).groupBy(key).applyInPandas(resample, f"`{key}` {rows.schema[key].dataType.simpleString()}, value double, low double, high double")
+    return rows.select(key, order, x, y).groupBy(key).applyInPandas(resample, f"`{key}` {rows.schema[key].dataType.simpleString()}, value double, low double, high double")
 
 
 def least_squares(rows: DataFrame, x: str = "x", y: str = "y", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -193,14 +221,37 @@ def divergence(tone_change: Column, rate_change_bp: Column, tone_flat: float = 0
     side = lambda x, band: F.when(F.abs(x) <= band, 0).otherwise(F.signum(x).cast("int"))
     word = lambda x, band, up, down: F.when(x.isNull(), "not enough history").when(x > band, up).when(x < -band, down).otherwise("little changed")
     aligned = F.when(tone_change.isNotNull() & rate_change_bp.isNotNull(), side(tone_change, tone_flat) == side(rate_change_bp, rate_flat))
-    return {"tone_direction": word(tone_change, tone_flat, "more hawkish", "more dovish"), "rate_direction": word(rate_change_bp, rate_flat, "pricing higher", "pricing lower"), "aligned": aligned}
+    return {"tone_direction": word(tone_change, tone_flat, "more hawkish", "more dovish"), "rate_direction": word(rate_change_bp, rate_flat, "repricing higher", "repricing lower"), "aligned": aligned}
+
+
+# The sentences of the comparison.
+NO_HISTORY = "Not enough recent Federal Reserve history to compare the tone trend with market repricing over the last quarter."
+TOGETHER = ": the platform's read and market pricing are moving together."
+APART = ": the platform reads the committee differently from how the market is pricing the path."
 
 
 def divergence_sentence(tone_change: Column, rate_change_bp: Column, tone_direction: Column, aligned: Column) -> Column:
     """One line of prose: what tone did, what the rate did, and whether they agree."""
-    move = F.when(rate_change_bp > 0, "risen").otherwise("fallen")
-    rate = F.format_string("the 2-year yield has %s %.0fbp", move, F.abs(rate_change_bp))
     tone = F.format_string("Fed communication is %s (%+.2f over the quarter)", tone_direction, tone_change)
-    together = F.concat(tone, F.lit(" and "), rate, F.lit(": tone and market pricing move together."))
-    apart = F.concat(tone, F.lit(" while "), rate, F.lit(": tone and market pricing differ."))
-    return F.when(aligned.isNull(), "Not enough recent history to compare tone with market pricing.").when(aligned, together).otherwise(apart)
+    rate = F.format_string("the 2-year yield has %s %.0fbp", F.when(rate_change_bp > 0, "risen").otherwise("fallen"), F.abs(rate_change_bp))
+    said = F.when(aligned, F.concat(tone, F.lit(" and "), rate, F.lit(TOGETHER))).otherwise(F.concat(tone, F.lit(" while "), rate, F.lit(APART)))
+    return F.when(aligned.isNull(), NO_HISTORY).otherwise(said)
+
+
+def rate_months(rates: DataFrame, index: DataFrame) -> DataFrame:
+    """Rate months within the months of the index, each once: what both have is what a chart of both spans."""
+    span = index.agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    return rates.join(F.broadcast(span), F.col("month").between(F.col("first"), F.col("last"))).select("month").distinct()
+
+
+def span_union(rates: DataFrame, index: DataFrame) -> DataFrame:
+    """first, last, months: of the index's months and the rate months within them together."""
+    return rate_months(rates, index).union(index.select("month")).agg(F.min("month").alias("first"), F.max("month").alias("last"), F.count_distinct("month").alias("months"))
+
+
+def with_history(index: DataFrame, least: int = 12) -> DataFrame:
+    """The index as it is; fewer months than `least` are an error, as a chart of them would mislead."""
+    months = index.select("month").distinct().limit(least).count()
+    if months < least:
+        raise errors.InsufficientData(f"{months} months with readings, {least} are needed")
+    return index

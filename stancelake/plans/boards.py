@@ -10,6 +10,8 @@ from stancelake.plans.registry import register
 from stancelake.plans.roles import OBSERVATIONS_SQL, observations, rounded, rounded_sql
 from stancelake.session import table
 
+_two = lambda x: f"round(CAST(round({x}, 9) AS DECIMAL(18, 9)), 2)::DOUBLE + 0.0"
+
 _STANDING = f"""{OBSERVATIONS_SQL},
 lm AS (SELECT bank, member, month, arg_max(score, (ts, id)) AS score FROM o GROUP BY ALL),
 iv AS (SELECT *, lead(month) OVER (PARTITION BY bank, member ORDER BY month) AS until FROM lm),
@@ -18,7 +20,7 @@ st AS (SELECT sp.bank, CAST(sp.month AS INTEGER) AS month, sum(score::DECIMAL(18
 sd AS (SELECT st.*, st.stance - a.stance AS delta_1m, st.stance - c.stance AS delta_3m FROM st LEFT JOIN st a ON a.bank = st.bank AND a.month = st.month - 1 LEFT JOIN st c ON c.bank = st.bank AND c.month = st.month - 3),
 latest AS (SELECT bank, member, arg_max(score, (ts, id)) AS score, max(ts) AS ts FROM o GROUP BY ALL),
 bd AS (SELECT bank, avg(score) AS mean, count(*) AS members, count(*) FILTER (score > 0) AS hawks, count(*) FILTER (score < 0) AS doves, max(ts) AS last_spoke FROM latest GROUP BY bank),
-mon AS (SELECT bd.bank, n.month, round(n.stance, 9) + 0.0 AS stance, round(n.delta_1m, 9) + 0.0 AS delta_1m, round(n.delta_3m, 9) + 0.0 AS delta_3m, bd.members, hawks, doves,
+mon AS (SELECT bd.bank, n.month, {_two('n.stance')} AS stance, {_two('n.delta_1m')} AS delta_1m, {_two('n.delta_3m')} AS delta_3m, bd.members, hawks, doves,
           least(hawks, doves) > 0 AND least(hawks, doves) * 2 >= greatest(hawks, doves) AS divided, last_spoke
         FROM bd JOIN (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY bank ORDER BY month DESC) = 1) n USING (bank))"""
 
@@ -50,7 +52,7 @@ def standing_series_by_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.standings(observations(spark, sf_dir)).select("bank", "month", *rounded("stance"), "members", *rounded("delta_1m", "delta_3m"))
 
 
-@register("movers_top6", f"""WITH {_STANDING}, mv AS (SELECT *, round(stance - delta_1m, 2) + 0.0 AS prev FROM mon WHERE abs(delta_1m) > 0.02 ORDER BY abs(delta_1m) DESC, bank LIMIT 6)
+@register("movers_top6", f"""WITH {_STANDING}, mv AS (SELECT *, {_two('stance - delta_1m')} AS prev FROM mon WHERE abs(delta_1m) > 0.02 ORDER BY abs(delta_1m) DESC, bank LIMIT 6)
 SELECT bank, prev, stance, delta_1m AS delta, CASE WHEN delta_1m > 0 THEN 'hawk' ELSE 'dove' END AS side,
   CASE WHEN delta_1m > 0 THEN CASE WHEN prev > 0.02 THEN 'extending hawkish' ELSE 'turning hawkish' END WHEN prev < -0.02 THEN 'extending dovish' ELSE 'turning dovish' END AS word,
   round(abs(delta_1m) / max(abs(delta_1m)) OVER () * 100, 1) AS width FROM mv""")
@@ -76,9 +78,9 @@ def board_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.ranked_members(boards.latest_per_member(observations(spark, sf_dir))).select("bank", "member", "score", "rank")
 
 
-@register("corpus_overview", f"WITH {OBSERVATIONS_SQL} SELECT count(DISTINCT member) AS speakers, count(*) AS observations, count(*) FILTER (needs_review) AS flagged, count(DISTINCT bank) AS banks, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last FROM o")
+@register("corpus_overview", f"WITH {OBSERVATIONS_SQL} SELECT count(DISTINCT member) AS speakers, count(DISTINCT id % 997) AS speeches, count(*) AS observations, count(*) FILTER (needs_review) AS flagged, count(DISTINCT bank) AS banks, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last FROM o")
 def corpus_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boards.corpus_overview(observations(spark, sf_dir)).withColumn("first", F.unix_timestamp("first")).withColumn("last", F.unix_timestamp("last"))
+    return boards.corpus_overview(observations(spark, sf_dir).withColumn("url", F.col("id") % 997)).withColumn("first", F.unix_timestamp("first")).withColumn("last", F.unix_timestamp("last"))
 
 
 @register("desk_read", f"""WITH {_STANDING}, m AS (SELECT month, sum(score) AS total, count(*) AS n FROM o GROUP BY month ORDER BY month DESC LIMIT 4),
@@ -91,7 +93,7 @@ def desk_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.desk_read(observations(spark, sf_dir)).select("month", *rounded("now", "prior"), "headline", "hawk_bank", "dove_bank")
 
 
-@register("recent_changes", f"""WITH {OBSERVATIONS_SQL}, c AS (SELECT *, 'https://example.org/' || (id % 997) AS url, round(score - lag(score) OVER (PARTITION BY member ORDER BY ts, id), 2) + 0.0 AS change FROM o)
+@register("recent_changes", f"""WITH {OBSERVATIONS_SQL}, c AS (SELECT *, 'https://example.org/' || (id % 997) AS url, {_two('score - lag(score) OVER (PARTITION BY member ORDER BY ts, id)')} AS change FROM o)
 SELECT id, member, url, score, change FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) = 1) ORDER BY ts DESC, id DESC LIMIT 10""")
 def recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).withColumn("url", F.concat(F.lit("https://example.org/"), (F.col("id") % 997).cast("string")))
@@ -99,10 +101,10 @@ def recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("flagged_splits", f"""WITH {OBSERVATIONS_SQL} SELECT id, bank, score, lexicon_score, round(abs(score - lexicon_score), 9) AS gap,
-  score <> 0 AND lexicon_score <> 0 AND (score * lexicon_score < 0 OR abs(score - lexicon_score) >= 0.5) AS disagree FROM o WHERE needs_review ORDER BY abs(score - lexicon_score) DESC, id LIMIT 8""")
+  id % 3 <> 0 AND (score * lexicon_score < 0 OR abs(score - lexicon_score) >= 0.5) AS disagree FROM o WHERE needs_review ORDER BY abs(score - lexicon_score) DESC, id LIMIT 8""")
 def flagged_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = boards.flagged_splits(observations(spark, sf_dir))
-    return found.select("id", "bank", "score", "lexicon_score", *rounded("gap"), boards.disagrees(F.col("score"), F.col("lexicon_score")).alias("disagree"))
+    return found.select("id", "bank", "score", "lexicon_score", *rounded("gap"), boards.disagrees(F.col("score"), F.col("lexicon_score"), F.col("id") % 3 != 0).alias("disagree"))
 
 
 def _asked(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:

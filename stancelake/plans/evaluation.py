@@ -51,11 +51,22 @@ def majority_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("mcnemar_counts", f"""WITH {ROWS_SQL}, k AS (SELECT count(*) FILTER (first = gold AND second <> gold) AS only_first, count(*) FILTER (second = gold AND first <> gold) AS only_second, count(*) AS n FROM e)
-SELECT only_first, only_second, n, round(pow(greatest(0.0, abs(only_first - only_second) - 1), 2) / (only_first + only_second), 9) AS chi2, round((only_first - only_second) / n, 9) AS gap FROM k""")
+SELECT only_first, only_second, n, round(pow(abs(only_first - only_second) - 1, 2) / (only_first + only_second), 9) AS chi2, round((only_first - only_second) / n, 9) AS gap FROM k""")
 def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.mcnemar(rows(spark, sf_dir)).select("only_first", "only_second", "n", *rounded("chi2", "gap"))
 
 
+@register("mcnemar_p")
+def mcnemar_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mcnemar_counts with the tail of its chi2, for which SQL has no function."""
+    return evaluation.with_p(evaluation.mcnemar(rows(spark, sf_dir))).select("only_first", "only_second", "n", *rounded("chi2", "p", "gap"))
+
+
+@register("brier_score", f"WITH {ROWS_SQL} SELECT round(avg(pow(confidence - (gold = first)::INT, 2)), 9) AS brier FROM e")
+def brier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.brier(rows(spark, sf_dir).withColumn("right", F.col("gold") == F.col("first"))).select(*rounded("brier"))
+
+
 @register("accuracy_gap_ci")
 def accuracy_gap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gap_interval(rows(spark, sf_dir))

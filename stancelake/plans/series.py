@@ -63,14 +63,18 @@ def lead_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.block_bootstrap(pairs(spark, sf_dir))
 
 
-@register("divergence_3m", f"""WITH {OBSERVATIONS_SQL}, {RATES_SQL},
+_SAID_SQL = f"""CASE WHEN aligned IS NULL THEN '{series.NO_HISTORY}' ELSE 'Fed communication is ' || tone_direction || ' (' || printf('%+.2f', tone_change) || ' over the quarter)' || CASE WHEN aligned THEN ' and ' ELSE ' while ' END
+  || 'the 2-year yield has ' || CASE WHEN rate_change_bp > 0 THEN 'risen ' ELSE 'fallen ' END || printf('%.0f', abs(rate_change_bp)) || 'bp' || CASE WHEN aligned THEN '{series.TOGETHER.replace("'", "''")}' ELSE '{series.APART}' END END"""
+
+
+@register("divergence_3m", f"""SELECT *, {_SAID_SQL} AS headline FROM (WITH {OBSERVATIONS_SQL}, {RATES_SQL},
 i AS (SELECT month, avg(score) AS v FROM o GROUP BY month HAVING count(*) >= 3), m AS (SELECT month, value AS v FROM rates WHERE series = 'market'),
 c AS (SELECT (SELECT v - (SELECT v FROM i WHERE month = (SELECT max(month) FROM i) - 3) FROM i ORDER BY month DESC LIMIT 1) AS t,
              (SELECT v - (SELECT v FROM m WHERE month = (SELECT max(month) FROM m) - 3) FROM m ORDER BY month DESC LIMIT 1) * 100 AS b)
 SELECT round(t, 9) + 0.0 AS tone_change, round(b, 9) + 0.0 AS rate_change_bp,
   CASE WHEN t IS NULL THEN 'not enough history' WHEN t > 0.05 THEN 'more hawkish' WHEN t < -0.05 THEN 'more dovish' ELSE 'little changed' END AS tone_direction,
-  CASE WHEN b IS NULL THEN 'not enough history' WHEN b > 5 THEN 'pricing higher' WHEN b < -5 THEN 'pricing lower' ELSE 'little changed' END AS rate_direction,
-  CASE WHEN t IS NOT NULL AND b IS NOT NULL THEN CASE WHEN abs(t) <= 0.05 THEN 0 ELSE sign(t) END = CASE WHEN abs(b) <= 5 THEN 0 ELSE sign(b) END END AS aligned FROM c""")
+  CASE WHEN b IS NULL THEN 'not enough history' WHEN b > 5 THEN 'repricing higher' WHEN b < -5 THEN 'repricing lower' ELSE 'little changed' END AS rate_direction,
+  CASE WHEN t IS NOT NULL AND b IS NOT NULL THEN CASE WHEN abs(t) <= 0.05 THEN 0 ELSE sign(t) END = CASE WHEN abs(b) <= 5 THEN 0 ELSE sign(b) END END AS aligned FROM c)""")
 def divergence_3m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each series at its own last month, which may differ."""
     tone = series.monthly_mean(observations(spark, sf_dir)).select(F.lit("tone").alias("series"), "month", F.col("mean").alias("value"))
@@ -78,7 +82,8 @@ def divergence_3m(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = series.latest_change(tone.unionByName(market), 3)
     both = changes.agg(F.max(F.when(F.col("series") == "tone", F.col("change"))).alias("tone_change"), (F.max(F.when(F.col("series") == "market", F.col("change"))) * 100).alias("rate_change_bp"))
     said = series.divergence(F.col("tone_change"), F.col("rate_change_bp"))
-    return both.select(*rounded("tone_change", "rate_change_bp"), *[c.alias(name) for name, c in said.items()])
+    shown = both.select(*rounded("tone_change", "rate_change_bp"), *[c.alias(name) for name, c in said.items()])
+    return shown.withColumn("headline", series.divergence_sentence(F.col("tone_change"), F.col("rate_change_bp"), F.col("tone_direction"), F.col("aligned")))
 
 
 _YEARS_SQL = f"""{OBSERVATIONS_SQL}, {RATES_SQL}, ty AS (SELECT CAST(month // 12 AS INTEGER) AS year, avg(score) AS mean FROM o GROUP BY 1 HAVING count(*) >= 8),
@@ -108,3 +113,8 @@ def annual_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("annual_bootstrap_ci")
 def annual_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.paired_bootstrap(_years(spark, sf_dir).withColumn("cell", F.lit("change")), "cell", "tone", "change", statistic="slope")
+
+
+@register("rate_span", f"WITH {OBSERVATIONS_SQL}, {RATES_SQL}, i AS (SELECT month FROM o GROUP BY month HAVING count(*) >= 3), u AS (SELECT month FROM i UNION SELECT month FROM rates WHERE month BETWEEN (SELECT min(month) FROM i) AND (SELECT max(month) FROM i)) SELECT min(month) AS first, max(month) AS last, count(*) AS months FROM u")
+def rate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.span_union(rates(spark, sf_dir), series.with_history(series.monthly_mean(observations(spark, sf_dir))))
