@@ -77,8 +77,22 @@ def _block_search(names: np.ndarray, q: np.ndarray, k: int):
     return run
 
 
-def citations(found: DataFrame, *fields: str) -> DataFrame:
-    return found.select(*fields)
+def gram_hasher(dim: int):
+    """A function of an iterable of grams: the vector of hash_embedding. Hashes of grams seen are kept."""
+    places: dict[str, tuple[int, float]] = {}
+
+    def one(grams) -> np.ndarray:
+        out = np.zeros(dim)
+        for gram in grams:
+            if gram not in places:
+                h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
+                places[gram] = (h % dim, 1.0 if h >> 33 & 1 else -1.0)
+            at, sign = places[gram]
+            out[at] += sign
+        length = np.linalg.norm(out)
+        return out / length if length else out
+
+    return one
 
 
 def hash_embedding(words: Column, dim: int = 768) -> Column:
@@ -89,20 +103,8 @@ def hash_embedding(words: Column, dim: int = 768) -> Column:
 
     @F.pandas_udf("array<double>")
     def embed(column: pd.Series) -> pd.Series:
-        places: dict[str, tuple[int, float]] = {}
-
-        def one(grams) -> np.ndarray:
-            out = np.zeros(dim)
-            for gram in grams if grams is not None else ():
-                if gram not in places:
-                    h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-                    places[gram] = (h % dim, 1.0 if h >> 33 & 1 else -1.0)
-                at, sign = places[gram]
-                out[at] += sign
-            length = np.linalg.norm(out)
-            return out / length if length else out
-
-        return pd.Series([one(g) for g in column], dtype=object)
+        one = gram_hasher(dim)
+        return pd.Series([one(grams if grams is not None else ()) for grams in column], dtype=object)
 
     return embed(words)
 
