@@ -1,3 +1,9 @@
 """stancelake: DataFrame operators for stance, tone and policy-communication analytics on Spark."""
 
-__version__ = "0.1.0"
+from stancelake import errors
+from stancelake.session import build, table
+
+__version__ = "0.2.0"
+
+#: What users import; the modules of operators are imported by name.
+__all__ = ["build", "errors", "table"]

@@ -12,13 +12,17 @@ def movement(rows: DataFrame, asked: DataFrame) -> DataFrame:
     Columns: ask, bank, member, score, previous, delta, readings, place. Later readings do not count, and a
     member counts only once heard. place: members with a change first, the largest first, then by name.
 
-    Points and readings of a bank meet in one range join, which is reduced to two readings a member; few
-    points are broadcast by the optimizer, many are shuffled by bank.
+    Points are put into the timeline of each member of their bank, and each carries on the reading before it, so
+    the cost is the readings and the rows of the result, not points times readings.
     """
-    heard = rows.select("bank", "member", "ts", "id", "score").join(asked.select("ask", "bank", "as_of"), "bank").where("ts <= as_of")
-    newest = Window.partitionBy("ask", "member").orderBy(F.desc("ts"), F.desc("id"))
-    numbered = heard.withColumn("nth", F.row_number().over(newest))
-    pairs = numbered.groupBy("ask", "bank", "member").agg(F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("nth") == 2, F.col("score"))).alias("previous"), F.count(F.lit(1)).alias("readings"))
+    of_member = Window.partitionBy("bank", "member").orderBy("ts", "id")
+    readings = rows.select("bank", "member", "ts", "id", "score").withColumn("previous", F.lag("score").over(of_member)).withColumn("readings", F.row_number().over(of_member).cast("long"))
+    readings = readings.select("bank", "member", "ts", F.lit(0).alias("kind"), "id", F.lit(None).cast(asked.schema["ask"].dataType).alias("ask"), F.struct("score", "previous", "readings").alias("now"))
+    members = rows.select("bank", "member").distinct()
+    points = asked.select("ask", "bank", F.col("as_of").alias("ts")).join(members, "bank")
+    points = points.select("bank", "member", "ts", F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "ask", F.lit(None).cast(readings.schema["now"].dataType).alias("now"))
+    so_far = Window.partitionBy("bank", "member").orderBy("ts", "kind", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = readings.unionByName(points).withColumn("now", F.last("now", ignorenulls=True).over(so_far)).where("kind = 1 AND now IS NOT NULL").select("ask", "bank", "member", "now.*")
     pairs = pairs.withColumn("delta", F.col("score") - F.col("previous"))
     order = Window.partitionBy("ask").orderBy(F.col("delta").isNull(), F.desc(F.abs("delta")), F.lower(F.col("member").cast("string")))
     return pairs.withColumn("place", F.row_number().over(order))

@@ -18,8 +18,14 @@ def term_frequency(documents: DataFrame, most: int = 2, key: str = "doc_id", tex
     return words.select(key, F.explode(text.ngrams(F.col("words"), most)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+def grams(documents: DataFrame, most: int = 2, key: str = "doc_id", text_col: str = "text", each_once: bool = True) -> DataFrame:
+    """key, gram: every run of 1 to `most` words of a text, once for each text if `each_once`, which takes no shuffle."""
+    found = text.ngrams(text.tokens(F.col(text_col)), most)
+    return documents.select(key, F.explode(F.array_distinct(found) if each_once else found).alias("gram"))
+
+
 def document_frequency(counts: DataFrame, least: int = 3) -> DataFrame:
-    """gram, df of the grams in at least `least` texts."""
+    """gram, df of the grams in at least `least` texts; `counts` has a row for each text and gram, as grams() gives."""
     return counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
 
 
@@ -36,10 +42,10 @@ def idf(df: Column, n: Column) -> Column:
 def tfidf(documents: DataFrame, most: int = 2, least: int = 3, features: int = 5000, key: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """key, gram, column, weight: (1 + ln tf) * idf, each text's weights of unit length.
 
-    The vocabulary is of at most `features` rows, so it is joined to the counts without a shuffle of them.
+    The vocabulary is of at most `features` rows, so it is sent to the grams, and only those of it are counted and shuffled.
     """
-    counts = term_frequency(documents, most, key, text_col)
-    terms = vocabulary(counts, least, features) if terms is None else terms
+    terms = vocabulary(grams(documents, most, key, text_col), least, features) if terms is None else terms
+    counts = grams(documents, most, key, text_col, each_once=False).join(F.broadcast(terms.select("gram")), "gram", "left_semi").groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
     total = documents.agg(F.count(F.lit(1)).alias("total")) if n is None else documents.sparkSession.createDataFrame([(n,)], "total long")
     weighed = counts.join(F.broadcast(terms), "gram").crossJoin(F.broadcast(total)).select(key, "gram", "column", ((1 + F.log("n")) * idf(F.col("df"), F.col("total"))).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
@@ -69,32 +75,83 @@ def softmax_scores(documents: DataFrame, weights: DataFrame, coefficients: dict[
     return rows.select(key, ((shares["hawkish"] - shares["dovish"]) / total).alias("score"), (F.lit(1.0) / total).alias("confidence"), label.alias("label"))
 
 
-def train_softmax(rows: DataFrame, weights: DataFrame, label: str = "label", key: str = "doc_id", penalty: float = 1e-3, epochs: int = 400, rate: float = 0.5, classes: tuple[str, ...] = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+def labelled_rows(rows: DataFrame, weights: DataFrame, most: int = 20_000, label: str = "label", key: str = "doc_id", seed: int = 5) -> pd.DataFrame:
+    """label, columns, weights (arrays) of at most `most` labelled texts, the documented bound of what is fitted: those of least hash, in the order of their keys."""
+    sparse = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("column", "weight"))).alias("terms"))
+    chosen = rows.where(F.col(label).isNotNull()).select(key, label).dropDuplicates([key]).orderBy(F.xxhash64(F.lit(seed), key)).limit(most)
+    found = chosen.join(sparse, key).select(key, label, F.col("terms.column").alias("columns"), F.col("terms.weight").alias("weights"))
+    return found.orderBy(key).toPandas()
+
+
+class _Sparse:
+    """Rows of few columns as one run of entries; the last column is 1 in every row and carries the intercepts."""
+
+    def __init__(self, columns: list, weights: list, n_columns: int):
+        sizes = np.array([len(c) + 1 for c in columns])
+        self.starts, self.n_columns = np.cumsum(sizes) - sizes, n_columns
+        self.at = np.concatenate([np.append(c, n_columns) for c in columns]).astype(int)
+        self.value = np.concatenate([np.append(w, 1.0) for w in weights])
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+
+    def times(self, theta: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(theta[self.at] * self.value[:, None], self.starts)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.at, weights=g[self.row, k] * self.value, minlength=self.n_columns + 1) for k in range(g.shape[1])], axis=1)
+
+
+def train_softmax(rows: DataFrame, weights: DataFrame, label: str = "label", key: str = "doc_id", penalty: float = 1e-3, epochs: int = 600, rate: float = 0.5, classes: tuple[str, ...] = CLASSES, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients (columns, classes), intercepts): full-batch Adam, classes weighed by rarity, no penalty on intercepts.
 
-    For label sets of the size people annotate: sparse rows of the labelled texts come to the driver.
+    Fitted to at most `most` labelled texts, whose few weights each are kept sparse. A class without texts keeps 0.
+    """
+    return fit_softmax(labelled_rows(rows, weights, most, label, key), penalty, epochs, rate, classes, label)
+
+
+def fit_softmax(known: pd.DataFrame, penalty: float, epochs: int, rate: float, classes: tuple[str, ...], label: str = "label") -> tuple[np.ndarray, np.ndarray]:
+    if not len(known):
+        return np.zeros((1, len(classes))), np.zeros(len(classes))
+    n_columns = max((max(c) for c in known["columns"] if len(c)), default=0) + 1
+    x = _Sparse(list(known["columns"]), list(known["weights"]), n_columns)
+    gold = (known[label].to_numpy()[:, None] == np.array(classes)).astype(float)
+    rarity = len(gold) / (len(classes) * np.maximum(1, gold.sum(axis=0)))
+    share = (gold @ rarity)[:, None] / len(gold)
+    decay = np.full((n_columns + 1, 1), penalty)
+    decay[-1] = 0
+    theta = mean = square = np.zeros((n_columns + 1, len(classes)))
+    for step in range(epochs):
+        odds = x.times(theta)
+        likely = np.exp(odds - odds.max(axis=1, keepdims=True))
+        slope = x.back((likely / likely.sum(axis=1, keepdims=True) - gold) * share) + decay * theta
+        mean, square = mean + (slope - mean) / 10, square + (slope * slope - square) / 1000
+        unbiased = np.sqrt(square / (1 - 0.999 ** (step + 1))) + 1e-8
+        theta = theta - rate / (1 - 0.9 ** (step + 1)) * mean / unbiased
+    return theta[:-1], theta[-1]
+
+
+def choose_penalty(documents: DataFrame, gold: DataFrame, grid: tuple[float, ...] = (3e-4, 1e-3, 3e-3), folds: int = 3, epochs: int = 400, rate: float = 0.5, features: int = 5000, least: int = 3, classes: tuple[str, ...] = CLASSES, key: str = "doc_id", text_col: str = "text", label: str = "label", seed: int = 0) -> tuple[float, dict[float, float]]:
+    """The penalty with the best mean macro F1 over folds, the first of equals, and all means.
+
+    Each fold has a vocabulary and frequencies of its own other texts only. Folds are by a hash of the key.
     """
-    known = rows.select(key, label).join(weights, key).select(key, label, "column", "weight").toPandas()
-    ids, row = np.unique(known[key], return_inverse=True)
-    y = known.groupby(row)[label].first().map({c: i for i, c in enumerate(classes)}).to_numpy(int)
-    columns, col = int(known["column"].max()) + 1, known["column"].to_numpy(int)
-    x = np.zeros((len(ids), columns))
-    x[row, col] = known["weight"]
-    hot = np.eye(len(classes))[y]
-    share = len(y) / (len(classes) * np.maximum(1, hot.sum(axis=0)))[y]
-    w, b = np.zeros((columns, len(classes))), np.zeros(len(classes))
-    state = [np.zeros_like(v) for v in (w, w, b, b)]
-    for step in range(1, epochs + 1):
-        z = x @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = (p - hot) * share[:, None] / len(y)
-        grads = [x.T @ g + penalty * w, g.sum(axis=0)]
-        for k, value in enumerate((w, b)):
-            state[2 * k] = 0.9 * state[2 * k] + 0.1 * grads[k]
-            state[2 * k + 1] = 0.999 * state[2 * k + 1] + 0.001 * grads[k] ** 2
-            value -= rate * (state[2 * k] / (1 - 0.9**step)) / (np.sqrt(state[2 * k + 1] / (1 - 0.999**step)) + 1e-8)
-    return w, b
+    rows = documents.select(key, text_col).join(gold.select(key, label), key).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)))
+    found: dict[float, list[float]] = {p: [] for p in grid}
+    for k in range(folds):
+        fit, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+        terms = vocabulary(grams(fit, 2, key, text_col), least, features)
+        n = fit.count()
+        inside, outside = (labelled_rows(part, tfidf(part, 2, key=key, text_col=text_col, terms=terms, n=n), label=label, key=key) for part in (fit, held))
+        for p in grid:
+            w, b = fit_softmax(inside, p, epochs, rate, classes, label)
+            said = np.array([np.argmax(np.asarray(v) @ w[np.asarray(c, int)] + b) if len(c) and max(c) < len(w) else np.argmax(b + sum((v[i] * w[j] for i, j in enumerate(c) if j < len(w)), np.zeros(len(classes)))) for c, v in zip(outside["columns"], outside["weights"])], int)
+            found[p].append(_macro_f1(outside[label].to_numpy(), np.array(classes)[said] if len(said) else np.array([]), classes))
+    means = {p: float(np.mean(x)) for p, x in found.items()}
+    return max(grid, key=lambda p: (means[p], -grid.index(p))), means
+
+
+def _macro_f1(gold: np.ndarray, said: np.ndarray, classes: tuple[str, ...]) -> float:
+    hits = [2 * ((gold == c) & (said == c)).sum() / max(1, (gold == c).sum() + (said == c).sum()) for c in classes]
+    return float(np.mean(hits))
 
 
 def model_table(spark, w: np.ndarray, classes: tuple[str, ...] = CLASSES) -> DataFrame:

@@ -55,6 +55,23 @@ def ingest(rows: DataFrame, path: str, spark: SparkSession | None = None, text:
     return seen.get["n"]
 
 
+def publish(tables: dict[str, DataFrame], root: str, batch: str) -> None:
+    """Adds a batch to several tables at once: each is written under the batch's name, and a marker is written last.
+
+    Readers see a batch in all tables once its marker is there, and in none before, so a write that fails half-way
+    leaves nothing that can be read. A batch is written again under the same name after that.
+    """
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+    next(iter(tables.values())).sparkSession.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{root}/_published")
+
+
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows of a table in all batches that are whole; only their folders are read. There is one marker for each batch."""
+    batches = [r["batch"] for r in spark.read.parquet(f"{root}/_published").distinct().collect()]
+    return spark.read.option("basePath", f"{root}/{name}").parquet(*[f"{root}/{name}/batch={b}" for b in sorted(batches)]).drop("batch")
+
+
 def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """All rows of both, the fresh one where a key is in both. Keys of `fresh` are distinct."""
     return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh)

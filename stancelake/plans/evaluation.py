@@ -106,8 +106,8 @@ def classifier_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trains on two thirds of the labelled documents and scores the rest."""
     gold = rows(spark, sf_dir).select("doc_id", F.col("gold").alias("label"))
     documents = table(spark, sf_dir, "documents").join(gold.select("doc_id"), "doc_id", "left_semi")
-    weights = features.tfidf(documents, features=500)
-    w, b = features.train_softmax(gold.where("doc_id % 3 <> 0"), weights, epochs=100)
+    weights = features.tfidf(documents)
+    w, b = features.train_softmax(gold.where("doc_id % 3 <> 0"), weights)
     joined = weights.join(F.broadcast(features.model_table(spark, w)), "column")
     found = features.softmax_scores(documents, joined, {c: F.col(c) for c in features.CLASSES}, dict(zip(features.CLASSES, map(float, b))))
     tried = found.join(gold.where("doc_id % 3 = 0").withColumnRenamed("label", "gold"), "doc_id")

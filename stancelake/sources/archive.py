@@ -7,10 +7,12 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from stancelake import errors
 from stancelake.sources import pages
 
 FIELDS = ("date", "author", "title", "text", "url", "description")
@@ -103,13 +105,14 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("url IS NOT NULL AND speaker <> '' AND date <> ''")
 
 
-def read_sitemap(spark: SparkSession, path: str, pattern: str = r"/(\d{4})(\d{2})(\d{2})[^/]*\.html?$", most: int | None = None) -> DataFrame:
-    """url, date of a sitemap's locations whose URL has a date, each once, newest first."""
+def read_sitemap(spark: SparkSession, path: str, pattern: str = r"/(\d{4})(\d{2})(\d{2})[^/]*\.html?$", most: int | None = None, since: str | None = None) -> DataFrame:
+    """url, date of a sitemap's locations whose URL has a date, from the date `since` on, each once, newest first."""
     whole = spark.read.text(path, wholetext=True)
     urls = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url")).distinct()
     part = lambda k: F.regexp_extract("url", pattern, k)
     dated = urls.where(F.col("url").rlike(pattern)).select("url", F.try_to_timestamp(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-MM-dd")).cast("date").alias("date"))
-    found = dated.where("date IS NOT NULL").orderBy(F.desc("date"), "url")
+    recent = F.lit(True) if since is None else F.col("date") >= F.lit(since).cast("date")
+    found = dated.where(F.col("date").isNotNull() & recent).orderBy(F.desc("date"), "url")
     return found if most is None else found.limit(most)
 
 
@@ -118,3 +121,25 @@ def read_labelled(spark: SparkSession, path: str, labels: dict[int, str], text:
     names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     rows = spark.read.json(path, schema=f"`{text}` string, `{label}` int")
     return rows.select(F.col(text).alias("text"), F.try_element_at(names, F.col(label)).alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
+
+
+#: The classes of a set that was labelled by whether a sentence follows from "policy should be tightened".
+ENTAILMENT = {"entailment": "hawkish", "contradiction": "dovish", "neutral": "neutral"}
+
+
+def read_labelled_csv(spark: SparkSession, path: str, text: str = "sentence", label: str = "4_stance_nli", labels: dict[str, str] | None = None) -> DataFrame:
+    """text, label of a CSV with named labels, whatever their case; rows of other labels, or without text, are left out."""
+    names = F.create_map(*[F.lit(x) for pair in (labels or ENTAILMENT).items() for x in pair])
+    rows = _there(lambda: spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"'), path)
+    found = rows.select(F.btrim(F.col(f"`{text}`")).alias("text"), F.try_element_at(names, F.lower(F.btrim(F.col(f"`{label}`")))).alias("label"))
+    return found.where("label IS NOT NULL AND text <> ''")
+
+
+def _there(read, path: str) -> DataFrame:
+    """What `read` gives; a file that is not there is an error of its own."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise errors.BenchmarkUnavailable(path) from error
+        raise

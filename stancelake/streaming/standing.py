@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancelake.operators import ingest, series
 
 
-def stream_ingest(rows: DataFrame, path: str, checkpoint: str, text: str = "text", order: str = "doc_id", once: bool = True):
-    """Starts a query that appends unseen texts of each micro-batch to a table; a replayed batch adds nothing."""
+def stream_ingest(rows: DataFrame, path: str, checkpoint: str, text: str = "text", order: str = "doc_id", once: bool = True, rules: dict[str, Column] | None = None, rejects: str | None = None):
+    """Starts a query that appends unseen texts of each micro-batch to a table; a replayed batch adds nothing.
+
+    Rows that break one of the `rules` go to the table `rejects` with the names of those, and the stream goes on.
+    """
+
 
     def write(batch: DataFrame, _: int) -> None:
-        ingest.ingest(batch, path, batch.sparkSession, text, order)
+        good = batch
+        if rules:
+            good, bad = ingest.validated(batch, rules)
+            if rejects:
+                ingest.append(bad, rejects)
+        ingest.ingest(good, path, batch.sparkSession, text, order)
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -216,3 +216,81 @@ def test_ranks_by_bands_are_ranks(spark):
     for bank in "ab":
         order = sorted((r for r in rows if r[0] == bank), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
         assert [got[bank, r[1]] for r in order] == list(range(1, len(order) + 1))
+
+
+def test_training_and_choice_of_penalty(spark):
+    rng = random.Random(2)
+    words = {"hawkish": "hike tighten", "dovish": "cut ease", "neutral": "meet talk"}
+    rows = [(i, " ".join([rng.choice(words[c].split()), rng.choice("a b c".split()), rng.choice(words[c].split())]), c) for i in range(90) for c in [list(words)[i % 3]]]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, label string")
+    weights = features.tfidf(frame, least=2)
+    w, b = features.train_softmax(frame, weights, epochs=60)
+    joined = weights.join(features.model_table(spark, w), "column")
+    said = features.softmax_scores(frame, joined, {c: F.col(c) for c in features.CLASSES}, dict(zip(features.CLASSES, map(float, b))))
+    assert said.join(frame.withColumnRenamed("label", "gold"), "doc_id").where("label = gold").count() >= 88
+    known = features.labelled_rows(frame, weights)
+    x, gold = np.zeros((90, len(w))), (known["label"].to_numpy()[:, None] == np.array(features.CLASSES)).astype(float)
+    for i, (c, v) in enumerate(zip(known["columns"], known["weights"])):
+        x[i, np.asarray(c, int)] = v
+    theta, bias = features.fit_softmax(known, 0.01, 1, 0.5, features.CLASSES)
+    slope = x.T @ ((np.full((90, 3), 1 / 3) - gold) / 90)
+    assert np.sign(theta[np.abs(slope) > 1e-9]).tolist() == np.sign(-slope[np.abs(slope) > 1e-9]).tolist() and np.abs(bias).max() < 0.51
+    best, means = features.choose_penalty(frame, frame, (1e-3, 10.0), epochs=30, least=1)
+    assert best == 1e-3 and means[1e-3] > 0.9
+    assert len(features.labelled_rows(frame, weights, most=7)) == 7
+
+
+def test_services_are_called_again():
+    waits, left = [], [429, 503]
+
+    class Busy(Exception):
+        pass
+
+    def call():
+        if left:
+            raise Busy(left.pop())
+        return "ok"
+
+    from stancelake.functions import calls
+
+    assert calls.again(call, lambda e: e.args[0], wait=waits.append) == "ok" and waits == [2.0, 4.0]
+    left.extend([500] * 9)
+    with pytest.raises(errors.ScorerFailed):
+        calls.again(call, lambda e: e.args[0], wait=waits.append)
+    left[:] = [404]
+    with pytest.raises(Busy):
+        calls.again(call, lambda e: e.args[0], wait=waits.append)
+    assert calls.in_batches(list(range(250)), lambda x: [v + 1 for v in x]) == list(range(1, 251))
+    with pytest.raises(errors.ScorerFailed):
+        calls.in_batches([1, 2], lambda x: x[:1])
+
+
+def test_batches_are_seen_whole(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    frame = lambda n: spark.createDataFrame([(n,)], "k int")
+    ingest.publish({"speech": frame(1), "stance": frame(2)}, root, "a")
+    frame(9).write.parquet(f"{root}/speech/batch=b")  # a write that failed half-way
+    assert [r["k"] for r in ingest.published(spark, root, "speech").collect()] == [1]
+    ingest.publish({"speech": frame(3), "stance": frame(4)}, root, "b")
+    assert sorted(r["k"] for r in ingest.published(spark, root, "speech").collect()) == [1, 3] and ingest.published(spark, root, "stance").count() == 2
+
+
+def test_labelled_csv_and_missing_files(spark, tmp_path):
+    from stancelake.sources import archive, rates
+
+    (tmp_path / "l.csv").write_text('id,sentence,4_stance_nli\n1,"We, must hike",Entailment\n2,Words,neutral\n3,Other,unknown\n4,,contradiction\n5,Cut it, contradiction\n')
+    assert sorted(map(tuple, archive.read_labelled_csv(spark, str(tmp_path / "l.csv")).collect())) == [("Cut it", "dovish"), ("We, must hike", "hawkish"), ("Words", "neutral")]
+    for read in (lambda p: archive.read_labelled_csv(spark, p), lambda p: rates.read_daily(spark, p, "x")):
+        with pytest.raises(errors.BenchmarkUnavailable):
+            read(str(tmp_path / "none.csv"))
+
+
+def test_a_failing_item_never_stops_the_stream(spark, tmp_path):
+    from stancelake.streaming import standing
+
+    spark.createDataFrame([(1, "good text"), (2, "x"), (3, None)], "doc_id int, text string").write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("doc_id int, text string").parquet(str(tmp_path / "in"))
+    query = standing.stream_ingest(rows, str(tmp_path / "t"), str(tmp_path / "c"), rules={"length": F.char_length("text") > 3}, rejects=str(tmp_path / "r"))
+    query.awaitTermination()
+    assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [1]
+    assert sorted((r["doc_id"], r["reasons"]) for r in spark.read.parquet(str(tmp_path / "r")).collect()) == [(2, ["length"]), (3, ["length"])]
