@@ -188,6 +188,18 @@ def _by_blocks(distinct: DataFrame, bits: int, radius: int, blocks: int | None)
     return distinct.select("fingerprint", as_bits.alias("bits")).select("fingerprint", F.explode(F.array(*keys)).alias("key"))
 
 
+def blocks_for(n: int, bits: int, radius: int, most: int = MOST) -> int:
+    """Blocks that n fingerprints of random bits are cut into, so that a key is shared by about `most` at most.
+
+    One block more than the radius gives few, short keys; each further one gives more and longer keys, and no
+    link is lost with any number.
+    """
+    blocks = radius + 1
+    while blocks < 2 * radius and n >> (bits * (blocks - radius) // blocks) > most:
+        blocks += 1
+    return blocks
+
+
 def links(distinct: DataFrame, bits: int, radius: int, blocks: int | None = None, anchored: bool = False, most: int = MOST, tail: int = 0) -> DataFrame:
     """(a, b) spanning links of distinct fingerprints (fingerprint, anchors if `anchored`) within the radius.
 
@@ -270,12 +282,13 @@ def radius_of_sets(similarity: float, bits: int, margin: float = 4, largest: int
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bits: int = 64, radius: int = 3, blocks: int | None = None, bands: int = 0, most: int = MOST) -> DataFrame:
     """(id, fingerprint, component) of every row: the smallest id that links of at most `radius` bits reach.
 
-    bands 0: shards by blocks, exact. bands > 0: shards by anchors. All rows of an id keep their own
+    bands 0: shards by blocks, exact; their number follows that of distinct fingerprints unless it is given. bands > 0: shards by anchors. All rows of an id keep their own
     fingerprints; rows with a null id are in classes, but name none. Empty texts are one class.
     """
     rows = graph.cut(fingerprints(documents, id_col, text_col, size, bits, bands))
     distinct = rows.groupBy("fingerprint").agg(F.min("id").alias("least"), *([F.min("anchors").alias("anchors")] if bands else []))
     distinct = graph.cut(distinct)
+    blocks = blocks or blocks_for(distinct.count(), bits, radius)
     roots = graph.components(links(distinct, bits, radius, blocks, bool(bands), most))
     rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))

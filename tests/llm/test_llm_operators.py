@@ -497,3 +497,7 @@ def test_html_tag_names_do_not_select():
 def test_html_column_names_that_clash(spark):
     got = html.extract(spark.createDataFrame([("<p>a</p>", "mine"), (None, None)], "html string, text string")).collect()
     assert [(r["text"], r["text_"]) for r in got] == [("mine", "a"), (None, "")]
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n, 64, 3) for n in (0, 10**6, 10**8, 10**9, 10**12)] == [4, 4, 4, 5, 6]
