@@ -81,9 +81,10 @@ def with_p(found: DataFrame) -> DataFrame:
     return found.withColumn("p", tail("chi2"))
 
 
-def brier(rows: DataFrame, confidence: str = "confidence", right: str = "right") -> DataFrame:
-    """brier: the mean squared distance of the confidence from what came true."""
-    return rows.agg(F.avg(F.pow(F.col(confidence) - F.col(right).cast("double"), 2)).alias("brier"))
+def brier(rows: DataFrame, shares: dict[str, str], gold: str = "gold") -> DataFrame:
+    """brier: the mean over rows of the summed squared distances of each class's share from whether it is the gold one."""
+    apart = [F.pow(F.col(column) - (F.col(gold) == name).cast("double"), 2) for name, column in shares.items()]
+    return rows.agg(F.avg(sum(apart[1:], apart[0])).alias("brier"))
 
 
 def sampled(rows: DataFrame, k: int, order: str, seed: int = 0) -> DataFrame:

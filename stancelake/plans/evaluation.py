@@ -62,9 +62,12 @@ def mcnemar_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.with_p(evaluation.mcnemar(rows(spark, sf_dir))).select("only_first", "only_second", "n", *rounded("chi2", "p", "gap"))
 
 
-@register("brier_score", f"WITH {ROWS_SQL} SELECT round(avg(pow(confidence - (gold = first)::INT, 2)), 9) AS brier FROM e")
+@register("brier_score", f"WITH {ROWS_SQL} SELECT round(avg(pow(confidence - (gold = 'hawkish')::INT, 2) + pow((1 - confidence) / 4 - (gold = 'dovish')::INT, 2) + pow((1 - confidence) * 3 / 4 - (gold = 'neutral')::INT, 2)), 9) AS brier FROM e")
 def brier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.brier(rows(spark, sf_dir).withColumn("right", F.col("gold") == F.col("first"))).select(*rounded("brier"))
+    """A quarter of what the confidence leaves goes to the second class."""
+    left = 1 - F.col("confidence")
+    shared = rows(spark, sf_dir).withColumn("dovish", left / 4).withColumn("neutral", left * 3 / 4)
+    return evaluation.brier(shared, {"hawkish": "confidence", "dovish": "dovish", "neutral": "neutral"}).select(*rounded("brier"))
 
 
 @register("accuracy_gap_ci")

@@ -176,7 +176,8 @@ def test_mcnemar_is_not_bounded(spark):
     got = evaluation.with_p(evaluation.mcnemar(rows)).first()
     assert got["chi2"] == 0.5 and got["p"] == pytest.approx(math.erfc(0.5))
     assert evaluation.with_p(evaluation.mcnemar(rows.where("first = second"))).first()["p"] == 1.0
-    assert evaluation.brier(spark.createDataFrame([(0.8, True), (0.4, False)], "confidence double, right boolean")).first()[0] == pytest.approx((0.04 + 0.16) / 2)
+    shares = spark.createDataFrame([("a", 0.8, 0.2), ("b", 0.6, 0.4)], "gold string, x double, y double")
+    assert evaluation.brier(shares, {"a": "x", "b": "y"}).first()[0] == pytest.approx((0.08 + 0.72) / 2)
 
 
 def test_first_of_text_with_null_keys(spark, tmp_path):
