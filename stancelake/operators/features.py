@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import collections
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,14 +45,24 @@ def idf(df: Column, n: Column) -> Column:
 def tfidf(documents: DataFrame, most: int = 2, least: int = 3, features: int = 5000, key: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """key, gram, column, weight: (1 + ln tf) * idf, each text's weights of unit length.
 
-    The vocabulary is of at most `features` rows, so it is sent to the grams, and only those of it are counted and shuffled.
+    Only document frequencies are shuffled. The vocabulary, of at most `features` rows, is made first and goes out to
+    the texts, whose grams are counted and weighed where they are. Each row is a text of its own.
     """
-    terms = vocabulary(grams(documents, most, key, text_col), least, features) if terms is None else terms
-    counts = grams(documents, most, key, text_col, each_once=False).join(F.broadcast(terms.select("gram")), "gram", "left_semi").groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    total = documents.agg(F.count(F.lit(1)).alias("total")) if n is None else documents.sparkSession.createDataFrame([(n,)], "total long")
-    weighed = counts.join(F.broadcast(terms), "gram").crossJoin(F.broadcast(total)).select(key, "gram", "column", ((1 + F.log("n")) * idf(F.col("df"), F.col("total"))).alias("raw"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return weighed.select(key, "gram", "column", (F.col("raw") / length).alias("weight"))
+    found = (vocabulary(grams(documents, most, key, text_col), least, features) if terms is None else terms).collect()
+    total = documents.count() if n is None else n
+    column = {r["gram"]: (int(r["column"]), math.log((1 + total) / (1 + r["df"])) + 1) for r in found}
+
+    def weighed(raw: str) -> list[dict]:
+        counts = collections.Counter(g for g in text.grams_of(raw, most) if g in column)
+        raws = [(g, column[g][0], (1 + math.log(k)) * column[g][1]) for g, k in counts.items()]
+        length = math.sqrt(sum(w * w for _, _, w in raws))
+        return [{"gram": g, "column": c, "weight": w / length} for g, c, w in raws]
+
+    @F.pandas_udf("array<struct<gram:string,column:int,weight:double>>")
+    def weights(texts: pd.Series) -> pd.Series:
+        return pd.Series([weighed(t or "") for t in texts], dtype=object)
+
+    return documents.select(key, F.explode(weights(F.col(text_col))).alias("w")).select(key, "w.*")
 
 
 def top_terms(weights: DataFrame, top: int = 5, key: str = "doc_id") -> DataFrame:
