@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stancelake.operators import evaluation, features
 from stancelake.plans.registry import register
 from stancelake.plans.roles import rounded, rounded_sql
-from stancelake.session import table
+from stancelake.session import table, texts
 
 _NAME = "CASE {0} WHEN 0 THEN 'hawkish' WHEN 1 THEN 'dovish' ELSE 'neutral' END"
 
@@ -108,7 +108,7 @@ def lexicon_means_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classifier_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trains on two thirds of the labelled documents and scores the rest."""
     gold = rows(spark, sf_dir).select("doc_id", F.col("gold").alias("label"))
-    documents = table(spark, sf_dir, "documents").join(gold.select("doc_id"), "doc_id", "left_semi")
+    documents = texts(spark, sf_dir, "doc_id", "text").join(gold.select("doc_id"), "doc_id", "left_semi")
     weights = features.tfidf(documents)
     w, b = features.train_softmax(gold.where("doc_id % 3 <> 0"), weights)
     joined = weights.join(F.broadcast(features.model_table(spark, w)), "column")

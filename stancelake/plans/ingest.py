@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stancelake.operators import ingest
 from stancelake.plans.registry import register
 from stancelake.plans.roles import rounded
-from stancelake.session import table
+from stancelake.session import table, texts
 from stancelake.sources import pages
 from stancelake.streaming import standing
 
@@ -63,7 +63,7 @@ def pending_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM pages)""")
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").withColumn("t", pages.html_text(F.col("html")))
+    rows = texts(spark, sf_dir, "page_id", "url", "html", name="pages").withColumn("t", pages.html_text(F.col("html")))
     return rows.select("page_id", pages.host(F.col("url")).alias("host"), pages.absolute(F.col("url"), "https://example.org").alias("url"), pages.title(F.col("html")).alias("title"), F.char_length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("text_sha256"), pages.long_enough(F.col("t")).alias("long_enough"))
 
 

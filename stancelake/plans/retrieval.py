@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stancelake.functions import text
 from stancelake.operators import retrieval
 from stancelake.plans.registry import register
-from stancelake.session import table
+from stancelake.session import table, texts
 
 _VECTORS = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 0), d AS (SELECT vec_id, label, 1 - list_cosine_similarity(e, qe) AS distance FROM v, q)"
 _SHOWN = "round(distance, 9) + 0.0 AS distance"
@@ -43,11 +43,11 @@ def nearest_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("hash_embedding_norms")
 def hash_embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = text.ngrams(text.tokens(F.col("text")), 2)
-    vectors = table(spark, sf_dir, "documents").select("doc_id", retrieval.hash_embedding(grams).alias("v"))
+    vectors = texts(spark, sf_dir, "doc_id", "text").select("doc_id", retrieval.hash_embedding(grams).alias("v"))
     return vectors.select("doc_id", F.round(F.sqrt(retrieval.dot(F.col("v"), F.col("v"))), 9).alias("norm"))
 
 
 @register("extractive_answer")
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = texts(spark, sf_dir, "doc_id", "lang", "text").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text")
     return retrieval.extractive_answer(chunks, "the reason that it was with the other")

@@ -13,7 +13,7 @@ from stancelake.operators import assessment, retrieval, speeches
 from stancelake.plans.registry import register
 from stancelake.plans.roles import rounded
 from stancelake.plans.text import _hits_sql
-from stancelake.session import table
+from stancelake.session import table, texts
 
 #: The invented prose gets words of the domain for some of its own.
 SPOKEN = ((" of ", " rate hike "), (" was ", " easing "), (" with ", " not "), (" that ", " outlook will "))
@@ -27,7 +27,7 @@ def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     for a, b in SPOKEN:
         said = F.replace(said, F.lit(a), F.lit(b))
     bank = F.when(F.col("lang") == "en", assessment.CLASSIFIER_BANKS[0]).otherwise(F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", said.alias("text"), ((F.col("n_chars") % 201 - 100) / F.lit(100.0)).alias("headline"), bank.alias("bank"))
+    return texts(spark, sf_dir, "doc_id", "text", "n_chars", "lang").select("doc_id", said.alias("text"), ((F.col("n_chars") % 201 - 100) / F.lit(100.0)).alias("headline"), bank.alias("bank"))
 
 
 _SAID = "lower(text)"
@@ -94,7 +94,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents")
+    rows = texts(spark, sf_dir, "doc_id", "source", "text")
     return rows.select(F.col("doc_id").alias("speech_id"), F.col("source").alias("speaker_id"), "text", F.concat(F.lit("Speech "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"))
 
 
@@ -145,5 +145,5 @@ def nearest_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every component of every document's vector that is not zero."""
     grams = text.ngrams(text.tokens(F.col("text")), 2)
-    vectors = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(retrieval.hash_embedding(grams)).alias("place", "value"))
+    vectors = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(retrieval.hash_embedding(grams)).alias("place", "value"))
     return vectors.where("value <> 0").select("doc_id", "place", *rounded("value"))

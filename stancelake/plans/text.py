@@ -9,7 +9,7 @@ from stancelake.functions import text
 from stancelake.operators import boards, features, stance
 from stancelake.plans.registry import register
 from stancelake.plans.roles import OBSERVATIONS_SQL, observations, rounded, rounded_sql
-from stancelake.session import table
+from stancelake.session import texts
 
 #: Terms that the invented prose of the benchmark has; the domain's own terms do not occur in it.
 RELEVANT = ("the", "that", "was", "of the")
@@ -28,7 +28,7 @@ def _hits_sql(column: str, terms: tuple[str, ...]) -> str:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
+    return texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
 
 
 @register("sentence_counts", f"WITH {_SENTENCES_SQL} SELECT doc_id, count(*) AS sentences, sum(length(sentence))::BIGINT AS chars FROM s GROUP BY doc_id")
@@ -104,7 +104,7 @@ def ensemble_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lexicon_scores")
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = text.lexicon(HAWKISH, DOVISH)
-    found = table(spark, sf_dir, "documents").select("doc_id", score(F.col("text")).alias("found"))
+    found = texts(spark, sf_dir, "doc_id", "text").select("doc_id", score(F.col("text")).alias("found"))
     return found.select("doc_id", "found.score", "found.hawkish_hits", "found.dovish_hits")
 
 
@@ -117,13 +117,13 @@ SELECT doc_id, round(coalesce((h - d) / nullif(h + d, 0), 0.0), 9) + 0.0 AS scor
 def lexicon_scores_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms without overlaps or negators in texts of plain letters, which SQL can count."""
     score = text.lexicon(_PLAIN_H, _PLAIN_D, negators=frozenset())
-    rows = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    rows = texts(spark, sf_dir, "doc_id", "lang", "text").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
     return rows.select("doc_id", score(F.col("text")).alias("found")).select("doc_id", (F.round("found.score", 9) + F.lit(0.0)).alias("score"), "found.hawkish_hits", "found.dovish_hits")
 
 
 @register("chunk_documents")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunk(F.col("text"))).alias("chunk_index", "text"))
+    rows = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(text.chunk(F.col("text"))).alias("chunk_index", "text"))
     return rows.select("doc_id", "chunk_index", F.char_length("text").alias("chars"), text.sha256(F.col("text")).alias("sha256"))
 
 
@@ -132,7 +132,7 @@ _GRAMS_SQL = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS
 
 @register("ngram_document_frequency", f"WITH {_GRAMS_SQL} SELECT gram, df FROM df")
 def ngram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.document_frequency(features.grams(table(spark, sf_dir, "documents")), 3)
+    return features.document_frequency(features.grams(texts(spark, sf_dir, "doc_id", "text")), 3)
 
 
 _VOCABULARY_SQL = f"{_GRAMS_SQL}, v AS (SELECT gram, df, row_number() OVER (ORDER BY gram) - 1 AS column FROM (SELECT * FROM df ORDER BY df DESC, gram LIMIT 5000)), dn AS (SELECT count(*) AS n FROM documents), x AS (SELECT doc_id, gram, (1 + ln(tf.n)) * (ln((1 + dn.n) / (1 + df)) + 1) AS raw FROM tf JOIN v USING (gram), dn), xx AS (SELECT doc_id, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM x)"
@@ -140,7 +140,7 @@ _VOCABULARY_SQL = f"{_GRAMS_SQL}, v AS (SELECT gram, df, row_number() OVER (ORDE
 
 @register("tfidf_top_terms", f"WITH {_VOCABULARY_SQL} SELECT doc_id, gram, round(weight, 9) AS weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, gram) AS rank FROM xx) WHERE rank <= 5")
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = texts(spark, sf_dir, "doc_id", "text")
     return features.top_terms(features.tfidf(documents), 5).select("doc_id", "gram", *rounded("weight"), "rank")
 
 
@@ -148,7 +148,7 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT doc_id, coalesce(zh, 0) + 0.1 AS h, coalesce(zd, 0) AS d, 0.2 AS n FROM documents LEFT JOIN z USING (doc_id)), e AS (SELECT doc_id, exp(h) AS h, exp(d) AS d, exp(n) AS n FROM a)
 SELECT doc_id, round((h - d) / (h + d + n), 9) + 0.0 AS score, round(greatest(h, d, n) / (h + d + n), 9) AS confidence, CASE WHEN h >= d AND h >= n THEN 'hawkish' WHEN d >= n THEN 'dovish' ELSE 'neutral' END AS label FROM e""")
 def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = texts(spark, sf_dir, "doc_id", "text")
     weights = features.tfidf(documents)
     coefficients = {"hawkish": (F.ascii("gram") % 7 - 3) / F.lit(4.0), "dovish": (F.char_length("gram") % 5 - 2) / F.lit(4.0), "neutral": F.lit(0.0)}
     found = features.softmax_scores(documents, weights, coefficients, {"hawkish": 0.1, "dovish": 0.0, "neutral": 0.2})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Results are in UTC, adaptive execution re-plans skewed joins, and Arrow carries batches to Python.
 SETTINGS = {
@@ -25,3 +25,18 @@ def build(app: str = "stancelake", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """The Parquet table `name` of a data folder; any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly to all cores if they come in fewer partitions than there are cores.
+
+    A Parquet file of one row group is read by one task, however dear the work on its texts. Rows of more partitions
+    than cores stay as they are, so a large input is not shuffled. Select the columns that are needed before.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def texts(spark: SparkSession, sf_dir: str, *columns: str, name: str = "documents") -> DataFrame:
+    """These columns of a table of texts, spread for work that is dear for each row."""
+    return spread(table(spark, sf_dir, name).select(*columns))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stancelake import session
 from stancelake.functions import text
 from stancelake.operators import boards, committee, evaluation, ingest, retrieval, series, stance
 from stancelake.sources import archive, pages, rates
@@ -248,3 +249,15 @@ def test_standing_of_a_stream_is_a_table(spark, sf):
 
     found = registry.queries()["stream_standing"](spark, sf)
     assert found.inputFiles() and found.count() > 0
+
+
+def test_spread_deals_a_small_input_to_all_cores_and_leaves_others(spark, tmp_path):
+    rows = spark.range(1000).withColumn("text", F.lit("a"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    dealt = session.texts(spark, str(tmp_path), "id", name="t")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert dealt.columns == ["id"] and sum(sizes) == 1000 and len(sizes) == cores and max(sizes) - min(sizes) <= 1
+    wide = rows.repartition(cores + 3)
+    assert session.spread(wide) is wide
+    assert session.spread(rows.coalesce(1).where("id < 0")).count() == 0
