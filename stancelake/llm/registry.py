@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q01_quality", "q02_lm", "q03_mixture", "q04_telephony", "q05_simhash", "q06_toxicity", "q07_decontamination", "q08_licences", "q09_chat", "q10_html", "q12_clusters", "q13_search")
+MODULES = ("q01_quality", "q02_lm", "q03_mixture", "q04_telephony", "q05_simhash", "q06_toxicity", "q07_decontamination", "q08_licences", "q09_chat", "q10_html", "q11_lines", "q12_clusters", "q13_search")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

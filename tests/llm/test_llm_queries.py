@@ -33,7 +33,7 @@ def test_oracle(spark, sf, name):
     frame = registry.queries()[name](spark, sf)
     names = sorted(frame.columns)
     con = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         path = f"{sf}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     result = con.sql(registry.oracle_sql()[name])
