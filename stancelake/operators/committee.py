@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stancelake.operators import scan
+
 
 def movement(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """One row per asked point (ask, bank, as_of) and member of the bank heard by then.
@@ -37,7 +39,8 @@ def every_summary(rows: DataFrame, band: float = 0.02) -> DataFrame:
     """The columns of summary for every reading as an asked point, whose id is ask; points of one instant are alike.
 
     A reading changes only what its own member adds to the bank's figures, so these are running sums of changes. The
-    changes of a bank's instant are summed first; the windows over a bank have a row for each instant. Sums are decimal.
+    changes of a bank's instant are summed first; the sums run in two levels, so that no task has a whole bank. Sums are
+    decimal. Windows are only over one member.
     """
     by_member = Window.partitionBy("bank", "member").orderBy("ts", "id")
     known = rows.select("bank", "member", "ts", "id", "score").withColumn("previous", F.lag("score").over(by_member)).withColumn("nth", F.row_number().over(by_member))
@@ -50,8 +53,7 @@ def every_summary(rows: DataFrame, band: float = 0.02) -> DataFrame:
         "members": (F.col("nth") == 1).cast("long"), "with_change": there("delta") - there("old"), "movers": moved("delta") - moved("old"),
     }
     instants = known.groupBy("bank", "ts").agg(*[F.sum(c).alias(name) for name, c in changes.items()])
-    so_far = Window.partitionBy("bank").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    standing = instants.select("bank", "ts", *[F.sum(name).over(so_far).alias(name) for name in changes])
+    standing = scan.running(instants, ["bank"], [F.col("ts")], {name: F.col(name) for name in changes})
     mean = lambda total, n: F.when(F.col(n) > 0, F.col(total).cast("double") / F.col(n))
     asked = rows.select(F.col("id").alias("ask"), "bank", "ts").join(standing, ["bank", "ts"])
     return asked.select("ask", "bank", mean("total", "scored").alias("standing"), mean("change", "with_change").alias("overall_move"), "members", "with_change", "movers")
