@@ -7,9 +7,13 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stancelake.operators import scan
+from stancelake.session import checkpointed, unused
+
 CLASSES = ("hawkish", "dovish", "neutral")
 
 TAUS = tuple(round(0.05 * k, 2) for k in range(13))
@@ -88,21 +92,40 @@ def brier(rows: DataFrame, shares: dict[str, str], gold: str = "gold") -> DataFr
 
 
 def sampled(rows: DataFrame, k: int, order: str, seed: int = 0) -> DataFrame:
-    """k rows drawn by a seed from those in the order of `order`, or all: the positions are drawn, sorted, and joined.
+    """k rows drawn by a seed from those in the order of `order`, or all if there are no more.
+
+    The draw is that of Python's Mersenne Twister over the row count, so it can be drawn again anywhere; k numbers are what
+    the driver holds and what is broadcast. Rows that are equal in `order` follow by a hash of all their columns; of rows
+    that are equal in everything any one is taken. Nulls come first. An empty table gives no rows.
 
-    The draw is that of Python's Mersenne Twister over the row count, so it can be drawn again anywhere; k numbers
-    are what the driver holds. Positions are counted by ranges of the order, no task orders all rows.
+    Values of the order are counted, running counts give the values that the drawn places fall on, and only rows of
+    those values are numbered. No task has all rows or all of one value, and wide rows that are not drawn do not move.
     """
     n = rows.count()
-    places = sorted(random.Random(seed).sample(range(n), min(k, n)))
-    spans = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33))
-    sizes = {r["part"]: r["count"] for r in spans.groupBy("part").count().collect()}
-    before = {part: sum(size for other, size in sizes.items() if other < part) for part in sizes}
-    if not before:
-        return rows
-    starts = F.create_map(*[F.lit(x) for part, at in before.items() for x in (part, at)])
-    wanted = rows.sparkSession.createDataFrame([(p,) for p in places], "place long")
-    return spans.withColumn("place", F.element_at(starts, F.col("part")) + F.col("at")).join(F.broadcast(wanted), "place", "left_semi").select(*rows.columns)
+    places = np.sort(np.array(random.Random(seed).sample(range(n), min(k, n)), np.int64))
+    kind = rows.schema[order].dataType.simpleString()
+    counts = rows.groupBy(F.col(order).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    upto = scan.running(counts, [], [F.col("value").asc_nulls_first()], {"upto": F.col("n")})
+
+    def drawn(batches):
+        for batch in batches:
+            n, ends = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "upto"))
+            begins = ends - n
+            first, last = np.searchsorted(places, begins), np.searchsorted(places, ends)
+            of = np.repeat(np.arange(len(ends)), last - first)
+            at = np.concatenate([places[a:b] for a, b in zip(first, last)]) if len(of) else np.zeros(0, np.int64)
+            columns = [batch.column("value").take(pa.array(of, pa.int64())), pa.array(at - begins[of] + 1, pa.int64()), pa.array(n[of], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["value", "nth", "n"])
+
+    hits = checkpointed(upto.mapInArrow(drawn, f"value {kind}, nth bigint, n bigint"))  # k rows
+    value, nth, own = unused(rows, "value_"), unused(rows, "nth_"), unused(rows, "own_")
+    hits = hits.select(F.col("value").alias(value), F.col("nth").alias(nth), F.col("n").alias(own))
+    same = rows[order].eqNullSafe(F.col(value))
+    alone = rows.join(F.broadcast(hits.where(f"{own} = 1").drop(nth, own)), same, "left_semi")
+    many = rows.join(F.broadcast(hits.where(f"{own} > 1").select(value).distinct()), same, "left_semi")
+    placed = scan.numbered(many, [order], [F.xxhash64(F.to_json(F.struct(*rows.columns)))], nth)
+    wanted = hits.where(f"{own} > 1").select(value, F.col(nth).alias(own))
+    return alone.unionByName(placed.join(F.broadcast(wanted), placed[order].eqNullSafe(F.col(value)) & (F.col(nth) == F.col(own)), "left_semi").select(*rows.columns))
 
 
 def gap_interval(rows: DataFrame, gold: str = "gold", first: str = "first", second: str = "second", draws: int = 2_000, seed: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +117,18 @@ def classifier_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features.softmax_scores(documents, joined, {c: F.col(c) for c in features.CLASSES}, dict(zip(features.CLASSES, map(float, b))))
     tried = found.join(gold.where("doc_id % 3 = 0").withColumnRenamed("label", "gold"), "doc_id")
     return evaluation.class_metrics(tried, predicted="label")
+
+
+#: A labelling sheet of this many rows.
+SHEET, SHEET_SEED = 100, 7
+
+# the places drawn of as many rows as the tables of each size have: a draw that does not depend on this library
+_DRAWN = ", ".join(f"({n}, {place})" for n in (1_500, 15_000, 150_000) for place in random.Random(SHEET_SEED).sample(range(n), SHEET))
+
+
+@register("deterministic_sample", f"""WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)
+SELECT o_orderkey, o_custkey, o_totalprice FROM o, n WHERE (n, place) IN (VALUES {_DRAWN})""")
+def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelling sheet: rows of all orders at the places that a seed draws."""
+    orders = table(spark, sf_dir, "orders")
+    return evaluation.sampled(orders, SHEET, "o_orderkey", SHEET_SEED).select("o_orderkey", "o_custkey", "o_totalprice")
