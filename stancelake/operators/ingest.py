@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stancelake import session
 from stancelake.functions.text import sha256
+from stancelake.operators import snapshots
 
 
 def first_of_text(rows: DataFrame, text: str = "text", order: str = "doc_id", out: str = "source_sha256") -> DataFrame:
@@ -41,35 +43,26 @@ def ingest(rows: DataFrame, path: str, spark: SparkSession | None = None, text:
     """Appends the rows whose text is not in the table at `path` yet, each text once; the number appended."""
     spark = spark or rows.sparkSession
     fresh = first_of_text(rows, text, order)
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as error:  # the table's first rows
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = None
-    if stored is not None:
-        before = stored.select("source_sha256")
-        fresh = unseen(fresh, before, ["source_sha256"])
+    if session.holds_rows(spark, path):
+        fresh = unseen(fresh, spark.read.parquet(path).select("source_sha256"), ["source_sha256"])
     seen = Observation(f"appended-{uuid.uuid4().hex}")
     append(fresh.observe(seen, F.count(F.lit(1)).alias("n")), path)  # counted as they are written, not in a second run
     return seen.get["n"]
 
 
-def publish(tables: dict[str, DataFrame], root: str, batch: str) -> None:
-    """Adds a batch to several tables at once: each is written under the batch's name, and a marker is written last.
+def publish(tables: dict[str, DataFrame], root: str, batch: str) -> int:
+    """Adds a batch to several tables at once; the number of the snapshot that has it. See snapshots.Tables.
 
-    Readers see a batch in all tables once its marker is there, and in none before, so a write that fails half-way
-    leaves nothing that can be read. A batch is written again under the same name after that.
+    A write that fails half-way leaves nothing that can be read, and the batch may be published again; one that is
+    published already is an ImmutableRecord.
     """
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
-    next(iter(tables.values())).sparkSession.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{root}/_published")
+    spark = next(iter(tables.values())).sparkSession
+    return snapshots.Tables(spark, root).publish(tables, batch).number
 
 
-def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The rows of a table in all batches that are whole; only their folders are read. There is one marker for each batch."""
-    batches = [r["batch"] for r in spark.read.parquet(f"{root}/_published").distinct().collect()]
-    return spark.read.option("basePath", f"{root}/{name}").parquet(*[f"{root}/{name}/batch={b}" for b in sorted(batches)]).drop("batch")
+def published(spark: SparkSession, root: str, name: str, snapshot: int | None = None) -> DataFrame:
+    """The rows of a table in a snapshot, the newest if none is named."""
+    return snapshots.Tables(spark, root).read(name, snapshot)
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

@@ -6,10 +6,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancelake.functions import text
+from stancelake.operators import blocks
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,42 +40,10 @@ def nearest(chunks: DataFrame, query: list[float], k: int = 5, most: float | Non
     return found if most is None else found.where(F.col("distance") <= most)
 
 
-def nearest_each(chunks: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """query, id, distance, rank of the k nearest rows of each of a stated set of queries (id, vector) against all rows.
-
-    Queries are sent out in blocks of about `block`, each of which is all that the driver holds at a time; a task
-    multiplies its batch with a block and keeps k of each query, so what is shuffled is k rows a query and task.
-    """
-    wanted = queries.select(F.col(id_col).cast("string").alias("q"), F.col(vector).alias("v"))
-    blocks = -(-max(1, wanted.count()) // block)
-    rows = chunks.select(F.col(id_col).cast("string").alias("id"), F.col(vector).alias("v"))
-    found = None
-    for at in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == at).toPandas()
-        names = part["q"].to_numpy(object)
-        q = np.stack(part["v"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        mine = rows.mapInPandas(_block_search(names, q, k), "query string, id string, distance double")
-        found = mine if found is None else found.unionByName(mine)
-    order = Window.partitionBy("query").orderBy(F.round("distance", 12), F.col("id").cast("long"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _block_search(names: np.ndarray, q: np.ndarray, k: int):
-    def run(frames):
-        for frame in frames:
-            if not len(frame) or not len(q):
-                continue
-            v = np.stack(frame["v"].to_numpy()).astype(np.float64)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            distance = 1 - v @ q.T
-            ids = frame["id"].to_numpy(object)
-            take = min(k, len(ids))
-            worst = np.partition(distance, take - 1, axis=0)[take - 1]
-            row, col = np.nonzero(distance <= worst + 1e-12)  # ties at the edge are decided later, by id
-            yield pd.DataFrame({"query": names[col], "id": ids[row], "distance": distance[row, col]})
-
-    return run
+def nearest_each(chunks: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block: int = blocks.HELD) -> DataFrame:
+    """query, id, distance, rank of the k nearest rows of every row of `queries`, exactly; see blocks.nearest."""
+    wanted, rows = (x.select(F.col(id_col).alias("id"), F.col(vector).alias("v")) for x in (queries, chunks))
+    return blocks.nearest(rows, wanted, k, block)
 
 
 def gram_hasher(dim: int):

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stancelake import errors
+from stancelake import errors, session
 from stancelake.functions import text
 from stancelake.operators import ingest, retrieval
 
@@ -55,12 +55,7 @@ def chunk_rows(speeches: DataFrame, embed: Embedder, most: int = 1000, overlap:
 
 def open_store(spark: SparkSession, path: str) -> DataFrame | None:
     """The store at `path`, None before its first chunk."""
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        return None
+    return spark.read.parquet(path) if session.holds_rows(spark, path) else None
 
 
 def index_speeches(speeches: DataFrame, path: str, embed: Embedder, most: int = 1000, overlap: int = 100, id_col: str = "speech_id", body: str = "text") -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.functions import text
-from stancelake.operators import retrieval
+from stancelake.operators import blocks, retrieval
 from stancelake.plans.registry import register
 from stancelake.session import table, texts
 
@@ -40,6 +40,18 @@ def nearest_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").cast("long").alias("query"), F.col("id").cast("long").alias("id"), (F.abs(F.round("distance", 9)) + 0.0).alias("distance"), "rank")
 
 
+_ALL_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT q.vec_id AS query, v.vec_id AS id, round(1 - list_cosine_similarity(v.e, q.e), 12) AS distance FROM v, v q)
+SELECT query, id, abs(round(distance, 9)) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5"""
+
+
+@register("nearest_all", _ALL_SQL)
+def nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of every vector among all vectors, by blocks of queries and vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = blocks.nearest(vectors, vectors, 5, held=256)
+    return found.select("query", "id", (F.abs(F.round("distance", 9)) + 0.0).alias("distance"), "rank")
+
+
 @register("hash_embedding_norms")
 def hash_embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = text.ngrams(text.tokens(F.col("text")), 2)

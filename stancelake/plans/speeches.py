@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.functions import text
-from stancelake.operators import assessment, retrieval, speeches
+from stancelake.operators import assessment, blocks, retrieval, speeches, vector_index
 from stancelake.plans.registry import register
+from stancelake.plans.retrieval import _ALL_SQL
 from stancelake.plans.roles import rounded
 from stancelake.plans.text import _hits_sql
-from stancelake.session import table, texts
+from stancelake.session import new_folder, table, texts
 
 #: The invented prose gets words of the domain for some of its own.
 SPOKEN = ((" of ", " rate hike "), (" was ", " easing "), (" with ", " not "), (" that ", " outlook will "))
@@ -86,13 +84,6 @@ def offline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.offline_summary(spoken(spark, sf_dir), assessment.by_terms())
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='checkpoints-')}/{name}-{uuid.uuid4().hex}"
-
-
 def _speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts(spark, sf_dir, "doc_id", "source", "text")
     return rows.select(F.col("doc_id").alias("speech_id"), F.col("source").alias("speaker_id"), "text", F.concat(F.lit("Speech "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"))
@@ -102,7 +93,7 @@ DIM = 256
 
 
 def _store(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    path = _folder(spark, "chunks")
+    path = new_folder(spark, "chunks")
     speeches.index_speeches(rows, path, speeches.hash_embedder(DIM))
     return spark.read.parquet(path)
 
@@ -110,7 +101,7 @@ def _store(spark: SparkSession, rows: DataFrame) -> DataFrame:
 @register("index_speeches")
 def index_speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each speech after it was indexed twice; the second time adds none."""
-    path, rows, embed = _folder(spark, "chunks"), _speeches(spark, sf_dir), speeches.hash_embedder(DIM)
+    path, rows, embed = new_folder(spark, "chunks"), _speeches(spark, sf_dir), speeches.hash_embedder(DIM)
     speeches.index_speeches(rows, path, embed)
     speeches.index_speeches(rows, path, embed)
     return speeches.chunk_counts(spark.read.parquet(path))
@@ -141,6 +132,34 @@ def nearest_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "id", (F.abs(F.round("distance", 9)) + 0.0).alias("distance"), "rank")
 
 
+def _indexed(spark: SparkSession, sf_dir: str, batches: int = 3) -> tuple[DataFrame, vector_index.ListIndex]:
+    """All vectors, and an index that they were added to in batches."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = vector_index.ListIndex(spark, new_folder(spark, "index"))
+    part = lambda k: vectors.where(F.pmod("vec_id", F.lit(batches)) == k)  # noqa: E731  every vector is in one of them
+    index.create(part(0), lists=16)
+    for k in range(1, batches):
+        index.append(part(k), f"batch-{k}")
+    return vectors, index
+
+
+@register("index_search", _ALL_SQL)
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of every vector from the stored index, all of whose lists are probed: exact."""
+    vectors, index = _indexed(spark, sf_dir)
+    return index.search(vectors, 5, probes=16).select("query", "id", (F.abs(F.round("distance", 9)) + 0.0).alias("distance"), "rank")
+
+
+@register("index_recall", "SELECT count(*) AS queries, count(*) AS first_found, true AS good FROM embeddings")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every vector, with 14 of 16 lists probed: whether it finds itself, and whether 0.95 of all neighbours are found."""
+    vectors, index = _indexed(spark, sf_dir)
+    named = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found, exact = index.search(vectors, 5, probes=14), blocks.nearest(named, named, 5)
+    both = exact.select("query", "id", "rank").join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return both.agg(F.count_if(F.col("rank") == 1).alias("queries"), F.count_if((F.col("rank") == 1) & F.col("hit").isNotNull()).alias("first_found"), (F.count("hit") >= 0.95 * F.count(F.lit(1))).alias("good"))
+
+
 @register("hash_embedding_components")
 def hash_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every component of every document's vector that is not zero."""

@@ -62,9 +62,10 @@ def files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def holds_rows(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder with more in it than what an unfinished write leaves."""
     at, system = files(spark, path)
-    return system.exists(at)
+    return system.exists(at) and any(not s.getPath().getName().startswith(("_", ".")) for s in system.listStatus(at))
 
 
 def remove(spark: SparkSession, path: str) -> None:

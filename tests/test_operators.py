@@ -164,7 +164,7 @@ def test_nearest(spark):
     assert [r["vec_id"] for r in found] == [1, 3, 2] and found[0]["distance"] == 0
     assert [r["vec_id"] for r in retrieval.nearest(rows, [1.0, 0.0, 0.0], 3, 0.5).collect()] == [1, 3]
     each = retrieval.nearest_each(rows, rows.where("vec_id <= 2"), 2, block=1).orderBy("query", "rank").collect()
-    assert [(r["query"], r["id"]) for r in each] == [("1", "1"), ("1", "3"), ("2", "2"), ("2", "3")]
+    assert [(r["query"], r["id"]) for r in each] == [(1, 1), (1, 3), (2, 2), (2, 3)]
 
 
 def test_ingest_twice_adds_nothing(spark, tmp_path):
