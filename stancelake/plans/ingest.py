@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.operators import ingest
 from stancelake.plans.registry import register
 from stancelake.plans.roles import rounded
-from stancelake.session import table, texts
+from stancelake.session import new_folder, table, texts
 from stancelake.sources import pages
-from stancelake.streaming import standing
+from stancelake.streaming import standing, stateful
 
 
 @register("dedupe_by_hash", "SELECT min(doc_id) AS doc_id, sha256(text) AS source_sha256 FROM documents GROUP BY text")
@@ -85,15 +82,29 @@ def institution_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STREAM_SQL = "SELECT user_id AS member, round(arg_max(value, (ts, event_id)), 9) AS score, count(*) AS readings FROM events GROUP BY user_id"
 
 
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of readings."""
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events*.parquet")
+    return rows.select(F.col("user_id").alias("member"), "ts", F.col("event_id").alias("id"), F.col("value").alias("score"))
+
+
 @register("stream_standing", _STREAM_SQL)
 def stream_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standing of every user after a stream over the events has ended."""
-    path = f"{sf_dir}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events*.parquet")
-    found = standing.standing(rows.select(F.col("user_id").alias("member"), "ts", F.col("event_id").alias("id"), F.col("value").alias("score")))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"{shared or tempfile.mkdtemp(prefix='checkpoints-')}/standing-{uuid.uuid4().hex}"
-    standing.stream_table(found, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("member", *rounded("score"), "readings")
+    folder = new_folder(spark, "standing")
+    standing.stream_table(standing.standing(_readings(spark, sf_dir)), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return standing.stream_result(spark, f"{folder}/table").select("member", *rounded("score"), "readings")
+
+
+@register("stream_changes", "SELECT user_id AS member, round(arg_max(value, (ts, event_id)), 9) AS score, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS id, count(*) AS readings FROM events GROUP BY user_id")
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from keyed state, whose changes are added to a table batch by batch."""
+    session = spark.newSession()  # settings of its own
+    for name, value in stateful.STORE.items():
+        session.conf.set(name, value)
+    folder = new_folder(spark, "changes")
+    # the events are of a month, and files may come in any order
+    found = stateful.changes(_readings(session, sf_dir), late="40 days")
+    stateful.keep(found, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return stateful.standings(spark, f"{folder}/table").select("member", *rounded("score"), "ts", "id", "readings")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancelake.operators import ingest, series
+from stancelake.operators import ingest, series, snapshots
 
 
 def stream_ingest(rows: DataFrame, path: str, checkpoint: str, text: str = "text", order: str = "doc_id", once: bool = True, rules: dict[str, Column] | None = None, rejects: str | None = None):
@@ -27,16 +27,33 @@ def stream_ingest(rows: DataFrame, path: str, checkpoint: str, text: str = "text
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_table(found: DataFrame, path: str, checkpoint: str, once: bool = True):
-    """Starts a query that replaces a Parquet table by the whole result with each micro-batch; the driver gets no rows."""
+TABLE = "found"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+
+def stream_table(found: DataFrame, root: str, checkpoint: str, once: bool = True):
+    """Starts a query that puts the whole result of each micro-batch into a snapshot of the table under `root`.
+
+    Readers have the last whole result until the next is complete; the driver gets no rows. A micro-batch that is run
+    again adds nothing.
+    """
+    tables = snapshots.Tables(found.sparkSession, root)
+
+    def write(batch: DataFrame, number: int) -> None:
+        base = tables.snapshot()
+        if f"epoch-{number}" in base.batches():  # published before a failure; the state has still to be made
+            batch.write.format("noop").mode("overwrite").save()
+        else:
+            tables.replace({TABLE: batch}, f"epoch-{number}", base)
 
     writer = found.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def stream_result(spark: SparkSession, root: str, snapshot: int | None = None) -> DataFrame:
+    """The rows that stream_table has put there last, or in a snapshot."""
+    return snapshots.Tables(spark, root).read(TABLE, snapshot)
+
+
 def standing(rows: DataFrame, member: str = "member", ts: str = "ts", id_col: str = "id", score: str = "score") -> DataFrame:
     """member, score, ts, readings: each member's last reading by event time, for update or complete mode.
 
