@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stancelake.llm import text
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -137,13 +139,25 @@ def _json_form(paths: tuple[str, ...]) -> str:
     return show(tree)
 
 
+#: A field for what is no JSON.
+MALFORMED = "_malformed"
+
+
+def _skeleton(record: Column) -> Column:
+    """JSON with the same fields, whose strings are cut to 64 characters and have no escapes."""
+    return F.regexp_replace(F.regexp_replace(record, r"(?s)\\.", ""), r'"([^"]{0,64})[^"]*+"', '"$1"')
+
+
 def turns_of_json(rows: DataFrame, record: str, out: str = "turns") -> DataFrame:
     """Adds canonical turns of a JSON text column in which each row may have its own layout.
 
-    The hash of a row's own field paths picks the mapping. Null, malformed or unknown layouts give null turns.
+    The hash of a row's own field paths picks the mapping. Null, malformed or unknown layouts give null turns. Texts may
+    be of any length that a column holds; empty arrays give no turns; repeated rows are alike, an empty table stays empty.
+    A column `out` that is there already stays, and the new one gets underscores behind its name.
     """
-    parsed = F.try_parse_json(F.col(record))
-    key = F.sha2(_paths_of_json(parsed), 256)
+    out = text.free_name(rows.columns, out)
+    # a variant holds values of limited size, but only paths are wanted: of records beyond it strings are cut before
+    key = F.sha2(F.coalesce(_paths_of_json(F.try_parse_json(F.col(record))), _paths_of_json(F.try_parse_json(_skeleton(F.col(record))))), 256)
     result = F.lit(None).cast(TURNS)
     for paths, steps in LAYOUTS.items():
         fields = {}
@@ -151,9 +165,9 @@ def turns_of_json(rows: DataFrame, record: str, out: str = "turns") -> DataFrame
             top, _, leaf = path.partition("[].")
             fields.setdefault(top, []).append(leaf)
         kind = ", ".join(f"`{top}`: " + (f"array<struct<{', '.join(f'`{x}`: string' for x in leaves)}>>" if leaves != [""] else "string") for top, leaves in fields.items())
-        typed = F.from_json(F.col(record), f"struct<{kind}>")
+        typed = F.from_json(F.col(record), f"struct<{kind}, `{MALFORMED}`: string>", {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": MALFORMED})
         mine = hashlib.sha256(_json_form(paths).encode()).hexdigest()
-        result = F.when(key == mine, _map_struct(steps, typed)).otherwise(result)
+        result = F.when((key == mine) & typed[MALFORMED].isNull(), _map_struct(steps, typed)).otherwise(result)
     return rows.withColumn(out, result)
 
 

@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density (Sun, Song and Liao 2011).
 
 A page is parsed to a tree. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts and
-reader comments are cut out by element and by words of class, id and role. A word of class or id says nothing of a
+reader comments are cut out by element and by words of class, id and role. A form and a word of class or id say nothing of a
 node that holds the page's article or most of its text, as "has-sidebar" does: see _cut_by_words. For every other node the
 characters per tag are computed and adjusted by the share of link characters and link tags; the sums of
 the children's densities are compared over the tree. The node with the largest sum marks the article; the
@@ -24,7 +24,7 @@ from stancelake.llm import text
 # Elements by role, and words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-CUT = frozenset("script style noscript template head nav footer aside form button select textarea input iframe svg canvas object dialog menu title option datalist audio video math".split())
+CUT = frozenset("script style noscript template head nav footer aside button select textarea input iframe svg canvas object dialog menu title option datalist audio video math".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 LISTS = frozenset("ul ol dl table div section".split())
 CLOSES_P = BLOCKS - {"body", "html", "tr", "tbody", "tfoot", "thead", "caption"}
@@ -53,12 +53,15 @@ class _Tree:
 
 
 def _cut_out(name: str, attributes: str, within_article: bool) -> tuple[bool, bool, bool]:
-    """Whether a node is cut whatever it holds, whether a word of class or id marks it, and whether that is a notice."""
+    """Whether a node is cut whatever it holds, whether a word of class or id marks it, and whether that is a notice.
+
+    A form is marked as by a word: some pages stand in one whole.
+    """
     if name in CUT or name == "header" and not within_article:
         return True, False, False
-    marked = notice = False
+    marked, notice = name == "form", False
     if not attributes or name in ("html", "body", "main"):
-        return False, False, False
+        return False, marked, False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -236,11 +239,33 @@ def _densities(tree: _Tree) -> tuple[list[float], list[float], int, set[int]]:
     return density, sums, body, menus
 
 
+def _sources(tree: _Tree, best: int, body: int, menus: set[int]) -> set[int]:
+    """Lists of links in the article, not in a page that is all one part, behind half of its other text or more."""
+    if not menus or best == body or tree.name[best] == "#root":
+        return set()
+    linked = [False] * len(tree.name)
+    for i in range(1, len(linked)):
+        linked[i] = linked[tree.parent[i]] or tree.name[i] == "a"
+    never, before, out = math.inf, 0, set()
+    at = [never] * len(tree.name)  # words of the article before the first text in a node
+    for node, _, raw in tree.texts:
+        if best <= node < tree.end[best]:
+            at[node] = min(at[node], before)
+            before += 0 if linked[node] or tree.cut[node] else len(raw.split())
+    for i in range(tree.end[best] - 1, best, -1):
+        at[tree.parent[i]] = min(at[tree.parent[i]], at[i])
+    for i in menus:
+        if best < i < tree.end[best] and before and before <= 2 * at[i] < never:
+            out.add(i)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article joined by newlines, white space inside a block as one space; empty for none.
 
     Null and empty pages, and pages of furniture only, give the empty string. A page without tags is one block.
-    Within the selected parts, lists that have no text but that of three links or more are menus and left out.
+    Within the selected parts, lists that have no text but that of three links or more are menus and left out, unless
+    they stand in the article behind most of its text, where they are its sources.
     """
     if not page:
         return ""
@@ -263,7 +288,7 @@ def main_text(page: str | None) -> str:
     for root in roots:
         for i in range(root, max(tree.end[root], root + 1)):
             chosen[i] = True
-    for i in menus.difference(path):
+    for i in menus.difference(path) - _sources(tree, best, body, menus):
         chosen[i : max(tree.end[i], i + 1)] = [False] * (max(tree.end[i], i + 1) - i)
     for i in path[1:]:  # text that stands directly in the path's nodes, not in a part that was left out
         if tree.name[i] not in ("#root", "html"):

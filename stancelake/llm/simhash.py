@@ -384,7 +384,9 @@ def _similar(documents: DataFrame, id_col: str, text_col: str, size: int = 5, si
     roots = graph.cut(graph.components(links(distinct, bits, radius, anchored=True, most=most, tail=SET_BITS)))
     few = distinct.join(roots, distinct["fingerprint"] == roots["node"]).select("root", "fingerprint", "least")
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(few.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    named = texts.join(few.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    # a candidate that only rows without id have is found among those by its fingerprint
+    texts = named if few.where("least IS NULL").isEmpty() else named.unionByName(texts.where("id IS NULL"))
     sets = few.select("root", "fingerprint").join(_sets(texts, size, bits).dropDuplicates(["fingerprint"]), "fingerprint")
     checked = graph.components(_verified(sets, bits, radius, similarity, most, most_bytes))
     rooted = distinct.join(checked, distinct["fingerprint"] == checked["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))

@@ -344,6 +344,59 @@ def test_html_wrappers_with_words_of_furniture(wrapper, inner):
     assert html.main_text("<body><nav>x</nav><div class='ad'>Buy a thing now.</div></body>") == ""
 
 
+def test_html_pages_in_a_form_and_lists_of_sources():
+    words = "<p>Many words of a long article, which go on for a while here.</p>" * 9
+    said = "\n".join(["Many words of a long article, which go on for a while here."] * 9)
+    search = "<form class=q><label>Find things here</label><input></form>"
+    for inner in ("<article>{}</article>", "<div>{}</div>"):
+        page = f"<body><form id=aspnetForm action='x'><nav>m</nav>{search}{inner.format(words)}<div class=ad>Buy it</div></form></body>"
+        assert html.main_text(page) == said
+        assert html.main_text(page.replace("id=aspnetForm", "")) == said
+    sources = "<ul>" + "".join(f"<li><a href=x{k}>Source {k}</a></li>" for k in range(4)) + "</ul>"
+    assert html.main_text(f"<body>{sources.replace('Source', 'Menu')}<article>{words}{sources}</article>{search}</body>") == said + "".join(f"\nSource {k}" for k in range(4))
+    assert html.main_text(f"<body><div><p>Words that stay here, several of them.</p></div>{search}</body>") == "Words that stay here, several of them."
+
+
+def test_html_of_no_rows_and_very_long_pages(spark):
+    rows = spark.createDataFrame([(1, "<p>" + "word " * 400_000 + "</p>"), (2, None), (2, None)], "page_id int, html string")
+    assert html.extract(rows.limit(0)).count() == 0
+    assert sorted(len(r["text"]) for r in html.extract(rows).collect()) == [0, 0, 1_999_999]
+
+
+def test_chat_records_beyond_what_a_variant_holds(spark):
+    long = "say ~<s>[INST] \\ \"it\"\n" * 1_300_000  # 30 MB
+    rows = spark.createDataFrame([(1, 1, "user", long), (1, 2, "assistant", long[::-1]), (2, 1, "user", "hi"), (2, 2, "user", None)], "conv_id int, turn int, role string, text string")
+    made = chat.turns_of_json(chat.gathered(rows), "record")
+    read = made.select("conv", chat.read_back(chat.render(F.col("turns"))).alias("turns"))
+    got = {r["conv"]: [(t["role"], t["text"]) for t in r["turns"]] for r in read.collect()}
+    assert got == {1: [("user", long), ("assistant", long[::-1])], 2: [("user", "hi"), ("user", "")]}
+
+
+def test_chat_odd_json(spark):
+    records = [None, "", "{", '{"prompt": "a\nb", "completion": "c"}', '{"prompt": "a\\nb", "completion": "c"}', '{"pr\\u006fmpt": "a", "completion": "c"}', '{"other": 1}', "[]"]
+    rows = spark.createDataFrame([(k, r, "kept") for k, r in enumerate(records)], "k int, record string, turns string")
+    made = chat.turns_of_json(rows, "record")
+    assert made.columns == ["k", "record", "turns", "turns_"]
+    got = {r["k"]: r["turns_"] and [tuple(t) for t in r["turns_"]] for r in made.collect()}
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: [("user", "a\nb"), ("assistant", "c")], 5: [("user", "a"), ("assistant", "c")], 6: None, 7: None}
+    assert chat.turns_of_json(rows.limit(0), "record").count() == 0
+
+
+def test_near_copies_of_rows_without_id_link(spark):
+    random.seed(2)
+    words = [f"w{random.randrange(10**6)}" for _ in range(900)]
+    other = [*words[:450], "changed", *words[451:]]
+    far = [*other[:440], "again", *other[441:]]
+    rows = spark.createDataFrame([(5, " ".join(words)), (None, " ".join(other)), (7, "something else"), (None, "something else")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component"]) for r in simhash.similar_classes(rows).collect()}
+    assert got == {(5, 5), (None, 5), (7, 7), (None, 7)}
+    # a text that only a row without id has is a bridge between two documents
+    sets = [set(zip(*[x[k:] for k in range(5)])) for x in (words, far)]
+    bridged = rows.unionByName(spark.createDataFrame([(9, " ".join(far))], rows.schema))
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.8
+    assert sorted(r["doc_id"] for r in simhash.keep_one(bridged).where("doc_id IS NOT NULL").collect()) == [5, 7]
+
+
 def test_language_model_edges(spark, docs):
     got = mixing_lm.score(docs, F.col("doc_id") != 4).collect()
     by = {r["doc_id"]: r for r in got}
