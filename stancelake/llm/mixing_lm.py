@@ -6,8 +6,8 @@ It is coded in two layers of binary decisions.
 Passages. Words whose hash says so end a segment, eight words long in the mean, as does the end of a text. The
 context of a segment is the whole segment before it. If the corpus has that context, one decision says whether
 the segment is one that stood behind it there; if it is, a share of the context's count says which. Its
-probability is refined over all training passages by how often the context was seen. An occurrence is never
-predicted from itself: a training text's own counts are taken out.
+probability is refined over all training passages by how often the context was seen. A text is never
+predicted from itself: all of a training text's own counts are taken out. Texts that do not train have no part in it.
 
 Letters. All other segments are spelt. A byte is a few decisions on its path in a Huffman tree over the corpus'
 bytes. Contexts of a decision are the last two, four and six bytes, which reach to the class of the word before,
@@ -261,7 +261,7 @@ class _Block:
         entries = distinct(self.entries)
         _, pairs = entries.hashes()
         yield block, PAIRS, len(pairs), None, entries.pack()
-        some = np.flatnonzero(pairs % np.uint64(SAMPLED) == 0)
+        some = np.flatnonzero((pairs % np.uint64(SAMPLED) == 0) & (entries.counts > 0))  # of training texts: nothing of the model follows others
         yield block, SOME, len(some), None, [pairs[some].tobytes(), entries.lengths[some].astype(np.int64).tobytes()]
         sizes, of_row, contexts, both, learn = (np.concatenate(x) for x in zip(*self.segments))
         known = contexts != 0
@@ -342,7 +342,7 @@ def _key_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seen_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each segment of a block and its context were seen in other places; the answers of a block come before its rows."""
+    """How often each segment of a block and its context were seen in other texts; the answers of a block come before its rows."""
     block, answers = None, []
     for row in _rows(batches):
         if row["block"] != block:
@@ -351,10 +351,14 @@ def _seen_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             answers.append(restored(row["counts"], np.uint64))
             continue
         learn, of_row, known, inverse = (restored(row["parts"][i], ROW_TYPES[i]) for i in (0, 5, 6, 7))
-        own = np.repeat(learn, of_row).astype(np.int64)[known > 0]
-        counts = np.concatenate([np.zeros(0, np.uint64), *answers]).astype(np.int64)[inverse.astype(np.int64)]
-        n = len(own)
-        yield _one(["block", "context", "both"], [pa.int64(), pa.binary(), pa.binary()], [block, squeezed(counts[:n] - own), squeezed(counts[n:] - own)])
+        trains = np.repeat(learn, of_row)[known > 0]
+        of_text = np.repeat(np.arange(len(of_row)), of_row)[known > 0]
+        totals = np.concatenate([np.zeros(0, np.uint64), *answers]).astype(np.int64)
+        elsewhere = []
+        for keys in np.split(inverse.astype(np.int64), 2):  # of contexts, then of segments behind them
+            _, at, own = np.unique(of_text * max(1, len(totals)) + keys, return_inverse=True, return_counts=True)
+            elsewhere.append(totals[keys] - trains * own[at])
+        yield _one(["block", "context", "both", "trains"], [pa.int64(), *[pa.binary()] * 3], [block, *map(squeezed, elsewhere), squeezed(trains)])
 
 
 ROW_TYPES = (np.uint8, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32)
@@ -365,12 +369,13 @@ def segment_class(context: np.ndarray) -> np.ndarray:
 
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By class of known contexts, how many segments were and were not behind them elsewhere."""
+    """By class of known contexts, how many segments of training texts were and were not behind them elsewhere."""
     out = np.zeros((2, SEGMENT_CLASSES), np.int64)
     for row in _rows(batches):
         context, both = restored(row["context"], np.int64), restored(row["both"], np.int64)
+        counted = (context > 0) & (restored(row["trains"], np.uint8) > 0)
         for hit in (0, 1):
-            out[hit] += np.bincount(segment_class(context[(context > 0) & ((both > 0) == hit)]), minlength=SEGMENT_CLASSES)
+            out[hit] += np.bincount(segment_class(context[counted & ((both > 0) == hit)]), minlength=SEGMENT_CLASSES)
     yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENT_CLASSES), pa.int32()), pa.array(out[0]), pa.array(out[1])], ["class", "misses", "hits"])
 
 
@@ -393,8 +398,9 @@ def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(of_word, inverse, entries.counts)
         word_counts = of_word[inverse]
         known = int((of_word > 0).sum())
+        order = np.argsort(entries.counts == 0, kind="stable")  # what trains first, so that its steps do not depend on other texts
         for at in range(0, len(words), 1 << 16):
-            index = np.arange(at, min(len(words), at + (1 << 16)))
+            index = order[at : at + (1 << 16)]
             total = int(entries.counts.sum()) if at == 0 else 0
             row = [bucket, *entries.take(index).pack(), squeezed(word_counts[index]), total, known if at == 0 else 0]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64()])], ["bucket", "blob", "lengths", "classes", "counts", "word_counts", "total", "known"])
@@ -730,13 +736,13 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
 
 
 def _met_segments(keys: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
-    """(block, context, both): how often each segment with a context, and that context, were seen in other places."""
+    """(block, context, both, trains): how often each segment with a context, and that context, were seen in other texts."""
     sent = keys.select("block", "parts").mapInArrow(lambda batches: _key_messages(batches, buckets), "block bigint, bucket int, keys binary, counts binary")
     counts = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_key_answers, "block bigint, bucket int, counts binary")
     # of the rows only what says where their segments are
     short = F.transform("parts", lambda x, i: F.when(i.isin(0, 5, 6, 7), x))
     meet = counts.withColumn("parts", F.lit(None).cast("array<binary>")).unionByName(rows.select("block", F.lit(2**31 - 1).alias("bucket"), F.lit(None).cast("binary").alias("counts"), short.alias("parts")))
-    return graph.cut(meet.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_seen_segments, "block bigint, context binary, both binary"))
+    return graph.cut(meet.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_seen_segments, "block bigint, context binary, both binary, trains binary"))
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -427,6 +427,34 @@ def test_passages_are_predicted_from_other_places(spark):
     assert max(got[k] for k in range(3, 40)) < 3 * min(got[1], got[2], got[103]) and got[1] == got[2]
 
 
+def _scored(spark, texts, held):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return {r["doc_id"]: r["score"] for r in mixing_lm.score(rows, ~F.col("doc_id").isin(sorted(held))).collect()}
+
+
+def test_language_model_learns_nothing_from_held_out_texts(spark):
+    random.seed(8)
+    words = [f"w{random.randrange(500)}" for _ in range(600)]
+    passage = lambda: " ".join(words[(at := random.randrange(500)) : at + 60])
+    texts = [f"{passage()} {passage()}" for _ in range(40)]
+    held = {k for k in range(40) if k % 4 == 1}
+    before = _scored(spark, texts, held)
+    others = [t if k not in held or k == 1 else " ".join(f"other{random.randrange(10**6)}" for _ in range(3000)) for k, t in enumerate(texts)]
+    after = _scored(spark, others, held)
+    assert {k: after[k] for k in after if k == 1 or k not in held} == {k: before[k] for k in before if k == 1 or k not in held}
+
+
+def test_a_training_text_is_not_predicted_from_itself(spark):
+    random.seed(3)
+    of = lambda n: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(n))
+    texts = [of(400) for _ in range(12)]
+    texts[5] = " ".join([of(60)] * 20)
+    got = _scored(spark, texts, set())
+    # its letters are known from elsewhere in the text, its passages are not
+    parts = mixing_lm.score(spark.createDataFrame([(0, texts[5])], "doc_id int, text string"), F.lit(True)).first()
+    assert got[5] / 1200 < -1.0 and parts["score"] < -1200
+
+
 def test_segments_of_rows():
     data = b"a b c d e f g h i j k l m n o p a b"
     t = mixing_lm.tokens(np.frombuffer(data + data, np.uint8), np.array([0, len(data), 2 * len(data), 2 * len(data)]))
