@@ -64,21 +64,6 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", pages.host(F.col("url")).alias("host"), pages.absolute(F.col("url"), "https://example.org").alias("url"), pages.title(F.col("html")).alias("title"), F.char_length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("text_sha256"), pages.long_enough(F.col("t")).alias("long_enough"))
 
 
-_NEEDLES = (("northern bank", "north"), ("bank of the south", "south"), ("union bank", "union"))
-_DESCRIPTIONS = (
-    (1, "Speech by Ms A Abel, Governor of the Bank of the South, at the Northern Bank, 1 May"),
-    (2, "Remarks by Mr B Baker, Member of the Board of the Union Bank, at a dinner"),
-    (3, "Panel at the Northern Bank"),
-    (4, "Lecture by Ms C Cole, Professor of Economics, at a school"),
-)
-
-
-@register("institution_map", "SELECT * FROM (VALUES (1, 'south', 'Governor'), (2, 'union', 'Member'), (3, 'north', 'Central banker'), (4, NULL, 'Professor')) AS t(id, bank, role)")
-def institution_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_DESCRIPTIONS, "id int, description string")
-    return rows.select("id", pages.institution(pages.affiliation(F.col("description")), _NEEDLES).alias("bank"), pages.role(F.col("description")).alias("role"))
-
-
 _STREAM_SQL = "SELECT user_id AS member, round(arg_max(value, (ts, event_id)), 9) AS score, count(*) AS readings FROM events GROUP BY user_id"
 
 

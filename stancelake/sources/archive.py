@@ -18,6 +18,24 @@ from stancelake.sources import pages
 FIELDS = ("date", "author", "title", "text", "url", "description")
 
 
+def member_of(path: str, names: Sequence[str], csv_name: str | None = None) -> str:
+    """The one CSV among an archive's members, or that of a name; ValueError if there is not one."""
+    found = [n for n in names if n.lower().endswith(".csv")]
+    chosen = [n for n in found if n == csv_name] if csv_name else found
+    if len(chosen) != 1:
+        raise ValueError(f"{path}: one CSV is needed, there are {found}")
+    return chosen[0]
+
+
+def places(path: str, header: Sequence[str]) -> dict[str, int]:
+    """Where each field stands in a header; ValueError if one is missing. Case and white space do not matter."""
+    at = {h.strip().lower(): i for i, h in enumerate(header)}
+    missing = [f for f in FIELDS if f not in at]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}; there are {list(header)}")
+    return at
+
+
 class _Member(InputPartition):
     def __init__(self, path: str, member: str):
         super().__init__(0)
@@ -35,23 +53,17 @@ class _Reader(DataSourceReader):
         out = []
         for path in self.paths:
             with zipfile.ZipFile(path) as archive:
-                names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-                chosen = [n for n in names if n == self.csv_name] if self.csv_name else names
-                if len(chosen) != 1:
-                    raise ValueError(f"{path}: one CSV is needed, there are {names}")
-                with archive.open(chosen[0]) as raw:
-                    header = next(csv.reader(io.TextIOWrapper(raw, "utf-8-sig")), [])
-                missing = [f for f in FIELDS if f not in {h.strip().lower() for h in header}]
-                if missing:
-                    raise ValueError(f"{path}: missing columns {missing}; there are {header}")
-                out.append(_Member(path, chosen[0]))
+                member = member_of(path, archive.namelist(), self.csv_name)
+                with archive.open(member) as raw:
+                    places(path, next(csv.reader(io.TextIOWrapper(raw, "utf-8-sig")), []))
+                out.append(_Member(path, member))
         return out
 
     def read(self, partition: _Member) -> Iterator[tuple]:
         csv.field_size_limit(16 << 20)
         with zipfile.ZipFile(partition.path) as archive, archive.open(partition.member) as raw:
             rows = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
-            at = {h.strip().lower(): i for i, h in enumerate(next(rows, []))}
+            at = places(partition.path, next(rows, []))
             for n, row in enumerate(rows):
                 yield (n, *(row[at[f]] if at[f] < len(row) else None for f in FIELDS))
 
@@ -60,7 +72,7 @@ class SpeechArchive(DataSource):
     """spark.read.format("speech_archive").option("path", "a.zip,b.zip").load(): ordinal and the six text fields.
 
     The archive is opened by path on the driver for its header and on the executor that reads it, so it lies in
-    a folder that both see.
+    a folder that both see. For other stores, streams and archives that may be bad, see arrivals.archives.
     """
 
     @classmethod
@@ -98,8 +110,16 @@ def records(rows: DataFrame, needles: Sequence[tuple[str, str]]) -> tuple[DataFr
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """url, title, speaker, date of RSS 1.0 items with all three; the URL falls back to the item's own name."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema("`_rdf:about` string, link string, title string, description string, `dc:creator` string, `dc:date` string").load(path)
+    """feed_fields() of the feeds at a path."""
+    return feed_fields(spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path))
+
+
+#: An item of an RSS 1.0 feed.
+ITEM = "`_rdf:about` string, link string, title string, description string, `dc:creator` string, `dc:date` string"
+
+
+def feed_fields(raw: DataFrame) -> DataFrame:
+    """url, title, speaker, date, description of items with URL, speaker and date; the URL falls back to the item's own name."""
     url = F.coalesce(F.nullif(F.btrim("link"), F.lit("")), F.col("`_rdf:about`"))
     rows = raw.select(url.alias("url"), F.btrim("title").alias("title"), F.btrim("`dc:creator`").alias("speaker"), F.btrim("`dc:date`").alias("date"), "description")
     return rows.where("url IS NOT NULL AND speaker <> '' AND date <> ''")

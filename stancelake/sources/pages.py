@@ -36,6 +36,21 @@ def attribute_json(html: Column, attribute: str, path: str) -> Column:
     return F.get_json_object(F.replace(F.replace(raw, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")), path)
 
 
+def detail(html: Column, attribute: str = "data-react-props") -> Column:
+    """struct<body: string, pdf: string> of a detail page whose first element with the attribute holds JSON in it.
+
+    body: the text of the document's content, without tags; empty where there is none, the JSON is malformed or null.
+    pdf: the document's path if that is of a PDF, else null. The attribute may stand in either kind of quotes.
+    """
+    quoted = F.regexp_extract(html, rf"""(?s)\s{attribute}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+    raw = F.when(quoted != "", quoted).otherwise(F.regexp_extract(html, rf"""(?s)\s{attribute}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2))
+    for reference, char in (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        raw = F.replace(raw, F.lit(reference), F.lit(char))
+    kept = F.from_json(raw, "document struct<content: string, path: string>", {"maxStringLen": str(2**31 - 1)})["document"]
+    path = kept["path"]
+    return F.struct(F.coalesce(html_text(kept["content"]), F.lit("")).alias("body"), F.when(F.endswith(F.lower(path), F.lit(".pdf")), path).alias("pdf"))
+
+
 def is_legible(text: Column, least: float = 0.65) -> Column:
     """Not empty, no glyph codes, and letters and white space make up over `least` of it."""
     kept = F.char_length(F.regexp_replace(text, r"[^\p{L}\s]", ""))
