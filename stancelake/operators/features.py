@@ -52,19 +52,21 @@ def tfidf(documents: DataFrame, most: int = 2, least: int = 3, features: int = 5
     total = documents.count() if n is None else n
     column = {r["gram"]: (int(r["column"]), math.log((1 + total) / (1 + r["df"])) + 1) for r in found}
 
-    def weighed(raw: str) -> list[dict]:
-        counts = collections.Counter(g for g in text.grams_of(raw, most) if g in column)
-        raws = [(g, column[g][0], (1 + math.log(k)) * column[g][1]) for g, k in counts.items()]
-        length = math.sqrt(sum(w * w for _, _, w in raws))
-        return [{"gram": g, "column": c, "weight": w / length} for g, c, w in raws]
-
     @F.pandas_udf("array<struct<gram:string,column:int,weight:double>>")
     def weights(texts: pd.Series) -> pd.Series:
-        return pd.Series([weighed(t or "") for t in texts], dtype=object)
+        return pd.Series([weigh(t or "", column, most) for t in texts], dtype=object)
 
     return documents.select(key, F.explode(weights(F.col(text_col))).alias("w")).select(key, "w.*")
 
 
+def weigh(raw: str, column: dict[str, tuple[int, float]], most: int = 2) -> list[dict]:
+    """gram, column and weight of the known grams of a text; `column` has the place and the idf of each."""
+    counts = collections.Counter(g for g in text.grams_of(raw, most) if g in column)
+    raws = [(g, column[g][0], (1 + math.log(k)) * column[g][1]) for g, k in counts.items()]
+    length = math.sqrt(sum(w * w for _, _, w in raws))
+    return [{"gram": g, "column": c, "weight": w / length} for g, c, w in raws]
+
+
 def top_terms(weights: DataFrame, top: int = 5, key: str = "doc_id") -> DataFrame:
     """The heaviest grams of each text with their rank; ties by the gram."""
     order = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), "gram")

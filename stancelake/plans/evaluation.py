@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancelake.operators import evaluation, features
+from stancelake.operators import evaluation, features, training
 from stancelake.plans.registry import register
 from stancelake.plans.roles import rounded, rounded_sql
 from stancelake.session import table, texts
@@ -119,6 +119,15 @@ def classifier_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.class_metrics(tried, predicted="label")
 
 
+@register("classifier_folds", f"""WITH {ROWS_SQL} SELECT gold, count(*) AS held_out, true AS all_counted FROM e JOIN documents USING (doc_id) WHERE len(regexp_extract_all(lower(text), '[a-z'']+')) > 0 GROUP BY gold""")
+def classifier_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confusion of three folds and two penalties, trained together on all labelled documents: each is held out once."""
+    gold = rows(spark, sf_dir).select("doc_id", F.col("gold").alias("label"))
+    _, _, counts = training.choose_penalty(texts(spark, sf_dir, "doc_id", "text"), gold, (1e-3, 1e-2), epochs=40, least=1)
+    each = counts.groupBy("gold", "penalty").agg(F.sum("n").alias("n"))
+    return each.groupBy("gold").agg(F.min("n").alias("held_out"), (F.min("n") == F.max("n")).alias("all_counted"))
+
+
 #: A labelling sheet of this many rows.
 SHEET, SHEET_SEED = 100, 7
 
