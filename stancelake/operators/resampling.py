@@ -76,19 +76,19 @@ def statistic_of(name: str, n: Column, sx: Column, sy: Column, sxx: Column, syy:
     return F.when(spread > 1e-15, both / spread).otherwise(0.0)
 
 
-def intervals(rows: DataFrame, keys: list[str], order: list[str], x: str = "x", y: str | None = "y", block: Column | int = 1, statistic: str = "correlation", draws: int = 2_000, seed: int = 0, tail: Column | float = 0.025, least: int = 3, chunk: int = CHUNK) -> DataFrame:
+def intervals(rows: DataFrame, keys: list[str], order: list[str], x: str = "x", y: str | None = "y", block: Column | int = 1, statistic: str = "correlation", draws: int = 2_000, seed: int = 0, tail: Column | float = 0.025, least: int = 3, inward: int = 0, chunk: int = CHUNK) -> DataFrame:
     """keys, value, low, high, n of each key's series: the statistic, and its interval over `draws` replicates.
 
-    block: rows of a block, an expression that may use n and the keys; at most half of n, 1 for independent draws. low and
-    high are the replicates at places floor(tail * draws) and floor((1 - tail) * draws), at most the last, in their
-    order; tail may use the keys too. Rows with a null in x or y do not count; under `least` rows all three are the
+    block: rows of a block, an expression that may use n and the keys; n at most, 1 for independent draws. low and
+    high are the replicates at places floor(tail * draws) and floor((1 - tail) * draws) - inward, at most the last, in
+    their order; tail may use the keys too. Rows with a null in x or y do not count; under `least` rows all three are the
     statistic itself, or 0 for one that needs two sides. Order decides which rows are neighbours, so give enough columns;
     null keys are a key. An empty table gives no rows.
     """
     if statistic not in STATISTICS:
         raise errors.InvalidInput(f"statistic is one of {STATISTICS}: {statistic!r}")
     both = rows.select(*keys, *[c for c in order if c not in keys], F.col(x).cast("double").alias("x_"), (F.col(y).cast("double") if y and statistic != "mean" else F.lit(0.0)).alias("y_")).where("x_ IS NOT NULL AND y_ IS NOT NULL")
-    length = F.least(F.greatest(F.lit(1), F.floor(F.col("n_") / 2)), F.greatest(F.lit(1), (block if isinstance(block, Column) else F.lit(block)))).cast("long")
+    length = F.least(F.col("n_"), F.greatest(F.lit(1), block if isinstance(block, Column) else F.lit(block))).cast("long")
     known = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), F.avg("x_").alias("mx_"), F.avg("y_").alias("my_")).withColumn("n", F.col("n_")).withColumn("block_", length).drop("n")
     known = known.withColumn("size_", F.greatest(F.lit(chunk), F.col("block_")).cast("long")).withColumn("chunks_", F.ceil(F.col("n_") / F.col("size_")).cast("long"))
     named = known.select(*[F.col(k).alias(f"{k}_key") for k in keys], "n_", "mx_", "my_", "block_", "size_", "chunks_")
@@ -129,7 +129,7 @@ def intervals(rows: DataFrame, keys: list[str], order: list[str], x: str = "x",
     sorted_ = F.sort_array(F.collect_list(F.when(F.col("sx").isNotNull(), of(F.col("mx_")))))
     out = joined.groupBy(*keys, "n", "value").agg(sorted_.alias("drawn_"))
     share = tail if isinstance(tail, Column) else F.lit(tail)
-    low, high = F.floor(share * draws), F.least(F.floor((1 - share) * draws), F.lit(draws - 1))
+    low, high = F.floor(share * draws), F.least(F.floor((1 - share) * draws) - inward, F.lit(draws - 1))
     at = lambda place: F.coalesce(F.try_element_at("drawn_", (place + 1).cast("int")), F.col("value"))
     return out.select(*keys, "value", at(low).alias("low"), at(high).alias("high"), "n")
 

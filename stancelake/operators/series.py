@@ -6,12 +6,11 @@ there is no reading; it is never zero.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stancelake import errors
+from stancelake.operators import resampling
 
 
 def month_index(ts: Column) -> Column:
@@ -105,84 +104,28 @@ def block_length(n: int, horizon: int) -> int:
     return min(max(2, horizon + 1, round(n ** (1 / 3))), max(2, n // 2))
 
 
-def _correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row-wise correlation, 0 where a side is constant."""
-    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-    spread = np.sqrt((x * x).mean(axis=1) * (y * y).mean(axis=1))
-    return np.where(spread > 0, (x * y).mean(axis=1) / np.where(spread > 0, spread, 1), 0.0)
-
-
-def _of_moments(sums: np.ndarray, n: int) -> np.ndarray:
-    """Correlation by the sums of x, y, x * x, y * y and x * y; 0 where a side is constant."""
-    mx, my, xx, yy, xy = sums / n
-    spread = np.sqrt(np.maximum(0, xx - mx * mx) * np.maximum(0, yy - my * my))
-    return np.where(spread > 1e-15, (xy - mx * my) / np.where(spread > 1e-15, spread, 1), 0.0)
-
-
-def _block_moments(x: np.ndarray, y: np.ndarray, size: int, draws: int, seed: int) -> np.ndarray:
-    """The five sums of each draw of n pairs in circular blocks, from running sums over the series written twice.
-
-    No draw is laid out pair by pair: a block's sums are a difference, and a last block that is too long is shorter.
-    """
-    n = len(x)
-    twice = np.tile(np.stack([x, y, x * x, y * y, x * y]), 2)
-    running = np.concatenate([np.zeros((5, 1)), np.cumsum(twice, axis=1)], axis=1)
-    whole, rest = divmod(n, size)
-    starts = np.random.default_rng(seed).integers(0, n, (draws, whole + (rest > 0)))  # what the seed draws is fixed
-    sums = (running[:, starts[:, :whole] + size] - running[:, starts[:, :whole]]).sum(axis=2)
-    return sums + (running[:, starts[:, whole] + rest] - running[:, starts[:, whole]]) if rest else sums
-
-
 def block_bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 0, alpha: float = 0.05, family: int | None = None) -> DataFrame:
     """name, series, horizon, r, low, high, n: a circular moving-block interval of the correlation of every cell.
 
-    The tails are alpha / 2 over the family's size, the number of cells unless given. Cells are small groups
-    and independent; each is resampled in its own task. Under three pairs the interval is r itself, 0.
+    The tails are alpha / 2 over the family's size, the number of cells unless given. Under three pairs the interval is r
+    itself, 0. A cell may be of any length: see resampling.
     """
     keys = ["name", "series", "horizon"]
-    sized = pairs if family else pairs.crossJoin(F.broadcast(pairs.select(*keys).distinct().agg(F.count(F.lit(1)).cast("int").alias("family"))))
-    sized = sized if not family else sized.withColumn("family", F.lit(family))
-
-    def resample(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("month")
-        n, horizon = len(cell), int(cell["horizon"].iloc[0])
-        r = low = high = 0.0
-        if n >= 3:
-            x, y = cell["x"].to_numpy() - cell["x"].mean(), cell["y"].to_numpy() - cell["y"].mean()
-            r = float(_of_moments(np.stack([x, y, x * x, y * y, x * y]).sum(axis=1), n))
-            drawn = np.sort(_of_moments(_block_moments(x, y, block_length(n, horizon), draws, seed), n))
-            tail = alpha / 2 / int(cell["family"].iloc[0])
-            low, high = drawn[int(tail * draws)], drawn[min(int((1 - tail) * draws), draws - 1)]
-        return pd.DataFrame([[*(cell[k].iloc[0] for k in keys), r, float(low), float(high), n]], columns=[*keys, "r", "low", "high", "n"])
-
-    return sized.groupBy(*keys).applyInPandas(resample, "name string, series string, horizon int, r double, low double, high double, n long")
+    cells = family or max(1, pairs.select(*keys).distinct().count())
+    n = F.col("n_")
+    block = F.least(F.greatest(F.lit(2), F.col("horizon") + 1, F.rint(F.pow(n, F.lit(1 / 3)))), F.greatest(F.lit(2), F.floor(n / 2)))
+    found = resampling.intervals(pairs, keys, ["month"], block=block, draws=draws, seed=seed, tail=alpha / 2 / cells)
+    return found.select(*keys, F.col("value").alias("r"), "low", "high", "n")
 
 
 def paired_bootstrap(rows: DataFrame, key: str, x: str = "x", y: str = "y", order: str = "year", draws: int = 2_000, seed: int = 0, statistic: str = "r") -> DataFrame:
     """key, value, low, high: an i.i.d. interval of the correlation (r) or the slope of y on x in each group.
 
-    Pairs are drawn from the order of `order`, so that a seed means the same draws everywhere; some at a time, so
-    that memory follows a group's pairs and not its pairs times draws.
+    Pairs are drawn from the order of `order`, so that a seed means the same draws everywhere; a group may be of any
+    length: see resampling.
     """
-
-    def value(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if statistic == "r":
-            return _correlation(a, b)
-        a0 = a - a.mean(axis=1, keepdims=True)
-        power = (a0 * a0).sum(axis=1)
-        return np.where(power > 0, (a0 * b).sum(axis=1) / np.where(power > 0, power, 1), 0.0)
-
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, x, y])
-        a, b, n = group[x].to_numpy(float), group[y].to_numpy(float), len(group)
-        random, some, parts = np.random.default_rng(seed), max(1, 1_000_000 // n), []
-        for at in range(0, draws, some):
-            drawn = random.integers(0, n, (min(some, draws - at), n))
-            parts.append(value(a[drawn], b[drawn]))
-        drawn = np.sort(np.concatenate(parts))
-        return pd.DataFrame([[group[key].iloc[0], float(value(a[None], b[None])[0]), drawn[int(0.025 * draws)], drawn[int(0.975 * draws) - 1]]], columns=[key, "value", "low", "high"])
-
-    return rows.select(key, order, x, y).groupBy(key).applyInPandas(resample, f"`{key}` {rows.schema[key].dataType.simpleString()}, value double, low double, high double")
+    found = resampling.intervals(rows.select(key, order, x, y), [key], [order], x, y, statistic="correlation" if statistic == "r" else statistic, draws=draws, seed=seed, least=1, inward=1)
+    return found.select(key, "value", "low", "high")
 
 
 def least_squares(rows: DataFrame, x: str = "x", y: str = "y", keys: tuple[str, ...] = ()) -> DataFrame:

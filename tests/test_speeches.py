@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stancelake import errors
 from stancelake.functions import text
-from stancelake.operators import assessment, boards, evaluation, features, ingest, retrieval, series, speeches
+from stancelake.operators import assessment, boards, evaluation, features, ingest, resampling, retrieval, series, speeches
 
 
 def column(spark, values, f, kind="string"):
@@ -154,21 +154,15 @@ def test_bootstraps_keep_to_their_rules(spark):
     assert tuple(series.block_bootstrap(pairs, 100).first())[3:6] == (0.0, 0.0, 0.0)
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=11), rng.normal(size=11)
-    size = series.block_length(11, 3)
-    starts = np.random.default_rng(7).integers(0, 11, (50, -(-11 // size)))
-    want = []
-    for row in starts:
-        at = [(s + k) % 11 for s in row for k in range(size)][:11]
-        want.append(np.corrcoef(x[at], y[at])[0, 1])
-    got = series._of_moments(series._block_moments(x - x.mean(), y - y.mean(), size, 50, 7), 11)
-    assert got == pytest.approx(want)
+    rows = spark.createDataFrame([("n", "s", 3, m, float(x[m]), float(y[m])) for m in range(11)], pairs.schema)
+    found = series.block_bootstrap(rows, 200, family=1).first()
+    drawn = resampling.intervals(rows, ["name"], ["month"], block=series.block_length(11, 3), draws=200).first()
+    assert found["r"] == pytest.approx(np.corrcoef(x, y)[0, 1]) and (found["low"], found["high"]) == (drawn["low"], drawn["high"])
     years = [("c", 2000 + i, float(v), float(w)) for i, (v, w) in enumerate([(3, 1), (1, 2), (2, 5), (5, 4)])]
     frame = spark.createDataFrame(years, "cell string, year int, x double, y double")
-    at = np.random.default_rng(0).integers(0, 4, (200, 4))
-    a, b = (np.array([r[k] for r in years])[at] for k in (2, 3))
-    drawn = np.sort(series._correlation(a, b))
-    row = series.paired_bootstrap(frame.orderBy(F.desc("x")), "cell", draws=200).first()
-    assert (row["low"], row["high"]) == (drawn[5], drawn[194])
+    a, b = (series.paired_bootstrap(f, "cell", draws=200, statistic="slope").first() for f in (frame, frame.orderBy(F.desc("x")).repartition(3)))
+    assert a[0] == b[0] and list(a[1:]) == pytest.approx(list(b[1:]))
+    assert a["low"] <= a["value"] <= a["high"] and a["value"] == pytest.approx(np.polyfit([3, 1, 2, 5], [1, 2, 5, 4], 1)[0])
 
 
 def test_mcnemar_is_not_bounded(spark):
