@@ -83,7 +83,7 @@ def intervals(rows: DataFrame, keys: list[str], order: list[str], x: str = "x",
     high are the replicates at places floor(tail * draws) and floor((1 - tail) * draws) - inward, at most the last, in
     their order; tail may use the keys too. Rows with a null in x or y do not count; under `least` rows all three are the
     statistic itself, or 0 for one that needs two sides. Order decides which rows are neighbours, so give enough columns;
-    null keys are a key. An empty table gives no rows.
+    null keys are a key. An empty table gives no rows. `rows` are read more than once: give ones that are kept.
     """
     if statistic not in STATISTICS:
         raise errors.InvalidInput(f"statistic is one of {STATISTICS}: {statistic!r}")

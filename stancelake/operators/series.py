@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stancelake import errors
 from stancelake.operators import resampling
+from stancelake.session import checkpointed
 
 
 def month_index(ts: Column) -> Column:
@@ -111,6 +112,7 @@ def block_bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 0, alpha:
     itself, 0. A cell may be of any length: see resampling.
     """
     keys = ["name", "series", "horizon"]
+    pairs = checkpointed(pairs)  # made once, read by all that follows
     cells = family or max(1, pairs.select(*keys).distinct().count())
     n = F.col("n_")
     block = F.least(F.greatest(F.lit(2), F.col("horizon") + 1, F.rint(F.pow(n, F.lit(1 / 3)))), F.greatest(F.lit(2), F.floor(n / 2)))
@@ -124,7 +126,7 @@ def paired_bootstrap(rows: DataFrame, key: str, x: str = "x", y: str = "y", orde
     Pairs are drawn from the order of `order`, so that a seed means the same draws everywhere; a group may be of any
     length: see resampling.
     """
-    found = resampling.intervals(rows.select(key, order, x, y), [key], [order], x, y, statistic="correlation" if statistic == "r" else statistic, draws=draws, seed=seed, least=1, inward=1)
+    found = resampling.intervals(checkpointed(rows.select(key, order, x, y)), [key], [order], x, y, statistic="correlation" if statistic == "r" else statistic, draws=draws, seed=seed, least=1, inward=1)
     return found.select(key, "value", "low", "high")
 
 
