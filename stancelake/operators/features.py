@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stancelake.functions import text
+from stancelake.operators import heavy
 
 CLASSES = ("hawkish", "dovish", "neutral")
 
@@ -45,10 +46,10 @@ def idf(df: Column, n: Column) -> Column:
 def tfidf(documents: DataFrame, most: int = 2, least: int = 3, features: int = 5000, key: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """key, gram, column, weight: (1 + ln tf) * idf, each text's weights of unit length.
 
-    Only document frequencies are shuffled. The vocabulary, of at most `features` rows, is made first and goes out to
-    the texts, whose grams are counted and weighed where they are. Each row is a text of its own.
+    Only bounded summaries of document frequencies are shuffled. The vocabulary, of at most `features` rows, is made first
+    and goes out to the texts, whose grams are counted and weighed where they are. Each row is a text of its own.
     """
-    found = (vocabulary(grams(documents, most, key, text_col), least, features) if terms is None else terms).collect()
+    found = (heavy.vocabulary(documents, least, features, most, text_col) if terms is None else terms).collect()
     total = documents.count() if n is None else n
     column = {r["gram"]: (int(r["column"]), math.log((1 + total) / (1 + r["df"])) + 1) for r in found}
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.functions import text
-from stancelake.operators import boards, features, stance
+from stancelake.operators import boards, features, heavy, stance
 from stancelake.plans.registry import register
 from stancelake.plans.roles import OBSERVATIONS_SQL, observations, rounded, rounded_sql
 from stancelake.session import texts
@@ -130,6 +130,12 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRAMS_SQL = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents), g AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS gram FROM w), tf AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 3)"
 
 
+@register("vocabulary_heavy", f"WITH {_GRAMS_SQL} SELECT gram, df, CAST(row_number() OVER (ORDER BY gram) - 1 AS INTEGER) AS place FROM (SELECT gram, df FROM df ORDER BY df DESC, gram LIMIT 5000)")
+def vocabulary_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary from bounded summaries of the tasks and an exact count of what they leave."""
+    return heavy.vocabulary(texts(spark, sf_dir, "doc_id", "text")).withColumnRenamed("column", "place")
+
+
 @register("ngram_document_frequency", f"WITH {_GRAMS_SQL} SELECT gram, df FROM df")
 def ngram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.document_frequency(features.grams(texts(spark, sf_dir, "doc_id", "text")), 3)
