@@ -46,15 +46,20 @@ def nearest_each(chunks: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     return blocks.nearest(rows, wanted, k, block)
 
 
-def gram_hasher(dim: int):
+#: Eight bytes for a gram: blake2b of that size, or the first of md5, which SQL engines have too.
+DIGESTS = {"blake2b": lambda raw: hashlib.blake2b(raw, digest_size=8).digest(), "md5": lambda raw: hashlib.md5(raw, usedforsecurity=False).digest()[:8]}
+
+
+def gram_hasher(dim: int, digest: str = "blake2b"):
     """A function of an iterable of grams: the vector of hash_embedding. Hashes of grams seen are kept."""
+    eight = DIGESTS[digest]
     places: dict[str, tuple[int, float]] = {}
 
     def one(grams) -> np.ndarray:
         out = np.zeros(dim)
         for gram in grams:
             if gram not in places:
-                h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
+                h = int.from_bytes(eight(gram.encode()), "big")
                 places[gram] = (h % dim, 1.0 if h >> 33 & 1 else -1.0)
             at, sign = places[gram]
             out[at] += sign

@@ -29,12 +29,12 @@ NOTHING_OF_SPEAKER = "I could not find anything in this speaker's speeches that
 NOTHING_OF_ANY = "I could not find anything in the speeches I have analyzed that addresses that question."
 
 
-def hash_embedder(dim: int = 768) -> Embedder:
-    """Vectors of retrieval.hash_embedding over one and two words, as float."""
+def hash_embedder(dim: int = 768, digest: str = "blake2b") -> Embedder:
+    """Vectors of retrieval.hash_embedding over one and two words, as float; `digest` is one of retrieval.DIGESTS."""
 
     @F.pandas_udf("array<array<float>>")
     def embed(texts: pd.Series) -> pd.Series:
-        one = retrieval.gram_hasher(dim)
+        one = retrieval.gram_hasher(dim, digest)
         return pd.Series([[one(text.grams_of(t or "")).astype(np.float32) for t in mine] if mine is not None else None for mine in texts], dtype=object)
 
     return embed

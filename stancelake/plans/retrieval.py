@@ -52,7 +52,7 @@ def nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "id", (F.abs(F.round("distance", 9)) + 0.0).alias("distance"), "rank")
 
 
-@register("hash_embedding_norms")
+@register("hash_embedding_norms", "SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '[a-z]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def hash_embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = text.ngrams(text.tokens(F.col("text")), 2)
     vectors = texts(spark, sf_dir, "doc_id", "text").select("doc_id", retrieval.hash_embedding(grams).alias("v"))

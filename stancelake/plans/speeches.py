@@ -10,7 +10,7 @@ from stancelake.operators import assessment, blocks, retrieval, speeches, vector
 from stancelake.plans.registry import register
 from stancelake.plans.retrieval import _ALL_SQL
 from stancelake.plans.roles import rounded
-from stancelake.plans.text import _hits_sql
+from stancelake.plans.text import _hits_sql, chunks_sql
 from stancelake.session import new_folder, table, texts
 
 #: The invented prose gets words of the domain for some of its own.
@@ -91,6 +91,8 @@ def _speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIM = 256
 
+QUESTION = "the reason that it was with the other"
+
 
 def _store(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = new_folder(spark, "chunks")
@@ -98,7 +100,7 @@ def _store(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@register("index_speeches")
+@register("index_speeches", f"WITH RECURSIVE {chunks_sql()} SELECT doc_id AS speech_id, count(*) AS chunks FROM c GROUP BY doc_id")
 def index_speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each speech after it was indexed twice; the second time adds none."""
     path, rows, embed = new_folder(spark, "chunks"), _speeches(spark, sf_dir), speeches.hash_embedder(DIM)
@@ -107,9 +109,6 @@ def index_speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speeches.chunk_counts(spark.read.parquet(path))
 
 
-QUESTION = "the reason that it was with the other"
-
-
 @register("ask_corpus")
 def ask_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _speeches(spark, sf_dir)
@@ -124,6 +123,68 @@ def ask_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speeches.ask_speaker(_store(spark, rows), rows, rows.select("speaker_id"), first, QUESTION, speeches.hash_embedder(DIM), most_distance=0.95)
 
 
+def _grams_of_sql(name: str, source: str) -> str:
+    """CTE of (doc_id, k, i, x): the vectors of source (doc_id, k, text), place by place, of md5 of one and two words."""
+    return f"""{name} AS MATERIALIZED (SELECT doc_id, k, i, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, k)) AS FLOAT)::DOUBLE AS x FROM (
+  SELECT doc_id, k, CAST(h % {DIM} AS INTEGER) AS i, sum(CASE WHEN (h // 8589934592) % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS n FROM (
+    SELECT doc_id, k, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, k, unnest(list_concat(t, list_transform(range(1, len(t)), lambda j: t[j] || ' ' || t[j + 1]))) AS g FROM (SELECT doc_id, k, regexp_extract_all(lower(text), '[a-z]+') AS t FROM ({source})))) GROUP BY ALL HAVING n <> 0))"""
+
+
+_TRIM_SQL = r"regexp_replace({0}, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
+def _asked_sql(where: str, nothing: str, most_distance: float) -> str:
+    """The whole path: chunks, their vectors, the nearest five within the distance, their sentences, the answer."""
+    return f"""WITH RECURSIVE {chunks_sql(source=f'SELECT doc_id, text FROM documents {where}')},
+{_grams_of_sql('v', 'SELECT doc_id, chunk_index AS k, text FROM c')}, {_grams_of_sql('q', f"SELECT 0 AS doc_id, 0 AS k, '{QUESTION}' AS text")},
+d AS (SELECT c.doc_id, c.chunk_index, text, 1 - coalesce(dot / (sqrt(vv) * (SELECT sqrt(sum(x * x)) FROM q)), 0) AS distance FROM c LEFT JOIN (SELECT v.doc_id, v.k, sum(v.x * q.x) AS dot, sum(v.x * v.x) AS vv FROM v LEFT JOIN q USING (i) GROUP BY ALL) s ON c.doc_id = s.doc_id AND c.chunk_index = s.k),
+f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(distance, 12), doc_id, chunk_index) AS nth FROM (SELECT * FROM d ORDER BY round(distance, 12), doc_id, chunk_index LIMIT 5) WHERE distance <= {most_distance}),
+s AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY nth, j) AS k, x AS text FROM (SELECT doc_id, nth, unnest(range(1, len(l) + 1)) AS j, unnest(l) AS x FROM (SELECT doc_id, nth, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda y: {_TRIM_SQL.format('y')}), lambda y: y <> '') AS l FROM f)) WHERE len(string_split(x, ' ')) >= 4),
+{_grams_of_sql('u', 'SELECT doc_id, k, text FROM s')},
+m AS (SELECT s.doc_id, s.k, s.text, round(coalesce(like_, 0), 9) AS like_ FROM s LEFT JOIN (SELECT u.k, sum(u.x * q.x) AS like_ FROM u JOIN q USING (i) GROUP BY u.k) w ON s.k = w.k),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY like_ DESC, k) AS again FROM m) WHERE again = 1 ORDER BY like_ DESC, k LIMIT 3),
+o AS (SELECT string_agg('- ' || text || ' (Speech ' || doc_id || ')', chr(10) ORDER BY like_ DESC, k) AS lines FROM b),
+g AS (SELECT string_agg(doc_id || ':' || chunk_index, ',' ORDER BY nth) AS cited, count(*) AS n, any_value('- ' || {_TRIM_SQL.format('text')} || ' (Speech ' || doc_id || ')') FILTER (nth = 1) AS first_ FROM f)
+SELECT CASE WHEN n = 0 THEN '{nothing.replace("'", "''")}' ELSE '{speeches.PREFIX}' || chr(10) || chr(10) || coalesce(lines, first_) END AS answer, coalesce(cited, '') AS cited, n = 0 AS abstained FROM o, g"""
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    cited = F.transform("citations", lambda c: F.concat(c["speech_id"].cast("string"), F.lit(":"), c["chunk_index"].cast("string")))
+    return found.select("answer", F.array_join(cited, ",").alias("cited"), "abstained")
+
+
+def _md5_store(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, speeches.Embedder]:
+    path, embed = new_folder(spark, "chunks"), speeches.hash_embedder(DIM, "md5")
+    speeches.index_speeches(rows, path, embed)
+    return spark.read.parquet(path), embed
+
+
+@register("ask_corpus_md5", _asked_sql("", speeches.NOTHING_OF_ANY, 0.95))
+def ask_corpus_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question to all speeches, with vectors that SQL can make as well."""
+    rows = _speeches(spark, sf_dir)
+    store, embed = _md5_store(spark, rows)
+    return _shown(speeches.ask_corpus(store, rows, QUESTION, embed, most_distance=0.95))
+
+
+@register("ask_speaker_md5", _asked_sql("WHERE source = (SELECT min(source) FROM documents)", speeches.NOTHING_OF_SPEAKER, 0.95))
+def ask_speaker_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same question to the speaker that comes first by name; all speeches are indexed."""
+    rows = _speeches(spark, sf_dir)
+    store, embed = _md5_store(spark, rows)
+    first = rows.agg(F.min("speaker_id")).first()[0]
+    return _shown(speeches.ask_speaker(store, rows, rows.select("speaker_id"), first, QUESTION, embed, most_distance=0.95))
+
+
+@register("ask_speaker_nothing", _asked_sql("WHERE source = (SELECT max(source) FROM documents)", speeches.NOTHING_OF_SPEAKER, 0.01))
+def ask_speaker_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A distance that no chunk is within: an abstention, which cites nothing."""
+    rows = _speeches(spark, sf_dir)
+    store, embed = _md5_store(spark, rows)
+    last = rows.agg(F.max("speaker_id")).first()[0]
+    return _shown(speeches.ask_speaker(store, rows, rows.select("speaker_id"), last, QUESTION, embed, most_distance=0.01))
+
+
 @register("nearest_by_lists")
 def nearest_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate neighbours of every vector whose id is divisible by 100, from an index of all."""

@@ -101,7 +101,25 @@ def ensemble_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(uncertainty, 9).alias("uncertainty"), review.alias("needs_review"))
 
 
-@register("lexicon_scores")
+def _lexicon_sql(hawkish: tuple[str, ...], dovish: tuple[str, ...]) -> str:
+    """Terms of one word, or of two with a space between that no other term reaches over: the longer counts, negators flip.
+
+    Texts are cut into words and what is between them, so that a term is a word, or two around a space.
+    """
+    quoted = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + ")"
+    pairs = [(t.split(), sign) for terms, sign in ((hawkish, 1), (dovish, -1)) for t in terms if " " in t]
+    single = lambda terms: [t for t in terms if " " not in t]
+    begins = " ".join(f"WHEN w = '{a}' AND w1 = ' ' AND w2 = '{b}' THEN {sign}" for (a, b), sign in pairs)
+    within = " OR ".join(f"(w = '{b}' AND b1 = ' ' AND b2 = '{a}')" for (a, b), _ in pairs)
+    return rf"""WITH e AS (SELECT doc_id, i, t[i] AS w FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS t FROM documents))),
+n AS (SELECT doc_id, i, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2, lag(w) OVER o AS b1, lag(w, 2) OVER o AS b2, string_agg(w, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS before FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, before, CASE {begins} WHEN {within} THEN NULL WHEN w IN {quoted(single(hawkish))} THEN 1 WHEN w IN {quoted(single(dovish))} THEN -1 END AS sign FROM n),
+s AS (SELECT doc_id, CASE WHEN list_has_any(regexp_extract_all(coalesce(before, ''), '[a-z'']+')[-{text.NEGATION_WINDOW}:], [{quoted(text.NEGATORS)[1:-1]}]) THEN -sign ELSE sign END AS sign FROM h WHERE sign IS NOT NULL),
+c AS (SELECT d.doc_id, count(*) FILTER (sign = 1) AS h, count(*) FILTER (sign = -1) AS d FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, coalesce((h - d) / nullif(h + d, 0), 0.0) AS score, CAST(h AS INTEGER) AS hawkish_hits, CAST(d AS INTEGER) AS dovish_hits FROM c"""
+
+
+@register("lexicon_scores", _lexicon_sql(HAWKISH, DOVISH))
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = text.lexicon(HAWKISH, DOVISH)
     found = texts(spark, sf_dir, "doc_id", "text").select("doc_id", score(F.col("text")).alias("found"))
@@ -121,7 +139,21 @@ def lexicon_scores_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", score(F.col("text")).alias("found")).select("doc_id", (F.round("found.score", 9) + F.lit(0.0)).alias("score"), "found.hawkish_hits", "found.dovish_hits")
 
 
-@register("chunk_documents")
+# words of each text with the lengths up to each; then chunk after chunk, each begun by words of the one before
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+')"
+
+
+def chunks_sql(most: int = 1000, overlap: int = 100, source: str = "SELECT doc_id, text FROM documents") -> str:
+    """CTEs w and c (doc_id, chunk_index, text): what text.chunk makes of every text of the source."""
+    return f"""w AS MATERIALIZED (SELECT doc_id, n, list(word ORDER BY i) AS t, list_prepend(0, list(s ORDER BY i)) AS p FROM (SELECT doc_id, n, i, t[i] AS word, sum(length(t[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS s
+  FROM (SELECT doc_id, t, len(t) AS n, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS t FROM ({source})))) GROUP BY doc_id, n),
+e(doc_id, chunk_index, a, b) AS (SELECT doc_id, 0, 0, coalesce(list_filter(range(1, n), lambda q: p[q + 2] > {most})[1], n) FROM w
+  UNION ALL SELECT f.doc_id, f.chunk_index + 1, f.back, coalesce(list_filter(range(f.b + 1, w.n), lambda q: w.p[q + 2] - w.p[f.back + 1] > {most})[1], w.n)
+  FROM (SELECT e.doc_id, e.chunk_index, e.b, coalesce(list_filter(range(e.a, e.b), lambda k: w.p[e.b + 1] - w.p[k + 1] <= {overlap})[1], e.b) AS back FROM e JOIN w USING (doc_id) WHERE e.b < w.n) f JOIN w USING (doc_id)),
+c AS MATERIALIZED (SELECT doc_id, chunk_index, array_to_string(t[a + 1:b], ' ') AS text FROM e JOIN w USING (doc_id))"""
+
+
+@register("chunk_documents", f"WITH RECURSIVE {chunks_sql()} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(length(text) AS INTEGER) AS chars, sha256(text) AS sha256 FROM c")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(text.chunk(F.col("text"))).alias("chunk_index", "text"))
     return rows.select("doc_id", "chunk_index", F.char_length("text").alias("chars"), text.sha256(F.col("text")).alias("sha256"))
