@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancelake.functions import text
+from stancelake.functions import matching, text
 from stancelake.operators import stance
 
 Scorer = Callable[[Column], Column]
@@ -31,41 +31,36 @@ NO_TEXT = "(no text)"
 RATIONALE = "Offline supervised classifier (no LLM): %d/%d hawkish, %d/%d dovish, %d/%d neutral sentences; net hawkishness %+.2f."
 
 
-def _read(sentences: Column) -> Column:
-    """array<struct<text, low, words>>: what the terms of a sentence are looked up in, made once for each."""
-    return F.transform(sentences, lambda s: F.struct(s.alias("text"), F.lower(s).alias("low"), text.tokens(s, True).alias("words")))
+#: What is looked up in every sentence besides the terms of the gate: aspects, and whether it looks ahead or back.
+CUES = {f"aspect {name}": terms for name, terms in text.ASPECT_CUES} | {"forward": text.FORWARD_CUES, "backward": text.BACKWARD_CUES}
 
 
-def _hits(read: Column, terms: Sequence[str]) -> Column:
-    """text.term_hits of a sentence that was read."""
-    words, phrases = [t for t in sorted(set(terms)) if " " not in t], [t for t in sorted(set(terms)) if " " in t]
-    hits = F.size(F.array_intersect(read["words"], F.array(*[F.lit(t) for t in words]))) if words else F.lit(0)
-    for phrase in phrases:
-        hits = hits + F.contains(read["low"], F.lit(phrase)).cast("int")
-    return hits
+def _aspect_of(hits: Column) -> Column:
+    """The first listed of the aspects with most hits; other without any. hits: counts in the order of CUES."""
+    mine = F.slice(hits, 1, len(text.ASPECT_CUES))
+    names = F.array(*[F.lit(name) for name, _ in text.ASPECT_CUES])
+    return F.when(F.array_max(mine) > 0, F.element_at(names, F.array_position(mine, F.array_max(mine)).cast("int"))).otherwise("other")
 
 
-def _by_most(read: Column, groups: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
-    """For each sentence the first listed of the groups with most hits. Each hit is counted once, in an array of its own."""
-    names = F.array(*[F.lit(name) for name, _ in groups])
-    hits = F.transform(read, lambda r: F.array(*[_hits(r, terms) for _, terms in groups]))
-    return F.transform(hits, lambda h: F.when(F.array_max(h) > 0, F.element_at(names, F.array_position(h, F.array_max(h)).cast("int"))).otherwise(default))
-
-
-def _horizons(read: Column) -> Column:
-    """text.horizon of each sentence."""
-    hits = F.transform(read, lambda r: F.struct((_hits(r, text.FORWARD_CUES) - _hits(r, text.BACKWARD_CUES)).alias("x")))
-    return F.transform(hits, lambda h: F.when(h["x"] > 0, "forward").when(h["x"] < 0, "backward").otherwise("unspecified"))
+def _horizon_of(hits: Column) -> Column:
+    """text.horizon from counts in the order of CUES."""
+    ahead, behind = (F.element_at(hits, len(text.ASPECT_CUES) + k) for k in (1, 2))
+    return F.when(ahead > behind, "forward").when(ahead < behind, "backward").otherwise("unspecified")
 
 
 def by_terms(hawkish: Sequence[str] = text.HAWKISH_TERMS, dovish: Sequence[str] = text.DOVISH_TERMS) -> Scorer:
     """Verdicts by which side's terms have more hits in a sentence; score is their balance."""
+    terms = matching.Terms({"hawkish": hawkish, "dovish": dovish})
+
+    def verdict(raw: str) -> dict:
+        h, d = map(int, terms.counts(raw))
+        return {"label": "hawkish" if h > d else "dovish" if h < d else "neutral", "score": (h - d) / (h + d) if h + d else 0.0}
 
-    def verdict(n: Column) -> Column:
-        score = F.coalesce(F.try_divide((n["h"] - n["d"]).cast("double"), n["h"] + n["d"]), F.lit(0.0))
-        return F.struct(F.when(n["h"] > n["d"], "hawkish").when(n["h"] < n["d"], "dovish").otherwise("neutral").alias("label"), score.alias("score"))
+    @F.pandas_udf(VERDICTS)
+    def verdicts(sentences: pd.Series) -> pd.Series:
+        return pd.Series([[verdict(s) for s in mine] if mine is not None else None for mine in sentences], dtype=object)
 
-    return lambda sentences: F.transform(F.transform(_read(sentences), lambda r: F.struct(_hits(r, hawkish).alias("h"), _hits(r, dovish).alias("d"))), verdict)
+    return verdicts
 
 
 def by_softmax(terms: Sequence[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, classes: tuple[str, ...] = ("hawkish", "dovish", "neutral")) -> Scorer:
@@ -102,17 +97,19 @@ def by_softmax(terms: Sequence[str], idf: np.ndarray, weights: np.ndarray, bias:
     return verdicts
 
 
-def aligned(sentences: Column, verdicts: Column, least: float = LEAST_ALIGNED) -> Column:
+def aligned(sentences: Column, verdicts: Column, least: float = LEAST_ALIGNED, hits: Column | None = None) -> Column:
     """array<struct<text, label, aspect, horizon>>: verdicts beside their sentences, up to the shorter of both.
 
     Null, the mark of a failed scorer, where verdicts are null or none, or the shorter is under `least` of the longer.
-    No sentences and no verdicts are an empty array. Aspect and horizon come from cues.
+    No sentences and no verdicts are an empty array. Aspect and horizon come from cues: `hits` has their counts for
+    each sentence, in the order of CUES, where they are known already.
     """
     n, m = F.size(sentences), F.size(F.coalesce(verdicts, F.array().cast(VERDICTS)))
     shorter, longer = F.least(n, m), F.greatest(n, m)
-    read = _read(F.slice(sentences, F.lit(1), shorter))
-    zipped = F.arrays_zip(F.slice(sentences, F.lit(1), shorter).alias("text"), F.slice(verdicts, F.lit(1), shorter).alias("v"), _by_most(read, text.ASPECT_CUES, "other").alias("aspect"), _horizons(read).alias("horizon"))
-    pairs = F.transform(zipped, lambda x: F.struct(x["text"].alias("text"), x["v"]["label"].alias("label"), x["aspect"].alias("aspect"), x["horizon"].alias("horizon")))
+    first = lambda x: F.slice(x, F.lit(1), shorter)
+    cues = first(matching.hits(sentences, CUES) if hits is None else hits)
+    zipped = F.arrays_zip(first(sentences).alias("text"), first(verdicts).alias("v"), cues.alias("hits"))
+    pairs = F.transform(zipped, lambda x: F.struct(x["text"].alias("text"), x["v"]["label"].alias("label"), _aspect_of(x["hits"]).alias("aspect"), _horizon_of(x["hits"]).alias("horizon")))
     usable = verdicts.isNotNull() & (shorter >= F.lit(least) * longer) & ((m > 0) | (n == 0))
     return F.when(usable, pairs)
 
@@ -159,8 +156,11 @@ def assess(
     scored = (lexicon or text.lexicon())(F.col(text_col))
     sents = F.coalesce(text.sentences(F.col(text_col)), F.array().cast("array<string>"))
     found = rows.select(F.col(key).alias("key"), F.col(headline).alias("headline"), F.col(bank).alias("bank"), sents.alias("sents"), scored.alias("lexicon"))
-    found = found.withColumn("gated", F.transform(F.filter(_read(F.col("sents")), lambda r: _hits(r, terms) > 0), lambda r: r["text"]))
-    found = found.withColumn("verdicts", scorer(F.col("gated"))).withColumn("checked", cross_check(F.col("gated"))).withColumn("labelled", aligned(F.col("gated"), F.col("verdicts")))
+    # the gate and all cues in one pass over the sentences
+    found = found.withColumn("hits", matching.hits(F.col("sents"), CUES | {"gate": terms}))
+    kept = F.filter(F.arrays_zip("sents", "hits"), lambda x: F.element_at(x["hits"], -1) > 0)
+    found = found.withColumn("kept", kept).withColumn("gated", F.transform("kept", lambda x: x["sents"])).withColumn("cues", F.transform("kept", lambda x: x["hits"]))
+    found = found.withColumn("verdicts", scorer(F.col("gated"))).withColumn("checked", cross_check(F.col("gated"))).withColumn("labelled", aligned(F.col("gated"), F.col("verdicts"), hits=F.col("cues")))
     said = counted(F.col("labelled"))
     of = lambda label: F.size(F.filter("checked", lambda v: v["label"] == label))
     found = found.select(
