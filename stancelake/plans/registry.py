@@ -27,7 +27,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for name in ("boards", "series", "text", "ingest", "evaluation", "retrieval", "speeches", "asof", "sources"):
+    for name in ("boards", "series", "text", "ingest", "evaluation", "retrieval", "speeches", "asof", "sources", "views"):
         importlib.import_module(f"stancelake.plans.{name}")
 
 
