@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stancelake.llm import text
+
 # Licence sentences in normal form, by identifier.
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -203,21 +205,22 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     sentences: identifiers in text order, from the reading that ends sentences at lines too where it finds
     more, else from the other. licences: by order of RULES, each once. Null and empty texts have neither; repeated
-    rows are alike, an empty table gives no rows.
+    rows are alike, an empty table gives no rows. An id column named as one of the others gets underscores behind its name.
     """
+    name = text.free_name(["sentences", "licences"], id_col)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     relevant = F.lit(False)
     for anchor in ANCHORS:
         relevant = relevant | F.contains(low, F.lit(anchor))
     none = F.array().cast("array<string>")
     value = F.coalesce(F.col(text_col), F.lit(""))
-    rows = documents.select(F.col(id_col), F.when(relevant, identifiers(value, _ENDS)).otherwise(none).alias("ends"), F.when(relevant, identifiers(value, _LINES)).otherwise(none).alias("lines"))
-    shown = lambda name: F.array_join(F.transform(name, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
-    rows = rows.select(F.col(id_col), F.when(F.size("lines") > F.size("ends"), F.col("lines")).otherwise(F.col("ends")).alias("sentences"), shown("ends").alias("by_ends"), shown("lines").alias("by_lines"))
+    rows = documents.select(F.col(id_col).alias("id"), F.when(relevant, identifiers(value, _ENDS)).otherwise(none).alias("ends"), F.when(relevant, identifiers(value, _LINES)).otherwise(none).alias("lines"))
+    shown = lambda column: F.array_join(F.transform(column, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
+    rows = rows.select("id", F.when(F.size("lines") > F.size("ends"), F.col("lines")).otherwise(F.col("ends")).alias("sentences"), shown("ends").alias("by_ends"), shown("lines").alias("by_lines"))
     families: dict[str, Column] = {}
     for family, licence, rule in reversed(RULES):
         rest = families.get(family, F.lit(None).cast("string"))
         families[family] = F.when(_matches(rule), F.lit(licence)).otherwise(rest)
     in_order = list(dict.fromkeys(family for family, _, _ in RULES))
     found = F.when(F.size("sentences") > 0, F.array_compact(F.array(*[families[f] for f in in_order]))).otherwise(none)
-    return rows.select(F.col(id_col), "sentences", found.alias("licences"))
+    return rows.select(F.col("id").alias(name), "sentences", found.alias("licences"))

@@ -124,29 +124,40 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
 
 
 def encode(rows: DataFrame, payload: str = "payload", codec: str = "codec", out: str = "media") -> DataFrame:
-    """Adds the WAVE file of a payload in the codec that the row names; null for a null payload or unknown codec."""
+    """Adds the WAVE file of a payload in the codec that the row names; null for a null payload or unknown codec.
+
+    An empty payload is a file without samples. Equal payloads in one codec are equal files; repeated rows are alike, an
+    empty table stays empty. A column `out` that is there already stays, and the new one gets underscores behind its name.
+    """
+
     @F.pandas_udf("binary")
     def files(payloads: pd.Series, codecs: pd.Series) -> pd.Series:
         return pd.Series([wrap(bytes(p), c) if p is not None and c in CODECS else None for p, c in zip(payloads, codecs)], dtype=object)
 
-    return rows.withColumn(out, files(F.col(payload), F.col(codec)))
+    return rows.withColumn(text.free_name(rows.columns, out), files(F.col(payload), F.col(codec)))
 
 
 def decode(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, and codec, rate, payload (the stored codes), pcm (int16, little-endian, twice the rate), peak, crossings, mean_size.
 
     Null, truncated or foreign media give nulls. peak and mean_size are of the resampled samples, crossings
-    counts their sign changes. Repeated rows are alike; an empty table gives no rows.
+    counts their sign changes. Repeated rows are alike; an empty table gives no rows. A new column whose name is among
+    `keep` gets underscores behind it.
     """
+    source, new = text.free_name(list(keep), "media"), {name: text.free_name(list(keep), name) for name in DECODED}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text.steps(batch, "media"):
-                yield _decoded(part)
+            for part in text.steps(batch, source):
+                found = _decoded(part.column(source))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *found.values()], [*keep, *(new[name] for name in found)])
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"`{new[name]}` {kind}" for name, kind in DECODED.items()]
+    return rows.select(*keep, F.col(media).alias(source)).mapInArrow(run, ", ".join(kinds))
+
 
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    chosen = rows.select(*keep, F.col(media).alias("media"))
-    return chosen.mapInArrow(run, f"{kept}, codec string, rate int, payload binary, pcm binary, peak int, crossings bigint, mean_size int")
+#: What decode() adds.
+DECODED = {"codec": "string", "rate": "int", "payload": "binary", "pcm": "binary", "peak": "int", "crossings": "bigint", "mean_size": "int"}
 
 
 def store(decoded: DataFrame, path: str) -> DataFrame:
@@ -155,8 +166,9 @@ def store(decoded: DataFrame, path: str) -> DataFrame:
     return decoded.sparkSession.read.schema(decoded.schema).parquet(path)
 
 
-def _decoded(part: pa.RecordBatch) -> pa.RecordBatch:
-    found = [unwrap(m.as_py()) for m in part.column("media")]
+def _decoded(media: pa.Array) -> dict[str, pa.Array]:
+    """The columns of DECODED for a column of files."""
+    found = [unwrap(m.as_py()) for m in media]
     payloads: list = [None] * len(found)
     pcm: list = [None] * len(found)
     blocks: dict[int, list[tuple[int, np.ndarray, int]]] = {}
@@ -196,9 +208,7 @@ def _decoded(part: pa.RecordBatch) -> pa.RecordBatch:
         crossings.append(int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0))))
         sizes.append(int(wide.sum(dtype=np.int64) // max(1, len(y))))
         out.append(y.astype("<i2").tobytes())
-    columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "media"]
-    names = [name for name in part.schema.names if name != "media"]
-    new = {
+    return {
         "codec": pa.array([f and f[0] for f in found], pa.string()),
         "rate": pa.array([f and 2 * f[1] for f in found], pa.int32()),
         "payload": pa.array(payloads, pa.binary()),
@@ -207,4 +217,3 @@ def _decoded(part: pa.RecordBatch) -> pa.RecordBatch:
         "crossings": pa.array(crossings, pa.int64()),
         "mean_size": pa.array(sizes, pa.int32()),
     }
-    return pa.RecordBatch.from_arrays([*columns, *new.values()], [*names, *new])

@@ -372,6 +372,29 @@ def test_chat_records_beyond_what_a_variant_holds(spark):
     assert got == {1: [("user", long), ("assistant", long[::-1])], 2: [("user", "hi"), ("user", "")]}
 
 
+def test_telephony_of_clashing_names_long_media_and_no_rows(spark):
+    long = bytes(range(256)) * 20_000  # 5 MB
+    rows = spark.createDataFrame([(1, long, "adpcm"), (2, b"", "mulaw"), (3, None, "alaw"), (4, b"ab", "other"), (5, b"xy" * 300, "alaw"), (5, b"xy" * 300, "alaw")], "doc_id int, payload binary, codec string").withColumn("media", F.lit("kept")).withColumn("pcm", F.lit(7))
+    made = telephony.encode(rows)
+    assert made.columns == ["doc_id", "payload", "codec", "media", "pcm", "media_"]
+    back = telephony.decode(made, "media_", keep=("doc_id", "media", "pcm", "codec", "payload"))
+    assert back.columns == ["doc_id", "media", "pcm", "codec", "payload", "codec_", "rate", "payload_", "pcm_", "peak", "crossings", "mean_size"]
+    got = [(r["doc_id"], r["payload"] and bytes(r["payload"]), r["payload_"] and bytes(r["payload_"]), r["pcm"], r["media"]) for r in back.collect()]
+    assert all(r[3:] == (7, "kept") for r in got) and sum(r[0] == 5 for r in got) == 2
+    assert all(r[1] == r[2] for r in got if r[0] in (1, 5)) and next(r for r in got if r[0] == 3)[2] is None
+    assert telephony.decode(telephony.encode(rows.limit(0)), "media_").count() == 0
+
+
+def test_licences_of_clashing_names_long_texts_and_no_rows(spark):
+    grant = licences.SENTENCES["mit-grant"]
+    rows = spark.createDataFrame([(1, "word " * 400_000 + ". " + grant + ". " + "more " * 400_000), (1, None), (None, ""), (2, grant)], "ends int, lines string")
+    got = licences.scan(rows, "ends", "lines")
+    assert got.columns == ["ends", "sentences", "licences"]
+    assert sorted((str(r["ends"]), "mit-grant" in r["sentences"]) for r in got.collect()) == [("1", False), ("1", True), ("2", True), ("None", False)]
+    assert licences.scan(rows.withColumnRenamed("ends", "licences"), "licences", "lines").columns == ["licences_", "sentences", "licences"]
+    assert licences.scan(rows.limit(0), "ends", "lines").count() == 0
+
+
 def test_chat_odd_json(spark):
     records = [None, "", "{", '{"prompt": "a\nb", "completion": "c"}', '{"prompt": "a\\nb", "completion": "c"}', '{"pr\\u006fmpt": "a", "completion": "c"}', '{"other": 1}', "[]"]
     rows = spark.createDataFrame([(k, r, "kept") for k, r in enumerate(records)], "k int, record string, turns string")
