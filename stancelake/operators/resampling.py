@@ -19,6 +19,9 @@ from stancelake.operators import scan
 #: Rows of a chunk; starts that are drawn at once.
 CHUNK, TOGETHER = 1 << 16, 1 << 20
 
+#: Places of results that count: sums in another order differ beyond them.
+PLACES = 12
+
 SUMS = ("sx", "sy", "sxx", "syy", "sxy")
 
 STATISTICS = ("correlation", "slope", "mean")
@@ -131,7 +134,8 @@ def intervals(rows: DataFrame, keys: list[str], order: list[str], x: str = "x",
     share = tail if isinstance(tail, Column) else F.lit(tail)
     low, high = F.floor(share * draws), F.least(F.floor((1 - share) * draws) - inward, F.lit(draws - 1))
     at = lambda place: F.coalesce(F.try_element_at("drawn_", (place + 1).cast("int")), F.col("value"))
-    return out.select(*keys, "value", at(low).alias("low"), at(high).alias("high"), "n")
+    shown = [F.round(c, PLACES).alias(name) for name, c in (("value", F.col("value")), ("low", at(low)), ("high", at(high)))]
+    return out.select(*keys, *shown, "n")
 
 
 def _same(rows: DataFrame, named: DataFrame, keys: list[str], ending: str = "_key") -> Column:
