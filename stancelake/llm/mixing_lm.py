@@ -667,13 +667,14 @@ def _weights(lexicon: DataFrame, tables, tree: Tree) -> np.ndarray:
     return out
 
 
-def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_bytes: int = BUCKET_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_bytes: int = BUCKET_BYTES, bucket_keys: int = BUCKET_KEYS, passages: bool = True) -> DataFrame:
     """One row per row of `documents`: id, n_tokens, n_known, train_tokens, base_score, score, n_coded_bytes.
 
     `learn` says which rows train (null: no). base_score is the log10 probability by add-one token counts of the
     training rows, score by the mixed model, in which a training row's passages are not predicted from themselves.
     Null and empty texts have their end only. Without training rows every slot is empty and all decisions are even.
-    Repeated rows are scored each. -score / log10(2) / n_coded_bytes is the bits per byte.
+    Repeated rows are scored each. -score / log10(2) / n_coded_bytes is the bits per byte. Without `passages` all texts are
+    spelt, so that the score is that of the letters alone.
     """
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
@@ -731,7 +732,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     meet = meet.unionByName(met.select("block", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), *empty("word_counts", "logs"), "context", "both", none.cast(f"array<{kind}>").alias("ids"), none.cast("array<binary>").alias("parts")))
     meet = meet.unionByName(of(ROWS).select("block", F.lit(2).alias("kind"), F.lit(0).alias("bucket"), *empty("word_counts", "logs", "context", "both"), "ids", "parts"))
     meet = meet.repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    out = meet.mapInArrow(lambda batches: _sums(batches, int(n), int(v), odds), f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_coded_bytes bigint")
+    out = meet.mapInArrow(lambda batches: _sums(batches, int(n), int(v), odds if passages else None), f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_coded_bytes bigint")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -763,7 +764,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _one(["block", "bucket", "word_counts", "logs"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], [row["block"], bucket, squeezed(table[1][at]), squeezed(table[2][at])])
 
 
-def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int, odds: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int, odds: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Sums over the tokens of each text of what its block's answers say; a block's answers come before its texts."""
     block, answers, seen = None, [], None
     for batch in batches:
@@ -780,12 +781,12 @@ def _sums(batches: Iterator[pa.RecordBatch], n: int, v: int, odds: np.ndarray) -
                 answers, seen = [], None
 
 
-def _summed(ids: pa.Array, parts: list[bytes], answers: list[np.ndarray], seen: list[np.ndarray], n: int, v: int, odds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of a block, some SUMMED_TOKENS at a time."""
+def _summed(ids: pa.Array, parts: list[bytes], answers: list[np.ndarray], seen: list[np.ndarray], n: int, v: int, odds: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, some SUMMED_TOKENS at a time. odds: None if all segments are spelt."""
     _, n_tokens, n_bytes, index, sizes, of_row, known, _ = (restored(x, t) for x, t in zip(parts, ROW_TYPES))
     word_counts, logs = answers
     base_logs, is_known = np.log10(word_counts.astype(np.float64) + 1), word_counts > 0
-    decided, hit = segment_logs(*seen, odds)
+    decided, hit = segment_logs(*seen, odds) if odds is not None else (np.zeros(len(seen[0])), np.zeros(len(seen[0]), bool))
     ends, segment_ends, seen_ends = (np.concatenate([[0], np.cumsum(x.astype(np.int64))]) for x in (n_tokens, of_row, known))
     at = 0
     while at < len(n_tokens):

@@ -1,5 +1,6 @@
 """Edge cases of the training-data operators: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
+import math
 import random
 
 import numpy as np
@@ -467,6 +468,16 @@ def test_language_model_learns_nothing_from_held_out_texts(spark):
     assert {k: after[k] for k in after if k == 1 or k not in held} == {k: before[k] for k in before if k == 1 or k not in held}
 
 
+def test_letters_alone_and_with_passages_on_held_out_texts(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = sampling.fold("doc_id", 7) == 2
+    spelt = mixing_lm.score(documents, ~held, passages=False).withColumn("held", held).where("held")
+    both = mixing_lm.score(documents, ~held).withColumn("held", held).where("held")
+    a, b = (f.agg(F.sum("score"), F.sum("base_score"), F.sum("n_coded_bytes")).first() for f in (spelt, both))
+    assert a[1] == pytest.approx(b[1]) and b[0] > a[0]
+    assert -a[0] / a[2] / math.log10(2) < 3  # bits a byte
+
+
 def test_a_training_text_is_not_predicted_from_itself(spark):
     random.seed(3)
     of = lambda n: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(n))
