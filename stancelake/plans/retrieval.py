@@ -48,7 +48,7 @@ SELECT query, id, abs(round(distance, 9)) + 0.0 AS distance, CAST(rank AS INTEGE
 def nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of every vector among all vectors, by blocks of queries and vectors."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    found = blocks.nearest(vectors, vectors, 5, held=256)
+    found = blocks.nearest(vectors, vectors, 5)
     return found.select("query", "id", (F.abs(F.round("distance", 9)) + 0.0).alias("distance"), "rank")
 
 

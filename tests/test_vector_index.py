@@ -206,3 +206,31 @@ def test_replace_loses_nothing_that_came_meanwhile(spark, tmp_path):
     assert keys(tables, "a") == [1, 2]
     tables.replace({"a": one(spark, 5)}, "z", tables.snapshot())
     assert keys(tables, "a") == [5] and keys(tables, "b") == [1] and keys(tables, "a", 2) == [1, 2]
+
+
+def test_rows_are_dealt_to_few_cells_of_bounded_groups(spark, monkeypatch):
+    """A row goes to the cells of one side of a grid, not to a task for every few queries."""
+    rng = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(900)]
+    rows = frame(spark, vectors)
+    got = blocks.nearest(rows, rows, 3, held=10)
+    dealt = []
+    monkeypatch.setattr(blocks, "in_cells", lambda v, q, *how: dealt.append((v.count(), q.count())) or got)
+    blocks.nearest(rows, rows, 3, held=10)
+    assert max(dealt[0]) <= 900 * 4  # 4 cores: 8 cells
+    assert listed(got) == brute(vectors, vectors, 3)
+    monkeypatch.undo()
+    monkeypatch.setattr(blocks, "OF_CELL", 50)
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    monkeypatch.setattr(blocks, "COLUMNS", 11)
+    assert listed(blocks.nearest(rows, rows, 3, held=10)) == brute(vectors, vectors, 3)
+
+
+def test_lists_of_any_size_are_searched_whole(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.integers(-1, 2, 4)]) for i in range(400)]  # copies in one list
+    of = {i: 0 if i < 360 else i % 5 for i, _ in vectors}
+    v = spark.createDataFrame([(of[i], i, x) for i, x in vectors], "list int, id int, v array<float>")
+    q = spark.createDataFrame([(n, i, x) for i, x in vectors for n in {of[i], 2, 9}], "list int, id int, v array<float>")
+    want = {i: brute([w for w in vectors if of[w[0]] in {of[i], 2, 9}], [(i, x)], 3)[i] for i, x in vectors}
+    assert listed(blocks.in_lists(v, q, 3, parts=20)) == want
