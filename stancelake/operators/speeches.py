@@ -11,12 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake import errors, session
 from stancelake.functions import text
-from stancelake.operators import ingest, retrieval
+from stancelake.operators import blocks, ingest, retrieval
 
 Embedder = Callable[[Column], Column]
 
@@ -192,16 +192,13 @@ def lists_of(vector: Column, centres: np.ndarray, probes: int = 1) -> Column:
 def nearest_by_lists(rows: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 8, parts: int = 8, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query, id, distance, rank: of each query the k nearest rows in the `probes` lists nearest to it.
 
-    Every row is in one list; lists are salted into `parts`, so that a hot one is not one task. Each part keeps k
-    of a query before the last ranking.
+    Every row is in one list. Lists are dealt to cells, at least about `parts` in all, so that a hot one is not one task; see
+    blocks.in_lists.
     """
-    indexed = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), lists_of(F.col(vector), centres)[0].alias("list"), F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("part"))
-    asked = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("q"), F.explode(lists_of(F.col(vector), centres, probes)).alias("list"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = indexed.join(asked, ["list", "part"]).select("query", "id", retrieval.cosine_distance(F.col("q"), F.col("v")).alias("distance"), "list", "part")
-    order = [F.round("distance", 12), F.col("id")]
-    near = found.withColumn("n", F.row_number().over(Window.partitionBy("query", "list", "part").orderBy(*order))).where(F.col("n") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "id", "distance", "rank")
+    named = lambda x: x.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    indexed = named(rows).select("id", "v", lists_of(F.col("v"), centres)[0].alias("list"))
+    asked = named(queries).select("id", "v", F.explode(lists_of(F.col("v"), centres, probes)).alias("list"))
+    return blocks.in_lists(indexed, asked, k, max(parts, 2 * rows.sparkSession.sparkContext.defaultParallelism)).select("query", "id", "distance", "rank")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
