@@ -88,7 +88,7 @@ class ListIndex:
         self.tables.replace({CENTRES: table, LISTS: listed}, f"fit-{base.number + 1}", base, {LISTS: ["list"]})
         return True
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int = 8, id_col: str = "vec_id", vector: str = "embedding", snapshot: int | None = None, parts: int | None = None, salts: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 5, probes: int = 8, id_col: str = "vec_id", vector: str = "embedding", snapshot: int | None = None, parts: int | None = None) -> DataFrame:
         """query, id, distance, rank: of each query the k nearest vectors in the `probes` lists nearest to it.
 
         Exact where all lists are probed. Distances and ties are those of blocks.nearest. A query that is zero probes the
@@ -102,11 +102,7 @@ class ListIndex:
         asked = session.checkpointed(asked.select("id", "v", near.alias("near"))).select("id", "v", F.explode("near").alias("list"))
         probed = asked.select("list").distinct().where(F.col("list") >= ZERO)  # no more rows than there are lists
         stored = self.tables.read(LISTS, snapshot).join(F.broadcast(probed), "list", "left_semi")
-        deal = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
-        spine = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-        parts = parts or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        found = blocks.in_cells(stored.select("list", "id", "v", deal), asked.select("list", "id", "v", spine), ["list", "salt"], k, parts)
-        return blocks.merged(found, k)
+        return blocks.in_lists(stored.select("list", "id", "v"), asked, k, parts)
 
     def count(self, snapshot: int | None = None) -> int:
         """Vectors in a snapshot."""
