@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import collections
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stancelake.functions import text
 from stancelake.operators import heavy
@@ -33,6 +36,36 @@ def document_frequency(counts: DataFrame, least: int = 3) -> DataFrame:
     return counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
 
 
+#: Grams that a task counts before it passes the counts on.
+COUNTED = 1 << 19
+
+
+def gram_counts(documents: DataFrame, least: int = 3, most: int = 2, text_col: str = "text") -> DataFrame:
+    """document_frequency(grams(documents)), counted in the tasks first: what is shuffled is a row for each gram of many texts.
+
+    Every row is a text. A task keeps no more than about COUNTED grams at once.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: collections.Counter = collections.Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            grams, n = list(counts), list(counts.values())
+            for a in range(0, len(grams), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 16)], pa.string()), pa.array(n[a : a + (1 << 16)], pa.int64())], ["gram", "n"])
+
+        for batch in batches:
+            for a, b in text.steps(batch.column(0)):
+                for t in batch.column(0)[a:b].to_pylist():
+                    counts.update(set(text.grams_of(t or "", most)))
+                if len(counts) > COUNTED:
+                    yield from out()
+                    counts.clear()
+        yield from out()
+
+    return documents.select(text_col).mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("df")).where(F.col("df") >= least)
+
+
 def vocabulary(counts: DataFrame, least: int = 3, most: int = 5000) -> DataFrame:
     """gram, df, column: the `most` grams in most texts, ties by the gram; columns are in the order of the grams."""
     kept = document_frequency(counts, least).orderBy(F.desc("df"), "gram").limit(most)
@@ -53,19 +86,37 @@ def tfidf(documents: DataFrame, most: int = 2, least: int = 3, features: int = 5
     total = documents.count() if n is None else n
     column = {r["gram"]: (int(r["column"]), math.log((1 + total) / (1 + r["df"])) + 1) for r in found}
 
-    @F.pandas_udf("array<struct<gram:string,column:int,weight:double>>")
-    def weights(texts: pd.Series) -> pd.Series:
-        return pd.Series([weigh(t or "", column, most) for t in texts], dtype=object)
+    sent = documents.sparkSession.sparkContext.broadcast(column)
 
-    return documents.select(key, F.explode(weights(F.col(text_col))).alias("w")).select(key, "w.*")
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            for a, b in text.steps(texts):
+                rows, grams, columns, found = [], [], [], []
+                for row, t in enumerate(texts[a:b].to_pylist(), a):
+                    for g, c, w in weighed(t or "", sent.value, most):
+                        rows.append(row)
+                        grams.append(g)
+                        columns.append(c)
+                        found.append(w)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(grams, pa.string()), pa.array(columns, pa.int32()), pa.array(found, pa.float64())], [key, "gram", "column", "weight"])
 
+    # batches of keys and texts have few rows of output each, as many as a step has
+    schema = T.StructType([documents.schema[key], T.StructField("gram", T.StringType()), T.StructField("column", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+    return documents.select(key, text_col).mapInArrow(weights, schema)
 
-def weigh(raw: str, column: dict[str, tuple[int, float]], most: int = 2) -> list[dict]:
-    """gram, column and weight of the known grams of a text; `column` has the place and the idf of each."""
+
+def weighed(raw: str, column: dict[str, tuple[int, float]], most: int = 2) -> list[tuple[str, int, float]]:
+    """(gram, column, weight) of the known grams of a text; `column` has the place and the idf of each."""
     counts = collections.Counter(g for g in text.grams_of(raw, most) if g in column)
     raws = [(g, column[g][0], (1 + math.log(k)) * column[g][1]) for g, k in counts.items()]
     length = math.sqrt(sum(w * w for _, _, w in raws))
-    return [{"gram": g, "column": c, "weight": w / length} for g, c, w in raws]
+    return [(g, c, w / length) for g, c, w in raws]
+
+
+def weigh(raw: str, column: dict[str, tuple[int, float]], most: int = 2) -> list[dict]:
+    """weighed, as rows of a struct."""
+    return [{"gram": g, "column": c, "weight": w} for g, c, w in weighed(raw, column, most)]
 
 
 def top_terms(weights: DataFrame, top: int = 5, key: str = "doc_id") -> DataFrame:

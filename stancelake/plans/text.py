@@ -170,7 +170,7 @@ def vocabulary_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ngram_document_frequency", f"WITH {_GRAMS_SQL} SELECT gram, df FROM df")
 def ngram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.document_frequency(features.grams(texts(spark, sf_dir, "doc_id", "text")), 3)
+    return features.gram_counts(texts(spark, sf_dir, "doc_id", "text"), 3)
 
 
 _VOCABULARY_SQL = f"{_GRAMS_SQL}, v AS (SELECT gram, df, row_number() OVER (ORDER BY gram) - 1 AS column FROM (SELECT * FROM df ORDER BY df DESC, gram LIMIT 5000)), dn AS (SELECT count(*) AS n FROM documents), x AS (SELECT doc_id, gram, (1 + ln(tf.n)) * (ln((1 + dn.n) / (1 + df)) + 1) AS raw FROM tf JOIN v USING (gram), dn), xx AS (SELECT doc_id, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM x)"
