@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancelake.functions import text
 from stancelake.operators import blocks, retrieval
 from stancelake.plans.registry import register
 from stancelake.session import table, texts
@@ -54,8 +53,7 @@ def nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("hash_embedding_norms", "SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '[a-z]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def hash_embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = text.ngrams(text.tokens(F.col("text")), 2)
-    vectors = texts(spark, sf_dir, "doc_id", "text").select("doc_id", retrieval.hash_embedding(grams).alias("v"))
+    vectors = texts(spark, sf_dir, "doc_id", "text").select("doc_id", retrieval.text_embedding(F.col("text")).alias("v"))
     return vectors.select("doc_id", F.round(F.sqrt(retrieval.dot(F.col("v"), F.col("v"))), 9).alias("norm"))
 
 

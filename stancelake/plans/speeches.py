@@ -224,6 +224,5 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("hash_embedding_components")
 def hash_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every component of every document's vector that is not zero."""
-    grams = text.ngrams(text.tokens(F.col("text")), 2)
-    vectors = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(retrieval.hash_embedding(grams)).alias("place", "value"))
+    vectors = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(retrieval.text_embedding(F.col("text"))).alias("place", "value"))
     return vectors.where("value <> 0").select("doc_id", "place", *rounded("value"))
