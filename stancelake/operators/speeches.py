@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from stancelake import errors, session
 from stancelake.functions import text
 from stancelake.operators import blocks, ingest, retrieval
 
+#: Ids that are sent to all tasks at most; more are joined.
+FEW = 1 << 16
+
 Embedder = Callable[[Column], Column]
 
 #: What a store has of each chunk; all else about a speech stays in the table of speeches.
@@ -32,10 +37,13 @@ NOTHING_OF_ANY = "I could not find anything in the speeches I have analyzed that
 def hash_embedder(dim: int = 768, digest: str = "blake2b") -> Embedder:
     """Vectors of retrieval.hash_embedding over one and two words, as float; `digest` is one of retrieval.DIGESTS."""
 
-    @F.pandas_udf("array<array<float>>")
-    def embed(texts: pd.Series) -> pd.Series:
-        one = retrieval.gram_hasher(dim, digest)
-        return pd.Series([[one(text.grams_of(t or "")).astype(np.float32) for t in mine] if mine is not None else None for mine in texts], dtype=object)
+    one = retrieval.gram_hasher(dim, digest)
+
+    @F.arrow_udf("array<array<float>>")
+    def embed(texts: pa.Array) -> pa.Array:
+        rows = retrieval.as_lists(retrieval.vectors_of(texts.flatten(), text.grams_of, one, dim, np.float32))
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), rows, mask=pc.is_null(texts))
 
     return embed
 
@@ -64,9 +72,13 @@ def index_speeches(speeches: DataFrame, path: str, embed: Embedder, most: int =
     A speech is indexed once: run again, or in two batches that overlap, it adds nothing. One writer at a time.
     """
     stored = open_store(speeches.sparkSession, path)
-    rows = speeches.dropDuplicates([id_col])
     if stored is not None:
-        rows = ingest.unseen(rows, stored.select(F.col("speech_id").alias(id_col)).distinct(), [id_col])
+        # which are new is found by their ids; texts of others are neither shuffled nor joined
+        fresh = session.checkpointed(ingest.unseen(speeches.select(id_col).distinct(), stored.select(F.col("speech_id").alias(id_col)).distinct(), [id_col]))
+        few = fresh.count() <= FEW
+        named = fresh.withColumnRenamed(id_col, "fresh_")
+        speeches = speeches.join(F.broadcast(named) if few else named, F.col(id_col).eqNullSafe(F.col("fresh_")), "left_semi")
+    rows = speeches.dropDuplicates([id_col])
     seen = Observation(f"chunks-{uuid.uuid4().hex}")
     ingest.append(chunk_rows(rows, embed, most, overlap, id_col, body).observe(seen, F.count(F.lit(1)).alias("n")), path)
     return seen.get["n"]
@@ -101,9 +113,10 @@ def question_vector(spark: SparkSession, question: str, embed: Embedder) -> list
 def search(store: DataFrame, speeches: DataFrame, vector: list[float], k: int = 5, speaker: object = None) -> DataFrame:
     """speech_id, chunk_index, text, title, url, distance of the k nearest chunks, of one speaker if named; ties by id and index."""
     only = None if speaker is None else F.col("speaker_id") == F.lit(speaker)
-    rows = chunks_of_speeches(store, speeches, "title", "url", only=only)
     distance = retrieval.cosine_distance(F.col("embedding"), F.lit(vector))
-    found = rows.withColumn("distance", distance).orderBy(F.round("distance", 12), "speech_id", "chunk_index").limit(k)
+    # distances before the join, which then shuffles no vectors
+    near = store.select("speech_id", "chunk_index", "text", distance.alias("distance"))
+    found = chunks_of_speeches(near, speeches, "title", "url", only=only).orderBy(F.round("distance", 12), "speech_id", "chunk_index").limit(k)
     return found.select("speech_id", "chunk_index", "text", "title", "url", "distance")
 
 
