@@ -7,10 +7,10 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancelake.operators import evaluation, features, training
+from stancelake.operators import evaluation, features, heavy, training
 from stancelake.plans.registry import register
 from stancelake.plans.roles import rounded, rounded_sql
-from stancelake.session import table, texts
+from stancelake.session import checkpointed, table, texts
 
 _NAME = "CASE {0} WHEN 0 THEN 'hawkish' WHEN 1 THEN 'dovish' ELSE 'neutral' END"
 
@@ -112,16 +112,22 @@ def lexicon_means_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).groupBy("gold").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n")).select("gold", *rounded("mean"), "n")
 
 
+#: Terms of the classifier's vocabulary.
+TERMS = 5000
+
+
 @register("classifier_train_eval")
 def classifier_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trains on two thirds of the labelled documents and scores the rest."""
+    """Trains on all of two thirds of the labelled documents and scores the rest."""
     gold = rows(spark, sf_dir).select("doc_id", F.col("gold").alias("label"))
-    documents = texts(spark, sf_dir, "doc_id", "text").join(gold.select("doc_id"), "doc_id", "left_semi")
-    weights = features.tfidf(documents)
-    w, b = features.train_softmax(gold.where("doc_id % 3 <> 0"), weights)
-    joined = weights.join(F.broadcast(features.model_table(spark, w)), "column")
-    found = features.softmax_scores(documents, joined, {c: F.col(c) for c in features.CLASSES}, dict(zip(features.CLASSES, map(float, b))))
-    tried = found.join(gold.where("doc_id % 3 = 0").withColumnRenamed("label", "gold"), "doc_id")
+    # the join moves all texts; it is done once and what it leaves is read by every pass
+    documents = checkpointed(texts(spark, sf_dir, "doc_id", "text").join(gold.select("doc_id"), "doc_id", "left_semi"))
+    terms, n = checkpointed(heavy.vocabulary(documents, wanted=TERMS)), documents.count()
+    inside, outside = documents.where("doc_id % 3 <> 0"), documents.where("doc_id % 3 = 0")
+    model = training.train(gold.where("doc_id % 3 <> 0"), features.tfidf(inside, terms=terms, n=n), TERMS)
+    weights = features.tfidf(outside, terms=terms, n=n).join(F.broadcast(features.model_table(spark, model.coefficients)), "column")
+    found = features.softmax_scores(outside, weights, {c: F.col(c) for c in features.CLASSES}, dict(zip(features.CLASSES, map(float, model.intercepts))))
+    tried = found.join(gold.withColumnRenamed("label", "gold"), "doc_id")
     return evaluation.class_metrics(tried, predicted="label")
 
 
